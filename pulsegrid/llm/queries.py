@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, licenses, pii, quality, sharding, warc
+from . import bpe, decontaminate, fingerprint, licenses, neardup, pii, quality, sharding, warc
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(documents(spark, sf_dir))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_neardup": op7_neardup,
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
