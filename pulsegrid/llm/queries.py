@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, licenses, neardup, pii, quality, sharding, warc
+from . import bpe, decontaminate, fingerprint, licenses, neardup, pii, quality, sharding, substrings, warc
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(documents(spark, sf_dir))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_pii": op3_pii,
+    "op4_substrings": op4_substrings,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_neardup": op7_neardup,
