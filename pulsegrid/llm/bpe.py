@@ -188,10 +188,11 @@ def _over_texts(docs: DataFrame, text: str, spec: bytes, pattern: str, schema: s
             at = batch.schema.get_field_index(text)
             rows = [row(codec, ids) for part in _parts(batch.column(at)) for ids in codec.encode_all(part)]
             kept = [i for i in range(batch.num_columns) if i != at]
-            made = pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), preserve_index=False)
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made.columns, [batch.schema.names[i] for i in kept] + names)
+            made = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made, [batch.schema.names[i] for i in kept] + names)
 
-    names = [part.split()[0] for part in schema.split(", ")]
+    names, kinds = zip(*(part.split() for part in schema.split(", ")), strict=True)
+    names, types = list(names), [{"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[k] for k in kinds]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
     return docs.mapInArrow(run, f"{kept}, {schema}")
 
@@ -215,10 +216,18 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return tokens.withColumn("decoded", joined(F.col(ids)))
 
 
+def _digests(codec: Codec, ids: list[int]) -> tuple[str, str]:
+    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+
+
+def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with n_tokens, ids and the digests of the ids and of the bytes that they decode to, in place of the text."""
+    schema = "n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
+    return _over_texts(docs, "text", open(path, "rb").read(), pattern, schema, lambda codec, ids: (len(ids), ids, *_digests(codec, ids)))
+
+
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
 
-    def row(codec: Codec, ids: list[int]) -> tuple:
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
-
-    return _over_texts(docs.select("doc_id", "text"), "text", open(path, "rb").read(), pattern, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return _over_texts(docs.select("doc_id", "text"), "text", open(path, "rb").read(), pattern, schema, lambda codec, ids: (len(ids), *_digests(codec, ids)))
