@@ -6,7 +6,7 @@ equal places, so they meet in one bucket, and the suffixes of one anchor place f
 instead of one row for each suffix:
 
 1. each text gives its runs (about one in 70 bytes): anchor, digest of the run's text, place;
-2. an anchor that occurs once is dropped, with all its suffixes; where all runs of an anchor are equal, they are repeated;
+2. an anchor that occurs once is dropped, with all its suffixes; runs that have an equal are repeated as they are;
 3. what is left, buckets of unequal runs, is compared suffix by suffix: one run of each kind is sent, with its text, to its
    bucket's task, which sorts the suffixes of its buckets one group of buckets at a time;
 4. buckets of more than MAX_RUNS kinds of runs are not put in one task: their suffixes are counted by their digests in a
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import at_most, materialize, row_key
 
 LENGTH, GRAM = 200, 64
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 MAX_RUNS = 20_000
 BROADCAST_ROWS = 500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -223,17 +223,15 @@ def _counted_buckets(pieces: DataFrame) -> DataFrame:
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(row, start, end): bytes to remove, in spans that may overlap. keyed: row and text."""
     runs = _runs(keyed)
-    buckets = runs.groupBy("anchor").agg(F.count("*").alias("total"), F.min("kind").alias("lo_kind"), F.max("kind").alias("hi_kind")).filter("total > 1")
-    buckets = materialize(buckets.select("anchor", (F.col("lo_kind") != F.col("hi_kind")).alias("mixed")))
-    met = materialize(runs.join(at_most(buckets, BROADCAST_ROWS), "anchor"))
-    mixed = met.filter("mixed")
-    kinds = materialize(mixed.groupBy("anchor", "kind").agg(F.count("*").alias("same"), F.min(F.struct("row", "lo", "n")).alias("one")))
-    copies = kinds.filter("same > 1").select("anchor", "kind")
-    equal = met.filter("not mixed").select("row", "lo", "n").unionByName(mixed.join(copies, ["anchor", "kind"], "left_semi").select("row", "lo", "n"))
+    buckets = runs.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor")
+    met = materialize(runs.join(buckets, "anchor", "left_semi"))
+    kinds = materialize(met.groupBy("anchor", "kind").agg(F.count("*").alias("same"), F.min(F.struct("row", "lo", "n")).alias("one")))
+    equal = met.join(kinds.filter("same > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi")
     whole = equal.select("row", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end"))
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    unequal = kinds.join(sizes.select("anchor"), "anchor", "left_semi")
     large = sizes.filter(F.col("kinds") > MAX_RUNS).select("anchor")
-    asked = kinds.select(F.col("one.row").alias("row"), F.struct("anchor", "kind", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), "same").alias("run"))
+    asked = unequal.select(F.col("one.row").alias("row"), F.struct("anchor", "kind", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), "same").alias("run"))
     asked = materialize(asked.groupBy("row").agg(F.collect_list("run").alias("runs")))
     some = keyed.join(at_most(asked.select("row"), BROADCAST_ROWS), "row", "left_semi").join(asked, "row")
     pieces = _cut(some)
