@@ -5,8 +5,9 @@ are one class. Inverted lists of the classes' sketch values give candidates: two
 least LEAST_SHARED of the values that both keep (all but surely, see `least_shared`), so only a prefix of each sketch needs
 a place in the lists, rarest values first; a value that many documents hold, such as one of a common passage, stays out of the
 lists of those that have enough others. In a list, members are first compared with one member, so that a large group of near
-copies becomes one component with as many comparisons as it has members; what is then still in different components
-is compared in full. Before a comparison, the union of the two sketches estimates the similarity; what passes is
+copies becomes one component with as many comparisons as it has members. Classes of lists that still span components get
+places in exact lists over their full sets (`_listed`), whose prefixes are far shorter, and members of different components
+are compared there. Before a comparison, the union of the two sketches estimates the similarity; what passes is
 confirmed on the full sets.
 
 A text without words (or null) has an empty set and is linked with nothing. Rows of equal id and text are one document; a
@@ -32,7 +33,9 @@ K = 32
 MISS = 1e-6
 BROADCAST_ROWS = 500_000
 #: Rounds in which members of a list are compared with one of them only.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Sizes in one size class of the exact lists differ by this part at most.
+CLASS_WIDTH = 0.03
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -140,39 +143,81 @@ def _labelled(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return lists.join(roots.select(F.col("node").alias("set"), "root"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
+def _listed(involved: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(value, small, large, set, n, own): places of classes in exact lists over their full sets. involved: set and n.
+
+    Values that several of these classes hold are put in order, rarest first. Two sets of sizes n and m that meet the
+    threshold share `need(n, m)` values, so the first one that they share comes before place n - need(n, m) + 1 of the one and
+    m - need(n, m) + 1 of the other. A class therefore has a place under a value and a pair of size classes only if that
+    can hold for partners of that size; sizes of one class differ by CLASS_WIDTH at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = shingles(batch.column(1)[i].as_py() or "", size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py(), np.int64)), pa.array(s.view(np.int64))], ["set", "value"])
+
+    values = texts.select("set", "text").mapInArrow(run, "`set` bigint, value bigint")
+    common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    held = values.join(common, "value").join(involved, "set")
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("set"))
+    held = held.withColumn("at", alone + F.row_number().over(Window.partitionBy("set").orderBy("df", "value")))
+    width = math.log(1 + CLASS_WIDTH)
+    of = lambda c: F.floor(F.log(c) / width)
+    held = held.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100 - 1e-9) + 1).withColumn("own", of(F.col("n")))
+    reach = F.sequence(of(F.col("n") * percent / 100), of(F.col("n") * 100 / percent + 1))
+    held = held.select("value", "set", "n", "own", "at", F.explode(reach).alias("other"))
+    least = F.greatest(F.floor(F.exp(F.col("other") * width)), F.ceil(F.col("n") * percent / 100 - 1e-9))
+    need = F.ceil((F.col("n") + least) * percent / (100 + percent) - 1e-9)
+    fits = held.filter(F.col("at") <= F.col("n") - need + 1)
+    return fits.select("value", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large"), "set", "n", "own")
+
+
+def _across(lists: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """(set, other): members of one list that lie in different components and can be similar by their sizes. Of a list's
+    largest component, members are compared with those outside it only."""
+    roots = lists.groupBy(*key, "root").agg(F.count("*").alias("members"))
+    top = roots.groupBy(*key).agg(F.max_by("root", F.struct("members", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    live = materialize(lists.join(top, key))
+    other = live.select(*key, F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+    sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    once = (F.col("other_root") == F.col("top")) | (F.col("set") < F.col("other"))
+    return live.filter("root <> top").join(other, key).filter((F.col("root") != F.col("other_root")) & sizes & once).select("set", "other")
+
+
 def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough to connect all that are linked. classes: set, n, sketch, row."""
     threshold = percent / 100
     shared = least_shared(threshold)
     lists = materialize(_prefixes(classes, shared, threshold))
     small = classes.select("set", "n", "sketch", "row")
+    keyed = docs.select(row_key("doc_id", "text").alias("row"), "text")
     links, tried, roots = None, None, None
+
+    def texts_of(sets: DataFrame) -> DataFrame:
+        ends = materialize(sets.join(small.select("set", "row"), "set"))
+        return keyed.join(at_most(ends, BROADCAST_ROWS), "row").dropDuplicates(["set"]).select("set", "text")
+
     for turn in range(STAR_ROUNDS + 1):
         now = _labelled(lists, roots)
         spread = now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("set", "n", "root"), F.struct(_rank(turn), "set")).alias("pivot")).filter("lo <> hi")
         live = now.join(spread, "value")
         if turn < STAR_ROUNDS:
             near = live.filter("root <> pivot.root").select("set", "n", F.col("pivot.set").alias("other"), F.col("pivot.n").alias("m"))
+            near = near.filter((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
         else:
-            one = materialize(live.select("value", "set", "n", "root"))
-            other = one.select("value", F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
-            fits = (F.col("set") < F.col("other")) & (F.col("root") != F.col("other_root")) & (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-            near = one.join(other, "value").filter(fits).select("set", "n", "other", "m")
-        near = near.filter((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
+            involved = materialize(live.select("set", "n").distinct())
+            near = _across(_labelled(_listed(involved, texts_of(involved.select("set")), size, percent), roots), ["value", "small", "large"], percent)
         pairs = near.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         sides = [small.select(F.col("set").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
         pairs = materialize(pairs.join(sides[0], "a").join(sides[1], "b").filter(_likely("sketch_a", "sketch_b", shared, threshold)).select("a", "b"))
         if not pairs.limit(1).count():
-            if turn == 0 or turn == STAR_ROUNDS:
-                break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(small.select("set", "row"), "set"))
-        keyed = docs.select(row_key("doc_id", "text").alias("row"), "text")
-        texts = keyed.join(at_most(ends, BROADCAST_ROWS), "row").dropDuplicates(["set"]).select("set", "text")
-        found = materialize(_confirmed(pairs, texts, size, percent))
+        found = materialize(_confirmed(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()), size, percent))
         links = found if links is None else links.unionByName(found)
         if turn < STAR_ROUNDS:
             roots = connected_components(links)
