@@ -32,8 +32,6 @@ K = 32
 #: A pair of the wanted similarity is missed with this probability at most, for each pair.
 MISS = 1e-6
 BROADCAST_ROWS = 500_000
-#: Rounds in which members of a list are compared with one of them only.
-STAR_ROUNDS = 2
 #: Sizes in one size class of the exact lists differ by this part at most.
 CLASS_WIDTH = 0.03
 
@@ -97,7 +95,8 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, shared: int, threshold: float) -> DataFrame:
-    """(value, set, n): the values under which a class is listed, of those that several classes hold."""
+    """(value, set, n, alone): the values under which a class is listed, of those that several classes hold; alone counts
+    the values of its sketch that no other holds."""
     values = classes.select("set", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     kept = F.least(F.col("n"), F.lit(K))
@@ -105,7 +104,8 @@ def _prefixes(classes: DataFrame, shared: int, threshold: float) -> DataFrame:
     held = values.join(common, "value")
     order = F.row_number().over(Window.partitionBy("set").orderBy("df", "value"))
     alone = kept - F.count("*").over(Window.partitionBy("set"))  # values that nobody else holds come first of all
-    return held.select("value", "set", "n", (order + alone).alias("at"), (kept - must + 1).alias("upto")).filter("at <= upto").select("value", "set", "n")
+    placed = held.select("value", "set", "n", alone.alias("alone"), (order + alone).alias("at"), (kept - must + 1).alias("upto"))
+    return placed.filter("at <= upto").select("value", "set", "n", "alone")
 
 
 def _likely(a: str, b: str, shared: int, threshold: float) -> Column:
@@ -199,11 +199,11 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
         ends = materialize(sets.join(small.select("set", "row"), "set"))
         return keyed.join(at_most(ends, BROADCAST_ROWS), "row").dropDuplicates(["set"]).select("set", "text")
 
-    for turn in range(STAR_ROUNDS + 1):
+    for last in (False, True):
         now = _labelled(lists, roots)
-        spread = now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("set", "n", "root"), F.struct(_rank(turn), "set")).alias("pivot")).filter("lo <> hi")
+        spread = now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("set", "n", "root"), F.struct("alone", "set")).alias("pivot")).filter("lo <> hi")
         live = now.join(spread, "value")
-        if turn < STAR_ROUNDS:
+        if not last:  # with the member that has most in common with the others
             near = live.filter("root <> pivot.root").select("set", "n", F.col("pivot.set").alias("other"), F.col("pivot.n").alias("m"))
             near = near.filter((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
         else:
@@ -214,21 +214,16 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         sides = [small.select(F.col("set").alias(x), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
         pairs = materialize(pairs.join(sides[0], "a").join(sides[1], "b").filter(_likely("sketch_a", "sketch_b", shared, threshold)).select("a", "b"))
-        if not pairs.limit(1).count():
+        if pairs.isEmpty():
             continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs
         found = materialize(_confirmed(pairs, texts_of(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()), size, percent))
         links = found if links is None else links.unionByName(found)
-        if turn < STAR_ROUNDS:
-            roots = connected_components(links)
+        if not last:
+            roots = connected_components(links, 2, settle=False)
     return links if links is not None else docs.sparkSession.createDataFrame([], "a bigint, b bigint")
 
 
-def _rank(turn: int) -> Column:
-    """Which member of a list the others are compared with, in each round another: the largest set, the smallest, any."""
-    return (-F.col("n"), F.col("n"), F.xxhash64("set", F.lit(turn)))[turn % 3]
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (id is the component's)."""
     rows = materialize(sketch(docs, size))
