@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,8 +10,12 @@ from ..functions.scalars import PENDING, sla_downtime_end
 
 DAY_MS = 86_400_000
 #: Order of events at one time.
-STATE, DOWN_START, DOWN_END, END = range(4)
-_OBJECT = F.struct(F.col("host_id"), F.coalesce("service_id", F.lit("")).alias("s"), F.col("service_id").isNull().alias("is_host"))
+START, STATE, DOWN_START, DOWN_END, END = range(5)
+
+
+def object_key() -> Column:
+    """An object as one value that can be joined on: hosts have no service."""
+    return F.struct(F.col("host_id"), F.coalesce("service_id", F.lit("")).alias("s"), F.col("service_id").isNull().alias("is_host"))
 
 
 def sla_state_rows(states: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def _initial(asked: DataFrame, states: DataFrame, current: DataFrame | None) ->
     out = marks.unionByName(facts).select("*", seen.alias("seen"), later.alias("later")).filter("kind = 1")
     state = F.coalesce(F.col("seen.hard"), F.col("later.prev"))
     if current is not None:
-        out = out.join(current.select(_OBJECT.alias("obj"), F.col("hard_state").cast("int").alias("now")), "obj", "left")
+        out = out.join(current.select(object_key().alias("obj"), F.col("hard_state").cast("int").alias("now")), "obj", "left")
         state = F.coalesce(state, F.col("now"))
     return out.select("obj", "start", "end", F.coalesce(state, F.lit(0)).alias("initial"))
 
@@ -57,29 +61,31 @@ def sla_ok_percent(states: DataFrame, downtimes: DataFrame, intervals: DataFrame
     not multiply its events; each pair is taken in one bucket only.
     """
     wrong = F.raise_error(F.lit("end time must be greater than start time")).cast("bigint")
-    asked = intervals.select(_OBJECT.alias("obj"), F.col("start").cast("bigint"), F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(wrong).cast("bigint").alias("end")).distinct()
-    st = states.select(_OBJECT.alias("obj"), F.col("id").cast("string").alias("sid"), "event_time", "hard_state", "previous_hard_state")
-    first = _initial(asked, st, current)
+    asked = intervals.select(object_key().alias("obj"), F.col("start").cast("bigint"), F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(wrong).cast("bigint").alias("end")).distinct()
+    st = states.select(object_key().alias("obj"), F.col("id").cast("string").alias("sid"), "event_time", "hard_state", "previous_hard_state")
     bucket = lambda c: F.floor(F.col(c) / bucket_ms)
-    spread = first.select("obj", "start", "end", F.explode(F.sequence(bucket("start"), F.floor((F.col("end") - 1) / bucket_ms))).alias("b"))
-    none = F.lit(None).cast("int")
-
-    def row(t, prio: int, sid, hard=none, prev=none, active=None):  # noqa: ANN001, ANN202
-        return ["obj", "start", "end", t.alias("t"), F.lit(prio).alias("prio"), sid.alias("sid"), hard.cast("int").alias("hard"), prev.cast("int").alias("prev"), F.lit(active or 0).alias("active")]
-
-    inside = spread.join(st.withColumn("b", bucket("event_time")), ["obj", "b"]).filter("event_time > start and event_time < end")
-    state_rows = inside.select(*row(F.col("event_time"), STATE, F.col("sid"), F.col("hard_state"), F.col("previous_hard_state")))
-    down = downtimes.select(_OBJECT.alias("obj"), "downtime_start", "downtime_end").filter("downtime_end >= downtime_start")
-    down = down.select("*", bucket("downtime_start").alias("b0"), F.explode(F.sequence(bucket("downtime_start"), bucket("downtime_end"))).alias("b"))
-    met = spread.join(down, ["obj", "b"]).filter("downtime_start < end and downtime_end >= start")
-    met = met.filter(F.col("b") == F.greatest(bucket("start"), F.col("b0")))
-    edges = met.select("*", F.explode(F.array(F.lit(DOWN_START), F.lit(DOWN_END))).alias("edge")).filter((F.col("edge") == DOWN_START) | (F.col("downtime_end") < F.col("end")))
-    begins = F.col("edge") == DOWN_START
-    t = F.when(begins, F.greatest("downtime_start", "start")).otherwise(F.col("downtime_end"))
-    edge_rows = edges.select("obj", "start", "end", t.alias("t"), F.col("edge").alias("prio"), F.lit("").alias("sid"), none.alias("hard"), none.alias("prev"), F.when(begins, 1).otherwise(-1).alias("active"))
-    end_rows = first.select(*row(F.col("end"), END, F.lit("")))
-    start_rows = first.select("obj", "start", "end", F.col("start").alias("t"), F.lit(-1).alias("prio"), F.lit("").alias("sid"), F.col("initial").cast("int").alias("hard"), none.alias("prev"), F.lit(0).alias("active"))
-    events = start_rows.unionByName(state_rows).unionByName(edge_rows).unionByName(end_rows)
+    none, blank = F.lit(None).cast("int"), F.lit("")
+    facts = st.select(
+        "obj", bucket("event_time").alias("b"), bucket("event_time").alias("b0"), F.col("event_time").alias("t1"), F.col("event_time").alias("t2"), "sid", F.col("hard_state").cast("int").alias("hard"), F.col("previous_hard_state").cast("int").alias("prev")
+    )
+    down = downtimes.select(object_key().alias("obj"), "downtime_start", "downtime_end").filter("downtime_end >= downtime_start")
+    down = down.select("obj", F.explode(F.sequence(bucket("downtime_start"), bucket("downtime_end"))).alias("b"), bucket("downtime_start").alias("b0"), F.col("downtime_start").alias("t1"), F.col("downtime_end").alias("t2"))
+    facts = facts.unionByName(down.withColumns({"sid": F.lit(None).cast("string"), "hard": none, "prev": none}))
+    spread = asked.select("obj", "start", "end", F.explode(F.sequence(bucket("start"), F.floor((F.col("end") - 1) / bucket_ms))).alias("b"))
+    is_state = F.col("sid").isNotNull()
+    inside = is_state & (F.col("t1") > F.col("start")) & (F.col("t1") < F.col("end"))
+    overlaps = ~is_state & (F.col("t1") < F.col("end")) & (F.col("t2") >= F.col("start")) & (F.col("b") == F.greatest(bucket("start"), F.col("b0")))
+    met = spread.join(facts, ["obj", "b"]).filter(inside | overlaps)
+
+    def event(t: Column, prio: int, sid: Column = blank, hard: Column = none, prev: Column = none, active: int = 0) -> Column:
+        return F.struct(t.cast("bigint").alias("t"), F.lit(prio).alias("prio"), sid.alias("sid"), hard.cast("int").alias("hard"), prev.alias("prev"), F.lit(active).alias("active"))
+
+    begin = event(F.greatest("t1", "start"), DOWN_START, active=1)
+    over = event(F.col("t2"), DOWN_END, active=-1)
+    made = F.when(is_state, F.array(event(F.col("t1"), STATE, F.col("sid"), F.col("hard"), F.col("prev")))).when(F.col("t2") < F.col("end"), F.array(begin, over)).otherwise(F.array(begin))
+    edges = F.array(event(F.col("start"), START, hard=F.col("initial")), event(F.col("end"), END))
+    rows = met.select("obj", "start", "end", F.explode(made).alias("e")).unionByName(_initial(asked, st, current).select("obj", "start", "end", F.explode(edges).alias("e")))
+    events = rows.select("obj", "start", "end", "e.*")
     w = Window.partitionBy("obj", "start", "end").orderBy("t", "prio", "sid")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     walked = events.select(

@@ -93,8 +93,8 @@ def backfill_sla_downtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV}, {RAW}, {ST}, q AS (SELECT DISTINCT user_id FROM ev) SELECT q.user_id, coalesce(max_by(hard_state, (event_time, id)) FILTER (event_time <= 1705000000000), min_by(previous_hard_state, (event_time, id)) FILTER (event_time > 1705000000000), 0) AS initial FROM q LEFT JOIN st USING (user_id) GROUP BY 1")
 def initial_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = A.events(spark, sf_dir)
-    asked = ev.select("host_id", "service_id").distinct().select(sla._OBJECT.alias("obj"), F.lit(1705000000000).alias("start"), F.lit(1705000000001).alias("end"))
-    st = A.states(ev).select(sla._OBJECT.alias("obj"), F.col("id").cast("string").alias("sid"), "event_time", "hard_state", "previous_hard_state")
+    asked = ev.select("host_id", "service_id").distinct().select(sla.object_key().alias("obj"), F.lit(1705000000000).alias("start"), F.lit(1705000000001).alias("end"))
+    st = A.states(ev).select(sla.object_key().alias("obj"), F.col("id").cast("string").alias("sid"), "event_time", "hard_state", "previous_hard_state")
     out = sla._initial(asked, st, None)
     return out.select(F.coalesce(F.when(~F.col("obj.is_host"), F.col("obj.s")), F.col("obj.host_id")).cast("bigint").alias("user_id"), "initial")
 
