@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ MISS = 1e-6
 BROADCAST_ROWS = 500_000
 #: Sizes in one size class of the exact lists differ by this part at most.
 CLASS_WIDTH = 0.03
+PARITIES = 1024
+_PARTS = np.uint64(PARITIES)
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -95,8 +98,8 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, shared: int, threshold: float) -> DataFrame:
-    """(value, set, n, alone): the values under which a class is listed, of those that several classes hold; alone counts
-    the values of its sketch that no other holds."""
+    """(value, set, n, weight): the values under which a class is listed, of those that several classes hold; weight counts
+    how many others hold the values of its sketch."""
     values = classes.select("set", "n", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     kept = F.least(F.col("n"), F.lit(K))
@@ -104,8 +107,9 @@ def _prefixes(classes: DataFrame, shared: int, threshold: float) -> DataFrame:
     held = values.join(common, "value")
     order = F.row_number().over(Window.partitionBy("set").orderBy("df", "value"))
     alone = kept - F.count("*").over(Window.partitionBy("set"))  # values that nobody else holds come first of all
-    placed = held.select("value", "set", "n", alone.alias("alone"), (order + alone).alias("at"), (kept - must + 1).alias("upto"))
-    return placed.filter("at <= upto").select("value", "set", "n", "alone")
+    weight = F.sum("df").over(Window.partitionBy("set"))
+    placed = held.select("value", "set", "n", weight.alias("weight"), (order + alone).alias("at"), (kept - must + 1).alias("upto"))
+    return placed.filter("at <= upto").select("value", "set", "n", "weight")
 
 
 def _likely(a: str, b: str, shared: int, threshold: float) -> Column:
@@ -174,16 +178,37 @@ def _listed(involved: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     return fits.select("value", F.least("own", "other").alias("small"), F.greatest("own", "other").alias("large"), "set", "n", "own")
 
 
-def _across(lists: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """(set, other): members of one list that lie in different components and can be similar by their sizes. Of a list's
-    largest component, members are compared with those outside it only."""
-    roots = lists.groupBy(*key, "root").agg(F.count("*").alias("members"))
-    top = roots.groupBy(*key).agg(F.max_by("root", F.struct("members", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
-    live = materialize(lists.join(top, key))
-    other = live.select(*key, F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"))
+def _parities(texts: DataFrame, size: int) -> DataFrame:
+    """(set, bits): for each of PARITIES parts of the values' range, whether a set holds an odd number of values there.
+
+    Two sets differ in at least as many values as their bits differ, so bits bound the similarity from above.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                odd = np.bincount((_mix(shingles(batch.column(1)[i].as_py() or "", size)) % _PARTS).astype(np.int64), minlength=PARITIES) & 1
+                out.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["set", "bits"])
+
+    return texts.select("set", "text").mapInArrow(run, "`set` bigint, bits array<bigint>")
+
+
+def _across(lists: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """(set, other): members of one list, of its two size classes, that lie in different components and can be similar by
+    their sizes and parities. Of a list's largest component, members are compared with those outside it only."""
+    key = ["value", "small", "large"]
+    roots = lists.groupBy(*key, "root").agg(F.count("*").alias("members"), F.min("own").alias("least"), F.max("own").alias("most"))
+    top = roots.groupBy(*key).agg(F.max_by("root", F.struct("members", "root")).alias("top"), F.count("*").alias("roots"), F.min("least").alias("least"), F.max("most").alias("most"))
+    top = top.filter("roots > 1 and least = small and most = large").drop("roots", "least", "most")
+    live = materialize(lists.join(top, key).join(parities, "set"))
+    other = live.select(*key, F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("other_root"), F.col("own").alias("other_own"), F.col("bits").alias("other_bits"))
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i])) for i in range(PARITIES // 64)])
+    near = (F.col("n") + F.col("m") - apart) * 100 >= (F.col("n") + F.col("m") + apart) * percent
     sizes = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     once = (F.col("other_root") == F.col("top")) | (F.col("set") < F.col("other"))
-    return live.filter("root <> top").join(other, key).filter((F.col("root") != F.col("other_root")) & sizes & once).select("set", "other")
+    return live.filter("root <> top").join(other, key).filter((F.col("root") != F.col("other_root")) & (F.col("own") + F.col("other_own") == F.col("small") + F.col("large")) & sizes & once & near).select("set", "other")
 
 
 def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -201,14 +226,15 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
 
     for last in (False, True):
         now = _labelled(lists, roots)
-        spread = now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("set", "n", "root"), F.struct("alone", "set")).alias("pivot")).filter("lo <> hi")
+        spread = now.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("set", "n", "root"), F.struct(-F.col("weight"), "set")).alias("pivot")).filter("lo <> hi")
         live = now.join(spread, "value")
         if not last:  # with the member that has most in common with the others
             near = live.filter("root <> pivot.root").select("set", "n", F.col("pivot.set").alias("other"), F.col("pivot.n").alias("m"))
             near = near.filter((F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent))
         else:
             involved = materialize(live.select("set", "n").distinct())
-            near = _across(_labelled(_listed(involved, texts_of(involved.select("set")), size, percent), roots), ["value", "small", "large"], percent)
+            texts = texts_of(involved.select("set"))
+            near = _across(_labelled(_listed(involved, texts, size, percent), roots), _parities(texts, size), percent)
         pairs = near.select(F.least("set", "other").alias("a"), F.greatest("set", "other").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
