@@ -63,9 +63,9 @@ def propagate(rows: DataFrame, shards: int, total: int, rounds: int = ROUNDS, sl
     spark = rows.sparkSession
     loads = Counter({r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count("*").alias("n")).collect()})
     quota = int(total / shards * (1 + slack)) + 1
-    for _ in range(rounds):
+    for turn in range(rounds):
         votes = rows.filter(F.col("unit").isNotNull()).groupBy("unit", "shard").agg(F.count("*").alias("n"))
-        best = votes.groupBy("unit").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("best"))
+        best = votes.groupBy("unit").agg(F.max_by("shard", F.struct("n", F.xxhash64("unit", "shard", F.lit(turn)))).alias("best"))  # ties fall evenly on shards
         wished = rows.filter(F.col("unit").isNotNull()).join(best, "unit")
         alone = rows.filter(F.col("unit").isNull()).withColumn("best", F.col("shard"))
         wished = materialize(wished.unionByName(alone).withColumn("bin", _part(F.lit(BINS), F.col("unit")).cast("int")))
