@@ -2,7 +2,7 @@
 
 Two tiers: a minimal perfect hash (two-level displacement, built once per worker) resolves the pre-tokens of a batch that are
 vocabulary entries, all of them in a few array operations; the rest are merged by a heap over linked bytes. Pre-tokens that a worker has met are
-remembered up to CACHE entries. Work is done in Arrow batches; a text is one row, so no shuffle takes place.
+remembered: CACHE of the last and as many of those before. Work is done in Arrow batches; a text is one row, so no shuffle takes place.
 
 A null or empty text has no tokens; repeated rows each get the same answer; long texts and long pre-tokens take
 O(n log n); columns other than the named ones are not read.
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 400_000
+CACHE = 150_000
 #: Characters of text that are split at a time.
 PART_CHARS = 1_000_000
 
@@ -96,28 +96,38 @@ class PerfectHash:
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a word: of all neighbouring parts, the pair of the lowest rank (leftmost of equals) is joined again and again."""
     n = len(word)
+    if n < 2:
+        return [ranks[word]] if n else []
+    get = ranks.get
     nxt, prv, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    # a heap entry is one number: rank, first byte, end; its parts take `bits` bits each
+    bits = n.bit_length()
+    mask = (1 << bits) - 1
+    heap = [(r << bits | i) << bits | (i + 2) for i in range(n - 1) if (r := get(word[i : i + 2])) is not None]
     heapq.heapify(heap)
-    alive = [True] * n
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = nxt[i] if alive[i] else n
+        x = pop(heap)
+        stop = x & mask
+        i = x >> bits & mask
+        j = nxt[i]
         if j >= n or end[j] != stop:
             continue  # one of the two has been joined to another part meanwhile
-        alive[j] = False
+        nxt[j] = n + 1
         end[i] = stop
-        nxt[i] = k = nxt[j]
+        nxt[i] = k = stop
         if k < n:
             prv[k] = i
-            if (r := ranks.get(word[i : end[k]])) is not None:
-                heapq.heappush(heap, (r, i, end[k]))
-        if (h := prv[i]) >= 0 and (r := ranks.get(word[h:stop])) is not None:
-            heapq.heappush(heap, (r, h, stop))
+            e = end[k]
+            if (r := get(word[i:e])) is not None:
+                push(heap, (r << bits | i) << bits | e)
+        h = prv[i]
+        if h >= 0 and (r := get(word[h:stop])) is not None:
+            push(heap, (r << bits | h) << bits | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[word[i : end[i]]])
-        i = nxt[i]
+        i = end[i]
     return out
 
 
@@ -131,17 +141,23 @@ class Codec:
         self.whole = PerfectHash(keys)
         self.bytes = {i: k for k, i in ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, pieces: set[str]) -> dict[str, list[int]]:
+    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """The ids of all these pre-tokens at least."""
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = [p for p in pieces if p not in known]
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for p in pieces:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    new.append(p)
         raw = [p.encode() for p in new]
         for p, w, i in zip(new, raw, self.whole.find(raw), strict=True):
-            known[p] = [self.ids[i]] if i >= 0 else merge(w, self.ranks)
+            known[p] = (self.ids[i],) if i >= 0 else tuple(merge(w, self.ranks))
         return known
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:

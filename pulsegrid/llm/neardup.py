@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import at_most, materialize, row_key
+from .common import arrow_rows, at_most, materialize, row_key
 from .components import connected_components
 
 K = 32
@@ -36,6 +36,8 @@ BROADCAST_ROWS = 500_000
 #: Sizes in one size class of the exact lists differ by this part at most.
 CLASS_WIDTH = 0.03
 PARITIES = 1024
+#: Rows that a Python task holds at a time.
+BATCH_ROWS = 500
 _PARTS = np.uint64(PARITIES)
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -252,6 +254,11 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (id is the component's)."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, size, percent)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     rows = materialize(sketch(docs, size))
     first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     classes = materialize(
