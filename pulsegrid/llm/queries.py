@@ -66,4 +66,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL of lower-casing A to Z, and of the words of a text.
+_LOW = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all({_LOW.format(text)}, '{_WORD}')"
+
+
+OP1 = f"""WITH item AS (SELECT item_id, w, len(w) AS n, least(len(w), {decontaminate.SPAN}) AS k FROM (SELECT item_id, {_words('text')} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, w[j:j + k - 1] AS g FROM (SELECT *, unnest(range(1, n - k + 2)) AS j FROM item)),
+doc AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+pos AS (SELECT doc_id, k, j, w[j:j + k - 1] AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM doc, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT DISTINCT doc_id, item_id, j, pos.k FROM pos JOIN win ON pos.g = win.g AND pos.k = win.k),
+spots AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM hit) GROUP BY 1),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::varchar AS i FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM doc LEFT JOIN spots USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+OP2 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), g AS (SELECT h, max(page_id) AS newest FROM p GROUP BY 1)
+SELECT page_id, octet_length(encode(h))::bigint AS payload_bytes,
+array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * bits[5 * i + 1] + 8 * bits[5 * i + 2] + 4 * bits[5 * i + 3] + 2 * bits[5 * i + 4] + bits[5 * i + 5])::int, 1)), '') AS payload_digest,
+CASE WHEN page_id = newest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM (SELECT *, list_transform(string_split(unhex(sha1(h))::bit::varchar, ''), lambda c: c::int) AS bits FROM p JOIN g USING (h))"""
+
+
+def _op3() -> str:
+    """Spans by the plain patterns: pieces between matches and the matches give the places."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({digits}), i + 1, 1)::int ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse({digits}), i + 1, 1)::int + 1] END)) % 10 = 0"
+    valid = {
+        "email": "true", "ip": "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(try_cast(ltrim(x, '0') AS int), 0) END)) <= 255",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 9 AND 15",
+    }
+    parts = []
+    for i, (kind, pattern) in enumerate(plain.items()):
+        located = f"SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(list_slice(string_split_regex(t, '{pattern}'), 1, -2)) AS gap, generate_subscripts(regexp_extract_all(t, '{pattern}'), 1) AS k FROM d"
+        placed = f"SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k))::bigint AS e FROM ({located})"
+        parts.append(f"SELECT doc_id, {i} AS o, '{kind}' AS kind, e - length(m) AS s, e FROM ({placed}) WHERE {valid[kind]}")
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{k}'), 0) AS n_{k}" for k in plain)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), sp AS ({' UNION ALL '.join(parts)}),
+a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s::varchar || ':' || e::varchar, ',' ORDER BY o, s) AS spans FROM sp GROUP BY 1)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in plain)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
+def _op10() -> str:
+    phrases = ", ".join(f"('{p}', '{label}', {p.split()!r})" for p, label in licenses.BASE.items())
+    templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r})" for i, (label, t) in enumerate(licenses.TEMPLATES))
+    return f"""WITH d AS (SELECT doc_id, {_words('text')} AS w, {_LOW.format('text')} AS low FROM documents),
+ph(p, label, pw) AS (VALUES {phrases}), tp(i, tl, tw) AS (VALUES {templates}),
+b AS (SELECT doc_id, label, j - 1 AS place FROM (SELECT doc_id, w, label, pw, unnest(range(1, len(w) - len(pw) + 2)) AS j FROM d, ph WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || p || ' ')) WHERE w[j:j + len(pw) - 1] = pw),
+bb AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
+l AS (SELECT doc_id, {_words('line')} AS lw FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
+t AS (SELECT doc_id, tl, len(list_intersect(lw, tw)) / len(tw) AS c FROM l, tp WHERE len(list_intersect(lw, tw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
+tt AS (SELECT doc_id, max(c) AS best FROM t GROUP BY 1),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, tl FROM t) GROUP BY 1)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END, 6) AS score
+FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN tt USING (doc_id) LEFT JOIN al USING (doc_id)"""
+
+
+#: Others: substrings, quality, shards, near copies, fingerprints and BPE are tested against plain Python.
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_pii": _op3(), "op10_licenses": _op10()}
