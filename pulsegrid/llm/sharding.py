@@ -5,7 +5,7 @@ shard that holds most of their neighbours, as far as the target's quota allows,
 even. At last all rows are laid in one order of (shard, linked rows together) and cut into equal parts, which makes the law
 `rows` exact: counts differ by one at most, and at most one group more is cut at each border. No Python.
 
-Groups beyond a quarter of a shard are dealt with in several units, so that no single group decides a shard. Ranks come
+Groups beyond half a shard are dealt with in several units, so that no single group decides a shard. Ranks come
 from counts by bucket and row numbers inside buckets of about ROWS_PER_BUCKET rows, never from one sorted task.
 The driver sees the number of rows and, in each round, at most BINS x shards x shards counts.
 
@@ -100,7 +100,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = materialize(linked_rows(docs))
     total = rows.count()
-    most = max(1, total // (shards * 4))
+    most = max(1, total // (shards * 2))
     parts = F.ceil(F.col("same") / most)
     unit = F.when(F.col("same") > 1, F.xxhash64("grp", _part(parts, F.col("doc_id"), F.col("grp"))))
     unit_rows = F.ceil(F.col("same") / parts)
