@@ -643,3 +643,73 @@ def fill_host_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     services = A.objects(spark, sf_dir)["services"].select(F.col("id").cast("string").alias("id"), F.col("host_id").cast("string").alias("host_id"))
     st = services.select(F.lit("").alias("id"), F.col("id").alias("service_id"), F.when(F.col("id").cast("bigint") % 2 == 0, "0000").otherwise("kept").alias("host_id"))
     return legacy_etl.state_ids(legacy_etl.fill_host_ids(st, services), "service_id").select("id", "host_id")
+
+
+# legacy conversion: history rows of each kind, with the ids that are made of them
+
+ENV_ = "'env'"
+LEGACY = f"{EV}, o AS (SELECT *, host_id AS name1, coalesce(service_id, '') AS name2, host_id || CASE WHEN service_id IS NULL THEN '' ELSE '!' || service_id END AS obj, 'n' || event_id::varchar AS name FROM ev)"
+
+
+def _converted(kind: str, table: str = "history", *columns: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .plans import legacy_etl
+
+        ev = A.events(spark, sf_dir)
+        rows = A.legacy(ev)[kind]
+        convert = legacy_etl.CONVERTERS[kind][1]
+        if kind == "notification":
+            contacts = ev.select(F.col("event_id").alias("notification_id"), F.explode(F.array(F.lit("ann"), F.lit("bob"))).alias("contact"))
+            return convert(A.ENV, rows, contacts)[table].select(*columns)
+        return convert(A.ENV, rows)[table].select(*columns)
+
+    return run
+
+
+def _legacy_query(name: str, kind: str, table: str, columns: tuple[str, ...], sql: str) -> None:
+    QUERIES[name] = _converted(kind, table, *columns)
+    ORACLE_SQL[name] = f"WITH {LEGACY} {sql}"
+
+
+_REMOVED = "CASE WHEN event_id % 3 <> 0 THEN (ms // 1000 + 5) * 1000 END"
+_legacy_query("convert_comments", "comment", "history", ("id", "event_type", "event_time", "comment_history_id"), f"""SELECT {sid(ENV_, "'comment_add'", 'name')} AS id, 'comment_add' AS event_type, ms AS event_time, {sid(ENV_, 'name')} AS comment_history_id FROM o WHERE event_type = 'signup' AND event_id % 2 = 0
+UNION ALL SELECT {sid(ENV_, "'comment_remove'", 'name')}, 'comment_remove', {_REMOVED}, {sid(ENV_, 'name')} FROM o WHERE event_type = 'signup' AND event_id % 2 = 0 AND event_id % 3 <> 0""")
+_legacy_query("convert_acks", "acknowledgement", "acknowledgement_history", ("id", "object_type", "set_time", "clear_time"), f"SELECT {sid(ENV_, 'obj', 'ms')} AS id, object_type, ms AS set_time, {_REMOVED} AS clear_time FROM o WHERE event_type = 'signup' AND event_id % 2 = 1")
+_legacy_query("convert_downtimes", "downtime", "sla_history_downtime", ("downtime_id", "downtime_start", "downtime_end"), f"""SELECT {sid(ENV_, 'name')} AS downtime_id, ms AS downtime_start, CASE WHEN event_id % 4 = 0 THEN {_REMOVED} ELSE coalesce({_REMOVED}, (ms // 1000 + CASE WHEN event_id % 2 = 0 THEN 60 ELSE 90 END) * 1000) END AS downtime_end FROM o WHERE event_type = 'view' AND event_id % 5 <> 0""")
+_legacy_query("convert_flapping", "flapping", "flapping_history", ("id", "start_time", "end_time", "percent_state_change_start", "percent_state_change_end"), f"""SELECT {sid(ENV_, 'obj', 'ms')} AS id, ms AS start_time, CASE WHEN nt = 'view' THEN nms END AS end_time, value AS percent_state_change_start, CASE WHEN nt = 'view' THEN nv END AS percent_state_change_end
+FROM (SELECT *, lead(event_type) OVER w AS nt, lead(ms) OVER w AS nms, lead(value) OVER w AS nv FROM o WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY obj ORDER BY event_id)) WHERE event_type = 'click'""")
+_legacy_query("convert_notifications", "notification", "notification_history", ("type", "send_time", "state", "previous_hard_state", "text"), """SELECT type, send_time, state, previous_hard_state, text FROM (SELECT CASE event_id % 9 WHEN 0 THEN CASE WHEN user_id % 4 = 0 THEN 'recovery' ELSE 'problem' END WHEN 1 THEN 'acknowledgement' WHEN 2 THEN 'flapping_start' WHEN 3 THEN 'flapping_end' WHEN 5 THEN 'downtime_start' WHEN 6 THEN 'downtime_end' WHEN 7 THEN 'downtime_removed' WHEN 8 THEN 'custom' END AS type,
+ms AS send_time, user_id % 4 AS state, 99 AS previous_hard_state, 'out' || CASE WHEN event_id % 2 = 0 THEN chr(10) || chr(10) || 'long' ELSE '' END AS text FROM o WHERE event_type = 'error') WHERE type IS NOT NULL""")
+_legacy_query("convert_states", "state", "state_history", ("id", "event_time", "soft_state", "hard_state", "previous_hard_state", "state_type"), f"""SELECT {sid(ENV_, "name1 || '!' || name2", 'ms')} AS id, ms AS event_time, s AS soft_state, CASE WHEN event_type = 'click' THEN least(event_id % 3, CASE WHEN object_type = 'host' THEN 1 ELSE 3 END) ELSE s END AS hard_state,
+coalesce(last_value(CASE WHEN b <> event_id % 3 THEN b END IGNORE NULLS) OVER (PARTITION BY obj ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 99) AS previous_hard_state, CASE WHEN event_type = 'click' THEN 'soft' ELSE 'hard' END AS state_type
+FROM (SELECT *, lag(event_id % 3) OVER (PARTITION BY obj ORDER BY event_id) AS b, CASE WHEN event_type = 'error' THEN CASE WHEN object_type = 'host' THEN 1 ELSE 3 END WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS s FROM o WHERE event_type <> 'view')""")
+
+
+# streams over the events table
+
+
+@query(f"WITH {HIST} SELECT id, event_type, event_time, ref AS comment_history_id FROM h WHERE kind = 'comment'")
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.schemas import SCHEMAS
+    from .sources.sinks import VersionedTable
+    from .streaming.history import start_history_stream
+
+    base = A.scratch(spark, "history-stream")
+    tables = {t: VersionedTable(spark, f"{base}/{t}", SCHEMAS[t]) for t in ("comment_history", "history")}
+    stream = A.history_events(A.as_events(A.event_stream(spark, sf_dir)))["comment"]
+    start_history_stream(stream, "comment", tables, f"{base}/checkpoint", ["ms"]).awaitTermination()
+    return tables["history"].read().select("id", "event_type", "event_time", "comment_history_id")
+
+
+@query(f"WITH {CHANGES} SELECT id, event_type, n FROM ch WHERE k = 1 AND runtime_type = 'upsert'")
+def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.types import StructType
+
+    from .sources.sinks import VersionedTable
+    from .streaming import changes
+
+    base = A.scratch(spark, "change-stream")
+    table = VersionedTable(spark, f"{base}/objects", f"id string, event_type string, n bigint, {changes.POSITION}")
+    stream = A.changes(A.as_events(A.event_stream(spark, sf_dir)))
+    changes.start_change_stream(stream, {"objects": (table, StructType.fromDDL("id string, event_type string, n bigint"))}, f"{base}/checkpoint").awaitTermination()
+    return changes.live(table.read())
