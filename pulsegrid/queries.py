@@ -713,3 +713,51 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = A.changes(A.as_events(A.event_stream(spark, sf_dir)))
     changes.start_change_stream(stream, {"objects": (table, StructType.fromDDL("id string, event_type string, n bigint"))}, f"{base}/checkpoint").awaitTermination()
     return changes.live(table.read())
+
+
+# legacy joins
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS object_id, 1 AS objecttype_id, c_name AS name1, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE '' END AS name2 FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 4 <> 0")
+def legacy_with_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import legacy_etl
+
+    facts = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("object_id"))
+    c = F.col("c_custkey")
+    objects = A.table(spark, sf_dir, "customer").filter(c % 4 != 0).select(c.alias("object_id"), F.lit(1).alias("objecttype_id"), F.col("c_name").alias("name1"), F.when(c % 2 == 0, F.col("c_mktsegment")).alias("name2"))
+    return legacy_etl.with_objects(facts, objects)
+
+
+@query("SELECT o_orderkey AS downtimehistory_id, c_name || '!' || '-' || o_orderkey::varchar AS name, CASE WHEN s_suppkey IS NOT NULL THEN CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'h!s-' || s_suppkey::varchar END END AS triggered_by FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN supplier ON s_suppkey = o_orderkey")
+def legacy_with_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import legacy_etl
+
+    no = F.lit(None).cast("string")
+    o = A.table(spark, sf_dir, "orders").join(A.table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    down = o.select(F.col("o_orderkey").alias("downtimehistory_id"), no.alias("name"), F.col("o_orderkey").alias("triggered_by_id"), F.col("c_name").alias("name1"), no.alias("name2"))
+    s = F.col("s_suppkey")
+    scheduled = A.table(spark, sf_dir, "supplier").select(s.alias("scheduleddowntime_id"), F.when(s % 2 == 0, F.col("s_name")).alias("name"), F.lit("h").alias("name1"), F.lit("s").alias("name2"))
+    return legacy_etl.with_triggers(down, scheduled).select("downtimehistory_id", "name", "triggered_by")
+
+
+@query("SELECT DISTINCT o_orderkey AS notification_id, n_name AS contact FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = l_suppkey % 25 WHERE o_orderkey % 2 = 0")
+def contact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import legacy_etl
+
+    notifications = A.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("notification_id"))
+    contacts = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("notification_id"), (F.col("l_suppkey") % 25).alias("contact_object_id"))
+    objects = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("object_id"), F.col("n_name").alias("name1"))
+    return legacy_etl.contact_names(notifications, contacts, objects)
+
+
+@query("WITH m AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE user_id = 10) SELECT event_id AS arrival, ms, row_number() OVER (ORDER BY ms, event_id % 5, event_id) AS place FROM m")
+def reorder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    from .streaming import stateful
+
+    ev = A.events(spark, sf_dir).filter("user_id = 10")
+    messages = ev.select(F.concat(F.col("ms").cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("stream_id"), F.col("event_id").alias("arrival"), "user_id")
+    ordered = stateful.reorder_batch(messages).withColumn("at", S.stream_id("stream_id"))
+    w = Window.partitionBy("user_id").orderBy("at.ms", "at.seq", "arrival")
+    return ordered.select("arrival", F.col("at.ms").alias("ms"), F.row_number().over(w).cast("bigint").alias("place"))
