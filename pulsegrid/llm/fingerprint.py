@@ -26,7 +26,8 @@ LENGTH_STEP = 1.05
 MAX_DIFF = 3 * BUCKETS + 4 * 16
 #: Offsets of the triplets in a window of five bytes; each has its own multiplier.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
-ROWS_PER_RANGE = 4000
+#: Rows of a range, while there are fewer than MAX_RANGES; beyond, ranges grow and are sorted on disk.
+ROWS_PER_RANGE, MAX_RANGES = 4000, 20_000
 
 
 def _counts(data: bytes) -> np.ndarray:
@@ -68,7 +69,7 @@ def edited(text: str, following: str) -> str:
 def _boundaries(docs: DataFrame) -> tuple[list[int], DataFrame]:
     """Ids that begin a range, ascending, and the one row that comes first of all. As many as there are ranges reach the driver."""
     n = docs.count()
-    ranges = max(1, -(-n // ROWS_PER_RANGE))
+    ranges = max(1, min(MAX_RANGES, -(-n // ROWS_PER_RANGE)))
     at = [i / ranges for i in range(1, ranges)]
     cuts = docs.agg(F.percentile_approx("doc_id", at, 100 * ranges).alias("cuts"), F.min("doc_id").alias("least")).first() if at else None
     least = cuts["least"] if cuts else docs.agg(F.min("doc_id").alias("least")).first()["least"]
