@@ -287,11 +287,11 @@ for _kind in history.KINDS:
     ORACLE_SQL[f"event_time_{_kind}"] = f"WITH {HIST} SELECT id, event_type, event_time FROM h WHERE kind = '{_kind}'"
 
 
-@query(f"WITH {HIST} SELECT id, event_time, list_position({history.S.HISTORY_ORDER!r}, event_type)::bigint AS ordinal, row_number() OVER (ORDER BY event_time NULLS FIRST, list_position({history.S.HISTORY_ORDER!r}, event_type), id) AS place FROM h WHERE kind = 'flapping' AND host_id = '10'")
+@query(f"WITH {HIST} SELECT id, event_time, list_position({history.S.HISTORY_ORDER!r}, event_type)::bigint AS ordinal, row_number() OVER (PARTITION BY host_id ORDER BY event_time NULLS FIRST, list_position({history.S.HISTORY_ORDER!r}, event_type), id) AS place FROM h")
 def history_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    h = history.unify_history(A.history_events(A.events(spark, sf_dir))).filter("flapping_history_id is not null and host_id = '10'")
+    h = history.unify_history(A.history_events(A.events(spark, sf_dir)))
     w = Window.partitionBy("host_id").orderBy("event_time", S.history_ordinal("event_type"), "id")
     return h.select("id", "event_time", S.history_ordinal("event_type").alias("ordinal"), F.row_number().over(w).cast("bigint").alias("place"))
 
@@ -750,13 +750,13 @@ def contact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_etl.contact_names(notifications, contacts, objects)
 
 
-@query("WITH m AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events WHERE user_id = 10) SELECT event_id AS arrival, ms, row_number() OVER (ORDER BY ms, event_id % 5, event_id) AS place FROM m")
+@query("WITH m AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events) SELECT event_id AS arrival, ms, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id % 5, event_id) AS place FROM m")
 def reorder_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
     from .streaming import stateful
 
-    ev = A.events(spark, sf_dir).filter("user_id = 10")
+    ev = A.events(spark, sf_dir)
     messages = ev.select(F.concat(F.col("ms").cast("string"), F.lit("-"), (F.col("event_id") % 5).cast("string")).alias("stream_id"), F.col("event_id").alias("arrival"), "user_id")
     ordered = stateful.reorder_batch(messages).withColumn("at", S.stream_id("stream_id"))
     w = Window.partitionBy("user_id").orderBy("at.ms", "at.seq", "arrival")
