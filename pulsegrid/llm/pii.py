@@ -17,12 +17,14 @@ KINDS = (*BASE_KINDS, "iban", "ssn")
 
 #: Every pattern finds what the plain form of it finds, leftmost and non-overlapping, in time linear in the text:
 #: possessive loops never give back, and look-behinds stop a search from starting anew inside a run that has failed.
+#: For iban that holds for the first four characters alone; group 1 looks ahead over all that may belong to them, and the
+#: character after it, and `_accounts` decides where the account number ends.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without a match of this cannot have the kind.
@@ -39,25 +41,56 @@ CONTEXT = {
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT_GAIN, CONTEXT_CHARS, LEAST_SCORE = 0.2, 40, 0.5
 
+#: Account numbers have so many characters, blanks left out; countries that are not listed may have any from 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 _SPAN = "array<struct<start:int,end:int,found:string>>"
 
 
 def _located(text: Column, kind: str) -> Column:
     """Start, end and text of each match: the pieces between matches and the matches together give the positions."""
     pattern = PATTERNS[kind]
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban"))).alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["found"]), F.lit(0))
+        end = start + (F.lit(4) if kind == "iban" else F.coalesce(F.length(x["found"]), F.lit(0)))
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))
         return F.struct(end.alias("pos"), F.when(x["found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
 
     empty = F.array().cast(_SPAN)
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
+    found = _accounts(found) if kind == "iban" else found
     return F.when(text.rlike(GUARDS[kind]), found).otherwise(empty)
 
 
+def _accounts(heads: Column) -> Column:
+    """Of the places where an account number can begin, those where one does, leftmost and non-overlapping.
+
+    It ends where its check is right: at its country's length if that is so, else at the greatest length for which it is. An
+    end is never inside a word. What has no right end takes nothing from the places after it.
+    """
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n)])
+
+    def account(run: Column) -> Column:
+        own = F.try_element_at(lengths, F.substring(run, 1, 2))
+        sizes = F.concat(F.when(own.isNull(), F.array().cast("array<int>")).otherwise(F.array(own)), F.sequence(F.lit(34), F.lit(15)))
+        ends = F.transform(sizes, lambda n: F.regexp_substr(run, F.concat(F.lit(r"^(?:\x20?[A-Z0-9]){"), n, F.lit("}(?![A-Za-z0-9])"))))
+        return F.get(F.filter(ends, lambda x: x.isNotNull() & (mod97(F.coalesce(x, F.lit(""))) == 1)), 0)
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x["start"] + F.length(x["found"])
+        one = F.array(F.struct(x["start"].alias("start"), end.alias("end"), x["found"].alias("found")))
+        fresh = x["found"].isNotNull() & (x["start"] >= acc["pos"])
+        return F.struct(F.when(fresh, end).otherwise(acc["pos"]).alias("pos"), F.when(fresh, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    ended = F.transform(heads, lambda x: F.struct(x["start"].alias("start"), account(x["found"]).alias("found")))
+    return F.aggregate(ended, F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+
+
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -92,9 +125,7 @@ def _valid(kind: str, found: Column) -> Column:
         return luhn(_digits(found))
     if kind == "phone":
         return F.length(_digits(found)).between(9, 15)
-    if kind == "iban":
-        return mod97(found) == 1
-    return F.lit(True)
+    return F.lit(True)  # an iban has been checked where its end was looked for
 
 
 def _score(text: Column, kind: str, start: Column) -> Column:

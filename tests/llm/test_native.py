@@ -128,6 +128,19 @@ def test_pii_of_the_method(spark):
     assert got[1].startswith("iban:8:35") and got[1].count("iban") == 1 and got[2] == "ssn:7:18" and got[3] == ""
 
 
+def test_account_numbers_end_by_themselves(spark):
+    one, two, cut, odd = "DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "XX46370400440532013000"
+    texts = [
+        f"IBAN {one} Please pay", f"{cut} BIC COBADEFF", f"{one} {two}", f"{cut} {two} {cut} 12", f"AB12 {one}", f"é🙂 {one}. {two}x {two}", f"{one[:-1]} 0 9", f"{odd} AND MORE",
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S Is it", f"DE88370400440532013000 {one}", f"{one}Please", f"X{one}", "DE89 " * 3000 + one, "",
+    ]
+    want = [[one], [cut], [one, two], [cut, two, cut], [one], [one, two], [one[:-1] + " 0"], [odd], ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"], [one], [], [], [one], []]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find_pii(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert [r.text for r in pii.redact(docs.filter("doc_id in (0, 2)")).orderBy("doc_id").collect()] == ["IBAN [IBAN] Please pay", "[IBAN] [IBAN]"]
+
+
 def test_redact(spark):
     rows = [(1, "mail a@b.cc, host 10.0.0.1 🙂 +1 555 123 4567", 9), (2, None, 0), (3, "nothing", 7), (4, "é x@1.2.3.4 end", 1)]
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
