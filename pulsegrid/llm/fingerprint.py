@@ -5,7 +5,7 @@ every bucket the quartile that its count lies in, two bits each. Two digests are
 by MAX_DIFF, so likeness lies between 0 and 1. Equal bytes have equal digests.
 
 `with_next` lays each document beside the one that follows it by doc_id, without a global sort in one task: ids are cut
-into ranges at their quantiles, each range is one task's, and the first document of a range also goes to the range before.
+into ranges near their quantiles, each range is one task's, and the first document of a range also goes to the range before.
 Null ids come first; rows of equal id are in the order of their texts; the last is followed by the first. Null texts count as
 empty; texts of fewer than three bytes have empty buckets and are told apart by length alone.
 """
@@ -13,11 +13,11 @@ empty; texts of fewer than three bytes have empty buckets and are told apart by
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 256
@@ -28,6 +28,7 @@ MAX_DIFF = 3 * BUCKETS + 4 * 16
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 #: Rows of a range, while there are fewer than MAX_RANGES; beyond, ranges grow and are sorted on disk.
 ROWS_PER_RANGE, MAX_RANGES = 4000, 20_000
+LEAST_ID = -(2**63)
 
 
 def _counts(data: bytes) -> np.ndarray:
@@ -66,6 +67,18 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _range_of(cuts: list[int]) -> Callable[[Column], Column]:
+    """The number of cuts up to an id. Nulls are replaced before Python sees them: with them, ids would come as doubles."""
+
+    @F.pandas_udf("int")
+    def count(ids):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(np.array(cuts, np.int64), ids.to_numpy("int64"), side="right").astype("int32"))
+
+    return lambda ids: count(F.coalesce(ids, F.lit(LEAST_ID)))
+
+
 def _boundaries(docs: DataFrame) -> tuple[list[int], DataFrame]:
     """Ids that begin a range, ascending, and the one row that comes first of all. As many as there are ranges reach the driver."""
     n = docs.count()
@@ -74,24 +87,22 @@ def _boundaries(docs: DataFrame) -> tuple[list[int], DataFrame]:
     cuts = docs.agg(F.percentile_approx("doc_id", at, 100 * ranges).alias("cuts"), F.min("doc_id").alias("least")).first() if at else None
     least = cuts["least"] if cuts else docs.agg(F.min("doc_id").alias("least")).first()["least"]
     first = docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.lit(least))).orderBy(F.col("doc_id").asc_nulls_first(), "text").limit(1)
-    return sorted(set((cuts and cuts["cuts"]) or [])), first
+    near = sorted(set((cuts and cuts["cuts"]) or []))
+    if not near:
+        return [], first
+    # quantiles are computed in doubles: beyond 2^53 they need not be ids of the table, so each range begins at the least id that it holds
+    heads = docs.filter(F.col("doc_id") > LEAST_ID).groupBy(_range_of(near)(F.col("doc_id")).alias("range")).agg(F.min("doc_id").alias("head"))
+    return sorted(r["head"] for r in heads.filter("range > 0").collect()), first
 
 
 def with_next(docs: DataFrame, row, schema: str) -> DataFrame:
     """doc_id and what row(text, text of the next document) returns, for every document; docs: doc_id and text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     cuts, first = _boundaries(docs)
-
-    @F.pandas_udf("int")
-    def range_of(ids):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        x = ids.to_numpy("int64", na_value=np.iinfo(np.int64).min)
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), x, side="right").astype("int32"))
-
-    own = docs.withColumn("range", range_of("doc_id")).withColumn("halo", F.lit(0))
+    range_of = _range_of(cuts)
+    own = docs.withColumn("range", range_of(F.col("doc_id"))).withColumn("halo", F.lit(0))
     heads = docs.filter(F.col("doc_id").isin(cuts)) if cuts else docs.limit(0)
-    heads = heads.withColumn("range", range_of("doc_id") - 1).withColumn("halo", F.lit(1))
+    heads = heads.withColumn("range", range_of(F.col("doc_id")) - 1).withColumn("halo", F.lit(1))
     last = first.withColumn("range", F.lit(len(cuts))).withColumn("halo", F.lit(2))
     dealt = own.unionByName(heads).unionByName(last).repartitionById(len(cuts) + 1, "range")
     ordered = dealt.sortWithinPartitions("range", "halo", F.col("doc_id").asc_nulls_first(), "text")
@@ -107,11 +118,15 @@ def with_next(docs: DataFrame, row, schema: str) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 doc_id, text, k, halo = (batch.column(j)[i].as_py() for j in range(4))
-                if held is not None and held[2] == k:
+                if held is not None and held[2] != k:
+                    raise ValueError(f"document {held[0]} has none after it in range {held[2]}")
+                if held is not None:
                     out.append((held[0], *row(held[1], text)))
                 held = (doc_id, text, k) if halo == 0 else None
             columns = list(zip(*out, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), form.field(j).type) for j, c in enumerate(columns)], names)
+        if held is not None:
+            raise ValueError(f"document {held[0]} has none after it in range {held[2]}")
 
     return ordered.select("doc_id", "text", "range", "halo").mapInArrow(run, types)
 

@@ -197,6 +197,20 @@ def test_fingerprints(spark, sf, monkeypatch, size):
         assert rows(fingerprint.digest(docs)) == sorted(want, key=str)
 
 
+def test_next_of_ids_beyond_doubles(spark, monkeypatch):
+    """Hashed ids of 64 bits, ids next to each other at both ends of the range, and nulls, over several ranges."""
+    monkeypatch.setattr(fingerprint, "ROWS_PER_RANGE", 20)
+    rng = random.Random(13)
+    top, low = 2**63 - 1, -(2**63)
+    for ids in ([rng.randrange(low, top) for _ in range(300)], [top - 700 * i for i in range(300)], [top - i for i in range(150)] + [low + i for i in range(150)], [low] * 60 + [top] * 60):
+        source = [(i, f"text {k}") for k, i in enumerate([*ids, None, None])]
+        rng.shuffle(source)
+        docs = spark.createDataFrame(source, "doc_id long, text string").repartition(3)
+        ordered = sorted(source, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        want = [(i, t, ordered[(k + 1) % len(ordered)][1]) for k, (i, t) in enumerate(ordered)]
+        assert rows(fingerprint.with_next(docs, lambda a, b: (a, b), "text string, following string")) == sorted(want, key=str)
+
+
 def test_fingerprints_tell_edits_from_others(spark, sf):
     out = fingerprint.digest(documents(spark, sf)).filter("n_chars > 50").collect()
     assert sum(r.near_edited > r.near_next for r in out) >= 0.97 * len(out)
