@@ -254,28 +254,36 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept (id is the component's)."""
-    with arrow_rows(docs.sparkSession, BATCH_ROWS):
-        return _near_duplicates(docs, size, percent)
+    return _near_duplicates(docs, size, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    rows = materialize(sketch(docs, size))
-    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    classes = materialize(
-        rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min_by(F.struct("doc_id", "row", "n", "sketch"), first).alias("x")).select("set", "x.doc_id", "x.row", "x.n", "x.sketch")
-    )
-    links = link_classes(classes, docs, size, percent)
-    roots = connected_components(links)
-    named = classes.select("set", "doc_id").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(names, "root").select("set", "component_id")
-    out = rows.select("doc_id", "n", "set").join(named, "set", "left")
-    component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    """doc_id, row (row_key), n_shingles, component_id and keeper (row of the component's first document: of the smallest id, then row)."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        rows = materialize(sketch(docs, size))
+        first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
+        classes = materialize(
+            rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min_by(F.struct("doc_id", "row", "n", "sketch"), first).alias("x")).select("set", "x.doc_id", "x.row", "x.n", "x.sketch")
+        )
+        links = link_classes(classes, docs, size, percent)
+        roots = connected_components(links)
+        named = classes.select("set", first.alias("first")).join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        names = named.groupBy("root").agg(F.min("first").alias("first"))
+        named = named.select("set", "root").join(names, "root").select("set", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keeper"))
+        out = rows.select("doc_id", "row", "n", "set").join(named, "set", "left")
+        alone = F.col("set").isNull()
+        return out.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("row")).otherwise(F.col("keeper")).alias("keeper"))
 
 
 def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component; all columns stay. Repeated rows of a kept id and rows without an id stay."""
-    gone = near_duplicates(docs, size, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct()
-    left = docs.join(at_most(materialize(gone), BROADCAST_ROWS), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return left
+    """docs with one row of each component; all columns stay. Rows of equal id and text are one document, null ids and texts
+    included; documents without words are linked with nothing, so each of them stays."""
+    found = materialize(_near_duplicates(docs, size, percent).select("row", "keeper"))
+    gone = materialize(found.filter("row <> keeper").select(F.col("row").alias("__row")).distinct())
+    left = docs.withColumn("__row", row_key("doc_id", "text")).join(at_most(gone, BROADCAST_ROWS), "__row", "left_anti")
+    repeated = materialize(found.filter("row = keeper").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias("__row")))
+    if not repeated.isEmpty():  # only these rows are moved
+        repeated = at_most(repeated, BROADCAST_ROWS)
+        once = left.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+        left = left.join(repeated, "__row", "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -175,6 +175,17 @@ def test_family_of_near_copies(spark, with_base):
     check_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85)
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Ids on rows of different texts, exact repeats, and copies without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    source = [(1, a), (2, a), (2, b), (3, b), (3, c), (4, d), (4, d), (None, d), (None, a + " more"), (None, "no id"), (None, "no id"), (5, ""), (5, ""), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(source)], "doc_id long, text string, `a.b` int")
+    got = neardup.drop_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (4, d), (None, "no id"), (5, ""), (5, None), (6, "")], key=str)
+    assert neardup.drop_copies(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 70)] + [(100, 101), (5, 5), (None, 3), (101, 100)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect())
