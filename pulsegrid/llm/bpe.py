@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding over a rank file.
 
-Two tiers: a minimal perfect hash (two-level displacement, built once per worker) resolves the pre-tokens of a batch that are
-vocabulary entries, all of them in a few array operations; the rest are merged by a heap over linked bytes. Pre-tokens that a worker has met are
-remembered: CACHE of the last and as many of those before. Work is done in Arrow batches; a text is one row, so no shuffle takes place.
+Two tiers. The distinct pre-tokens of each part of a batch go to a minimal perfect hash (two-level displacement, built once
+per worker), which resolves those that are vocabulary entries in a few array operations. The others are merged by a heap over
+linked bytes; a worker remembers what it has merged, for MEMORY pre-tokens at most. A text is one row, so no shuffle takes
+place. Memory does not grow with a batch or a text but by 4 bytes for each id: parts of PART_CHARS characters are split,
+encoded and sent off one after the other, and a longer text is encoded PIECES pre-tokens at a time.
 
 A null or empty text has no tokens; repeated rows each get the same answer; long texts and long pre-tokens take
-O(n log n); columns other than the named ones are not read.
+O(n log n); an empty table gives an empty table. `tokens` and `encode` keep all other columns; one that has the name of a
+result is replaced by it.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -22,9 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 150_000
-#: Characters of text that are split at a time.
-PART_CHARS = 1_000_000
+from .common import bytes_of_batches
+
+#: Merged pre-tokens that a worker remembers: half of them the last, half those before; about 200 bytes each.
+MEMORY = 200_000
+#: Characters of text that are encoded at a time, and pre-tokens of a longer text.
+PART_CHARS, PIECES = 500_000, 100_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,7 +56,8 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of byte strings: n keys, n slots; each bucket has a displacement that sends its keys to free slots."""
+    """Minimal perfect hash of byte strings: n keys, n slots. Each bucket of keys has a displacement that sends them to free
+    slots; a bucket of one key has its slot's number, as a negative displacement, instead."""
 
     def __init__(self, keys: list[bytes], per_bucket: int = 4) -> None:
         self.keys = keys
@@ -57,40 +65,52 @@ class PerfectHash:
         h = _hashes(keys)
         if len(np.unique(h)) != len(keys):
             raise ValueError("two vocabulary entries share a hash")
-        order = np.argsort(h % np.uint64(self.buckets), kind="stable")
         bucket = (h % np.uint64(self.buckets)).astype(np.int64)
-        starts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        self.shift = np.zeros(self.buckets, np.uint64)
+        order = np.argsort(bucket, kind="stable")
+        sizes = np.bincount(bucket, minlength=self.buckets)
+        starts = np.cumsum(sizes) - sizes
+        self.shift = np.zeros(self.buckets, np.int64)
         self.slot = np.full(self.n, -1, np.int64)
-        sizes = np.diff(starts)
-        taken = np.zeros(self.n, bool)
-        tries = np.arange(1, 4097, dtype=np.uint64)
-        for b in np.argsort(-sizes, kind="stable"):
-            own = order[starts[b] : starts[b + 1]]
-            if not len(own):
-                break
-            base = 0
-            while True:
-                at = (_mix(h[own][None, :] + (tries[: 64 if base == 0 else 4096, None] + np.uint64(base)) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(self.n)).astype(np.int64)
-                good = ~taken[at].any(axis=1)
-                if len(own) > 1:
-                    ordered = np.sort(at, axis=1)
-                    good &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
-                if good.any():
-                    k = int(good.argmax())
-                    self.shift[b] = np.uint64(base) + tries[k]
-                    taken[at[k]] = True
-                    self.slot[at[k]] = own
-                    break
-                base += 64 if base == 0 else 4096
+        for size in range(int(sizes.max(initial=0)), 1, -1):  # full buckets first, all of one size side by side
+            left, shift = np.flatnonzero(sizes == size), 0
+            while len(left):
+                shift += 1
+                if len(left) <= 16:  # one after the other, many displacements at once
+                    own = order[starts[left[0]] + np.arange(size)]
+                    tried = np.arange(shift, shift + 2000)
+                    at = np.sort(self._place(h[own][None, :], tried[:, None]), axis=1)
+                    good = (self.slot[at] < 0).all(axis=1) & (at[:, 1:] != at[:, :-1]).all(axis=1)
+                    if not good.any():
+                        shift += len(tried) - 1
+                        continue
+                    self.shift[left[0]] = found = tried[good.argmax()]
+                    self.slot[self._place(h[own], np.full(size, found))] = own
+                    left, shift = left[1:], 0
+                    continue
+                own = order[starts[left][:, None] + np.arange(size)]
+                at = self._place(h[own], np.full(own.shape, shift))
+                free = (self.slot[at] < 0).all(axis=1)
+                first = np.zeros(free.sum() * size, bool)
+                first[np.unique(at[free].ravel(), return_index=True)[1]] = True  # no slot is given twice
+                free[free] = first.reshape(-1, size).all(axis=1)
+                self.shift[left[free]] = shift
+                self.slot[at[free]] = own[free]
+                left = left[~free]
+        alone, empty = np.flatnonzero(sizes == 1), np.flatnonzero(self.slot < 0)
+        self.shift[alone] = -1 - empty
+        self.slot[empty] = order[starts[alone]]
+
+    def _place(self, h: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        moved = (_mix(h + shift.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(self.n)).astype(np.int64)
+        return np.where(shift < 0, -1 - shift, moved)
 
     def find(self, words: list[bytes]) -> list[int]:
         """The index of each word among the keys, or -1."""
         if not self.n or not words:
             return [-1] * len(words)
         h = _hashes(words)
-        at = _mix(h + self.shift[(h % np.uint64(self.buckets)).astype(np.int64)] * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(self.n)
-        return [i if self.keys[i] == w else -1 for i, w in zip(self.slot[at.astype(np.int64)].tolist(), words, strict=True)]
+        at = self._place(h, self.shift[(h % np.uint64(self.buckets)).astype(np.int64)])
+        return [i if self.keys[i] == w else -1 for i, w in zip(self.slot[at].tolist(), words, strict=True)]
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -137,37 +157,66 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         keys = list(ranks)
-        self.ids = [ranks[k] for k in keys]
+        self.ids = np.array([ranks[k] for k in keys], np.int32)
         self.whole = PerfectHash(keys)
         self.bytes = {i: k for k, i in ranks.items()}
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of all these pre-tokens at least."""
-        if len(self.known) > CACHE:
+        self.names = {i: str(i) for i in self.bytes}
+        self.pattern = regex.compile(pattern)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        #: Pre-tokens that each tier has answered: the hash, the memory of merged ones, the heap.
+        self.answered = [0, 0, 0]
+
+    def _merged(self, word: bytes) -> bytes:
+        """The ids of a word that is no vocabulary entry, as bytes of int32."""
+        if (ids := self.known.get(word)) is not None:
+            self.answered[1] += 1
+            return ids
+        if (ids := self.older.get(word)) is not None:
+            self.answered[1] += 1
+        else:
+            self.answered[2] += 1
+            ids = np.array(merge(word, self.ranks), np.int32).tobytes()
+        if len(self.known) >= MEMORY // 2:
             self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
-        for p in pieces:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    new.append(p)
-        raw = [p.encode() for p in new]
-        for p, w, i in zip(new, raw, self.whole.find(raw), strict=True):
-            known[p] = (self.ids[i],) if i >= 0 else tuple(merge(w, self.ranks))
-        return known
-
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
-        split = [self.split(t) for t in texts]
-        known = self.learn(set().union(*split))
-        return [[i for p in pieces for i in known[p]] for pieces in split]
+        self.known[word] = ids
+        return ids
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pre-tokens, one after the other, and how many each has."""
+        number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
+        words = [p.encode() for p in number]
+        found = self.whole.find(words)
+        self.answered[0] += sum(i >= 0 for i in found)
+        each = [self.ids[i : i + 1].tobytes() if i >= 0 else self._merged(w) for w, i in zip(words, found, strict=True)]
+        flat = np.frombuffer(b"".join(each), np.int32)
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        counts = n[at]
+        skip = np.repeat((np.cumsum(n) - n)[at] - (np.cumsum(counts) - counts), counts)
+        return flat[skip + np.arange(len(skip))], counts
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, one after the other, and where each text's begin (and the last one's end)."""
+        if len(texts) == 1:
+            made, matches = [], self.pattern.finditer(texts[0])
+            while pieces := [m.group() for m in islice(matches, PIECES)]:
+                made.append(self._ids(pieces)[0])
+            ids = np.concatenate(made) if made else np.zeros(0, np.int32)
+            return ids, np.array([0, len(ids)])
+        split = [self.pattern.findall(t) for t in texts]
+        ids, counts = self._ids(list(chain.from_iterable(split)))
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return ids, ends[np.concatenate([[0], np.cumsum([len(p) for p in split], dtype=np.int64)])]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def digests(self, ids: list[int]) -> tuple[str, str]:
+        """SHA-256 of the ids as text, joined by commas, and of the bytes that they decode to."""
+        text = ",".join(map(self.names.__getitem__, ids))
+        return hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -181,47 +230,61 @@ def load(spec: bytes, pattern: str) -> Codec:
     return _codecs[name]
 
 
-def _parts(texts: pa.Array) -> Iterator[list[str]]:
-    """The texts of a batch, in lists of PART_CHARS characters or one text."""
-    part, size = [], 0
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch, in lists of PART_CHARS characters or one text of more, with the place of the first."""
+    part, size, first = [], 0, 0
     for i in range(len(texts)):
-        part.append(text := texts[i].as_py() or "")
-        size += len(text)
-        if size >= PART_CHARS:
-            yield part
+        text = texts[i].as_py() or ""
+        if part and size + len(text) > PART_CHARS:
+            yield first, part
             part, size = [], 0
+        first = first if part else i
+        part.append(text)
+        size += len(text)
     if part:
-        yield part
+        yield first, part
+
 
+#: The columns that can be made of a text.
+COLUMNS = {"n_tokens": "bigint", "ids": "array<int>", "ids_sha256": "string", "decoded_sha256": "string"}
 
-def _over_texts(docs: DataFrame, text: str, spec: bytes, pattern: str, schema: str, row) -> DataFrame:
-    """docs with what row(codec, ids) returns for each text; the rank file (under 1 MB) is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+
+def _over_texts(docs: DataFrame, text: str, path: str, pattern: str, names: list[str]) -> DataFrame:
+    """docs with some of COLUMNS in place of the text; the rank file (under 1 MB) is broadcast."""
+    bytes_of_batches(docs.sparkSession)
+    with open(path, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    kept = [f for f in docs.schema.fields if f.name != text and f.name not in names]
+
+    def columns(codec: Codec, part: list[str]) -> list[pa.Array]:
+        ids, at = codec.encode_all(part)
+        made = {"n_tokens": lambda: pa.array(np.diff(at)), "ids": lambda: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))}
+        if "ids_sha256" in names:
+            digests = [codec.digests(ids[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+            made |= {"ids_sha256": lambda: pa.array([d[0] for d in digests]), "decoded_sha256": lambda: pa.array([d[1] for d in digests])}
+        return [made[n]() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(shared.value, pattern)
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            rows = [row(codec, ids) for part in _parts(batch.column(at)) for ids in codec.encode_all(part)]
-            kept = [i for i in range(batch.num_columns) if i != at]
-            made = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + made, [batch.schema.names[i] for i in kept] + names)
+            others = [batch.schema.get_field_index(f.name) for f in kept]
+            for first, part in _parts(batch.column(batch.schema.get_field_index(text))):
+                some = batch.slice(first, len(part))
+                yield pa.RecordBatch.from_arrays([some.column(i) for i in others] + columns(codec, part), [f.name for f in kept] + names)
 
-    names, kinds = zip(*(part.split() for part in schema.split(", ")), strict=True)
-    names, types = list(names), [{"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[k] for k in kinds]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text)
-    return docs.mapInArrow(run, f"{kept}, {schema}")
+    own = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`"))
+    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {COLUMNS[n]}" for n in names]))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with `ids` (array of int) in place of the text."""
-    spec = open(path, "rb").read()
-    return _over_texts(docs, text, spec, pattern, "ids array<int>", lambda codec, ids: (ids,))
+    return _over_texts(docs, text, path, pattern, ["ids"])
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """tokens with `decoded` (binary), the bytes of the ids; null for null."""
-    vocabulary = {int(b): base64.b64decode(a) for a, b in (line.split() for line in open(path, "rb").read().splitlines() if line)}
+    with open(path, "rb") as f:
+        vocabulary = {int(b): base64.b64decode(a) for a, b in (line.split() for line in f if line.strip())}
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.pandas_udf("binary")
@@ -232,18 +295,11 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return tokens.withColumn("decoded", joined(F.col(ids)))
 
 
-def _digests(codec: Codec, ids: list[int]) -> tuple[str, str]:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
-
-
 def tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """docs with n_tokens, ids and the digests of the ids and of the bytes that they decode to, in place of the text."""
-    schema = "n_tokens bigint, ids array<int>, ids_sha256 string, decoded_sha256 string"
-    return _over_texts(docs, "text", open(path, "rb").read(), pattern, schema, lambda codec, ids: (len(ids), ids, *_digests(codec, ids)))
+    return _over_texts(docs, "text", path, pattern, ["n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document: doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
-
-    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return _over_texts(docs.select("doc_id", "text"), "text", open(path, "rb").read(), pattern, schema, lambda codec, ids: (len(ids), *_digests(codec, ids)))
+    return _over_texts(docs.select("doc_id", "text"), "text", path, pattern, ["n_tokens", "ids_sha256", "decoded_sha256"])

@@ -2,31 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import string
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that a Python task is sent at a time.
+BATCH_BYTES = 2 << 20
 #: Words are runs of anything but ASCII characters that are neither digits nor lower-case letters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return base
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local folder serves a local
+    session; a cluster's executors could not read that, so there it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+    if not base or spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-shared-"))
+    return base or spark.sparkContext.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -40,16 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Python tasks that run meanwhile get at most so many rows at a time, which bounds their memory where rows hold texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before))) if int(before) > 0 else str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bytes_of_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on Python tasks of this session get at most so many bytes at a time (one row at least), which bounds their
+    memory, and that of the JVM beside them, where rows hold texts. A smaller setting stays as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
 
 
 def at_most(df: DataFrame, rows: int) -> DataFrame:
