@@ -1,36 +1,56 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text. A template is found in a block that holds at least THRESHOLD of its distinct words. Words
-of the templates are put in order of their frequency over all documents, rarest first; a block that meets the threshold
-holds one of a template's first few words (prefix), has enough words at all (length) and enough words left after the
-shared one (position). What passes is counted exactly. No Python.
+A text block is a run of consecutive words, wherever lines break: for a template of n words, every run of WINDOW * n words
+(rounded up, fewer at the end of a text). A template is found in a block that holds at least THRESHOLD of its distinct words.
 
-A null or empty text has no words, no places and no labels; repeated rows each get their own answer.
+Words of the templates are put in order of their frequency over all documents, rarest first. A document with such a block
+holds one of the template's first few words (prefix), has enough of all words (length) and enough words left after the
+shared one (position): these filters make the pairs of documents and templates, whose blocks are then counted exactly. A
+block can be moved on to the next word of the template without losing any, so blocks that begin with one are enough. No Python.
+
+A null or empty text has no words, no places and no labels; an empty table gives an empty table; repeated rows each get
+their own answer. Texts are read whole; in a text that passes the filters, time grows with its words times a template's
+length. Only doc_id and text are read by `license_digest`; `find_templates` keeps all columns but the text.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, row_key, words_of
+from .common import at_most, materialize, row_key, words_of
 
-THRESHOLD = 0.9
+THRESHOLD, WINDOW = 0.9, 1.2
+BROADCAST_ROWS = 500_000
 #: Fixed by contract: phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices as commonly published, in plain words.
+#: Notices and parts of license texts as commonly published, in plain words.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2.0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 
 
@@ -39,63 +59,109 @@ def needed(size: int, threshold: float = THRESHOLD) -> int:
     return math.ceil(threshold * size - 1e-9)
 
 
-def word_frequencies(tokens: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+def width(template: str) -> int:
+    """How many words a block for a template has."""
+    return math.ceil(WINDOW * len(template.split()) - 1e-9)
+
+
+def _let(value: Column, f) -> Column:  # noqa: ANN001
+    """f(value), with the value computed once for all uses."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _vocabulary(templates: list[tuple[str, str]]) -> list[str]:
+    return sorted({w for _, t in templates for w in t.split()})
+
+
+def word_frequencies(held: DataFrame) -> dict[str, int]:
     """In how many documents each word of the templates stands, over all of them; as many rows as the templates have words."""
-    seen = tokens.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("word"))
+    seen = held.select(F.explode("have").alias("word"))
     return {r["word"]: r["n"] for r in seen.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def find_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs' columns `keys` and, for each block and template that meet the threshold, (label, template, line, containment).
-
-    docs: any columns and the text. The templates are a fixed list, so they are broadcast and their words literals.
-    """
-    spark = docs.sparkSession
-    sets = [(i, label, sorted(set(t.split()))) for i, (label, t) in enumerate(templates)]
-    vocabulary = sorted({w for _, _, s in sets for w in s})
-    df = word_frequencies(docs.select(words_of(F.col(text)).alias("words")), vocabulary)
-    order = sorted(vocabulary, key=lambda w: (df.get(w, 0), w))
+def _candidates(held: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, template) of documents that hold as many of a template's words as a block of them must. held: key and have."""
+    df = word_frequencies(held)
+    order = sorted(_vocabulary(templates), key=lambda w: (df.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    rows, first = [], set()
-    for i, label, words in sets:
-        ranks = sorted(rank[w] for w in words)
+    rows = []
+    for i, (_, t) in enumerate(templates):
+        ranks = sorted(rank[w] for w in set(t.split()))
         least = needed(len(ranks), threshold)
-        for pos, r in enumerate(ranks[: len(ranks) - least + 1]):
-            rows.append((r, pos, i, label, ranks, least))
-            first.add(order[r])
-    prefix = spark.createDataFrame(rows, "rank int, at int, template int, label string, ranks array<int>, least int")
-    keys = [c for c in docs.columns if c != text]
-    some = docs.select(*keys, lower_ascii(F.col(text)).alias("low")).filter(F.col("low").rlike("(?<![a-z0-9])(?:" + "|".join(sorted(first)) + ")(?![a-z0-9])"))
-    lines = some.select(*keys, F.posexplode(F.split("low", "\n")).alias("line", "block"))
+        rows += [(order[r], at, i, [order[x] for x in ranks], least) for at, r in enumerate(ranks[: len(ranks) - least + 1])]
+    prefix = F.broadcast(held.sparkSession.createDataFrame(rows, "word string, at int, template int, words array<string>, least int"))
     in_order = F.array(*map(F.lit, order))
-    ranked = lines.select(*keys, "line", F.array_sort(F.transform(F.array_intersect(words_of(F.col("block")), in_order), lambda w: (F.array_position(in_order, w) - 1).cast("int"))).alias("have"))
-    probes = ranked.select("*", F.posexplode("have").alias("pos", "rank"))
-    left = F.least(F.size("have") - F.col("pos"), F.size("ranks") - F.col("at"))
-    near = probes.join(F.broadcast(prefix), "rank").filter((F.size("have") >= F.col("least")) & (left >= F.col("least") - F.least("pos", "at")))
-    shared = F.size(F.array_intersect("have", "ranks"))
-    hits = near.filter(shared >= F.col("least")).select(*keys, "line", "template", "label", (shared / F.size("ranks")).alias("containment"))
-    return hits.dropDuplicates([*keys, "line", "template"])
+    ranked = held.select("key", F.array_sort(F.transform("have", lambda w: F.struct(F.array_position(in_order, w).alias("rank"), w.alias("word")))).alias("have"))
+    probes = ranked.select("key", F.transform("have", lambda x: x["word"]).alias("have"), F.posexplode("have").alias("pos", "x")).select("key", "have", "pos", F.col("x.word").alias("word"))
+    left = F.least(F.size("have") - F.col("pos"), F.size("words") - F.col("at"))
+    near = probes.join(prefix, "word").filter((F.size("have") >= F.col("least")) & (left >= F.col("least") - F.least("pos", "at")))
+    return near.filter(F.size(F.array_intersect("have", "words")) >= F.col("least")).select("key", "template").distinct()
+
+
+def _blocks(some: DataFrame, pairs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(key, template, label, first, containment) of the best blocks (of equals the first) that meet the threshold. some: key and words."""
+    rows = [(i, label, sorted(set(t.split())), needed(len(set(t.split())), threshold), width(t)) for i, (label, t) in enumerate(templates)]
+    table = F.broadcast(some.sparkSession.createDataFrame(rows, "template int, label string, tw array<string>, least int, width int"))
+
+    def best(at: Column) -> Column:
+        def block(x: Column, k: Column) -> Column:
+            inside = F.filter(F.slice(at, k + 1, F.col("width")), lambda y: y["pos"] < x["pos"] + F.col("width"))
+            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda y: y["word"]))).alias("n"), (-x["pos"]).alias("back"))
+
+        return F.array_max(F.transform(at, block))
+
+    held = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.array_contains("tw", x["word"]))
+    found = some.join(pairs, "key").join(table, "template").select("key", "template", "label", "least", F.size("tw").alias("of"), _let(held, best).alias("best"))
+    return found.filter(F.col("best.n") >= F.col("least")).select("key", "template", "label", (-F.col("best.back")).cast("long").alias("first"), (F.col("best.n") / F.col("of")).alias("containment"))
+
+
+def _hits(docs: DataFrame, held: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """The blocks found, by row_key of the text. held: key and have (the templates' words that a text holds), for every text."""
+    pairs = materialize(_candidates(held, templates, threshold))
+    keyed = docs.select(row_key("text").alias("key"), "text")
+    some = keyed.join(at_most(pairs.select("key").distinct(), BROADCAST_ROWS), "key", "left_semi").dropDuplicates(["key"])
+    return _blocks(some.select("key", words_of(F.col("text")).alias("words")), pairs, templates, threshold)
+
+
+def _have(words: Column, templates: list[tuple[str, str]]) -> Column:
+    return F.array_intersect(words, F.array(*map(F.lit, _vocabulary(templates)))).alias("have")
+
+
+def find_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """docs without the text, and for each row and template that is found in it (label, template, first, containment) as `found`.
+
+    first is the word at which the best block begins, from 0. The templates are a fixed list, so they are broadcast.
+    """
+    texts = docs.select(F.col(f"`{text}`").alias("text"))
+    held = materialize(texts.select(row_key("text").alias("key"), _have(words_of(F.col("text")), templates)).filter(F.size("have") > 0).dropDuplicates(["key"]))
+    hits = _hits(texts, held, templates, threshold).select(F.col("key").alias("__key"), F.struct("label", "template", "first", "containment").alias("found"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    return docs.withColumn("__key", row_key(text)).join(hits, "__key").select(*kept, "found")
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: words, places of the base phrases, labels of both kinds and the best containment."""
-    slim = docs.select("doc_id", "text").withColumn("key", row_key("doc_id", "text"))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.col("text")), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")), F.lit(" "))
-    plain = slim.select("doc_id", "key", words.alias("plain"))
-    gaps = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit("")))
-    n_words = F.when(F.col("plain") == "  ", F.lit(0)).otherwise(gaps - 1).cast("long")
-    # each piece but the first starts with a phrase; words of one piece are counted by its blanks
-    pieces = F.when(F.col("plain").rlike(" (?:" + "|".join(BASE) + ") "), F.split("plain", "(?<= )(?=(?:" + "|".join(BASE) + ") )", -1)).otherwise(F.array("plain"))
-    found = [F.when(F.col("plain").contains(f" {p} "), F.lit(label)) for p, label in BASE.items()]
-    cut = plain.select("doc_id", "key", n_words.alias("n_words"), F.array_sort(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("base"), pieces.alias("pieces"))
+    """One row per document: words, places of the base phrases, labels of both kinds and the best containment.
+
+    Texts are split into words once; what the counts and the join need of them is written down.
+    """
+    texts = docs.select("doc_id", "text")
+    split = texts.select("doc_id", row_key("text").alias("key"), words_of(F.col("text")).alias("words"))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    n_base = F.size("pieces") - 1
-    base = cut.select(
-        "doc_id", "key", "n_words", "base", n_base.cast("long").alias("n_base"),
-        F.when(n_base > 0, blanks(F.element_at("pieces", 1)) - 1).cast("long").alias("first_word"),
-        F.when(n_base > 0, F.col("n_words") - blanks(F.element_at("pieces", -1))).cast("long").alias("last_word"),
-    )
-    hits = find_templates(slim.select("key", "text")).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
+    phrases = "(?<= )(?=(?:" + "|".join(BASE) + ") )"
+    plain = split.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), _have(F.col("words"), TEMPLATES), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("plain"))
+    found = [F.when(F.col("plain").contains(f" {p} "), F.lit(label)) for p, label in BASE.items()]
+    # each piece but the first starts with a phrase; words of one piece are counted by its blanks
+    pieces = F.when(F.col("plain").rlike(phrases), F.split("plain", phrases, -1)).otherwise(F.array("plain"))
+    counted = materialize(plain.select(
+        "doc_id", "key", "n_words", "have", F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("base"),
+        _let(pieces, lambda p: F.struct((F.size(p) - 1).cast("long").alias("n"), (blanks(p[0]) - 1).cast("long").alias("before"), blanks(F.element_at(p, -1)).cast("long").alias("after"))).alias("at"),
+    ))
+    held = counted.select("key", "have").filter(F.size("have") > 0).dropDuplicates(["key"])
+    hits = _hits(texts, held, TEMPLATES, THRESHOLD).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    n = F.col("at.n")
+    score = F.when(n > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
-    return base.join(hits, "key", "left").select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.round(score, 6).alias("score"))
+    return counted.join(at_most(materialize(hits), BROADCAST_ROWS), "key", "left").select(
+        "doc_id", "n_words", n.alias("n_base"), F.when(n > 0, F.col("at.before")).alias("first_word"), F.when(n > 0, F.col("n_words") - F.col("at.after")).alias("last_word"),
+        F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), F.round(score, 6).alias("score"),
+    )

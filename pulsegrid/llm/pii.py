@@ -1,19 +1,26 @@
-"""Personal data: regular expressions propose spans, checksums confirm them, words nearby adjust the score.
+"""Personal data: regular expressions propose spans, checks confirm them, words nearby adjust the score.
+
+Checks are Luhn for cards, mod-97 for account numbers, ranges for addresses and phone numbers, and a mix of characters for
+secrets such as keys and tokens. A word of CONTEXT within CONTEXT_CHARS of a span (but not beyond the span of its kind before
+or after it) adds CONTEXT_GAIN; kinds that a shape alone does not prove are left out below LEAST_SCORE.
 
 One row in, one row out, without a shuffle or Python. Positions are code points, ends exclusive. A null or empty text has
-no spans; repeated rows each get their own answer; columns of the input other than the key and the text are left out of
-`find_pii` and kept by `redact`.
+no spans, an empty table gives an empty table, repeated rows each get their own answer. Time is linear in a text but for the
+arrays of its spans, which grow in blocks of BLOCK (n spans take about n^1.5 copies of 8 bytes). Columns of the input other
+than the key and the text are left out of `find_pii` and kept by `redact`, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import lower_ascii
+
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 
 #: Every pattern finds what the plain form of it finds, leftmost and non-overlapping, in time linear in the text:
 #: possessive loops never give back, and look-behinds stop a search from starting anew inside a run that has failed.
@@ -26,20 +33,28 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"[A-Za-z0-9_-]{20,}+",
 }
 #: A text without a match of this cannot have the kind.
-GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]"}
+GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "secret": "[A-Za-z0-9_-]{20}"}
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "email", "e-mail", "contact", "write", "reply"),
     "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "credit", "visa", "pay"),
-    "phone": ("phone", "tel", "call", "mobile"),
+    "card": ("card", "credit", "visa", "pay", "payment"),
+    "phone": ("phone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "key", "apikey", "api_key", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "private"),
 }
 #: Score before the context is looked at: checksums count for more than shapes.
-PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT_GAIN, CONTEXT_CHARS, LEAST_SCORE = 0.2, 40, 0.5
+#: A secret has digits and letters, and so many different characters: words and numbers with hyphens do not.
+SECRET_DIGITS, SECRET_DISTINCT = 3, 10
+#: Items that are appended to one array; arrays of more are made of several.
+BLOCK = 128
+#: Characters of a text that are cut out at a time.
+CHUNK = 2048
 
 #: Account numbers have so many characters, blanks left out; countries that are not listed may have any from 15 to 34.
 IBAN_LENGTHS = {
@@ -47,24 +62,48 @@ IBAN_LENGTHS = {
     24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 
-_SPAN = "array<struct<start:int,end:int,found:string>>"
+_SPAN = "struct<start:int,end:int,found:string,before:string,after:string>"
+
+
+def _scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What step(state, item) → (state, value) makes of items one after the other; null values are left out. kind: the values' type.
+
+    Values are appended to arrays of BLOCK at most, and these to one another, so that n values take n^1.5 copies, not n^2.
+    """
+    none, nested = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, value = step(acc["state"], x)
+        return F.struct(after.alias("state"), F.when(value.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(value))).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        made = F.aggregate(part, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return F.transform(F.array(made), lambda m: F.struct(m["state"].alias("state"), F.concat(acc["out"], F.array(m["out"])).alias("out")))[0]
+
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(starts, lambda i: F.slice(items, i, BLOCK))
+    return F.aggregate(blocks, F.struct(state.alias("state"), nested.alias("out")), block, lambda acc: F.flatten(acc["out"]))
 
 
 def _located(text: Column, kind: str) -> Column:
-    """Start, end and text of each match: the pieces between matches and the matches together give the positions."""
+    """Start, end and text of each match and what stands before and after it: the pieces between matches and the matches
+    together give the positions."""
     pattern = PATTERNS[kind]
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban"))).alias("found"))
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(int(kind == "iban")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
+        start = pos + F.length(x["gap"])
         end = start + (F.lit(4) if kind == "iban" else F.coalesce(F.length(x["found"]), F.lit(0)))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))
-        return F.struct(end.alias("pos"), F.when(x["found"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+        near = [F.right(x["gap"], F.lit(CONTEXT_CHARS)).alias("before"), F.substring(x["next"], 1, CONTEXT_CHARS).alias("after")]
+        return end, F.when(x["found"].isNotNull(), F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"), *near))
 
-    empty = F.array().cast(_SPAN)
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda acc: acc["out"])
-    found = _accounts(found) if kind == "iban" else found
-    return F.when(text.rlike(GUARDS[kind]), found).otherwise(empty)
+    # with the pieces found once for all uses of them
+    located = F.transform(
+        F.array(F.struct(gaps.alias("gaps"), found.alias("found"))),
+        lambda p: _scan(F.arrays_zip(p["gaps"].alias("gap"), p["found"].alias("found"), F.slice(p["gaps"], 2, F.size(p["gaps"])).alias("next")), F.lit(0), step, _SPAN),
+    )[0]
+    located = _accounts(located) if kind == "iban" else located
+    return F.when(text.rlike(GUARDS[kind]), located).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _accounts(heads: Column) -> Column:
@@ -81,14 +120,14 @@ def _accounts(heads: Column) -> Column:
         ends = F.transform(sizes, lambda n: F.regexp_substr(run, F.concat(F.lit(r"^(?:\x20?[A-Z0-9]){"), n, F.lit("}(?![A-Za-z0-9])"))))
         return F.get(F.filter(ends, lambda x: x.isNotNull() & (mod97(F.coalesce(x, F.lit(""))) == 1)), 0)
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(pos: Column, x: Column) -> tuple[Column, Column]:
         end = x["start"] + F.length(x["found"])
-        one = F.array(F.struct(x["start"].alias("start"), end.alias("end"), x["found"].alias("found")))
-        fresh = x["found"].isNotNull() & (x["start"] >= acc["pos"])
-        return F.struct(F.when(fresh, end).otherwise(acc["pos"]).alias("pos"), F.when(fresh, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        fresh = x["found"].isNotNull() & (x["start"] >= pos)
+        one = F.struct(x["start"].alias("start"), end.alias("end"), x["found"].alias("found"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.when(fresh, end).otherwise(pos), F.when(fresh, one)
 
-    ended = F.transform(heads, lambda x: F.struct(x["start"].alias("start"), account(x["found"]).alias("found")))
-    return F.aggregate(ended, F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
+    ended = F.transform(heads, lambda x: F.struct(x["start"].alias("start"), account(x["found"]).alias("found"), x["before"].alias("before"), x["after"].alias("after")))
+    return F.transform(F.array(ended), lambda e: _scan(e, F.lit(0), step, _SPAN))[0]
 
 
 def _digits(found: Column) -> Column:
@@ -125,13 +164,14 @@ def _valid(kind: str, found: Column) -> Column:
         return luhn(_digits(found))
     if kind == "phone":
         return F.length(_digits(found)).between(9, 15)
+    if kind == "secret":
+        return (F.length(_digits(found)) >= SECRET_DIGITS) & found.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(found, ""))) >= SECRET_DISTINCT)
     return F.lit(True)  # an iban has been checked where its end was looked for
 
 
-def _score(text: Column, kind: str, start: Column) -> Column:
-    begin = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-    before = F.lower(F.substring(text, begin + 1, start - begin))
-    near = reduce(lambda a, b: a | b, [before.contains(w) for w in CONTEXT[kind]])
+def _score(kind: str, span: Column) -> Column:
+    word = "(^|[^a-z0-9])(" + "|".join(CONTEXT[kind]) + ")s?([^a-z0-9]|$)"
+    near = lower_ascii(span["before"]).rlike(word) | lower_ascii(span["after"]).rlike(word)
     return F.lit(PRIOR[kind]) + F.when(near, F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
 
 
@@ -146,7 +186,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     def judged(kind: str) -> Column:
         spans = F.transform(
             F.filter(F.col(f"at_{kind}"), lambda s: _valid(kind, s["found"])),
-            lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _score(F.col("text"), kind, s["start"]).alias("score")),
+            lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(_score(kind, s), 2).alias("score")),
         )
         return spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE)
 
@@ -159,14 +199,15 @@ def span_list(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, the digest of their spans, and all spans."""
+    """One row per document: counts of the base kinds, of secrets and of all spans, the digest of the base spans, all spans, and their scores."""
     base = F.filter(F.col("spans"), lambda s: s["kind"].isin(*BASE_KINDS))
 
     def of(kind: str) -> Column:
         return F.filter(F.col("spans"), lambda s: s["kind"] == kind)
 
-    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return find_pii(docs).select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in (*BASE_KINDS, "secret")]
+    scores = F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",")
+    return find_pii(docs).select("doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("spans")).alias("spans"), scores.alias("scores"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -179,12 +220,20 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find_pii(whole, "row", "text")
     ordered = F.array_sort(F.transform(F.col("spans"), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("last"), s["kind"].alias("kind"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["last"]
-        piece = F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, s["start"] - acc["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        fresh = s["start"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], end).alias("pos"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
+    def step(pos: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.struct(pos.alias("from"), s["start"].alias("upto"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"))
+        return F.greatest(pos, -s["last"]), F.when(s["start"] >= pos, piece)
+
+    ended = F.concat(ordered, F.array(F.struct(F.length("text").alias("start"), (-F.length("text")).alias("last"), F.lit("").alias("kind"))))
+    pieces = F.transform(F.array(ended), lambda e: _scan(e, F.lit(0), step, "struct<from:int,upto:int,label:string>"))[0]
+    # characters from..upto lie in some chunks of the text: a piece is cut out of these alone
+    chunks = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def cut(parts: Column, p: Column) -> Column:
+        first = F.floor(p["from"] / CHUNK).cast("int")
+        some = F.slice(parts, first + 1, F.floor(p["upto"] / CHUNK).cast("int") - first + 1)
+        return F.concat(F.substring(F.array_join(some, ""), p["from"] - first * CHUNK + 1, p["upto"] - p["from"]), F.when(p["label"] == "[]", "").otherwise(p["label"]))
 
-    changed = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.length("text"))))
+    changed = F.transform(F.array(F.struct(pieces.alias("pieces"), chunks.alias("chunks"))), lambda x: F.array_join(F.transform(x["pieces"], lambda p: cut(x["chunks"], p)), ""))[0]
     clean = F.when(F.size("spans") > 0, changed).otherwise(F.col("row")[text])
     return found.select("row", clean.alias("clean")).select(*[F.col("clean").alias(c) if c == text else F.col("row")[c].alias(c) for c in names])

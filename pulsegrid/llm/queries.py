@@ -93,38 +93,46 @@ FROM (SELECT *, list_transform(string_split(unhex(sha1(h))::bit::varchar, ''), l
 
 
 def _op3() -> str:
-    """Spans by the plain patterns: pieces between matches and the matches give the places."""
+    """Base spans and secrets by the plain patterns: pieces between matches and the matches give the places."""
     plain = {
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "secret": "[A-Za-z0-9_-]{20,}",
     }
     digits = "regexp_replace(m, '[^0-9]', '', 'g')"
     luhn = f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({digits}), i + 1, 1)::int ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(reverse({digits}), i + 1, 1)::int + 1] END)) % 10 = 0"
     valid = {
         "email": "true", "ip": "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE coalesce(try_cast(ltrim(x, '0') AS int), 0) END)) <= 255",
         "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "secret": f"length({digits}) >= {pii.SECRET_DIGITS} AND regexp_matches(m, '[A-Za-z]') AND len(list_distinct(string_split(m, ''))) >= {pii.SECRET_DISTINCT}",
     }
     parts = []
     for i, (kind, pattern) in enumerate(plain.items()):
-        located = f"SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(list_slice(string_split_regex(t, '{pattern}'), 1, -2)) AS gap, generate_subscripts(regexp_extract_all(t, '{pattern}'), 1) AS k FROM d"
+        pieces = f"string_split_regex(t, '{pattern}')"
+        located = f"SELECT doc_id, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(list_slice({pieces}, 1, -2)) AS gap, unnest(list_slice({pieces}, 2, -1)) AS after, generate_subscripts(regexp_extract_all(t, '{pattern}'), 1) AS k FROM d"
         placed = f"SELECT *, (sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY k))::bigint AS e FROM ({located})"
-        parts.append(f"SELECT doc_id, {i} AS o, '{kind}' AS kind, e - length(m) AS s, e FROM ({placed}) WHERE {valid[kind]}")
+        word = "(^|[^a-z0-9])(" + "|".join(pii.CONTEXT[kind]) + ")s?([^a-z0-9]|$)"
+        near = " OR ".join(f"regexp_matches({_LOW.format(side)}, '{word}')" for side in (f"right(gap, {pii.CONTEXT_CHARS})", f"left(after, {pii.CONTEXT_CHARS})"))
+        scored = f"SELECT *, {pii.PRIOR[kind]} + CASE WHEN {near} THEN {pii.CONTEXT_GAIN} ELSE 0 END AS score FROM ({placed}) WHERE {valid[kind]}"
+        parts.append(f"SELECT doc_id, {i} AS o, '{kind}' AS kind, e - length(m) AS s, e, score FROM ({scored})" + (f" WHERE score >= {pii.LEAST_SCORE}" if kind not in pii.BASE_KINDS else ""))
     counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{k}'), 0) AS n_{k}" for k in plain)
+    span = "kind || ':' || s::varchar || ':' || e::varchar"
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), sp AS ({' UNION ALL '.join(parts)}),
-a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || s::varchar || ':' || e::varchar, ',' ORDER BY o, s) AS spans FROM sp GROUP BY 1)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in plain)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+a AS (SELECT doc_id, {counts}, count(*) AS n_spans, string_agg({span}, ',' ORDER BY o, s) FILTER (kind <> 'secret') AS base, string_agg({span}, ',' ORDER BY o, s) AS spans, string_agg(printf('%.2f', score::double), ',' ORDER BY o, s) AS scores FROM sp GROUP BY 1)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in plain)}, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN a USING (doc_id)"""
 
 
 def _op10() -> str:
+    """Phrases by places; templates by all blocks of the documents that hold enough of their words."""
     phrases = ", ".join(f"('{p}', '{label}', {p.split()!r})" for p, label in licenses.BASE.items())
-    templates = ", ".join(f"({i}, '{label}', {sorted(set(t.split()))!r})" for i, (label, t) in enumerate(licenses.TEMPLATES))
-    return f"""WITH d AS (SELECT doc_id, {_words('text')} AS w, {_LOW.format('text')} AS low FROM documents),
-ph(p, label, pw) AS (VALUES {phrases}), tp(i, tl, tw) AS (VALUES {templates}),
+    templates = ", ".join(f"('{label}', {sorted(set(t.split()))!r}, {licenses.needed(len(set(t.split())))}, {licenses.width(t)})" for label, t in licenses.TEMPLATES)
+    return f"""WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+ph(p, label, pw) AS (VALUES {phrases}), tp(tl, tw, least, width) AS (VALUES {templates}),
 b AS (SELECT doc_id, label, j - 1 AS place FROM (SELECT doc_id, w, label, pw, unnest(range(1, len(w) - len(pw) + 2)) AS j FROM d, ph WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || p || ' ')) WHERE w[j:j + len(pw) - 1] = pw),
 bb AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY 1),
-l AS (SELECT doc_id, {_words('line')} AS lw FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS line FROM d)),
-t AS (SELECT doc_id, tl, len(list_intersect(lw, tw)) / len(tw) AS c FROM l, tp WHERE len(list_intersect(lw, tw)) >= ceil({licenses.THRESHOLD} * len(tw) - 1e-9)),
-tt AS (SELECT doc_id, max(c) AS best FROM t GROUP BY 1),
-al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, tl FROM t) GROUP BY 1)
+c AS (SELECT doc_id, w, tl, tw, least, width FROM (SELECT *, list_distinct(w) AS dw FROM d), tp WHERE len(list_intersect(dw, tw)) >= least),
+t AS (SELECT doc_id, tl, len(list_intersect(w[j:j + width - 1], tw)) / len(tw) AS c, least / len(tw) AS need FROM (SELECT *, unnest(range(1, len(w) + 1)) AS j FROM c)),
+f AS (SELECT doc_id, tl, max(c) AS best FROM t WHERE c >= need GROUP BY 1, 2),
+tt AS (SELECT doc_id, max(best) AS best FROM f GROUP BY 1),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, tl FROM f) GROUP BY 1)
 SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END, 6) AS score
 FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN tt USING (doc_id) LEFT JOIN al USING (doc_id)"""
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -141,6 +142,36 @@ def test_account_numbers_end_by_themselves(spark):
     assert [r.text for r in pii.redact(docs.filter("doc_id in (0, 2)")).orderBy("doc_id").collect()] == ["IBAN [IBAN] Please pay", "[IBAN] [IBAN]"]
 
 
+def test_scores_and_secrets(spark):
+    token, sha = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    texts = [f'token = "{token}"', f"commit {sha}", f"API_KEY={token}!", f"{token} is my password", "token " + "a" * 40, "key ein-sehr-langes-wort-mit-strichen", "keys 1234567890-1234567890-12", "ship 10.0.0.1", "my ip 10.0.0.1", "10.0.0.1 (hosts)", f"{'x ' * 40}{token} {'x ' * 40}token", "contact: é@x a@b.cc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.scores, r.n_secret, r.n_spans) for r in pii.pii_digest(docs).collect()}
+    assert got == {
+        0: ("secret:9:49", "0.50", 1, 1), 1: ("", "", 0, 0), 2: ("secret:8:48", "0.50", 1, 1), 3: ("secret:0:40", "0.50", 1, 1), 4: ("", "", 0, 0), 5: ("", "", 0, 0), 6: ("", "", 0, 0),
+        7: ("ip:5:13", "0.60", 0, 1), 8: ("ip:6:14", "0.80", 0, 1), 9: ("ip:0:8", "0.80", 0, 1), 10: ("", "", 0, 0), 11: ("email:13:19", "1.00", 0, 1),
+    }
+    assert pii.redact(docs.filter("doc_id = 0")).first().text == 'token = "[SECRET]"'
+
+
+def test_secrets_of_the_tables(spark, sf):
+    """Recall: every `token = "..."` of 40 hexadecimal digits is found."""
+    docs = documents(spark, sf)
+    want = sum(len(re.findall(r'token = "[0-9a-f]{40}"', r.text or "")) for r in docs.collect())
+    got = pii.pii_digest(docs).agg(F.sum("n_secret")).first()[0]
+    assert want > 0 and got >= want
+
+
+def test_many_spans(spark):
+    """More spans than one block and chunk hold, in time that does not grow with their square."""
+    n = 20_000
+    text = " ".join(f"é{i}@b.cc" for i in range(n))
+    docs = spark.createDataFrame([(1, text), (2, text[:5000])], "doc_id long, text string")
+    check_pii(docs)
+    want = re.sub(r"[0-9]+@b\.cc", "[EMAIL]", text)
+    assert {r.doc_id: r.text for r in pii.redact(docs).collect()} == {1: want, 2: re.sub(r"[0-9]+@b\.c+", "[EMAIL]", text[:5000])}
+
+
 def test_redact(spark):
     rows = [(1, "mail a@b.cc, host 10.0.0.1 🙂 +1 555 123 4567", 9), (2, None, 0), (3, "nothing", 7), (4, "é x@1.2.3.4 end", 1)]
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars int")).collect()}
@@ -148,6 +179,7 @@ def test_redact(spark):
 
 
 def license_rows(docs):
+    """By every block of every text."""
     out = []
     for r in docs.collect():
         w, places, base = words(r.text), [], set()
@@ -157,24 +189,51 @@ def license_rows(docs):
             places += at
             base |= {label} if at else set()
         labels, best = set(base), 0.0
-        for line in (r.text or "").split("\n"):
-            have = set(words(line))
-            for label, template in licenses.TEMPLATES:
-                t = set(template.split())
-                if len(t & have) >= licenses.needed(len(t)):
+        for label, template in licenses.TEMPLATES:
+            t, n = set(template.split()), licenses.width(template)
+            if len(t & set(w)) >= licenses.needed(len(t)):
+                c = max(len(t & set(w[i : i + n])) for i in range(len(w)))
+                if c >= licenses.needed(len(t)):
                     labels.add(label)
-                    best = max(best, len(t & have) / len(t))
+                    best = max(best, c / len(t))
         out.append((r.doc_id, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(1.0 if places else best, 6)))
     return sorted(out, key=str)
 
 
 def test_licenses(spark, sf):
-    lines = ["CC BY cc by", "Licensed under CC BY-NC 4.0.", "all rights\n\nreserved General public   LICENSE", "released\nunder the MIT license", "Released under the MIT license, I say", " ".join(licenses.TEMPLATES[1][1].split()[1:])]
+    rng = random.Random(14)
+    notice = licenses.TEMPLATES[1][1].split()
+    lines = ["CC BY cc by", "Licensed under CC BY-NC 4.0.", "all rights\n\nreserved General public   LICENSE", "released\nunder the MIT license", "Released under the MIT license, I say", " ".join(notice[1:]), " ".join(notice[:10] + ["x"] * 30 + notice[10:])]
+    vocabulary = sorted({x for _, t in licenses.TEMPLATES for x in t.split()})
+    lines += [" ".join(rng.choice([rng.choice(vocabulary), *notice[i % 5 : i % 5 + 3]]) for _ in range(200)) for i in range(40)]
+    lines += [" ".join(["software the of"] * 3000 + notice)]
     extra = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     for docs in (documents(spark, sf), odd(spark), odd(spark).limit(0), extra):
         assert sorted((tuple(r) for r in licenses.license_digest(docs).collect()), key=str) == license_rows(docs)
 
 
+def test_wrapped_notices_are_found(spark):
+    """Each template in the middle of other words, wrapped at 40 to 80 columns, as a comment, with up to a tenth of its words changed."""
+    rng = random.Random(15)
+    rows, want = [], {}
+    for label, template in licenses.TEMPLATES:
+        for columns in (40, 60, 80):
+            t = template.split()
+            for i in rng.sample(range(len(t)), len(t) // 20):
+                t[i] = "changed"
+            filler = [rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(60)]
+            text = "\n * ".join(textwrap.wrap(" ".join(filler[:30] + t + filler[30:]).capitalize(), columns))
+            want[len(rows)] = label
+            rows.append((len(rows), text, "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `found.x` string")
+    got = defaultdict(set)
+    for r in licenses.find_templates(docs).collect():
+        got[r.doc_id].add(r.found.label)
+    assert sum(want[i] in got[i] for i in want) >= 0.95 * len(want)
+    one = licenses.find_templates(docs.filter("doc_id = 3")).first()
+    assert one["found.x"] == "x" and one.found.first == 30 and one.found.containment >= 0.9
+
+
 @pytest.mark.parametrize("kind", ["tables", "odd", "hot", "empty"])
 def test_shards(spark, sf, kind):
     docs = {
