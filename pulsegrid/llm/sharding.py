@@ -169,9 +169,9 @@ def _numbered(df: DataFrame, keys: list[str], rows: Column, by: Column, order: l
     spread = materialize(df.withColumn("bucket", _part(F.ceil(rows / ROWS_PER_BUCKET), by)))
     counts = spread.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(*keys, "bucket", F.coalesce(before, F.lit(0)).alias("start"))
+    starts = counts.select(*keys, "bucket", F.coalesce(before, F.lit(0)).alias("__from"))
     inside = spread.withColumn("no", F.row_number().over(Window.partitionBy(*keys, "bucket").orderBy(*order)) - 1)
-    return inside.join(at_most(materialize(starts), 100_000), [*keys, "bucket"]).withColumn("no", F.col("start") + F.col("no")).drop("bucket", "start")
+    return inside.join(at_most(materialize(starts), 100_000), [*keys, "bucket"]).withColumn("no", F.col("__from") + F.col("no")).drop("bucket", "__from")
 
 
 def _where(intervals: str, no: str) -> Column:

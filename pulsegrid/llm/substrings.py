@@ -8,13 +8,18 @@ instead of one row for each suffix:
 1. each text gives its runs (about one in 70 bytes): anchor, digest of the run's text, place;
 2. an anchor that occurs once is dropped, with all its suffixes; runs that have an equal are repeated as they are;
 3. what is left, buckets of unequal runs, is compared suffix by suffix: one run of each kind is sent, with its text, to its
-   bucket's task, which sorts the suffixes of its buckets one group of buckets at a time;
-4. buckets of more than MAX_RUNS kinds of runs are not put in one task: their suffixes are counted by their digests in a
-   Spark aggregation and joined back.
+   bucket's task, which takes its buckets block by block (see `Block`). The suffixes of a block are sorted by their first
+   PERIOD bytes; longer ties are resolved by ranks that are computed before for a difference cover of the places: for any
+   two places there is a distance below PERIOD at which both have a rank. Neighbours are then compared byte by byte;
+4. buckets of more than MAX_RUNS kinds of runs are not put in one task: their suffixes are counted by anchor and digest in
+   a Spark aggregation and joined back.
+
+Anchors of many runs are kept by a broadcast of their names, so that no task gets all runs of one.
 
 Texts are UTF-8 bytes; null is empty; strings never cross texts; rows of equal id and text are documents of their own, so
-each repeats the other. Long texts are cut into overlapping segments, so a task's memory does not grow with a text.
-Only id and text are read.
+each repeats the other; an empty table gives an empty table. Long texts are cut into overlapping segments, so a task's
+memory does not grow with a text but for the text itself. Runs (and the suffixes of point 4) are held equal by 64-bit
+digests, within an anchor. `digest` reads doc_id and text alone, `remove` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -27,12 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, materialize, row_key
+from .common import at_most, bytes_of_batches, materialize, row_key
 
 LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19
-MAX_RUNS = 20_000
+#: Buffers of texts are shorter than 2 to this power.
+PLACE_BITS = 21
+MAX_RUNS = 5_000
 BROADCAST_ROWS = 500_000
+#: Anchors of more runs than this are broadcast; there is one for so many runs at most.
+HOT_RUNS = 2_000
+#: A difference cover. Every distance below PERIOD lies between two of its places, modulo PERIOD.
+PERIOD, COVER = 64, (0, 1, 2, 5, 14, 16, 34, 42, 59)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -75,17 +86,19 @@ class Hashes:
 
 
 def runs_of(parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """The runs of some texts: text number, first suffix, number of suffixes, anchor's digest, the run's digest."""
+    """The runs of some texts: text number, first suffix, number of suffixes, anchor's digest, the run's digest, anchor's place from the first suffix."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     begins = np.cumsum(sizes) - sizes
     some = np.flatnonzero(sizes >= LENGTH)
     if not len(some):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     h = Hashes(b"".join(parts))
     total = int(sizes.sum())
     grams = h.at(np.arange(total - GRAM + 1), GRAM)
-    bits = _U(max(1, int(total).bit_length()))
+    if total >> PLACE_BITS:
+        raise ValueError("too many bytes at a time")
+    bits = _U(PLACE_BITS)  # the same for all buffers: a near tie of two hashes is broken alike everywhere
     low = (grams >> bits << bits) | np.arange(len(grams), dtype=_U)
     done, width = 1, LENGTH - GRAM + 1
     while done < width:
@@ -100,7 +113,7 @@ def runs_of(parts: list[bytes]) -> tuple[np.ndarray, ...]:
     n = np.diff(np.concatenate([first, [len(anchor)]]))
     lo, a = starts[first], anchor[first]
     kind = _mix(h.at(lo, n + LENGTH - 1) + (a - lo).astype(_U) * _U(0xC2B2AE3D27D4EB4F))
-    return owner[first], lo - begins[owner[first]], n, grams[a].view(np.int64), kind.view(np.int64)
+    return owner[first], lo - begins[owner[first]], n, grams[a].view(np.int64), kind.view(np.int64), a - lo
 
 
 def segments(raw: bytes) -> Iterator[tuple[int, bytes]]:
@@ -110,12 +123,12 @@ def segments(raw: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """anchor, kind, row, lo, n of every run of (row, text)."""
+    """anchor, kind, row, lo, n and at (the anchor's place from lo) of every run of (row, text)."""
 
     def of(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        owner, lo, n, anchor, kind = runs_of([h[2] for h in held])
+        owner, lo, n, anchor, kind, at = runs_of([h[2] for h in held])
         rows, places = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, kind, rows[owner], lo + places[owner], n)], ["anchor", "kind", "row", "lo", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, kind, rows[owner], lo + places[owner], n, at)], ["anchor", "kind", "row", "lo", "n", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -134,22 +147,22 @@ def _runs(docs: DataFrame) -> DataFrame:
         if held:
             yield of(held)
 
-    return docs.select("row", "text").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, n bigint")
+    return docs.select("row", "text").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, n bigint, at bigint")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """texts (row, text, runs: array of (anchor, kind, lo, n, same)) → a row for each run with its bytes."""
-    names = ["anchor", "kind", "row", "lo", "same", "piece"]
-    types = [pa.int64()] * 5 + [pa.binary()]
+    """texts (row, text, runs: array of (anchor, kind, lo, n, same, at)) → a row for each run with its bytes."""
+    names = ["anchor", "kind", "row", "lo", "same", "at", "piece"]
+    types = [pa.int64()] * 6 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 raw, row = (batch.column(1)[i].as_py() or "").encode(), batch.column(0)[i].as_py()
-                out = [(r["anchor"], r["kind"], row, r["lo"], r["same"], raw[r["lo"] : r["lo"] + r["n"] + LENGTH - 1]) for r in batch.column(2)[i].as_py()]
+                out = [(r["anchor"], r["kind"], row, r["lo"], r["same"], r["at"], raw[r["lo"] : r["lo"] + r["n"] + LENGTH - 1]) for r in batch.column(2)[i].as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(types)], names)
 
-    return texts.select("row", "text", "runs").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, same bigint, piece binary")
+    return texts.select("row", "text", "runs").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, same bigint, at bigint, piece binary")
 
 
 def _suffixes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,17 +181,117 @@ def _spans(rows: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[cut]), pa.array(at[cut]), pa.array(at[last] + LENGTH)], ["row", "start", "end"])
 
 
+_DISTANCE = np.zeros((PERIOD, PERIOD), np.int64)  # by two places: how far on both are in the cover
+for _d in range(PERIOD - 1, -1, -1):
+    _in = np.isin((np.arange(PERIOD) + _d) % PERIOD, COVER)
+    _DISTANCE[np.ix_(_in, _in)] = _d
+
+
+class Block:
+    """A buffer with what its suffixes are compared by."""
+
+    def __init__(self, raw: bytes) -> None:
+        n = len(raw)
+        padded = raw + bytes(5 * PERIOD + 16)  # what comes after LENGTH bytes only orders equals
+        size = n + 4 * PERIOD
+        self.eight = np.zeros(size, _U)  # the 8 bytes at each place, as numbers in the order of the bytes
+        for k in range(8):
+            self.eight[k::8] = np.frombuffer(padded, ">u8", count=(size - k + 7) // 8, offset=k)
+        self.rank = self._cover_ranks(n)
+
+    def _cover_ranks(self, n: int) -> np.ndarray:
+        """For the places of the cover, ranks of all that follows: by PERIOD bytes first, then doubled until all differ."""
+        places = (np.arange(0, n + PERIOD, PERIOD)[:, None] + np.array(COVER)).ravel()
+        places = places[places < n + PERIOD]
+        rank = np.zeros(n + 5 * PERIOD, np.int64)
+        order = np.lexsort([self.eight[places + k] for k in range(PERIOD - 8, -1, -8)])
+        new = np.zeros(len(places), bool)
+        for k in range(0, PERIOD, 8):
+            x = self.eight[places + k][order]
+            new[1:] |= x[1:] != x[:-1]
+        rank[places[order]] = np.cumsum(new) + 1
+        step, kinds = PERIOD, int(new.sum()) + 1
+        while kinds < len(places) and step < n + PERIOD:
+            after = places + step
+            key = rank[places] * (len(places) + 2) + np.where(after < len(rank), rank[np.minimum(after, len(rank) - 1)], 0)
+            found, inverse = np.unique(key, return_inverse=True)
+            rank[places] = inverse + 1
+            step, kinds = 2 * step, len(found)
+        return rank
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 by the order of the suffixes at a and b, to the buffer's end."""
+        out = np.zeros(len(a), np.int8)
+        left = np.arange(len(a))
+        for k in range(0, PERIOD, 8):
+            x, y = self.eight[a[left] + k], self.eight[b[left] + k]
+            out[left] = (x > y).astype(np.int8) - (x < y)
+            left = left[x == y]
+        far = _DISTANCE[a[left] % PERIOD, b[left] % PERIOD]
+        x, y = self.rank[a[left] + far], self.rank[b[left] + far]
+        out[left] = (x > y).astype(np.int8) - (x < y)
+        return out
+
+    def sorted(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The places at, which come in buckets of these sizes, with each bucket sorted: all buckets are merged side by side."""
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        size, t = np.repeat(sizes, sizes), np.arange(len(at)) - start
+        w = 1
+        while w < sizes.max(initial=0):
+            some = np.flatnonzero(size > w)
+            base, mine, m, own = start[some], t[some], size[some], at[some]
+            run = mine // w
+            first = np.minimum((run ^ 1) * w, m)  # of the run that mine is merged with
+            lo, hi, even = first.copy(), np.minimum(first + w, m), run % 2 == 0
+            while len(open_ := np.flatnonzero(lo < hi)):
+                mid = (lo[open_] + hi[open_]) >> 1
+                c = self.compare(at[base[open_] + mid], own[open_])
+                go = (c < 0) | ((c == 0) & ~even[open_])
+                lo[open_], hi[open_] = np.where(go, mid + 1, lo[open_]), np.where(go, hi[open_], mid)
+            merged = at.copy()
+            merged[base + (run & ~1) * w + (mine - run * w) + (lo - first)] = own
+            at, w = merged, 2 * w
+        return at
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether LENGTH bytes are equal."""
+        left = np.arange(len(a))
+        for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+            left = left[self.eight[a[left] + k] == self.eight[b[left] + k]]
+        out = np.zeros(len(a), bool)
+        out[left] = True
+        return out
+
+
 def _sorted_buckets(pieces: DataFrame) -> DataFrame:
-    """(row, start, end) of the repeated bytes of the runs that occur once, bucket after bucket."""
+    """(row, start, end) of the repeated bytes of the runs that occur once, block after block.
+
+    Suffixes of one anchor can be equal only where the anchor stands at the same place in them: these are sorted together.
+    """
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
-        digest, owner, place = _suffixes([h[4] for h in held])
-        order = np.argsort(digest, kind="stable")
-        d = digest[order]
-        same = np.zeros(len(d), bool)
-        same[1:] = d[1:] == d[:-1]
-        same[:-1] |= same[1:]
-        hit = np.sort(order[same])
+        sizes = np.fromiter((len(h[4]) for h in held), np.int64, len(held))
+        counts, begins = sizes - LENGTH + 1, np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(held)), counts)
+        place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        bucket = np.unique(np.array([h[0] for h in held], np.int64), return_inverse=True)[1]
+        named = bucket[owner] * LENGTH + np.array([h[6] for h in held], np.int64)[owner] - place
+        order = np.argsort(named, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], named[order][1:] != named[order][:-1]]))
+        groups = np.diff(np.concatenate([first, [len(order)]]))
+        many = np.repeat(groups > 1, groups)
+        order, groups = order[many], groups[groups > 1]
+        block = Block(b"".join(h[4] for h in held))
+        spot = begins[owner] + place
+        number = np.empty(int(sizes.sum()), np.int64)
+        number[spot] = np.arange(len(spot))
+        at = block.sorted(spot[order], groups)
+        equal = block.same(at[:-1], at[1:])
+        equal[np.cumsum(groups)[:-1] - 1] = False
+        repeated = np.zeros(len(at), bool)
+        repeated[1:] = equal
+        repeated[:-1] |= equal
+        hit = np.sort(number[at[repeated]])
         once = np.array([h[3] for h in held]) == 1
         hit = hit[once[owner[hit]]]
         rows, lo = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
@@ -187,7 +300,7 @@ def _sorted_buckets(pieces: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            columns = [batch.column(j).to_pylist() for j in range(6)]
+            columns = [batch.column(j).to_pylist() for j in range(7)]
             for r in zip(*columns, strict=True):
                 if held and r[0] == held[-1][0]:
                     if r[5] == held[-1][5]:
@@ -201,37 +314,42 @@ def _sorted_buckets(pieces: DataFrame) -> DataFrame:
             yield settle(held)
 
     ordered = pieces.repartition("anchor").sortWithinPartitions("anchor", "kind")
-    return ordered.select("anchor", "row", "lo", "same", "piece", "kind").mapInArrow(run, "row bigint, start bigint, end bigint")
+    return ordered.select("anchor", "row", "lo", "same", "piece", "kind", "at").mapInArrow(run, "row bigint, start bigint, end bigint")
 
 
 def _counted_buckets(pieces: DataFrame) -> DataFrame:
-    """The same for buckets too large for a task: by an aggregation over the suffixes' digests."""
+    """The same for buckets too large for a task: by an aggregation over anchors and the suffixes' digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            digest, owner, place = _suffixes(batch.column(3).to_pylist())
-            rows, lo, same = (batch.column(j).to_numpy()[owner] for j in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (digest.view(np.int64), rows, lo + place, same)], ["digest", "row", "start", "same"])
+            digest, owner, place = _suffixes(batch.column(4).to_pylist())
+            anchor, rows, lo, same = (batch.column(j).to_numpy()[owner] for j in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, digest.view(np.int64), rows, lo + place, same)], ["anchor", "digest", "row", "start", "same"])
 
-    each = pieces.select("row", "lo", "same", "piece").mapInArrow(run, "digest bigint, row bigint, start bigint, same bigint")
-    repeated = each.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    return each.filter("same = 1").join(repeated, "digest", "left_semi").select("row", "start", (F.col("start") + LENGTH).alias("end"))
+    each = pieces.select("anchor", "row", "lo", "same", "piece").mapInArrow(run, "anchor bigint, digest bigint, row bigint, start bigint, same bigint")
+    repeated = each.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "digest")
+    return each.filter("same = 1").join(repeated, ["anchor", "digest"], "left_semi").select("row", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
     """(row, start, end): bytes to remove, in spans that may overlap. keyed: row and text."""
+    bytes_of_batches(keyed.sparkSession)
     runs = _runs(keyed)
-    buckets = runs.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor")
-    met = materialize(runs.join(buckets, "anchor", "left_semi"))
-    kinds = materialize(met.groupBy("anchor", "kind").agg(F.count("*").alias("same"), F.min(F.struct("row", "lo", "n")).alias("one")))
+    buckets = materialize(runs.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1"))
+    hot = at_most(buckets.filter(F.col("total") > HOT_RUNS).select("anchor", F.lit(True).alias("hot")), BROADCAST_ROWS)
+    # runs of hot anchors need no partner: they are dealt evenly
+    dealt = runs.join(hot, "anchor", "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("row", "lo")).otherwise(F.col("anchor")))
+    cold = buckets.filter(F.col("total") <= HOT_RUNS).select(F.col("anchor").alias("key"), F.lit(True).alias("cold"))
+    met = materialize(dealt.join(cold, "key", "left").filter("hot or cold").select("anchor", "kind", "row", "lo", "n", "at"))
+    kinds = materialize(met.groupBy("anchor", "kind").agg(F.count("*").alias("same"), F.min(F.struct("row", "lo", "n", "at")).alias("one")))
     equal = met.join(kinds.filter("same > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi")
     whole = equal.select("row", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end"))
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     unequal = kinds.join(sizes.select("anchor"), "anchor", "left_semi")
     large = sizes.filter(F.col("kinds") > MAX_RUNS).select("anchor")
-    asked = unequal.select(F.col("one.row").alias("row"), F.struct("anchor", "kind", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), "same").alias("run"))
+    asked = unequal.select(F.col("one.row").alias("row"), F.struct("anchor", "kind", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), "same", F.col("one.at").alias("at")).alias("run"))
     asked = materialize(asked.groupBy("row").agg(F.collect_list("run").alias("runs")))
     some = keyed.join(at_most(asked.select("row"), BROADCAST_ROWS), "row", "left_semi").join(asked, "row")
     pieces = _cut(some)

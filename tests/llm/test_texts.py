@@ -82,13 +82,34 @@ def test_substrings(spark, sf, monkeypatch, most):
     check_substrings(odd(spark).filter("doc_id <> 6").limit(0))
 
 
+def test_blocks_sort_suffixes():
+    """Sorted buckets against Python's order of the strings, over texts with long ties at all distances."""
+    assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
+    rng = random.Random(17)
+    unit = bytes(rng.randrange(97, 101) for _ in range(260))
+    for raw in (unit * 6, bytes(rng.randrange(97, 99) for _ in range(900)) + unit + bytes(37) + unit + b"x" * 700, unit[:150] * 9 + unit):
+        block = substrings.Block(raw)
+        places = np.arange(len(raw) - substrings.LENGTH + 1)
+        rng.shuffle(places)
+        cuts = sorted(rng.sample(range(1, len(places)), 5))
+        sizes = np.diff([0, *cuts, len(places)])
+        got, begin = block.sorted(places, sizes), 0
+        for size in sizes.tolist():
+            mine = got[begin : begin + size].tolist()
+            assert sorted(mine) == sorted(places[begin : begin + size].tolist())
+            assert [raw[i : i + substrings.LENGTH] for i in mine] == sorted(raw[i : i + substrings.LENGTH] for i in mine)
+            begin += size
+        a, b = got[:-1], got[1:]
+        assert block.same(a, b).tolist() == [raw[i : i + substrings.LENGTH] == raw[j : j + substrings.LENGTH] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+
 def test_long_texts_are_cut_into_segments(spark, monkeypatch):
     rng = random.Random(10)
     t = "".join(rng.choice("abcdefgh") for _ in range(3000))
     monkeypatch.setattr(substrings, "SEGMENT", 500)
     parts = list(substrings.segments(t.encode()))
     assert b"".join(p[:500] for _, p in parts)[:3000] == t.encode() and all(len(p) <= 699 for _, p in parts)
-    seen = [(o, lo + parts[o][0], n) for o, lo, n, _, _ in zip(*substrings.runs_of([p for _, p in parts]), strict=True)]
+    seen = [(o, lo + parts[o][0], n) for o, lo, n, *_ in zip(*substrings.runs_of([p for _, p in parts]), strict=True)]
     covered = sorted(i for _, lo, n in seen for i in range(lo, lo + n))
     assert covered == list(range(2801))
 
