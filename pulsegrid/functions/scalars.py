@@ -124,16 +124,21 @@ def muted(in_downtime: Column, acknowledged: Column, flapping: Column) -> Column
     return reduce(lambda a, b: a | b, [F.coalesce(as_col(c), F.lit(False)) for c in (in_downtime, acknowledged, flapping)])
 
 
+#: Texts of muting.
+MUTED = {"due": "Checkable is muted due to", "downtime": " currently active downtime", "and_ack": ", and an acknowledgement", "ack": " an acknowledgement", "and_flapping": ", and flapping as well", "flapping": " flapping state", "end": "."}
+NOT_MUTED = "Checkable is not muted (no active downtime, no acknowledgement, and not flapping)"
+
+
 def muted_reason(in_downtime: Column, acknowledged: Column, flapping: Column) -> Column:
     d, a, f = (F.coalesce(as_col(c), F.lit(False)) for c in (in_downtime, acknowledged, flapping))
     parts = [
-        F.lit("Checkable is muted due to"),
-        F.when(d, " currently active downtime").otherwise(""),
-        F.when(a & d, ", and an acknowledgement").when(a, " an acknowledgement").otherwise(""),
-        F.when(f & (d | a), ", and flapping as well").when(f, " flapping state").otherwise(""),
-        F.lit("."),
+        F.lit(MUTED["due"]),
+        F.when(d, MUTED["downtime"]).otherwise(""),
+        F.when(a & d, MUTED["and_ack"]).when(a, MUTED["ack"]).otherwise(""),
+        F.when(f & (d | a), MUTED["and_flapping"]).when(f, MUTED["flapping"]).otherwise(""),
+        F.lit(MUTED["end"]),
     ]
-    return F.when(d | a | f, F.concat(*parts)).otherwise("Checkable is not muted (no active downtime, no acknowledgement, and not flapping)")
+    return F.when(d | a | f, F.concat(*parts)).otherwise(NOT_MUTED)
 
 
 def close_flag(sev: Column | str, is_muted: Column) -> Column:
@@ -165,16 +170,42 @@ def event_url(base: str, host: Column | str, service: Column | str) -> Column:
     return F.when(as_col(service).isNull(), of_host).otherwise(of_service)
 
 
-def event_tags(host: Column | str, service: Column | str) -> Column:
-    h = F.create_map(F.lit("host"), as_col(host))
+def event_tags(host: Column | str, service: Column | str, environment: Column | str | None = None) -> Column:
+    """host, for services also service, and the environment if one is given."""
+    h = F.create_map(F.lit("host"), as_col(host), *([] if environment is None else [F.lit("environment"), as_col(environment)]))
     return F.when(as_col(service).isNull(), h).otherwise(F.map_concat(h, F.create_map(F.lit("service"), as_col(service))))
 
 
-def event_message(event_type: Column | str, comment: Column | str, percent: Column | str, low: Column | str, high: Column | str) -> Column:
-    """Texts for events of downtimes, flapping and acknowledgements."""
+#: Texts of events.
+CANCELLED, EXPIRED = "Downtime was cancelled", "Downtime expired"
+CLEARED, ACKNOWLEDGED = "Acknowledgement was cleared", "Checkable was acknowledged"
+STARTED = "Checkable started flapping (Current flapping value %.2f%% > high threshold %.2f%%)"
+STOPPED = "Checkable stopped flapping (Current flapping value %.2f%% < low threshold %.2f%%)"
+
+
+def _by(text: str, verb: str, who: Column) -> Column:
+    return F.when(who.isNull(), F.lit(text)).otherwise(F.concat(F.lit(f"{text} ({verb} by "), who, F.lit(")")))
+
+
+def downtime_message(event_type: Column | str, comment: Column | str, cancelled: Column | str, cancelled_by: Column | str) -> Column:
+    """The comment of a start; of an end, whether (and by whom) it was cancelled. Other events are an error."""
     kind = as_col(event_type)
-    flapped = F.format_string("Checkable %s flapping (Current flapping value %.2f%% %s threshold %.2f%%)", F.when(kind == "flapping_start", "started").otherwise("stopped"), as_col(percent), F.when(kind == "flapping_start", ">").otherwise("<"), F.when(kind == "flapping_start", as_col(high)).otherwise(as_col(low)))
-    return F.when(kind.isin("flapping_start", "flapping_end"), flapped).when(kind == "downtime_end", "Downtime has ended").when(kind == "ack_clear", "Acknowledgement was cleared").otherwise(as_col(comment))
+    ended = F.when(F.coalesce(as_col(cancelled), F.lit(False)), _by(CANCELLED, "cancelled", as_col(cancelled_by))).otherwise(EXPIRED)
+    wrong = F.raise_error(F.concat(F.lit("unexpected event type "), F.coalesce(kind, F.lit("null")))).cast("string")
+    return F.when(kind == "downtime_start", as_col(comment)).when(kind == "downtime_end", ended).otherwise(wrong)
+
+
+def flapping_message(start: Column | str, end: Column | str, low: Column | str, high: Column | str) -> Column:
+    """Of the share of changes at the end, if there is one, else of that at the start; without either it is an error."""
+    start, end = as_col(start), as_col(end)
+    wrong = F.raise_error(F.lit("flapping without a share of changes")).cast("string")
+    return F.when(end.isNotNull(), F.format_string(STOPPED, end, as_col(low))).when(start.isNotNull(), F.format_string(STARTED, start, as_col(high))).otherwise(wrong)
+
+
+def acknowledgement_message(set_time: Column | str, clear_time: Column | str, comment: Column | str, cleared_by: Column | str) -> Column:
+    """That (and by whom) it was cleared, if it was, else its comment; without either time it is an error."""
+    wrong = F.raise_error(F.lit("acknowledgement without a time")).cast("string")
+    return F.when(as_col(clear_time).isNotNull(), _by(CLEARED, "cleared", as_col(cleared_by))).when(as_col(set_time).isNotNull(), F.coalesce(as_col(comment), F.lit(ACKNOWLEDGED))).otherwise(wrong)
 
 
 def stream_id(c: Column | str) -> Column:

@@ -2,44 +2,89 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import sha1_id
 from .snapshot import snapshot_diff
 
 DEPTH = 10
+#: Bytes of rows that are sent on at a time.
+BATCH_BYTES = 4 << 20
+
+
+def _no_constant(text: str) -> str:
+    raise ValueError(f"not JSON: {text}")
+
+
+#: Numbers as they are written.
+_DECODER = json.JSONDecoder(parse_int=str, parse_float=str, parse_constant=_no_constant)
+#: Halves of characters that JSON escapes alone.
+_SURROGATES = re.compile("[\ud800-\udfff]")
 
 
-def flatten_json(df: DataFrame, name: str = "name", value: str = "value", depth: int = DEPTH) -> DataFrame:
-    """df with flatname and flatvalue, a row for each leaf of a JSON value.
+def leaves(name: str, text: str, depth: int = DEPTH) -> Iterator[tuple[str, str | None]]:
+    """(flatname, flatvalue) of each leaf of one JSON value."""
+    open_ = [(name, _DECODER.decode(text), 0)]
+    while open_:
+        path, value, level = open_.pop()
+        if isinstance(value, dict | list) and value:
+            if level >= depth:
+                raise ValueError(f"nested too deeply: {path}")
+            children = value.items() if isinstance(value, dict) else enumerate(value)
+            open_ += [(f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]", v, level + 1) for k, v in children]
+        elif isinstance(value, str):
+            yield _SURROGATES.sub("\ufffd", path), _SURROGATES.sub("\ufffd", value)
+        else:
+            yield _SURROGATES.sub("\ufffd", path), None if value in ({}, []) else {None: "null", True: "true", False: "false"}[value]
+
+
+def flatten_json(df: DataFrame, name: str = "name", value: str = "value", depth: int = DEPTH, keep: list[str] | None = None) -> DataFrame:
+    """df (or the columns to keep) with flatname and flatvalue, a row for each leaf of a JSON value; one pass over the rows.
 
     Children of objects are named a.b, of arrays a[0]. An empty container is a row without a value, JSON null the text null,
-    other leaves their JSON text (numbers with exponents as doubles). Containers below `depth` levels are an error.
+    other leaves their text; numbers stay as they are written. Of equal keys the last counts. Containers below `depth` levels
+    and bad JSON are errors; a value that is null has no rows. Columns named flatname or flatvalue are replaced.
     """
-    level = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(name).alias("path"), F.parse_json(F.col(value)).alias("v"))
-    done = None
-    for i in range(depth + 1):
-        text = F.to_json("v")
-        container, empty = text.startswith("{") | text.startswith("["), text.isin("{}", "[]")
-        value_text = F.when(F.is_variant_null("v"), "null").otherwise(F.col("v").cast("string"))
-        leaves = level.filter(~container | empty).select("row", F.col("path").alias("flatname"), F.when(~empty, value_text).alias("flatvalue"))
-        done = leaves if done is None else done.unionByName(leaves)
-        deeper = level.filter(container & ~empty)
-        if i == depth:
-            too_deep = F.raise_error(F.concat(F.lit("nested too deeply: "), F.col("path"))).cast("string")
-            done = done.unionByName(deeper.select("row", too_deep.alias("flatname"), F.lit(None).cast("string").alias("flatvalue")))
-            break
-        parts = deeper.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        path = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat("path", F.lit("."), "key"))
-        level = parts.select("row", path.alias("path"), F.col("value").alias("v"))
-    return done.select("row.*", "flatname", "flatvalue")
+    kept = [f for f in df.schema.fields if f.name not in ("flatname", "flatvalue") and (keep is None or f.name in keep)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, values, size = [], [], [], 0
+            others = batch.select(list(range(len(kept))))
+            paths, texts = batch.column(len(kept)), batch.column(len(kept) + 1)
+            for i in range(batch.num_rows):
+                if texts[i].is_valid and paths[i].is_valid:
+                    own = others.slice(i, 1).nbytes
+                    for flatname, flatvalue in leaves(paths[i].as_py(), texts[i].as_py(), depth):
+                        at.append(i)
+                        names.append(flatname)
+                        values.append(flatvalue)
+                        size += own + len(flatname) + len(flatvalue or "")
+                        if size >= BATCH_BYTES:
+                            yield made(others, at, names, values)
+                            at, names, values, size = [], [], [], 0
+            if at:
+                yield made(others, at, names, values)
+
+    def made(others: pa.RecordBatch, at: list[int], names: list[str], values: list[str | None]) -> pa.RecordBatch:
+        part = others.take(pa.array(at))
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(values, pa.string())], [*part.schema.names, "flatname", "flatvalue"])
+
+    own = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{name}`").alias("__path"), F.col(f"`{value}`").alias("__json"))
+    return own.mapInArrow(run, StructType([*kept, StructField("flatname", StringType()), StructField("flatvalue", StringType())]))
 
 
 def flatten_customvars(customvars: DataFrame, depth: int = DEPTH) -> DataFrame:
     """customvar → customvar_flat rows; the id is made of environment, variable, path and value."""
     own = customvars.select("environment_id", F.col("id").alias("customvar_id"), "name", F.col("value").alias("json"))
-    flat = flatten_json(own, "name", "json", depth)
+    flat = flatten_json(own, "name", "json", depth, ["environment_id", "customvar_id"])
     return flat.select(
         sha1_id("environment_id", "customvar_id", "flatname", "flatvalue").alias("id"), "environment_id", "customvar_id", F.sha1("flatname").alias("flatname_checksum"), "flatname", "flatvalue"
     )

@@ -49,7 +49,7 @@ def build_state_events(states: DataFrame, objects: DataFrame, base_url: str = "/
     events = found.filter("severity is not null").select(
         "environment_id", "object_type", "host_id", "service_id", "host_name", "service_name", "hard_state", "previous_hard_state",
         S.event_name("host_display_name", "service_display_name").alias("name"), S.event_url(base_url, "host_name", "service_name").alias("url"),
-        S.event_tags("host_name", "service_name").alias("tags"), S.message("output", "long_output").alias("message"), "severity",
+        S.event_tags("host_name", "service_name", "environment_id").alias("tags"), S.message("output", "long_output").alias("message"), "severity",
         is_muted.alias("muted"), S.muted_reason(*flags).alias("muted_reason"), F.lit(True).alias("incident"),
         S.close_flag("severity", is_muted).alias("close"), S.notify_flag("severity", is_muted, "hard_state", "previous_hard_state").alias("notify"),
     )

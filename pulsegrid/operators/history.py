@@ -59,8 +59,8 @@ def detail_rows(kind: str, events: DataFrame, order: list[str]) -> DataFrame:
 
 
 def user_rows(notifications: DataFrame, users: str = "users_notified_ids") -> DataFrame:
-    """Users of each notification, from a JSON array of ids; without the array there are none."""
-    each = notifications.select("environment_id", F.col("id").alias("notification_history_id"), F.explode(F.from_json(users, "array<string>")).alias("user_id"))
+    """Users of each notification, from a JSON array of ids; without the array there are none, a broken one is an error."""
+    each = notifications.select("environment_id", F.col("id").alias("notification_history_id"), F.explode(F.from_json(users, "array<string>", {"mode": "FAILFAST"})).alias("user_id"))
     return each.select(S.user_notification_id("notification_history_id", "user_id").alias("id"), "environment_id", "notification_history_id", "user_id").dropDuplicates(["id"])
 
 
@@ -78,6 +78,15 @@ def history_window(history: DataFrame, details: DataFrame, hosts: DataFrame, ref
     return part.join(details.select(*[F.col(c).alias(reference) if c == detail_key else F.col(c) for c in columns]), reference).join(own, "host_id")
 
 
+def with_notified_users(notifications: DataFrame, user_rows: DataFrame, users: DataFrame) -> DataFrame:
+    """notifications (with notification_history_id) with user_id and user_name of each user notified; null where there is none.
+
+    user_rows: notification_history_id and user_id; users: id and name.
+    """
+    named = users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
+    return notifications.join(user_rows.select("notification_history_id", "user_id"), "notification_history_id", "left").join(named, "user_id", "left")
+
+
 def same_history(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in which two writers' histories differ, leaving out who wrote them; empty if they agree."""
     left, right = (df.drop("endpoint_id") for df in (a, b))

@@ -30,8 +30,8 @@ def sla_downtime_rows(downtimes: DataFrame) -> DataFrame:
 
 
 def invalid_downtimes(downtimes: DataFrame) -> DataFrame:
-    """Downtimes that end before they start; sla_ok_percent leaves them out."""
-    return downtimes.filter("downtime_end < downtime_start")
+    """Downtimes that end before they start, or lack either time; sla_ok_percent leaves them out."""
+    return downtimes.filter("downtime_start is null or downtime_end is null or downtime_end < downtime_start")
 
 
 def _initial(asked: DataFrame, states: DataFrame, current: DataFrame | None) -> DataFrame:
@@ -41,9 +41,11 @@ def _initial(asked: DataFrame, states: DataFrame, current: DataFrame | None) ->
     """
     marks = asked.select("obj", F.col("start").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sid"), F.lit(None).cast("int").alias("hard"), F.lit(None).cast("int").alias("prev"), "start", "end")
     facts = states.select("obj", F.col("event_time").alias("t"), F.lit(0).alias("kind"), F.col("sid"), F.col("hard_state").cast("int").alias("hard"), F.col("previous_hard_state").cast("int").alias("prev"), F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"))
-    w = Window.partitionBy("obj").orderBy("t", "kind", "sid")
-    seen = F.last(F.when(F.col("kind") == 0, F.struct("hard")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    later = F.first(F.when(F.col("kind") == 0, F.struct("prev")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    order = [F.col(c) for c in ("t", "kind", "sid")]
+    forth, back = (Window.partitionBy("obj").orderBy(*o) for o in (order, [c.desc() for c in order]))
+    # frames that begin with the partition grow row by row; one that ends with it would be walked anew for every row
+    seen = F.last(F.when(F.col("kind") == 0, F.struct("hard")), ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0))
+    later = F.last(F.when(F.col("kind") == 0, F.struct("prev")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     out = marks.unionByName(facts).select("*", seen.alias("seen"), later.alias("later")).filter("kind = 1")
     state = F.coalesce(F.col("seen.hard"), F.col("later.prev"))
     if current is not None:
@@ -58,7 +60,8 @@ def sla_ok_percent(states: DataFrame, downtimes: DataFrame, intervals: DataFrame
     states: host_id, service_id, id, event_time, hard_state, previous_hard_state; downtimes: host_id, service_id,
     downtime_start, downtime_end; intervals: host_id, service_id, start, end, with end > start or an error; current:
     host_id, service_id, hard_state. Events meet intervals by object and time bucket, so many intervals of one object do
-    not multiply its events; each pair is taken in one bucket only.
+    not multiply its events; each pair is taken in one bucket only. Downtimes take the buckets from the first interval's start
+    to the last one's end at most, however long they are; see `invalid_downtimes` for those that are left out.
     """
     wrong = F.raise_error(F.lit("end time must be greater than start time")).cast("bigint")
     asked = intervals.select(object_key().alias("obj"), F.col("start").cast("bigint"), F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(wrong).cast("bigint").alias("end")).distinct()
@@ -68,8 +71,11 @@ def sla_ok_percent(states: DataFrame, downtimes: DataFrame, intervals: DataFrame
     facts = st.select(
         "obj", bucket("event_time").alias("b"), bucket("event_time").alias("b0"), F.col("event_time").alias("t1"), F.col("event_time").alias("t2"), "sid", F.col("hard_state").cast("int").alias("hard"), F.col("previous_hard_state").cast("int").alias("prev")
     )
-    down = downtimes.select(object_key().alias("obj"), "downtime_start", "downtime_end").filter("downtime_end >= downtime_start")
-    down = down.select("obj", F.explode(F.sequence(bucket("downtime_start"), bucket("downtime_end"))).alias("b"), bucket("downtime_start").alias("b0"), F.col("downtime_start").alias("t1"), F.col("downtime_end").alias("t2"))
+    span = asked.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
+    low, high = (F.lit(x or 0).cast("bigint") for x in span)
+    down = downtimes.select(object_key().alias("obj"), F.col("downtime_start").cast("bigint").alias("t1"), F.col("downtime_end").cast("bigint").alias("t2")).filter((F.col("t2") >= F.col("t1")) & (F.col("t1") < high) & (F.col("t2") >= low))
+    down = down.withColumn("b0", F.floor(F.greatest("t1", low) / bucket_ms))
+    down = down.select("obj", F.explode(F.sequence("b0", F.floor(F.least("t2", high) / bucket_ms))).alias("b"), "b0", "t1", "t2")
     facts = facts.unionByName(down.withColumns({"sid": F.lit(None).cast("string"), "hard": none, "prev": none}))
     spread = asked.select("obj", "start", "end", F.explode(F.sequence(bucket("start"), F.floor((F.col("end") - 1) / bucket_ms))).alias("b"))
     is_state = F.col("sid").isNotNull()

@@ -36,10 +36,3 @@ def apply_diff(actual: DataFrame, desired: DataFrame, diff: DataFrame, key: str
     kept = actual.join(diff.filter("op <> 'create'").select(key), key, "left_anti")
     fresh = desired.join(diff.filter("op <> 'delete'").select(key), key, "left_semi")
     return kept.unionByName(fresh.select(*actual.columns))
-
-
-def diff_stored(table_desired: DataFrame, table_actual: DataFrame, environment: str, key: str = "id", checksum: str | None = None) -> DataFrame:
-    """snapshot_diff within one environment."""
-    columns = [key] + ([checksum] if checksum else [])
-    of = lambda df: df.filter(F.col("environment_id") == environment).select(*columns)
-    return snapshot_diff(of(table_desired), of(table_actual), key, checksum)

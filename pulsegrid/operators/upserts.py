@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def fold_upserts(events: DataFrame, key: str, order: list[str | Column], mutable: list[str]) -> DataFrame:
@@ -24,9 +23,3 @@ def latest_changes(changes: DataFrame, keys: list[str], order: list[str]) -> Dat
     """The last change of each key by stream position."""
     last = F.max_by(F.struct(*[c for c in changes.columns if c not in keys]), F.struct(*order)).alias("last")
     return changes.groupBy(*keys).agg(last).select(*[F.col(c) if c in keys else F.col(f"last.{c}") for c in changes.columns])
-
-
-def latest_by_rank(changes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The same by row numbers, for rows whose columns cannot be ordered."""
-    by = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return changes.withColumn("__no", F.row_number().over(by)).filter("__no = 1").drop("__no")

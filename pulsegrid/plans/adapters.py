@@ -125,38 +125,44 @@ def dependencies(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def legacy(ev: DataFrame) -> dict[str, DataFrame]:
     """Legacy rows of all kinds from events, joined to their objects."""
     e, sec, usec = F.col("event_id"), F.expr("ms div 1000"), ((F.col("ms") % 1000) * 1000).cast("int")
+    timed = lambda c: F.when(e % 7 != 0, c)  # noqa: E731  # rows without a time are left out by the converters
     own = ev.withColumns({"objecttype_id": F.when(F.col("object_type") == "host", 1).otherwise(2), "name1": F.col("host_id"), "name2": F.coalesce("service_id", F.lit("")), "name": F.concat(F.lit("n"), e.cast("string"))})
     of = lambda *types: own.filter(F.col("event_type").isin(*types))
     obj, zero = ["objecttype_id", "name1", "name2"], F.lit(0).cast("bigint")
     later = F.when(e % 3 == 0, zero).otherwise(sec + 5)
     comment = of("signup").select(
-        e.alias("commenthistory_id"), sec.alias("entry_time"), usec.alias("entry_time_usec"), F.when(e % 2 == 0, 1).otherwise(4).alias("entry_type"), F.lit("me").alias("author_name"), F.lit("text").alias("comment_data"), F.lit(0).alias("is_persistent"),
+        e.alias("commenthistory_id"), timed(sec).alias("entry_time"), usec.alias("entry_time_usec"), F.when(e % 2 == 0, 1).otherwise(4).alias("entry_type"), F.lit("me").alias("author_name"), F.lit("text").alias("comment_data"), F.lit(0).alias("is_persistent"),
         zero.alias("expiration_time"), later.alias("deletion_time"), F.lit(0).alias("deletion_time_usec"), "name", *obj,
     )
     downtime = of("view").select(
-        e.alias("downtimehistory_id"), sec.alias("entry_time"), F.lit("me").alias("author_name"), F.lit("text").alias("comment_data"), F.lit(1).alias("is_fixed"), F.lit(60).cast("bigint").alias("duration"), sec.alias("scheduled_start_time"),
+        e.alias("downtimehistory_id"), sec.alias("entry_time"), F.lit("me").alias("author_name"), F.lit("text").alias("comment_data"), F.lit(1).alias("is_fixed"), F.lit(60).cast("bigint").alias("duration"), timed(sec).alias("scheduled_start_time"),
         F.when(e % 2 == 0, zero).otherwise(sec + 90).alias("scheduled_end_time"), F.when(e % 5 == 0, 0).otherwise(1).alias("was_started"), sec.alias("actual_start_time"), usec.alias("actual_start_time_usec"), later.alias("actual_end_time"),
         F.lit(0).alias("actual_end_time_usec"), F.when(e % 4 == 0, 1).otherwise(0).alias("was_cancelled"), zero.alias("trigger_time"), "name", F.lit("").alias("triggered_by"), *obj,
     )
     flapping = of("click", "view").select(
-        e.alias("flappinghistory_id"), sec.alias("event_time"), usec.alias("event_time_usec"), F.when(F.col("event_type") == "click", 1000).otherwise(1001).alias("event_type"), F.col("value").alias("percent_state_change"), F.lit(5.0).alias("low_threshold"), F.lit(9.0).alias("high_threshold"), *obj,
+        e.alias("flappinghistory_id"), timed(sec).alias("event_time"), usec.alias("event_time_usec"), F.when(F.col("event_type") == "click", 1000).otherwise(1001).alias("event_type"), F.col("value").alias("percent_state_change"), F.lit(5.0).alias("low_threshold"), F.lit(9.0).alias("high_threshold"), *obj,
     )
     notification = of("error").select(
-        e.alias("notification_id"), (e % 9).cast("int").alias("notification_reason"), sec.alias("end_time"), usec.alias("end_time_usec"), (F.col("user_id") % 4).cast("int").alias("state"), F.lit("out").alias("output"), F.when(e % 2 == 0, "long").alias("long_output"), F.lit(2).alias("contacts_notified"), *obj,
+        e.alias("notification_id"), (e % 9).cast("int").alias("notification_reason"), timed(sec).alias("end_time"), usec.alias("end_time_usec"), ((F.expr("event_id div 2") + F.col("user_id")) % 4).cast("int").alias("state"), F.lit("out").alias("output"), F.when(e % 2 == 0, "long").alias("long_output"), F.lit(2).alias("contacts_notified"), *obj,
     )
     state = of("error", "purchase", "signup", "click").select(
-        e.alias("statehistory_id"), sec.alias("state_time"), usec.alias("state_time_usec"), F.when(F.col("event_type") == "error", 5).when(F.col("event_type") == "purchase", 1).otherwise(0).alias("state"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("state_type"),
+        e.alias("statehistory_id"), timed(sec).alias("state_time"), usec.alias("state_time_usec"), F.when(F.col("event_type") == "error", 5).when(F.col("event_type") == "purchase", 1).otherwise(0).alias("state"), F.when(F.col("event_type") == "click", 0).otherwise(1).alias("state_type"),
         F.lit(1).alias("current_check_attempt"), F.lit(3).alias("max_check_attempts"), F.lit(0).alias("last_state"), (e % 3).cast("int").alias("last_hard_state"), F.lit("out").alias("output"), F.lit(None).cast("string").alias("long_output"), F.lit(None).cast("string").alias("check_source"), *obj,
     )
     return {"comment": comment, "acknowledgement": comment, "downtime": downtime, "flapping": flapping, "notification": notification, "state": state}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Where that is unset a local session gets a
+    local one; a cluster's executors could not read it, so there it is an error."""
+    import re
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shared-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-shared-")
     base = base if "://" in base or base.startswith("file:") else f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

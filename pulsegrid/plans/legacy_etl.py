@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.sequence import pair_start_end, previous_hard_state
+from ..operators.sequence import carry, pair_start_end, previous_hard_state
 from ..operators.upserts import fold_upserts
 from ..sources.schemas import UPSERTS, schema
 from ..sources.sinks import Progress, VersionedTable, insert_ignore, upsert
 
 FLAPPING_START, FLAPPING_END = 1000, 1001
+#: What names an object among legacy rows, once they are read.
+OBJECT = ["object_name", "objecttype_id"]
+#: The state column whose runs a kind's rows carry from one increment to the next.
+CARRIED = {"notification": "state", "state": "last_hard_state"}
 
 
 def with_objects(facts: DataFrame, objects: DataFrame, on: str = "object_id") -> DataFrame:
@@ -104,7 +108,7 @@ def convert_downtimes(env: str, rows: DataFrame) -> dict[str, DataFrame]:
 def convert_flapping(env: str, rows: DataFrame) -> dict[str, DataFrame]:
     """Starts insert a row, ends complete the row of the start just before them; an end without one is left out."""
     named = _meta(env, rows.filter(F.col("event_time").isNotNull())).withColumn("at", S.seconds_to_millis("event_time", "event_time_usec"))
-    own = pair_start_end(named, ["object_name", "objecttype_id"], ["flappinghistory_id"], F.col("event_type") != FLAPPING_END, "at").filter("start_time is not null")
+    own = pair_start_end(named, OBJECT, ["flappinghistory_id"], F.col("event_type") != FLAPPING_END, "at").filter("start_time is not null")
     ends = F.col("event_type") == FLAPPING_END
     own = own.withColumns({
         "id": S.sha1_id(F.lit(env), "object_name", "start_time"), "end_time": F.when(ends, F.col("at")), "percent_state_change_start": F.when(~ends, F.col("percent_state_change")),
@@ -116,9 +120,9 @@ def convert_flapping(env: str, rows: DataFrame) -> dict[str, DataFrame]:
     return {"flapping_history": _fit(detail, "flapping_history"), "history": events}
 
 
-def convert_notifications(env: str, rows: DataFrame, contacts: DataFrame) -> dict[str, DataFrame]:
+def convert_notifications(env: str, rows: DataFrame, contacts: DataFrame, carried: DataFrame | None = None) -> dict[str, DataFrame]:
     """Notifications with a time and a known reason; contacts: (notification_id, contact). States are not clamped here."""
-    named = previous_hard_state(_meta(env, rows), ["object_name", "objecttype_id"], ["notification_id"], "state")
+    named = previous_hard_state(_meta(env, rows), OBJECT, ["notification_id"], "state", carried=carried)
     own = named.withColumn("type", S.notification_reason("notification_reason", "state")).filter(F.col("end_time").isNotNull() & F.col("type").isNotNull())
     own = own.withColumn("send_time", S.seconds_to_millis("end_time", "end_time_usec"))
     own = own.withColumns({
@@ -131,9 +135,9 @@ def convert_notifications(env: str, rows: DataFrame, contacts: DataFrame) -> dic
     return {"notification_history": _fit(own, "notification_history"), "user_notification_history": _fit(users, "user_notification_history"), "history": events}
 
 
-def convert_states(env: str, rows: DataFrame) -> dict[str, DataFrame]:
+def convert_states(env: str, rows: DataFrame, carried: DataFrame | None = None) -> dict[str, DataFrame]:
     """State changes. Ids are made of host!service for both kinds of objects, so a host's name ends in !."""
-    named = previous_hard_state(_meta(env, rows), ["object_name", "objecttype_id"], ["statehistory_id"], "last_hard_state").filter(F.col("state_time").isNotNull())
+    named = previous_hard_state(_meta(env, rows), OBJECT, ["statehistory_id"], "last_hard_state", carried=carried).filter(F.col("state_time").isNotNull())
     at = S.seconds_to_millis("state_time", "state_time_usec")
     own = named.withColumns({"kind": S.state_type("state_type"), "event_time": at, "full_name": F.concat("name1", F.lit("!"), "name2")} | {c: S.clamp_state(c, "object_type") for c in ("state", "last_state", "last_hard_state")})
     own = own.withColumns({
@@ -155,26 +159,52 @@ CONVERTERS: dict[str, tuple[str, Callable[..., dict[str, DataFrame]]]] = {
 }
 
 
+def resumed(env: str, kind: str, rows: DataFrame, last_id: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of a kind beyond a mark, and what they need of those before it: the states that objects ended with (second
+    value); of flapping, an object's last row, which may be the start that the next one ends, is among the rows again."""
+    key = CONVERTERS[kind][0]
+    if last_id is None:
+        return rows, None
+    fresh, done = rows.filter(F.col(key) > last_id), rows.filter(F.col(key) <= last_id)
+    if kind in CARRIED:
+        state = CARRIED[kind]
+        own = _meta(env, done).select(*OBJECT, key, state)
+        return fresh, carry(previous_hard_state(own, OBJECT, [key], state), OBJECT, [key], state)
+    if kind == "flapping":
+        names = ["name1", "name2", "objecttype_id"]
+        last = done.filter(F.col("event_time").isNotNull()).groupBy(*names).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in names]), key).alias("x"))
+        fresh = last.select(*names, "x.*").select(*rows.columns).unionByName(fresh)
+    return fresh, None
+
+
 def migrate_history(env: str, sources: dict[str, DataFrame], tables: dict[str, VersionedTable], progress: Progress | None = None, contacts: DataFrame | None = None, from_ts: int = 0, to_ts: int = 2**62) -> None:
     """Convert all kinds and add what is new to the tables; a run that is repeated changes nothing.
 
-    Detail tables come before history and availability rows; a kind's mark is saved when all its tables are written.
+    With progress, a kind goes on after the last row that an earlier run has converted. Detail tables come before history and
+    availability rows; a kind's mark is saved when all its tables are written. Tables with a key get rows added, others are
+    written anew.
     """
     for kind, (key, convert) in CONVERTERS.items():
         if kind not in sources:
             continue
-        rows = sources[kind]
-        made = convert(env, rows, contacts) if kind == "notification" else convert(env, rows)
+        rows, carried = resumed(env, kind, sources[kind], progress.last_id(env, kind, from_ts, to_ts) if progress else None)
+        rows = rows.persist()
+        last = rows.agg(F.max(key)).first()[0]
+        if last is None:
+            continue
+        more = {"carried": carried} if kind in CARRIED else {}
+        made = convert(env, rows, contacts, **more) if kind == "notification" else convert(env, rows, **more)
         for name in sorted(made, key=lambda t: (t == "history", t.startswith("sla_"))):
-            target, id_column = tables[name].read(), UPSERTS[name][0]
+            table, id_column = tables[name], UPSERTS[name][0]
             if name == "flapping_history":
-                new = upsert(target, made[name].withColumn("__at", F.coalesce("end_time", "start_time")), id_column, ["__at"], UPSERTS[name][1])
+                table.merge(made[name].withColumn("__at", F.coalesce("end_time", "start_time")), lambda old, new, c=id_column: upsert(old, new, c, ["__at"], UPSERTS["flapping_history"][1]))
+            elif table.key:
+                table.append_new(made[name])
             else:
-                new = insert_ignore(target, made[name], id_column)
-            tables[name].write(new)
-        last = rows.agg(F.max(key)).first()[0]
-        if progress is not None and last is not None:
+                table.merge(made[name], lambda old, new, c=id_column: insert_ignore(old, new, c))
+        if progress is not None:
             progress.save(env, kind, from_ts, to_ts, last)
+        rows.unpersist()
 
 
 # backfills of stored rows

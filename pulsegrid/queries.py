@@ -301,13 +301,48 @@ def user_notifications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.user_rows(A.history_events(A.events(spark, sf_dir))["notification"])
 
 
-@query(f"WITH {HIST} SELECT h.id, h.event_time, c.c_name AS host_name, h.ref AS downtime_history_id FROM h JOIN customer c ON c.c_custkey::varchar = h.host_id WHERE kind = 'downtime' AND event_time > 1704500000000 AND event_time < 1705500000000")
-def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+LOW, HIGH = 1704500000000, 1705500000000
+#: For each kind, a time of its detail rows that is the event's own.
+_DETAIL = {"acknowledgement": "set_time", "comment": "entry_time", "downtime": "start_time", "flapping": "start_time", "notification": "send_time", "state": "event_time"}
+
+
+def _windowed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     kinds = A.history_events(A.events(spark, sf_dir))
     hosts = A.objects(spark, sf_dir)["hosts"].withColumn("id", F.col("id").cast("string"))
-    details = kinds["downtime"].select("downtime_id", "start_time", "end_time")
-    out = history.history_window(history.unify_history(kinds), details, hosts, "downtime_history_id", "downtime_id", 1704500000000, 1705500000000)
-    return out.select("id", "event_time", "host_name", "downtime_history_id")
+    _, key, reference = history.KINDS[kind]
+    details = kinds[kind].select(key, F.col(_DETAIL[kind]).alias("detail_ms"))
+    return history.history_window(history.unify_history(kinds), details, hosts, reference, key, LOW, HIGH)
+
+
+for _kind in history.KINDS:
+    QUERIES[f"history_window_{_kind}"] = lambda spark, sf_dir, kind=_kind: _windowed(spark, sf_dir, kind).select("id", "event_time", "host_name", history.KINDS[kind][2], "detail_ms")
+    ORACLE_SQL[f"history_window_{_kind}"] = f"WITH {HIST} SELECT h.id, h.event_time, c.c_name AS host_name, h.ref AS {history.KINDS[_kind][2]}, ev.ms AS detail_ms FROM h JOIN customer c ON c.c_custkey::varchar = h.host_id JOIN ev ON ev.event_id::varchar = h.id WHERE kind = '{_kind}' AND event_time > {LOW} AND event_time < {HIGH}"
+
+
+@query(f"WITH {HIST} SELECT h.id, h.event_time, c.c_name AS host_name, h.ref AS downtime_history_id FROM h JOIN customer c ON c.c_custkey::varchar = h.host_id WHERE kind = 'downtime' AND event_time > {LOW} AND event_time < {HIGH}")
+def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, "downtime").select("id", "event_time", "host_name", "downtime_history_id")
+
+
+@query(f"""WITH {HIST} SELECT h.id, c.c_name AS host_name, {sid('ev.user_id + k')} AS user_id, u.c_name AS user_name FROM h JOIN customer c ON c.c_custkey::varchar = h.host_id JOIN ev ON ev.event_id::varchar = h.id LEFT JOIN range(3) r(k) ON ev.event_id % 4 = 0
+LEFT JOIN customer u ON u.c_custkey = ev.user_id + k WHERE kind = 'notification' AND event_time > {LOW} AND event_time < {HIGH}""".replace(sid("ev.user_id + k"), f"CASE WHEN k IS NOT NULL THEN {sid('ev.user_id + k')} END"))
+def notified_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sent = A.history_events(A.events(spark, sf_dir))["notification"].filter("event_id % 4 = 0")
+    users = A.table(spark, sf_dir, "customer").select(S.sha1_id("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    window = _windowed(spark, sf_dir, "notification")
+    return history.with_notified_users(window, history.user_rows(sent), users).select("id", "host_name", "user_id", "user_name")
+
+
+@query(f"""WITH {EV} SELECT event_id::varchar AS id, CASE WHEN event_id % 2 = 0 THEN 'why ' || event_id::varchar WHEN event_id % 3 = 0 OR event_id % 4 <> 1 THEN 'Downtime expired' WHEN event_id % 8 = 1 THEN 'Downtime was cancelled (cancelled by me)' ELSE 'Downtime was cancelled' END AS message FROM ev WHERE event_type = 'view'
+UNION ALL SELECT event_id::varchar, CASE WHEN event_id % 2 = 0 THEN printf('Checkable started flapping (Current flapping value %.2f%% > high threshold %.2f%%)', value, 30.0::double) ELSE printf('Checkable stopped flapping (Current flapping value %.2f%% < low threshold %.2f%%)', value, 25.5::double) END FROM ev WHERE event_type = 'click'
+UNION ALL SELECT event_id::varchar, CASE WHEN event_id % 3 <> 0 THEN 'Acknowledgement was cleared' || CASE WHEN event_id % 5 = 0 THEN ' (cleared by me)' ELSE '' END WHEN event_id % 2 = 0 THEN 'why' ELSE 'Checkable was acknowledged' END FROM ev WHERE event_type = 'purchase'""")
+def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = A.history_events(A.events(spark, sf_dir))
+    e = F.col("event_id")
+    down = kinds["downtime"].select("event_id", S.downtime_message("event_type", F.concat(F.lit("why "), e.cast("string")), "has_been_cancelled", F.when(e % 8 == 1, "me")).alias("message"))
+    flapping = kinds["flapping"].select("event_id", S.flapping_message("value", F.when(e % 2 == 1, F.col("value")), F.lit(25.5), F.lit(30.0)).alias("message"))
+    acks = kinds["acknowledgement"].select("event_id", S.acknowledgement_message("set_time", "clear_time", F.when(e % 2 == 0, "why"), F.when(e % 5 == 0, "me")).alias("message"))
+    return down.unionByName(flapping).unionByName(acks).select(e.cast("string").alias("id"), "message")
 
 
 @query(f"WITH {HIST} SELECT cast(floor(min(event_time) / 1000) AS bigint) AS cut_over FROM h")
@@ -351,10 +386,16 @@ def retention_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # custom variables
 
 
-@query("SELECT event_id AS id, 'props.' || k AS flatname, CASE WHEN json_type(json_extract(props, '$.' || k)) = 'NULL' THEN 'null' ELSE json_extract_string(props, '$.' || k) END AS flatvalue FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+NESTED = """n AS (SELECT event_id AS id, props, '{"p": ' || props || ', "list": [' || event_id::varchar || ', null, {"e": ' || event_id::varchar || 'e7}], "empty": {}, "text": "a.b"}' AS j FROM events)"""
+
+
+@query(f"""WITH {NESTED} SELECT id, 'props.p.' || k AS flatname, json_extract_string(props, '$.' || k) AS flatvalue FROM (SELECT id, props, unnest(json_keys(props)) AS k FROM n)
+UNION ALL SELECT id, 'props.list[0]', id::varchar FROM n UNION ALL SELECT id, 'props.list[1]', 'null' FROM n UNION ALL SELECT id, 'props.list[2].e', id::varchar || 'e7' FROM n UNION ALL SELECT id, 'props.empty', NULL FROM n UNION ALL SELECT id, 'props.text', 'a.b' FROM n""")
 def flatten_customvars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("props").alias("name"), F.col("props").alias("json"))
-    return customvars.flatten_json(ev, "name", "json").select("id", "flatname", "flatvalue")
+    e = F.col("event_id").cast("string")
+    nested = F.concat(F.lit('{"p": '), "props", F.lit(', "list": ['), e, F.lit(', null, {"e": '), e, F.lit('e7}], "empty": {}, "text": "a.b"}'))
+    ev = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("props").alias("name"), nested.alias("json"))
+    return customvars.flatten_json(ev, "name", "json", keep=["id"])
 
 
 def _customvars(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -369,19 +410,22 @@ def object_flat_customvars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customvars.object_flat_customvars(links, own, customvars.flatten_customvars(own), "host_id")
 
 
-@query("SELECT user_id AS host_id, count(DISTINCT (event_id % 4)) AS n_vars FROM events WHERE event_id IN (SELECT min(event_id) FROM events GROUP BY user_id, event_id % 4) GROUP BY 1")
+@query("SELECT user_id AS host_id, 'v' || (event_id % 4)::varchar AS name, min_by(props, event_id) AS value FROM events GROUP BY 1, 2")
 def object_customvars(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, links = _customvars(spark, sf_dir)
     first = links.join(own.select(F.col("id").alias("customvar_id"), "name"), "customvar_id").groupBy("host_id", "name").agg(F.min(F.col("customvar_id").cast("bigint")).cast("string").alias("customvar_id"))
-    return customvars.object_customvars(first.select("host_id", "customvar_id"), own, "host_id").select("host_id", F.size("vars").cast("bigint").alias("n_vars"))
+    return customvars.object_customvars(first.select("host_id", "customvar_id"), own, "host_id").select("host_id", F.explode("vars").alias("name", "value"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (op = 'create') AS n_create, count(*) FILTER (op = 'delete') AS n_delete FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'create' ELSE 'delete' END AS op, unnest(json_keys(props)) FROM events WHERE (event_id % 3 = 0) <> (event_id % 5 = 0))")
+@query(f"""WITH p AS (SELECT event_id AS id, event_id % 3 <> 0 OR event_id % 15 = 0 AS desired, event_id % 5 <> 0 AS actual, 'v' || (event_id % 4)::varchar AS name, props FROM events)
+SELECT {sid("'env'", "id", "name || '.' || k", "json_extract_string(props, '$.' || k)")} AS id, CASE WHEN desired THEN 'create' ELSE 'delete' END AS op, 'flat' AS side FROM (SELECT *, unnest(json_keys(props)) AS k FROM p WHERE desired <> actual)
+UNION ALL SELECT id::varchar, CASE WHEN desired THEN 'create' ELSE 'delete' END, 'own' FROM p WHERE desired <> actual""")
 def customvar_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, _ = _customvars(spark, sf_dir)
-    desired, actual = own.filter("cast(id as bigint) % 3 = 0"), own.filter("cast(id as bigint) % 5 = 0")
-    _, flat = customvars.customvar_diff(desired, actual, customvars.flatten_customvars(actual))
-    return flat.agg(F.count("*").alias("n"), F.count_if(F.col("op") == "create").alias("n_create"), F.count_if(F.col("op") == "delete").alias("n_delete"))
+    e = F.col("id").cast("bigint")
+    desired, actual = own.filter((e % 3 != 0) | (e % 15 == 0)), own.filter(e % 5 != 0)
+    rows, flat = customvars.customvar_diff(desired, actual, customvars.flatten_customvars(actual))
+    return flat.withColumn("side", F.lit("flat")).unionByName(rows.withColumn("side", F.lit("own")))
 
 
 # objects and groups
@@ -408,7 +452,7 @@ def services_of_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATES_NOW = f"""{EV}, {RAW}, {ST}, last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, id DESC) = 1),
 ob AS (SELECT c_custkey AS user_id, c_name AS n, lower(c_name) AS d, c_custkey % 3 = 0 AS vol FROM customer),
 e AS (SELECT l.user_id, l.object_type, l.host_id, l.service_id, l.hard_state, l.previous_hard_state, h.n AS host_name, h.d AS host_display, s.n AS service_name, s.d AS service_display, l.user_id % 4 = 0 AS dt, l.user_id % 5 = 0 AS ack, l.user_id % 6 = 0 AS flap, l.id
-  FROM last l JOIN ob h ON h.user_id::varchar = l.host_id LEFT JOIN ob s ON s.user_id::varchar = l.service_id WHERE NOT (l.hard_state = 99 OR (l.hard_state = 0 AND l.previous_hard_state = 99)) AND (l.service_id IS NULL OR s.n IS NOT NULL)),
+  FROM last l JOIN ob h ON h.user_id::varchar = l.host_id LEFT JOIN ob s ON s.user_id::varchar = l.service_id WHERE NOT (l.hard_state = 99 OR (l.hard_state = 0 AND l.previous_hard_state = 99)) AND (l.service_id IS NULL OR s.n IS NOT NULL) AND (l.user_id % 9 <> 0 OR h.vol)),
 sev AS (SELECT *, CASE WHEN object_type = 'service' THEN ['ok', 'warning', 'crit', 'err'][hard_state + 1] ELSE ['ok', 'crit'][hard_state + 1] END AS severity, dt OR ack OR flap AS muted FROM e)"""
 
 
@@ -416,7 +460,7 @@ def _state_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     ev = A.events(spark, sf_dir)
     st = upserts.latest_changes(A.states(ev), ["user_id"], ["event_time", "id"])
     flag = lambda k: F.col("user_id") % k == 0
-    st = st.withColumns({"environment_id": F.lit(A.ENV), "state_type": F.lit("hard"), "output": F.concat(F.lit("event "), F.col("id").cast("string")), "long_output": F.when(flag(2), F.lit("more")), "in_downtime": flag(4), "is_acknowledged": flag(5), "is_flapping": flag(6)})
+    st = st.withColumns({"environment_id": F.lit(A.ENV), "state_type": F.when(flag(9), "soft").otherwise("hard"), "output": F.concat(F.lit("event "), F.col("id").cast("string")), "long_output": F.when(flag(2), F.lit("more")), "in_downtime": flag(4), "is_acknowledged": flag(5), "is_flapping": flag(6)})
     c = A.objects(spark, sf_dir)["hosts"].withColumn("id", F.col("id").cast("string"))
     hosts = c.select(F.col("id").alias("host_id"), F.col("name").alias("host_name"), F.col("display_name").alias("host_display_name"), "is_volatile")
     no = F.lit(None).cast("string")
@@ -425,13 +469,14 @@ def _state_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return enrich.build_state_events(st, objects)
 
 
-@query(f"""WITH {STATES_NOW} SELECT host_id, service_id, CASE WHEN service_id IS NULL THEN host_display ELSE host_display || ': ' || service_display END AS name,
+@query(f"""WITH {STATES_NOW} SELECT host_id, service_id, host_name || coalesce('/' || service_name, '') || '/env' AS tags, CASE WHEN service_id IS NULL THEN host_display ELSE host_display || ': ' || service_display END AS name,
 CASE WHEN service_id IS NULL THEN '/monitoring/host?name=' || replace(host_name, '#', '%23') ELSE '/monitoring/service?name=' || replace(service_name, '#', '%23') || '&host.name=' || replace(host_name, '#', '%23') END AS url,
 'event ' || id::varchar || CASE WHEN user_id % 2 = 0 THEN chr(10) || 'more' ELSE '' END AS message, severity, muted,
 CASE WHEN NOT muted THEN 'Checkable is not muted (no active downtime, no acknowledgement, and not flapping)' ELSE 'Checkable is muted due to' || CASE WHEN dt THEN ' currently active downtime' ELSE '' END || CASE WHEN ack AND dt THEN ', and an acknowledgement' WHEN ack THEN ' an acknowledgement' ELSE '' END
 || CASE WHEN flap AND (dt OR ack) THEN ', and flapping as well' WHEN flap THEN ' flapping state' ELSE '' END || '.' END AS muted_reason, severity = 'ok' AND NOT muted AS close, NOT (severity = 'ok' AND NOT muted) AND hard_state = previous_hard_state AS notify FROM sev WHERE severity IS NOT NULL""")
 def build_state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _state_events(spark, sf_dir)[0].select("host_id", "service_id", "name", "url", "message", "severity", "muted", "muted_reason", "close", "notify")
+    tags = F.concat_ws("/", F.col("tags")["host"], F.col("tags")["service"], F.col("tags")["environment"])
+    return _state_events(spark, sf_dir)[0].select("host_id", "service_id", tags.alias("tags"), "name", "url", "message", "severity", "muted", "muted_reason", "close", "notify")
 
 
 @query(f"WITH {STATES_NOW} SELECT host_id, service_id, hard_state FROM sev WHERE severity IS NULL")
@@ -440,7 +485,9 @@ def rejected_state_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {STATES_NOW} SELECT s.host_id, s.service_id, CASE WHEN s.service_id IS NULL THEN (SELECT count(*) FROM orders WHERE o_custkey::varchar = s.host_id) ELSE (SELECT count(*) FROM orders WHERE o_orderkey::varchar = s.service_id) END AS n_services,
-(SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey::varchar = s.host_id) AS hostgroup, s.object_type AS type FROM sev s WHERE severity IS NOT NULL""")
+(SELECT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey::varchar = s.host_id) AS hostgroup, s.object_type AS type,
+(SELECT string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) FROM orders WHERE CASE WHEN s.service_id IS NULL THEN o_custkey::varchar = s.host_id ELSE o_orderkey::varchar = s.service_id END) AS servicegroups,
+(s.host_id::bigint % 3 = 0)::varchar AS host_volatile, (SELECT o_orderstatus FROM orders WHERE o_orderkey::varchar = s.service_id) AS service_status FROM sev s WHERE severity IS NOT NULL""")
 def enrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev, _ = _state_events(spark, sf_dir)
     o = A.objects(spark, sf_dir)
@@ -451,8 +498,11 @@ def enrich_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     hv = text(o["hosts"].select(F.col("id").alias("host_id"), F.create_map(F.lit("volatile"), F.col("is_volatile").cast("string")).alias("vars")), "host_id")
     sv = text(o["services"].select(F.col("id").alias("service_id"), F.create_map(F.lit("status"), F.col("display_name")).alias("vars")), "service_id")
     out = enrich.enrich_events(ev, text(o["services"], "id", "host_id"), hg, sg, hsg, hv, sv)
-    r = F.from_json("relations", "services array<struct<name:string>>, hostgroups array<struct<name:string>>, object struct<type:string>")
-    return out.select("host_id", "service_id", F.coalesce(F.size(r["services"]), F.lit(0)).cast("bigint").alias("n_services"), r["hostgroups"][0]["name"].alias("hostgroup"), r["object"]["type"].alias("type"))
+    r = F.from_json("relations", "services array<struct<name:string>>, hostgroups array<struct<name:string>>, servicegroups array<struct<name:string>>, object struct<type:string>, vars struct<host:map<string,string>,service:map<string,string>>")
+    return out.select(
+        "host_id", "service_id", F.coalesce(F.size(r["services"]), F.lit(0)).cast("bigint").alias("n_services"), r["hostgroups"][0]["name"].alias("hostgroup"), r["object"]["type"].alias("type"),
+        F.when(F.size(r["servicegroups"]) > 0, F.array_join(r["servicegroups"]["name"], ",")).alias("servicegroups"), r["vars"]["host"]["volatile"].alias("host_volatile"), r["vars"]["service"]["status"].alias("service_status"),
+    )
 
 
 @query(f"WITH {STATES_NOW} SELECT CASE WHEN service_id IS NULL THEN {sid(chr(39) + 'env' + chr(39), 'host_name')} ELSE {sid(chr(39) + 'env' + chr(39), 'host_name || chr(33) || service_name')} END AS object_id, severity FROM sev WHERE severity IS NOT NULL")
@@ -531,14 +581,25 @@ def recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 # counts
 
 
-@query("SELECT CASE WHEN event_id <= 400 THEN 1 ELSE 0 END AS migrated, count(*) AS n FROM events WHERE event_id BETWEEN 100 AND 900 GROUP BY 1")
+BOUNDS = "b AS (SELECT min(event_id) AS low, (min(event_id) + max(event_id)) // 2 AS mid, max(event_id) AS high FROM events)"
+
+
+def _bounds(events: DataFrame) -> tuple[int, int, int]:
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    return low, (low + high) // 2, high
+
+
+@query(f"WITH {BOUNDS} SELECT CASE WHEN event_id <= mid THEN 1 ELSE 0 END AS migrated, count(*) AS n FROM events, b GROUP BY 1")
 def migration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.migration_counts(A.table(spark, sf_dir, "events"), "event_id", 400, 100, 900)
+    events = A.table(spark, sf_dir, "events")
+    low, mid, high = _bounds(events)
+    return audit.migration_counts(events, "event_id", mid, low, high)
 
 
-@query("SELECT count(*) AS n FROM events JOIN customer ON c_custkey = user_id WHERE event_id <= 800")
+@query("SELECT count(*) AS n FROM events JOIN customer ON c_custkey = user_id")
 def joined_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.joined_count(A.table(spark, sf_dir, "events"), A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "event_id", 800)
+    events = A.table(spark, sf_dir, "events")
+    return audit.joined_count(events, A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id")), "user_id", "event_id", _bounds(events)[2])
 
 
 @query("SELECT c_nationkey AS environment_id, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1 HAVING count(*) > 1")
@@ -572,9 +633,12 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.keyset_page(A.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 123, 200)
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id BETWEEN 201 AND 700")
+@query(f"WITH {BOUNDS} SELECT event_id, user_id, CASE WHEN event_id <= mid THEN 1 ELSE 2 END AS run FROM events, b")
 def read_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.read_legacy(spark, f"{sf_dir}/events.parquet", "event_id", 100, 700, 200).select("event_id", "user_id")
+    path = f"{sf_dir}/events.parquet"
+    low, mid, high = _bounds(A.table(spark, sf_dir, "events"))
+    runs = [scans.read_legacy(spark, path, "event_id", low, mid), scans.read_legacy(spark, path, "event_id", low, high, mid)]
+    return runs[0].select("event_id", "user_id", F.lit(1).alias("run")).unionByName(runs[1].select("event_id", "user_id", F.lit(2).alias("run")))
 
 
 @query("SELECT source, max(epoch_us(ts) // 1000) AS last_ms FROM (SELECT user_id::varchar AS source, ts FROM events) GROUP BY 1 HAVING max(epoch_us(ts) // 1000) + 65000 < 1706500000000")
@@ -591,7 +655,8 @@ def silent_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE event_id % 5 WHEN 1 THEN 'comment' WHEN 4 THEN 'ack' ELSE (event_id % 5)::varchar END AS entry_type, CASE event_id % 3 WHEN 0 THEN 'soft' WHEN 1 THEN 'hard' ELSE '2' END AS state_type,
 CASE event_id % 9 WHEN 0 THEN CASE WHEN user_id % 3 = 0 THEN 'recovery' ELSE 'problem' END WHEN 1 THEN 'acknowledgement' WHEN 2 THEN 'flapping_start' WHEN 3 THEN 'flapping_end' WHEN 5 THEN 'downtime_start' WHEN 6 THEN 'downtime_end' WHEN 7 THEN 'downtime_removed' WHEN 8 THEN 'custom' END AS reason,
 CASE WHEN event_id % 7 = 6 THEN 99 ELSE least(event_id % 7, CASE WHEN object_type = 'host' THEN 1 ELSE 3 END) END AS clamped, CASE WHEN event_id % 10 = 0 AND event_id % 4 = 0 THEN NULL ELSE (event_id % 10) * 1000 + (event_id % 4) * 1000 // 1000 END AS at_ms,
-CASE WHEN event_id % 6 - 2 < 0 THEN 0 ELSE (event_id % 6 - 2) * 1000 END AS capped, host_id || '!' || coalesce(service_id, '') || '-' || event_id::varchar AS name, CASE WHEN user_id % 2 = 1 THEN CASE WHEN event_id % 2 = 0 THEN 'crit' ELSE 'warning' END END AS severity FROM ev""")
+CASE WHEN event_id % 6 - 2 < 0 THEN 0 ELSE (event_id % 6 - 2) * 1000 END AS capped, host_id || '!' || coalesce(service_id, '') || '-' || event_id::varchar AS name, CASE WHEN user_id % 2 = 1 THEN CASE WHEN event_id % 2 = 0 THEN 'crit' ELSE 'warning' END END AS severity,
+CASE WHEN event_id % 4 = 0 THEN 0 ELSE ms // 1000 END AS unix, coalesce(['downtime_start', 'downtime_end', 'downtime_removed', 'custom', 'acknowledgement', 'problem', 'recovery', 'flapping_start', 'flapping_end'][event_id % 10 + 1], '512') AS notification FROM ev""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = A.events(spark, sf_dir)
     e = F.col("event_id")
@@ -599,6 +664,7 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", S.sha1_id(F.lit("env"), "event_type", "user_id").alias("id"), S.service_id(F.lit("env"), "host_id", "service_id").alias("service_id"), S.entry_type(e % 5).alias("entry_type"), S.state_type(e % 3).alias("state_type"),
         S.notification_reason(e % 9, F.col("user_id") % 3).alias("reason"), S.clamp_state(F.when(e % 7 == 6, 99).otherwise(e % 7), "object_type").alias("clamped"), S.seconds_to_millis(e % 10, (e % 4) * 1000).alias("at_ms"),
         S.capped_seconds(e % 6 - 2).cast("bigint").alias("capped"), S.synthetic_name("host_id", "service_id", e).alias("name"), F.when(F.col("user_id") % 2 == 1, S.severity("object_type", F.when(e % 2 == 0, 2).otherwise(1))).alias("severity"),
+        S.unix_or_zero(F.when(e % 4 != 0, F.timestamp_millis("ms"))).alias("unix"), S.notification_type(F.pow(F.lit(2), e % 10).cast("int")).alias("notification"),
     )
 
 
@@ -608,12 +674,18 @@ def name_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.groupBy("name").agg(F.count("*").alias("n")).select(F.lower(F.collate("name", "UTF8_BINARY")).alias("name"), "n")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'c0000200' END AS v4, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 2 = 0 THEN '00000000000000000000ffffc0000200' ELSE '20010db8000000000000000000000000' END AS v6 FROM (SELECT event_id FROM events WHERE event_id % 6 <> 0 AND event_id % 6 <> 4 AND event_id % 6 <> 2 OR event_id % 6 IN (2, 4))")
+@query("""WITH a AS (SELECT event_id, event_id % 6 AS f, printf('0a%02x%02x%02x', event_id // 65536 % 256, event_id // 256 % 256, event_id % 256) AS d, printf('20010db80000000000000000%04x%04x', event_id // 65536 % 65536, event_id % 65536) AS x FROM events)
+SELECT event_id, CASE WHEN f IN (2, 4) THEN d END AS v4, CASE WHEN f IN (2, 4) THEN '00000000000000000000ffff' || d WHEN f = 1 THEN x END AS v6 FROM a""")
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .functions.addresses import ipv4_bytes, ipv6_bytes
 
     e = F.col("event_id")
-    ev = A.table(spark, sf_dir, "events").filter(e % 6 != 0).withColumn("ip", F.when(e % 6 == 2, "192.0.2.0").when(e % 6 == 4, "::ffff:192.0.2.0").when(e % 6 == 3, "invalid").otherwise("2001:db8::"))
+    byte = lambda n: F.expr(f"event_id div {n} % 256").cast("string")
+    v4 = F.concat_ws(".", F.lit("10"), byte(65536), byte(256), byte(1))
+    v6 = F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.expr("event_id div 65536 % 65536"))), F.lit(":"), F.lower(F.hex(e % 65536)))
+    form = {1: v6, 2: v4, 3: F.concat(F.lit("no address "), e.cast("string")), 4: F.concat(F.lit("::ffff:"), v4), 5: F.concat(v6, F.lit("%eth0"))}
+    ip = F.coalesce(*[F.when(e % 6 == k, c) for k, c in form.items()])  # null for the rest
+    ev = A.table(spark, sf_dir, "events").withColumn("ip", ip)
     return ev.select("event_id", F.lower(F.hex(ipv4_bytes("ip"))).alias("v4"), F.lower(F.hex(ipv6_bytes("ip"))).alias("v6"))
 
 
@@ -672,33 +744,108 @@ def _legacy_query(name: str, kind: str, table: str, columns: tuple[str, ...], sq
 
 
 _REMOVED = "CASE WHEN event_id % 3 <> 0 THEN (ms // 1000 + 5) * 1000 END"
-_legacy_query("convert_comments", "comment", "history", ("id", "event_type", "event_time", "comment_history_id"), f"""SELECT {sid(ENV_, "'comment_add'", 'name')} AS id, 'comment_add' AS event_type, ms AS event_time, {sid(ENV_, 'name')} AS comment_history_id FROM o WHERE event_type = 'signup' AND event_id % 2 = 0
-UNION ALL SELECT {sid(ENV_, "'comment_remove'", 'name')}, 'comment_remove', {_REMOVED}, {sid(ENV_, 'name')} FROM o WHERE event_type = 'signup' AND event_id % 2 = 0 AND event_id % 3 <> 0""")
-_legacy_query("convert_acks", "acknowledgement", "acknowledgement_history", ("id", "object_type", "set_time", "clear_time"), f"SELECT {sid(ENV_, 'obj', 'ms')} AS id, object_type, ms AS set_time, {_REMOVED} AS clear_time FROM o WHERE event_type = 'signup' AND event_id % 2 = 1")
-_legacy_query("convert_downtimes", "downtime", "sla_history_downtime", ("downtime_id", "downtime_start", "downtime_end"), f"""SELECT {sid(ENV_, 'name')} AS downtime_id, ms AS downtime_start, CASE WHEN event_id % 4 = 0 THEN {_REMOVED} ELSE coalesce({_REMOVED}, (ms // 1000 + CASE WHEN event_id % 2 = 0 THEN 60 ELSE 90 END) * 1000) END AS downtime_end FROM o WHERE event_type = 'view' AND event_id % 5 <> 0""")
-_legacy_query("convert_flapping", "flapping", "flapping_history", ("id", "start_time", "end_time", "percent_state_change_start", "percent_state_change_end"), f"""SELECT {sid(ENV_, 'obj', 'ms')} AS id, ms AS start_time, CASE WHEN nt = 'view' THEN nms END AS end_time, value AS percent_state_change_start, CASE WHEN nt = 'view' THEN nv END AS percent_state_change_end
-FROM (SELECT *, lead(event_type) OVER w AS nt, lead(ms) OVER w AS nms, lead(value) OVER w AS nv FROM o WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY obj ORDER BY event_id)) WHERE event_type = 'click'""")
-_legacy_query("convert_notifications", "notification", "notification_history", ("type", "send_time", "state", "previous_hard_state", "text"), """SELECT type, send_time, state, previous_hard_state, text FROM (SELECT CASE event_id % 9 WHEN 0 THEN CASE WHEN user_id % 4 = 0 THEN 'recovery' ELSE 'problem' END WHEN 1 THEN 'acknowledgement' WHEN 2 THEN 'flapping_start' WHEN 3 THEN 'flapping_end' WHEN 5 THEN 'downtime_start' WHEN 6 THEN 'downtime_end' WHEN 7 THEN 'downtime_removed' WHEN 8 THEN 'custom' END AS type,
-ms AS send_time, user_id % 4 AS state, 99 AS previous_hard_state, 'out' || CASE WHEN event_id % 2 = 0 THEN chr(10) || chr(10) || 'long' ELSE '' END AS text FROM o WHERE event_type = 'error') WHERE type IS NOT NULL""")
-_legacy_query("convert_states", "state", "state_history", ("id", "event_time", "soft_state", "hard_state", "previous_hard_state", "state_type"), f"""SELECT {sid(ENV_, "name1 || '!' || name2", 'ms')} AS id, ms AS event_time, s AS soft_state, CASE WHEN event_type = 'click' THEN least(event_id % 3, CASE WHEN object_type = 'host' THEN 1 ELSE 3 END) ELSE s END AS hard_state,
-coalesce(last_value(CASE WHEN b <> event_id % 3 THEN b END IGNORE NULLS) OVER (PARTITION BY obj ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 99) AS previous_hard_state, CASE WHEN event_type = 'click' THEN 'soft' ELSE 'hard' END AS state_type
-FROM (SELECT *, lag(event_id % 3) OVER (PARTITION BY obj ORDER BY event_id) AS b, CASE WHEN event_type = 'error' THEN CASE WHEN object_type = 'host' THEN 1 ELSE 3 END WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS s FROM o WHERE event_type <> 'view')""")
+_COMMENT, _ACK = "FROM o WHERE event_type = 'signup' AND event_id % 2 = 0 AND event_id % 7 <> 0", "FROM o WHERE event_type = 'signup' AND event_id % 2 = 1 AND event_id % 7 <> 0"
+_legacy_query("convert_comments", "comment", "history", ("id", "event_type", "event_time", "comment_history_id"), f"""SELECT {sid(ENV_, "'comment_add'", 'name')} AS id, 'comment_add' AS event_type, ms AS event_time, {sid(ENV_, 'name')} AS comment_history_id {_COMMENT}
+UNION ALL SELECT {sid(ENV_, "'comment_remove'", 'name')}, 'comment_remove', {_REMOVED}, {sid(ENV_, 'name')} {_COMMENT} AND event_id % 3 <> 0""")
+_legacy_query("convert_comments_detail", "comment", "comment_history", ("comment_id", "entry_time", "remove_time", "has_been_removed", "entry_type"), f"SELECT {sid(ENV_, 'name')} AS comment_id, ms AS entry_time, {_REMOVED} AS remove_time, event_id % 3 <> 0 AS has_been_removed, 'comment' AS entry_type {_COMMENT}")
+_legacy_query("convert_acks", "acknowledgement", "acknowledgement_history", ("id", "object_type", "set_time", "clear_time"), f"SELECT {sid(ENV_, 'obj', 'ms')} AS id, object_type, ms AS set_time, {_REMOVED} AS clear_time {_ACK}")
+_legacy_query("convert_acks_history", "acknowledgement", "history", ("id", "event_type", "event_time", "acknowledgement_history_id"), f"""SELECT {sid(ENV_, "'ack_set'", 'obj', 'ms')} AS id, 'ack_set' AS event_type, ms AS event_time, {sid(ENV_, 'obj', 'ms')} AS acknowledgement_history_id {_ACK}
+UNION ALL SELECT {sid(ENV_, "'ack_clear'", 'obj', 'ms')}, 'ack_clear', {_REMOVED}, {sid(ENV_, 'obj', 'ms')} {_ACK} AND event_id % 3 <> 0""")
+_DOWN = "FROM o WHERE event_type = 'view' AND event_id % 5 <> 0 AND event_id % 7 <> 0"
+_ENDED = f"CASE WHEN event_id % 4 = 0 THEN {_REMOVED} ELSE coalesce({_REMOVED}, (ms // 1000 + CASE WHEN event_id % 2 = 0 THEN 60 ELSE 90 END) * 1000) END"
+_legacy_query("convert_downtimes", "downtime", "sla_history_downtime", ("downtime_id", "downtime_start", "downtime_end"), f"SELECT {sid(ENV_, 'name')} AS downtime_id, ms AS downtime_start, {_ENDED} AS downtime_end {_DOWN}")
+_legacy_query("convert_downtimes_detail", "downtime", "downtime_history", ("downtime_id", "start_time", "end_time", "scheduled_end_time", "has_been_cancelled", "cancel_time"), f"""SELECT {sid(ENV_, 'name')} AS downtime_id, ms AS start_time, coalesce({_REMOVED}, (ms // 1000 + CASE WHEN event_id % 2 = 0 THEN 60 ELSE 90 END) * 1000) AS end_time,
+(ms // 1000 + CASE WHEN event_id % 2 = 0 THEN 60 ELSE 90 END) * 1000 AS scheduled_end_time, event_id % 4 = 0 AS has_been_cancelled, CASE WHEN event_id % 4 = 0 THEN {_REMOVED} END AS cancel_time {_DOWN}""")
+_legacy_query("convert_downtimes_history", "downtime", "history", ("id", "event_type", "event_time", "downtime_history_id"), f"""SELECT {sid(ENV_, "'downtime_start'", 'name')} AS id, 'downtime_start' AS event_type, ms AS event_time, {sid(ENV_, 'name')} AS downtime_history_id {_DOWN}
+UNION ALL SELECT {sid(ENV_, "'downtime_end'", 'name')}, 'downtime_end', {_ENDED}, {sid(ENV_, 'name')} {_DOWN} AND event_id % 3 <> 0""")
+_FLAP = "(SELECT *, lead(event_type) OVER w AS nt, lead(ms) OVER w AS nms, lead(value) OVER w AS nv FROM o WHERE event_type IN ('click', 'view') AND event_id % 7 <> 0 WINDOW w AS (PARTITION BY obj ORDER BY event_id)) WHERE event_type = 'click'"
+_legacy_query("convert_flapping", "flapping", "flapping_history", ("id", "start_time", "end_time", "percent_state_change_start", "percent_state_change_end"), f"""SELECT {sid(ENV_, 'obj', 'ms')} AS id, ms AS start_time, CASE WHEN nt = 'view' THEN nms END AS end_time, value AS percent_state_change_start, CASE WHEN nt = 'view' THEN nv END AS percent_state_change_end FROM {_FLAP}""")
+_legacy_query("convert_flapping_history", "flapping", "history", ("id", "event_type", "event_time", "flapping_history_id"), f"""SELECT {sid(ENV_, "'flapping_start'", 'obj', 'ms')} AS id, 'flapping_start' AS event_type, ms AS event_time, {sid(ENV_, 'obj', 'ms')} AS flapping_history_id FROM {_FLAP}
+UNION ALL SELECT {sid(ENV_, "'flapping_end'", 'obj', 'ms')}, 'flapping_end', nms, {sid(ENV_, 'obj', 'ms')} FROM {_FLAP} AND nt = 'view'""")
+#: Notifications: the state of every row counts for the next ones' previous state; rows without a time or a known reason are left out.
+_NOTE = """(SELECT *, CASE event_id % 9 WHEN 0 THEN CASE WHEN s = 0 THEN 'recovery' ELSE 'problem' END WHEN 1 THEN 'acknowledgement' WHEN 2 THEN 'flapping_start' WHEN 3 THEN 'flapping_end' WHEN 5 THEN 'downtime_start' WHEN 6 THEN 'downtime_end' WHEN 7 THEN 'downtime_removed' WHEN 8 THEN 'custom' END AS type,
+coalesce(last_value(CASE WHEN b <> s THEN b END IGNORE NULLS) OVER (PARTITION BY obj ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 99) AS prev FROM (SELECT *, (event_id // 2 + user_id) % 4 AS s, lag((event_id // 2 + user_id) % 4) OVER (PARTITION BY obj ORDER BY event_id) AS b FROM o WHERE event_type = 'error')) WHERE type IS NOT NULL AND event_id % 7 <> 0"""
+_NOTE_ID = sid(ENV_, "event_id", "type", "ms")
+_legacy_query("convert_notifications", "notification", "notification_history", ("id", "type", "send_time", "state", "previous_hard_state", "text"), f"SELECT {_NOTE_ID} AS id, type, ms AS send_time, s AS state, prev AS previous_hard_state, 'out' || CASE WHEN event_id % 2 = 0 THEN chr(10) || chr(10) || 'long' ELSE '' END AS text FROM {_NOTE}")
+_legacy_query("convert_notifications_history", "notification", "history", ("id", "event_type", "event_time", "notification_history_id"), f"""SELECT {sid(ENV_, "'notification'", 'event_id', 'type', 'ms')} AS id, 'notification' AS event_type, ms AS event_time, {_NOTE_ID} AS notification_history_id FROM {_NOTE}""")
+_legacy_query("convert_notifications_users", "notification", "user_notification_history", ("id", "notification_history_id", "user_id"), f"""SELECT sha1(unhex({_NOTE_ID}) || unhex({sid(ENV_, 'c')})) AS id, {_NOTE_ID} AS notification_history_id, {sid(ENV_, 'c')} AS user_id FROM (SELECT * FROM {_NOTE}), (VALUES ('ann'), ('bob')) v(c)""")
+_STATE = """(SELECT *, CASE WHEN event_type = 'click' THEN least(event_id % 3, CASE WHEN object_type = 'host' THEN 1 ELSE 3 END) ELSE s END AS hard, CASE WHEN event_type = 'click' THEN 'soft' ELSE 'hard' END AS kind,
+coalesce(last_value(CASE WHEN b <> event_id % 3 THEN b END IGNORE NULLS) OVER (PARTITION BY obj ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 99) AS prev
+FROM (SELECT *, lag(event_id % 3) OVER (PARTITION BY obj ORDER BY event_id) AS b, CASE WHEN event_type = 'error' THEN CASE WHEN object_type = 'host' THEN 1 ELSE 3 END WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS s FROM o WHERE event_type <> 'view')) WHERE event_id % 7 <> 0"""
+_STATE_ID = sid(ENV_, "name1 || '!' || name2", "ms")
+_legacy_query("convert_states", "state", "state_history", ("id", "event_time", "soft_state", "hard_state", "previous_hard_state", "state_type"), f"SELECT {_STATE_ID} AS id, ms AS event_time, s AS soft_state, hard AS hard_state, prev AS previous_hard_state, kind AS state_type FROM {_STATE}")
+_legacy_query("convert_states_history", "state", "history", ("id", "event_type", "event_time", "state_history_id"), f"""SELECT {sid(ENV_, "'state_change'", "name1 || '!' || name2", 'ms')} AS id, 'state_change' AS event_type, ms AS event_time, {_STATE_ID} AS state_history_id FROM {_STATE}""")
+_legacy_query("convert_states_sla", "state", "sla_history_state", ("id", "event_time", "hard_state", "previous_hard_state"), f"SELECT {_STATE_ID} AS id, ms AS event_time, hard AS hard_state, prev AS previous_hard_state FROM {_STATE} AND kind = 'hard'")
+
+
+def _migrated(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[dict, object]:
+    """The tables after two runs: of the first half of the legacy rows, and of all, going on after the first run's marks."""
+    from .plans import legacy_etl
+    from .sources.schemas import SCHEMAS, UPSERTS
+
+    base = A.scratch(spark, "migration")
+    ev = A.events(spark, sf_dir)
+    sources = {k: rows for k, rows in A.legacy(ev).items() if not kinds or k in kinds}
+    mid = _bounds(ev)[1]
+    contacts = ev.select(F.col("event_id").alias("notification_id"), F.explode(F.array(F.lit("ann"), F.lit("bob"))).alias("contact"))
+    tables = {t: sinks.VersionedTable(spark, f"{base}/{t}", SCHEMAS[t], key, 2) for t, (key, _) in UPSERTS.items()}
+    progress = sinks.Progress(sinks.VersionedTable(spark, f"{base}/progress", SCHEMAS["migration_progress"]))
+    half = {kind: rows.filter(F.col(legacy_etl.CONVERTERS[kind][0]) <= mid) for kind, rows in sources.items()}
+    for part in (half, sources):
+        legacy_etl.migrate_history(A.ENV, part, tables, progress, contacts)
+    return tables, progress
+
+
+_ALL = ("convert_comments", "convert_acks_history", "convert_downtimes_history", "convert_flapping_history", "convert_notifications_history", "convert_states_history")
+
+
+def _part(name: str) -> str:
+    return "(" + ORACLE_SQL[name].removeprefix(f"WITH {LEGACY} ") + ")"
+
+
+@query(f"WITH {LEGACY} " + " UNION ALL ".join(f"SELECT id, event_type AS what, event_time AS at, NULL AS previous_hard_state FROM {_part(q)}" for q in _ALL)
+       + f" UNION ALL SELECT id, 'sent', send_time, previous_hard_state FROM {_part('convert_notifications')} UNION ALL SELECT id, 'state', event_time, previous_hard_state FROM {_part('convert_states')} UNION ALL SELECT id, 'flapping', end_time, NULL FROM {_part('convert_flapping')}")
+def migrate_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unified table, and what depends on earlier rows: it comes out of two runs as out of one."""
+    tables, _ = _migrated(spark, sf_dir)
+    no = F.lit(None).cast("int").alias("previous_hard_state")
+    sent = tables["notification_history"].read().select("id", F.lit("sent").alias("what"), F.col("send_time").alias("at"), "previous_hard_state")
+    states = tables["state_history"].read().select("id", F.lit("state").alias("what"), F.col("event_time").alias("at"), "previous_hard_state")
+    flapping = tables["flapping_history"].read().select("id", F.lit("flapping").alias("what"), F.col("end_time").alias("at"), no)
+    return tables["history"].read().select("id", F.col("event_type").alias("what"), F.col("event_time").alias("at"), no).unionByName(sent).unionByName(states).unionByName(flapping)
+
+
+@query("SELECT 'flapping' AS kind, max(event_id) AS last_id FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT 'state', max(event_id) FROM events WHERE event_type <> 'view'")
+def migration_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    progress = _migrated(spark, sf_dir, "flapping", "state")[1]
+    return progress.table.read().select(F.col("history_type").alias("kind"), "last_id")
 
 
 # streams over the events table
 
 
+def _history_stream(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    from .streaming.history import history_tables, start_history_stream
+
+    base = A.scratch(spark, "history-stream")
+    tables = history_tables(spark, base, kind, 4)
+    stream = A.history_events(A.as_events(A.event_stream(spark, sf_dir)))[kind]
+    if kind == "state":
+        stream = stream.selectExpr("*", "'hard' as state_type", "2 as hard_state", "99 as previous_hard_state")
+    start_history_stream(stream, kind, tables, f"{base}/checkpoint", ["ms"]).awaitTermination()
+    table, key, reference = history.KINDS[kind]
+    detail = tables[table].read().select(F.col(key).alias(reference), F.lit(True).alias("has_detail"))
+    return tables["history"].read().join(detail, reference, "left").select("id", "event_type", "event_time", reference, "has_detail")
+
+
 @query(f"WITH {HIST} SELECT id, event_type, event_time, ref AS comment_history_id FROM h WHERE kind = 'comment'")
 def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sources.schemas import SCHEMAS
-    from .sources.sinks import VersionedTable
-    from .streaming.history import start_history_stream
+    return _history_stream(spark, sf_dir, "comment").drop("has_detail")
 
-    base = A.scratch(spark, "history-stream")
-    tables = {t: VersionedTable(spark, f"{base}/{t}", SCHEMAS[t]) for t in ("comment_history", "history")}
-    stream = A.history_events(A.as_events(A.event_stream(spark, sf_dir)))["comment"]
-    start_history_stream(stream, "comment", tables, f"{base}/checkpoint", ["ms"]).awaitTermination()
-    return tables["history"].read().select("id", "event_type", "event_time", "comment_history_id")
+
+for _kind in history.KINDS:
+    QUERIES[f"history_stream_{_kind}"] = lambda spark, sf_dir, kind=_kind: _history_stream(spark, sf_dir, kind)
+    ORACLE_SQL[f"history_stream_{_kind}"] = f"WITH {HIST} SELECT id, event_type, event_time, ref AS {history.KINDS[_kind][2]}, true AS has_detail FROM h WHERE kind = '{_kind}'"
 
 
 @query(f"WITH {CHANGES} SELECT id, event_type, n FROM ch WHERE k = 1 AND runtime_type = 'upsert'")
@@ -709,12 +856,103 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming import changes
 
     base = A.scratch(spark, "change-stream")
-    table = VersionedTable(spark, f"{base}/objects", f"id string, event_type string, n bigint, {changes.POSITION}")
+    table = VersionedTable(spark, f"{base}/objects", f"id string, event_type string, n bigint, {changes.POSITION}", "id")
     stream = A.changes(A.as_events(A.event_stream(spark, sf_dir)))
     changes.start_change_stream(stream, {"objects": (table, StructType.fromDDL("id string, event_type string, n bigint"))}, f"{base}/checkpoint").awaitTermination()
     return changes.live(table.read())
 
 
+@query("""WITH l AS (SELECT user_id::varchar AS id, max_by(props, (epoch_us(ts) // 1000, event_id)) AS props FROM events GROUP BY 1)
+SELECT id, 'v' || id AS name, 'v' || id || '.' || k AS flatname, json_extract_string(props, '$.' || k) AS flatvalue FROM (SELECT *, unnest(json_keys(props)) AS k FROM l)""")
+def customvar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of one variable for each user: the stream writes the variables and their flat rows."""
+    from .sources.schemas import SCHEMAS
+    from .sources.sinks import VersionedTable
+    from .streaming import changes
+
+    base = A.scratch(spark, "customvar-stream")
+    tables = [VersionedTable(spark, f"{base}/{t}", SCHEMAS[t], key) for t, key in (("customvar", "id"), ("customvar_flat", "customvar_id"))]
+    ev = A.as_events(A.event_stream(spark, sf_dir))
+    own = F.struct(F.lit(A.ENV).alias("environment_id"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("name"), F.col("props").alias("value"))
+    stream = ev.select(
+        F.concat(F.col("ms").cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("stream_id"), F.lit("customvar").alias("redis_key"), F.lit("upsert").alias("runtime_type"), F.col("user_id").cast("string").alias("id"), F.to_json(own).alias("payload"),
+    )
+    changes.start_change_stream(stream, {}, f"{base}/checkpoint", ("customvar", *tables)).awaitTermination()
+    return tables[0].read().join(tables[1].read().withColumnRenamed("id", "flat_id").withColumnRenamed("customvar_id", "id"), "id").select("id", "name", "flatname", "flatvalue")
+
+
+@query(f"WITH {NEXT} SELECT id FROM nu WHERE next_update < 1706600000")
+def overdue_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes an hour apart over the same objects: the table of overdue objects is the state between them."""
+    from .streaming import changes
+
+    table = sinks.VersionedTable(spark, f"{A.scratch(spark, 'overdue')}/overdue", "id bigint", "id")
+    nu, od = _overdue(spark, sf_dir)
+    table.write(od)
+    for now in (NOW - 7200, NOW - 3600, NOW):
+        changes.overdue_pass(nu, table, int(now * 1000)).unpersist()
+    return table.read()
+
+
+@query(f"WITH {EV}, b AS (SELECT (min(ms) + max(ms)) // 2 AS mid FROM ev) SELECT event_id AS id, props || CASE WHEN event_id % 2 = 0 THEN chr(10) || 'more' ELSE '' END AS message FROM ev, b WHERE event_id % 3 <> 0 AND ms >= mid")
+def output_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming import changes
+
+    e = F.col("event_id")
+    ev = A.events(spark, sf_dir).select(e.alias("id"), F.col("ms").alias("last_update"), F.when(e % 3 != 0, F.col("props")).alias("output"), F.when(e % 2 == 0, "more").alias("long_output"))
+    mid = ev.agg(F.expr("(min(last_update) + max(last_update)) div 2")).first()[0]
+    sent: list[DataFrame] = []
+    changes.output_pass(ev, mid, sent.append)
+    return sent[0].select("id", "message")
+
+
+def _streamed(df: DataFrame, base: str, rows: int | None = None) -> DataFrame:
+    """What a stream puts out until its source is read. Streams with timers never end by themselves: these stop once they have read so many rows."""
+    import time
+
+    writer = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    if rows is None:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        q = writer.start()
+        try:
+            while q.isActive and sum(p["numInputRows"] for p in q.recentProgress) < rows:
+                time.sleep(0.2)
+            if q.exception():
+                raise q.exception()
+        finally:
+            q.stop()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+
+@query("SELECT event_id, user_id FROM events")
+def drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers feed the same events."""
+    from .streaming.history import drop_repeats as once
+
+    stream = A.event_stream(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(once(stream.union(stream), "ts"), A.scratch(spark, "repeats")).select("event_id", "user_id")
+
+
+@query("WITH m AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events) SELECT user_id::varchar AS lane, ms, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS release FROM m")
+def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a delay, all that one batch brings is released at once, in order; a lane is one object's messages."""
+    from .streaming import stateful
+
+    ev = A.as_events(A.event_stream(spark, sf_dir))
+    messages = ev.select(F.concat(F.col("ms").cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("stream_id"), F.col("props").alias("payload"), "user_id")
+    return _streamed(stateful.reorder(messages, "user_id", 0), A.scratch(spark, "reorder"), A.table(spark, sf_dir, "events").count()).select("lane", "ms", "seq", "release")
+
+
+@query("SELECT DISTINCT user_id::varchar AS source, 'active' AS event FROM events")
+def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source shows up once within the time that the stream runs."""
+    from .streaming import stateful
+
+    beats = A.as_events(A.event_stream(spark, sf_dir)).select(F.col("user_id").alias("source"))
+    return _streamed(stateful.heartbeats(beats), A.scratch(spark, "heartbeats"), A.table(spark, sf_dir, "events").count())
+
+
 # legacy joins
 
 
@@ -740,11 +978,11 @@ def legacy_with_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy_etl.with_triggers(down, scheduled).select("downtimehistory_id", "name", "triggered_by")
 
 
-@query("SELECT DISTINCT o_orderkey AS notification_id, n_name AS contact FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = l_suppkey % 25 WHERE o_orderkey % 2 = 0")
+@query("SELECT DISTINCT o_orderkey AS notification_id, n_name AS contact FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = l_suppkey % 25")
 def contact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .plans import legacy_etl
 
-    notifications = A.table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("notification_id"))
+    notifications = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("notification_id"))
     contacts = A.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("notification_id"), (F.col("l_suppkey") % 25).alias("contact_object_id"))
     objects = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("object_id"), F.col("n_name").alias("name1"))
     return legacy_etl.contact_names(notifications, contacts, objects)

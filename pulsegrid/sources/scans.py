@@ -48,7 +48,7 @@ def route_changes(changes: DataFrame, keys: dict[str, str]) -> dict[str, DataFra
 
 def read_legacy(spark: SparkSession, table: str, key: str, from_id: int, to_id: int, last_id: int | None = None, partitions: int = 64, **jdbc: str) -> DataFrame:
     """A legacy table's rows from_id..to_id beyond last_id: by JDBC in ranges of the key if a url is given, else from Parquet."""
-    low = max(from_id, (last_id or 0) + 1)
+    low = from_id if last_id is None else max(from_id, last_id + 1)
     if "url" in jdbc:
         reader = spark.read.format("jdbc").options(dbtable=table, partitionColumn=key, lowerBound=low, upperBound=max(to_id, low + 1), numPartitions=partitions, fetchsize=20000, **jdbc)
         return reader.load().filter(F.col(key).between(low, to_id))

@@ -1,21 +1,37 @@
-"""Writing: keyed, repeatable sinks over tables of files. A table is a folder of numbered versions; the last complete one counts."""
+"""Writing: keyed, repeatable sinks over tables of files.
+
+A table is a folder of numbered versions. A version holds some of the table's buckets (rows by a hash of their key), each as
+a replacement of the bucket or as an addition to it, and a manifest that names them; it counts once the manifest is there.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections import Counter
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
+from pyspark.sql.types import MapType, StructType, VariantType
 
 from ..operators.upserts import fold_upserts
 
+#: Buckets of a keyed table, and additions to a bucket after which it is written anew.
+BUCKETS, MAX_ADDS = 16, 32
+
 
-def insert_ignore(target: DataFrame, rows: DataFrame, key: str | list[str], order: str | None = None) -> DataFrame:
-    """target and those rows whose key is new; the first of equal keys wins, so a repeated run changes nothing."""
+def first_rows(rows: DataFrame, keys: list[str], order: str | list[str] | None = None) -> DataFrame:
+    """One row of each key: the first by `order`, then by all columns that can be ordered, so that a repeated run takes the same."""
+    by = [order] if isinstance(order, str) else list(order or [])
+    rest = [f.name for f in rows.schema.fields if f.name not in (*keys, *by) and not isinstance(f.dataType, MapType | VariantType)]
+    others = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c not in keys]) if len(rows.columns) > len(keys) else F.struct(F.lit(1).alias("__one"))
+    least = rows.groupBy(*keys).agg(F.min_by(others, F.struct(F.lit(0), *[F.col(f"`{c}`") for c in (*by, *rest)])).alias("__first"))
+    return least.select(*[F.col(f"`{c}`") if c in keys else F.col("__first")[c].alias(c) for c in rows.columns])
+
+
+def insert_ignore(target: DataFrame, rows: DataFrame, key: str | list[str], order: str | list[str] | None = None) -> DataFrame:
+    """target and those rows whose key is new; of equal keys the first wins (see `first_rows`), so a repeated run changes nothing."""
     keys = [key] if isinstance(key, str) else key
-    by = Window.partitionBy(*keys).orderBy(order) if order else Window.partitionBy(*keys).orderBy(*keys)
-    first = rows.withColumn("__no", F.row_number().over(by)).filter("__no = 1").drop("__no")
-    return target.unionByName(first.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    return target.unionByName(first_rows(rows, keys, order).join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: list[str], mutable: list[str]) -> DataFrame:
@@ -41,13 +57,15 @@ def delete_ids(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
 
 
 class VersionedTable:
-    """A table in a folder: each write makes a new version and marks it complete; readers take the last complete one.
+    """A table in a folder. With a key, its rows lie in buckets by a hash of the key, and a batch writes only the buckets that
+    its keys fall into; without one, there is one bucket.
 
-    A version is numbered by its batch, so a batch that is tried again replaces only what it wrote itself.
+    A version is numbered by its batch, so a batch that is tried again replaces only what it wrote itself. Choose `buckets` so
+    that one of them is work for one task. What later versions replace is deleted, except for what a retry of the last batch reads.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, keep: int = 2) -> None:
-        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, key: str | None = None, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets if key else 1
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
 
     def _files(self):  # noqa: ANN202
@@ -55,25 +73,96 @@ class VersionedTable:
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
+    def manifests(self) -> dict[int, dict[int, str]]:
+        """What each complete version holds: bucket → replace, empty or add. Manifests are small text files."""
         fs, path = self._files()
         if not fs.exists(path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+            return {}
+        out = {}
+        for name in (s.getPath().getName() for s in fs.listStatus(path(self.path))):
+            if name.startswith("v=") and fs.exists(path(f"{self.path}/{name}/_manifest")):
+                stream = fs.open(path(f"{self.path}/{name}/_manifest"))
+                try:
+                    text = bytes(stream.readAllBytes()).decode()
+                finally:
+                    stream.close()
+                out[int(name[2:])] = {int(b): kind for b, kind in (line.split() for line in text.splitlines())}
+        return dict(sorted(out.items()))
 
-    def read(self, below: int | None = None) -> DataFrame:
-        """The last version, or the last before a batch."""
-        done = [v for v in self.versions() if below is None or v < below]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]}") if done else self.spark.createDataFrame([], self.schema)
+    def versions(self) -> list[int]:
+        return list(self.manifests())
+
+    def bucket_of(self, key: str | Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
+
+    def read(self, below: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The table, or some of its buckets, as it is or as it was before a batch."""
+        held, paths, closed = self.manifests(), [], set()
+        for v in sorted((v for v in held if below is None or v < below), reverse=True):
+            for b, kind in held[v].items():
+                if b not in closed and (buckets is None or b in buckets):
+                    if kind != "empty":
+                        paths.append(f"{self.path}/v={v}/__bucket={b}")
+                    if kind != "add":
+                        closed.add(b)
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self.bucket_of(self.key or "").alias("b")).distinct().collect())
+
+    def _store(self, rows: DataFrame, version: int, kinds: dict[int, str]) -> None:
+        fs, path = self._files()
+        dealt = rows.select(*self.schema.names, self.bucket_of(self.key or "").alias("__bucket"))
+        dealt.repartition(len(kinds), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/v={version}")
+        made = {s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/v={version}"))}
+        lines = [f"{b} {kind if f'__bucket={b}' in made else 'empty'}" for b, kind in kinds.items() if kind == "replace" or f"__bucket={b}" in made]
+        stream = fs.create(path(f"{self.path}/v={version}/_manifest.tmp"), True)
+        try:
+            stream.write(bytearray("\n".join(lines).encode()))
+        finally:
+            stream.close()
+        fs.rename(path(f"{self.path}/v={version}/_manifest.tmp"), path(f"{self.path}/v={version}/_manifest"))
+        self._clean(version)
+
+    def _clean(self, version: int) -> None:
+        """Delete what a version before this one has replaced."""
+        fs, path = self._files()
+        held, closed = self.manifests(), set()
+        for v in sorted((v for v in held if v < version), reverse=True):
+            gone = [b for b in held[v] if b in closed]
+            for b in gone:
+                fs.delete(path(f"{self.path}/v={v}/__bucket={b}"), True)
+            if len(gone) == len(held[v]):
+                fs.delete(path(f"{self.path}/v={v}"), True)
+            closed |= {b for b, kind in held[v].items() if kind != "add"}
 
     def write(self, rows: DataFrame, batch: int | None = None) -> None:
+        """Replace the whole table."""
         done = self.versions()
-        version = (done[-1] + 1 if done else 0) if batch is None else batch
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        fs, path = self._files()
-        for v in [v for v in done if v < version][: -self.keep or None]:
-            fs.delete(path(f"{self.path}/v={v}"), True)
+        self._store(rows, (done[-1] + 1 if done else 0) if batch is None else batch, dict.fromkeys(range(self.buckets), "replace"))
+
+    def merge(self, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None) -> list[int]:
+        """Replace the buckets that keys of changes fall into by apply(what they hold, changes); returns these buckets."""
+        done = self.versions()
+        batch = (done[-1] + 1 if done else 0) if batch is None else batch
+        if touched := self._touched(changes):
+            self._store(apply(self.read(batch, touched), changes), batch, dict.fromkeys(touched, "replace"))
+        return touched
+
+    def append_new(self, rows: DataFrame, batch: int | None = None) -> list[int]:
+        """Add the rows whose key is new, without writing what is there; a bucket of MAX_ADDS additions is written as one."""
+        done = self.manifests()
+        batch = (max(done, default=-1) + 1) if batch is None else batch
+        if not self.key:
+            raise ValueError("a table without a key cannot tell which rows are new")
+        if touched := self._touched(rows):
+            adds = Counter(b for v, kinds in done.items() if v < batch for b, kind in kinds.items() if kind == "add")
+            full = [b for b in touched if adds[b] and adds[b] % MAX_ADDS == 0]
+            fresh = first_rows(rows, [self.key]).join(self.read(batch, touched).select(self.key), self.key, "left_anti").select(*self.schema.names)
+            if full:
+                fresh = fresh.unionByName(self.read(batch, full))
+            self._store(fresh, batch, {b: "replace" if b in full else "add" for b in touched})
+        return touched
 
 
 class Progress:

@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions.scalars import stream_id
+from ..functions.scalars import message, stream_id
 from ..operators.customvars import flatten_customvars
+from ..operators.incidents import updated_outputs
+from ..operators.overdue import apply_overdue, overdue_diff
 from ..operators.upserts import latest_changes
-from ..sources.sinks import VersionedTable
+from ..sources.sinks import VersionedTable, delete_ids
 
 #: Position columns that a table keeps, so that an older change cannot overwrite a newer one, or revive what is deleted.
 POSITION = "__ms bigint, __seq bigint, __deleted boolean"
+#: How far behind the newest position marks of deleted keys go.
+MARKS_MS = 7 * 86_400_000
 
 
 def positioned(changes: DataFrame) -> DataFrame:
@@ -26,47 +30,114 @@ def positioned(changes: DataFrame) -> DataFrame:
     return changes.withColumn("runtime_type", kind).withColumn("__ms", p["ms"]).withColumn("__seq", p["seq"])
 
 
-def apply_changes(target: DataFrame, changes: DataFrame, schema: StructType, key: str = "id") -> DataFrame:
+def payload_of(schema: StructType) -> Column:
+    """The payload of an upsert by its schema. Bad JSON, and an upsert without a payload, are errors; a delete has none."""
+    missing = F.raise_error(F.concat(F.lit("no payload for "), F.coalesce(F.col("stream_id"), F.lit("a change")))).cast("string")
+    text = F.when(F.col("runtime_type") == "upsert", F.coalesce("payload", missing))
+    return F.from_json(text, schema, {"mode": "FAILFAST"})
+
+
+def apply_changes(target: DataFrame, changes: DataFrame, schema: StructType, key: str = "id", marks_ms: int | None = None) -> DataFrame:
     """target (schema and POSITION) after changes (stream_id, runtime_type, key, payload JSON): the last change of a key wins.
 
-    Deleted keys stay as marks with their position; `live` leaves them out.
+    Deleted keys stay as marks with their position; `live` leaves them out. With marks_ms, marks that lie so far behind the
+    newest position go; a change that comes even later than that is then taken as new.
     """
-    last = latest_changes(positioned(changes).select(key, "runtime_type", "payload", "__ms", "__seq"), [key], ["__ms", "__seq"])
-    v = F.from_json("payload", schema)
-    fields = [F.col(key) if n == key else v[n].alias(n) for n in schema.names]
-    new = last.select(*fields, "__ms", "__seq", (F.col("runtime_type") == "delete").alias("__deleted"))
-    return latest_changes(target.unionByName(new), [key], ["__ms", "__seq"]).select(*target.columns)
+    last = latest_changes(positioned(changes).select(key, "stream_id", "runtime_type", "payload", "__ms", "__seq"), [key], ["__ms", "__seq"])
+    v = payload_of(schema)
+    parsed = last.withColumn("__v", v)
+    fields = [F.col(key) if n == key else F.col("__v")[n].alias(n) for n in schema.names]
+    new = parsed.select(*fields, "__ms", "__seq", (F.col("runtime_type") == "delete").alias("__deleted"))
+    out = latest_changes(target.unionByName(new), [key], ["__ms", "__seq"]).select(*target.columns)
+    if marks_ms is None:
+        return out
+    newest = positioned(changes).agg(F.max("__ms")).first()[0]
+    return out if newest is None else out.filter(~F.col("__deleted") | (F.col("__ms") >= newest - marks_ms))
 
 
 def live(target: DataFrame) -> DataFrame:
     return target.filter("not __deleted").drop("__ms", "__seq", "__deleted")
 
 
+CUSTOMVAR = StructType.fromDDL("id string, environment_id string, name string, value string")
+
+
 def expand_customvars(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Variables and their flat rows from changes of custom variables (payload: the variable). A delete is an error."""
     wrong = F.raise_error(F.lit("custom variables cannot be deleted by a change")).cast("string")
-    checked = changes.withColumn("payload", F.when(F.col("runtime_type") == "upsert", F.col("payload")).otherwise(wrong))
-    own = checked.select("id", F.from_json("payload", "environment_id string, name string, value string").alias("v")).select("id", "v.*")
+    checked = changes.withColumn("runtime_type", F.when(F.col("runtime_type") == "upsert", F.col("runtime_type")).otherwise(wrong))
+    own = checked.select("id", payload_of(CUSTOMVAR).alias("v")).select("id", *[F.col("v")[n].alias(n) for n in CUSTOMVAR.names if n != "id"])
     return own, flatten_customvars(own)
 
 
-def start_change_stream(stream: DataFrame, tables: dict[str, tuple[VersionedTable, StructType]], checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Apply a stream of changes; tables: redis_key → table (schema and POSITION) and its schema. Unknown keys are errors."""
+def write_customvars(changes: DataFrame, customvar: VersionedTable, customvar_flat: VersionedTable, n: int) -> None:
+    """A batch of changes of custom variables to both tables: the last value of each variable, and its flat rows in place of
+    those it had. customvar_flat's buckets are by customvar_id, so that a variable's rows lie together."""
+    last = latest_changes(positioned(changes), ["id"], ["__ms", "__seq"]).persist()
+    try:
+        own, flat = expand_customvars(last)
+        own = own.withColumn("name_checksum", F.sha1("name")).select(*customvar.schema.names)
+        customvar.merge(own, lambda old, new: delete_ids(old, new).unionByName(new), n)
+        gone = own.select(F.col("id").alias("customvar_id"))
+        empty = gone.select(*[F.col("customvar_id") if f.name == "customvar_id" else F.lit(None).cast(f.dataType).alias(f.name) for f in customvar_flat.schema.fields])
+        # a row without an id stands for each variable, so that buckets of variables without flat rows are written too
+        rows = flat.select(*customvar_flat.schema.names).unionByName(empty)
+        customvar_flat.merge(rows, lambda old, new: old.join(gone, "customvar_id", "left_anti").unionByName(new.filter("id is not null")), n)
+    finally:
+        last.unpersist()
+
+
+def start_change_stream(stream: DataFrame, tables: dict[str, tuple[VersionedTable, StructType]], checkpoint: str, customvars: tuple[str, VersionedTable, VersionedTable] | None = None, marks_ms: int | None = MARKS_MS, **trigger: object) -> StreamingQuery:
+    """Apply a stream of changes; tables: redis_key → table (schema and POSITION) and its schema; customvars: the key of
+    custom variables and their two tables. Unknown keys are errors. A batch writes the buckets that its keys fall into."""
 
     def batch(changes: DataFrame, n: int) -> None:
         from ..sources.scans import route_changes
 
         changes = changes.persist()
         try:
-            for key, part in route_changes(changes, {k: k for k in tables}).items():
-                table, schema = tables[key]
-                table.write(apply_changes(table.read(below=n), part, schema), n)
+            keys = {k: k for k in tables} | ({customvars[0]: customvars[0]} if customvars else {})
+            for key, part in route_changes(changes, keys).items():
+                if customvars and key == customvars[0]:
+                    write_customvars(part, customvars[1], customvars[2], n)
+                else:
+                    table, schema = tables[key]
+                    table.merge(part, lambda old, new, schema=schema: apply_changes(old, new, schema, marks_ms=marks_ms), n)
         finally:
             changes.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def overdue_pass(next_update: DataFrame, overdue: VersionedTable, now_ms: int, key: str = "id") -> DataFrame:
+    """One pass at a time: what has become overdue enters the table, what no longer is leaves it. Returns the changes (key, action)."""
+    diff = overdue_diff(next_update, overdue.read(), now_ms / 1000, key).persist()
+    overdue.merge(diff, lambda old, new: apply_overdue(old, new, key).select(*overdue.schema.names))
+    return diff
+
+
+def output_pass(states: DataFrame, last_sync_ms: int, sink: Callable[[DataFrame], None]) -> None:
+    """One pass of the output sync: object, message and time of the states whose output was updated since the last one."""
+    changed = updated_outputs(states, last_sync_ms)
+    sink(changed.withColumn("message", message("output", "long_output")))
+
+
+def start_overdue(spark: SparkSession, next_update: Callable[[], DataFrame], overdue: VersionedTable, checkpoint: str, seconds: float = 2, clock: Callable[[], int] | None = None) -> StreamingQuery:
+    """The overdue pass every so many seconds, over what next_update() reads then; the table of overdue objects is its state."""
+    return periodic(spark, seconds, lambda now: overdue_pass(next_update(), overdue, clock() if clock else now).unpersist(), checkpoint)
+
+
+def start_output_sync(spark: SparkSession, states: Callable[[], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, since_ms: int, seconds: float = 300) -> StreamingQuery:
+    """The output sync every so many seconds: each pass takes what was updated since the pass before began."""
+    last = [since_ms]
+
+    def step(now: int) -> None:
+        output_pass(states(), last[0], sink)
+        last[0] = now
+
+    return periodic(spark, seconds, step, checkpoint)
+
+
 def periodic(spark, seconds: float, step: Callable[[int], None], checkpoint: str) -> StreamingQuery:  # noqa: ANN001
     """Run a step every so many seconds, as a stream driven by the clock; step gets the time in ms."""
     import time

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.history import KINDS, detail_rows, history_rows, user_rows
 from ..operators.sla import sla_downtime_rows, sla_state_rows
-from ..sources.schemas import UPSERTS
-from ..sources.sinks import VersionedTable, insert_ignore, upsert
-
-ORDER = ["__ms", "__seq"]
+from ..sources.schemas import SCHEMAS, UPSERTS
+from ..sources.sinks import BUCKETS, VersionedTable, insert_ignore, upsert
 
 
 def fan_out(kind: str, events: DataFrame, order: list[str]) -> dict[str, DataFrame]:
@@ -30,20 +28,30 @@ def fan_out(kind: str, events: DataFrame, order: list[str]) -> dict[str, DataFra
     return out
 
 
+def history_tables(spark: SparkSession, base: str, kind: str, buckets: int = BUCKETS) -> dict[str, VersionedTable]:
+    """The tables that a kind's events fill, each in a folder of its own below base."""
+    names = [KINDS[kind][0], "history"] + {"notification": ["user_notification_history"], "state": ["sla_history_state"], "downtime": ["sla_history_downtime"]}.get(kind, [])
+    return {n: VersionedTable(spark, f"{base.rstrip('/')}/{n}", SCHEMAS[n], UPSERTS[n][0], buckets) for n in names}
+
+
 def write_batch(kind: str, events: DataFrame, tables: dict[str, VersionedTable], n: int, order: list[str]) -> None:
-    """Write a batch's rows; a later table only after the earlier ones. Done twice, it leaves the same tables."""
+    """Write a batch's rows; a later table only after the earlier ones. Done twice, it leaves the same tables.
+
+    Rows that never change are added; where columns may change, the buckets that the batch's keys fall into are written anew.
+    """
     events = events.persist()
     try:
         for name, rows in fan_out(kind, events, order).items():
             key, mutable = UPSERTS[name]
-            target = tables[name].read(below=n)
-            shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields])
+            table = tables[name]
+            shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
             if mutable and name != "user_notification_history":
                 when = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in mutable])
-                new = upsert(target, shaped.withColumn("__when", when), key, ["__when"], mutable)
+                table.merge(shaped.withColumn("__when", when), lambda old, new, key=key, mutable=mutable: upsert(old, new, key, ["__when"], mutable), n)
+            elif table.key:
+                table.append_new(shaped, n)
             else:
-                new = insert_ignore(target, shaped, key)
-            tables[name].write(new, n)
+                table.merge(shaped, lambda old, new, key=key: insert_ignore(old, new, key), n)
     finally:
         events.unpersist()
 

@@ -14,14 +14,15 @@ from ..functions.scalars import stream_id
 REORDER_DELAY_MS, HEARTBEAT_MS, PEER_MS = 3_000, 60_000, 65_000
 
 
-def reorder(stream: DataFrame, lane: str | None = None, delay_ms: int = REORDER_DELAY_MS) -> DataFrame:
+def reorder(stream: DataFrame, lane: str, delay_ms: int = REORDER_DELAY_MS) -> DataFrame:
     """(lane, ms, seq, payload, release): each message of (stream_id, payload) is held for delay_ms and released in order of
     (ms, seq) with its place in the lane's order. Later ones are released out of order, never dropped.
 
-    A lane is an ordered sequence, such as one environment; without a column there is one lane for all.
+    A lane is an ordered sequence, such as one object's messages: one task holds what a lane has waiting, so a stream as a
+    whole must not be one. Across lanes, `reorder_batch` sorts what is released by ranges of the position.
     """
     position = stream_id("stream_id")
-    own = stream.select((F.col(lane).cast("string") if lane else F.lit("all")).alias("lane"), position["ms"].alias("ms"), position["seq"].alias("seq"), F.col("payload").cast("string").alias("payload"))
+    own = stream.select(F.col(lane).cast("string").alias("lane"), position["ms"].alias("ms"), position["seq"].alias("seq"), F.col("payload").cast("string").alias("payload"))
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentProcessingTimeMs()

@@ -1,5 +1,5 @@
 from pulsegrid.plans import legacy_etl as etl
-from pulsegrid.sources.schemas import SCHEMAS
+from pulsegrid.sources.schemas import SCHEMAS, UPSERTS
 from pulsegrid.sources.sinks import Progress, VersionedTable
 
 OBJECT = "objecttype_id int, name1 string, name2 string"
@@ -79,6 +79,22 @@ def test_migrate_twice_changes_nothing(spark, tmp_path):
     assert len(first["history"]) == 3 + 2 + 3 + 3 + 2 + 3 and progress.last_id("e", "state", 0, 10) == 4
 
 
+def test_migration_goes_on_after_its_mark(spark, tmp_path):
+    """Two runs leave what one leaves, and the second reads no row that the first has done, but what it carries on."""
+    contacts = spark.createDataFrame([(1, "ann")], "notification_id bigint, contact string")
+    left = []
+    for name, steps in (("one", [99]), ("two", [2, 99])):
+        tables = {n: VersionedTable(spark, f"file://{tmp_path}/{name}/{n}", SCHEMAS[n], key, 2) for n, (key, _) in UPSERTS.items()}
+        progress = Progress(VersionedTable(spark, f"file://{tmp_path}/{name}/progress", SCHEMAS["migration_progress"]))
+        for upto in steps:
+            part = {k: rows.filter(f"{etl.CONVERTERS[k][0]} <= {upto}") for k, rows in frames(spark).items() if k in ("flapping", "state")}
+            etl.migrate_history("e", part, tables, progress, contacts)
+        left.append({n: sorted(map(str, t.read().collect())) for n, t in tables.items()})
+    assert left[0] == left[1] and left[0]["state_history"] and left[0]["flapping_history"]
+    fresh, _ = etl.resumed("e", "state", frames(spark)["state"], 2)
+    assert sorted(r.statehistory_id for r in fresh.collect()) == [3, 4]
+
+
 def test_joins(spark):
     objects = spark.createDataFrame([(1, 1, "h", None)], f"object_id int, {OBJECT}")
     facts = spark.createDataFrame([(1, "a"), (2, "b")], "object_id int, fact string")

@@ -89,6 +89,7 @@ CUSTOMVARS = [
     ("[]", {"n": None}), ("{}", {"n": None}), ("[[]]", {"n[0]": None}), ('{"some-key":{}}', {"n.some-key": None}), ('["foo",23,"bar"]', {"n[0]": "foo", "n[1]": "23", "n[2]": "bar"}), ("-1", {"n": "-1"}),
     ("13.37", {"n": "13.37"}), ("true", {"n": "true"}), ("false", {"n": "false"}), ("null", {"n": "null"}), ('"text"', {"n": "text"}), ("12345678901234567890123", {"n": "12345678901234567890123"}),
     ('{"top":"x","array":["answer?",42],"dict":{"k":4711}}', {"n.top": "x", "n.array[0]": "answer?", "n.array[1]": "42", "n.dict.k": "4711"}),
+    ("1e20", {"n": "1e20"}), ("[1E5,1e-7,100.0,-0.0]", {"n[0]": "1E5", "n[1]": "1e-7", "n[2]": "100.0", "n[3]": "-0.0"}), ('{"a":1,"a":"\\ud83d\\ude42"}', {"n.a": "🙂"}), ('"{}"', {"n": "{}"}),
     ('[[1,2,3],{"contains-a-map":"yes","really?":true},-42]', {"n[0][0]": "1", "n[0][1]": "2", "n[0][2]": "3", "n[1].contains-a-map": "yes", "n[1].really?": "true", "n[2]": "-42"}),
 ]
 
@@ -101,6 +102,18 @@ def test_flatten(spark):
     assert got == {i: want for i, (_, want) in enumerate(CUSTOMVARS)}
     with pytest.raises(PySparkException, match="nested too deeply"):
         customvars.flatten_json(df, "name", "json", 1).collect()
+    for bad in ('{"a":', "NaN", "{} {}", ""):
+        with pytest.raises(PySparkException):
+            customvars.flatten_json(spark.createDataFrame([("n", bad)], "name string, json string"), "name", "json").collect()
+    odd = spark.createDataFrame([("n", None, 1), (None, "[1]", 2), ("n", "[" + ",".join(map(str, range(30_000))) + "]", 3)], "name string, json string, flatname int")
+    out = customvars.flatten_json(odd, "name", "json")
+    assert out.columns == ["name", "json", "flatname", "flatvalue"] and out.count() == 30_000
+
+
+def test_flatten_scans_once(spark, tmp_path):
+    spark.createDataFrame([("n", "[[1]]")], "name string, json string").write.parquet(f"file://{tmp_path}/v")
+    plan = customvars.flatten_json(spark.read.parquet(f"file://{tmp_path}/v"), "name", "json")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
 
 
 def test_stream_ids(spark):
@@ -159,6 +172,32 @@ def test_versioned_table(spark, tmp_path):
     assert p.last_id("e", "state", 0, 1) == 9 and p.last_id("e", "other", 0, 1) is None
 
 
+def test_buckets(spark, tmp_path):
+    """A batch writes the buckets of its keys alone, a retry leaves the same table, and emptied buckets are empty."""
+    t = sinks.VersionedTable(spark, f"file://{tmp_path}/t", "id bigint, n bigint", "id", 8)
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), t.schema)
+    t.write(rows(*[(i, 0) for i in range(100)]))
+    held = lambda: {r.id: r.n for r in t.read().collect()}
+    assert held() == dict.fromkeys(range(100), 0)
+    one = t.merge(rows((7, 1)), lambda old, new: old.join(new, "id", "left_anti").unionByName(new))
+    assert len(one) == 1 and list(t.manifests()[1]) == one and held() == dict.fromkeys(range(100), 0) | {7: 1}
+    for _ in range(2):  # the second time as a retry
+        assert len(t.append_new(rows((7, 2), (200, 2), (200, 2)), 2)) <= 2
+        assert held() == dict.fromkeys(range(100), 0) | {7: 1, 200: 2}
+    gone = t.merge(rows((7, 0)), lambda old, new: old.limit(0))
+    assert set(held()) == {i for i in [*range(100), 200] if i not in {r.id for r in t.read(below=3, buckets=gone).collect()}}
+    for i in range(40):  # additions are put together now and then, and what is replaced is deleted
+        t.append_new(rows((7, i), (1000 + i, i)))
+    assert len(t.versions()) <= 38 and set(range(1000, 1040)) < set(held()) and held()[7] == 0
+    assert t.read(buckets=[]).count() == 0 and t.append_new(rows()) == []
+
+
+def test_first_rows(spark):
+    df = spark.createDataFrame([(1, "b", 5), (1, "a", 5), (2, None, 1), (1, "c", 4)], "id int, x string, `at.ms` int")
+    assert sorted(map(tuple, sinks.first_rows(df, ["id"]).collect())) == [(1, "a", 5), (2, None, 1)]
+    assert sorted(map(tuple, sinks.first_rows(df, ["id"], "at.ms").collect())) == [(1, "c", 4), (2, None, 1)]
+
+
 def test_overdue(spark):
     nu = spark.createDataFrame([("a", 9), ("b", 10), ("c", 1)], "id string, next_update bigint")
     od = spark.createDataFrame([("c",), ("gone",), ("b",)], "id string")
@@ -192,7 +231,20 @@ def test_scalars(spark):
     assert one(spark, S.notify_flag(F.lit("ok"), S.muted(yes, no, no), F.lit(0), F.lit(0))) is True
     assert one(spark, S.notify_flag(F.lit("ok"), S.muted(no, no, no), F.lit(0), F.lit(0))) is False
     assert one(spark, S.event_url("/m", F.lit("a b"), F.lit("c&d"))) == "/m/service?name=c%26d&host.name=a%20b"
-    assert one(spark, S.event_message(F.lit("flapping_start"), F.lit(""), F.lit(12.345), F.lit(1.0), F.lit(10.0))).endswith("12.35% > threshold 10.00%)")
+    flapping = lambda a, b: one(spark, S.flapping_message(F.lit(a).cast("double"), F.lit(b).cast("double"), F.lit(1.0), F.lit(10.0)))
+    assert flapping(12.5, None) == "Checkable started flapping (Current flapping value 12.50% > high threshold 10.00%)"
+    assert flapping(12.5, 0.25) == "Checkable stopped flapping (Current flapping value 0.25% < low threshold 1.00%)"
+    text = lambda v: F.lit(v).cast("string")
+    downtime = lambda kind, off, by: one(spark, S.downtime_message(text(kind), F.lit("why"), F.lit(off).cast("boolean"), text(by)))
+    assert [downtime("downtime_start", None, None), downtime("downtime_end", True, "me"), downtime("downtime_end", True, None), downtime("downtime_end", None, "me")] == ["why", "Downtime was cancelled (cancelled by me)", "Downtime was cancelled", "Downtime expired"]
+    ack = lambda s, c, comment, by: one(spark, S.acknowledgement_message(F.lit(s).cast("bigint"), F.lit(c).cast("bigint"), text(comment), text(by)))
+    assert [ack(1, 2, "c", "me"), ack(1, 2, "c", None), ack(1, None, "c", None), ack(1, None, None, None)] == ["Acknowledgement was cleared (cleared by me)", "Acknowledgement was cleared", "c", "Checkable was acknowledged"]
+    for bad in (lambda: flapping(None, None), lambda: downtime("other", True, None), lambda: ack(None, None, None, None)):
+        with pytest.raises(PySparkException):
+            bad()
+    assert one(spark, S.event_tags(text("h"), text("s"), text("e"))) == {"host": "h", "service": "s", "environment": "e"}
+    assert one(spark, S.unix_or_zero(F.expr("timestamp'1970-01-01 00:00:07'"))) == 7 and one(spark, S.unix_or_zero(F.lit(None).cast("timestamp"))) == 0
+    assert [one(spark, S.notification_type(F.lit(x))) for x in (1, 256, 3)] == ["downtime_start", "flapping_end", "3"]
     assert one(spark, S.first_real_date(F.expr("timestamp_ntz'1970-01-01'"), F.expr("timestamp_ntz'2020-01-01'"))) == datetime(2020, 1, 1)
     assert one(spark, S.has_bit(F.lit(36), S.STATE_BITS["critical"])) and not one(spark, S.has_bit(F.lit(33), S.STATE_BITS["critical"]))
     with pytest.raises(PySparkException, match="out of range"):

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.errors import PySparkException
 
@@ -66,3 +68,23 @@ def test_invalid_interval(spark, interval):
 def test_invalid_downtimes(spark):
     df = spark.createDataFrame([("h", None, 5, 4), ("h", None, 4, 5)], "host_id string, service_id string, downtime_start bigint, downtime_end bigint")
     assert sla.invalid_downtimes(df).count() == 1
+    assert sla.invalid_downtimes(df.unionByName(spark.createDataFrame([("h", None, 5, None), ("h", None, None, 5)], df.schema))).count() == 3
+
+
+def test_open_ended_downtimes(spark):
+    """From the beginning of time to the end of it: no more rows than the intervals have days."""
+    ends = [(-(2**62), 2**62), (1200, 2**62), (-(2**62), 1300), (2000, 2**62)]
+    vectors = [(f"open {i}", (1000, 2000), [(800, 2, 99)], [d], None, want) for i, (d, want) in enumerate(zip(ends, (100, 80, 30, 0), strict=True))]
+    got = {r.host_id: float(r.ok_percent) for r in run(spark, vectors, 300).collect()}
+    assert got == {f"h{i}": v[5] for i, v in enumerate(vectors)}
+
+
+def test_many_states_of_one_object(spark):
+    """200 000 states of one object: time grows with them, not with their square."""
+    n = 200_000
+    key = "host_id string, service_id string, "
+    states = spark.range(n).selectExpr("'h' as host_id", "cast(null as string) as service_id", "cast(id as string) as id", "1000 + id * 10 as event_time", "cast(case when id % 4 = 0 then 2 else 0 end as int) as hard_state", "cast(case when id % 4 = 1 then 2 else 0 end as int) as previous_hard_state")
+    asked = spark.createDataFrame([("h", None, 1000, 1000 + n * 10), ("h", None, 0, 500)], key + "start bigint, end bigint")
+    begun = time.time()
+    got = {r.start: float(r.ok_percent) for r in sla.sla_ok_percent(states, spark.createDataFrame([], key + "downtime_start bigint, downtime_end bigint"), asked).collect()}
+    assert got == {1000: 75.0, 0: 100.0} and time.time() - begun < 60

@@ -48,12 +48,47 @@ def test_deleted_then_created(spark, tmp_path):
     assert run_changes(spark, tmp_path, rows).count() == 60
 
 
-@pytest.mark.parametrize("bad", [change(1, 0, "patch", 1), ("1-0", "objects", None, "1", "{}"), change(1, 0, "upsert", 1, "unknown")])
+@pytest.mark.parametrize("bad", [change(1, 0, "patch", 1), ("1-0", "objects", None, "1", "{}"), change(1, 0, "upsert", 1, "unknown"), ("1-0", "objects", "upsert", "1", '{"n":'), ("1-0", "objects", "upsert", "1", None), ("1-0", "objects", "upsert", "1", '{"n":"x"}')])
 def test_bad_changes(spark, tmp_path, bad):
     with pytest.raises(StreamingQueryException):
         run_changes(spark, tmp_path, [bad])
 
 
+def test_marks_go(spark):
+    table = spark.createDataFrame([("old", None, 100, 0, True), ("new", None, 900, 0, True), ("here", 1, 1, 0, False)], f"id string, n bigint, {changes.POSITION}")
+    rows = spark.createDataFrame([change(1000, 0, "upsert", "x")], CHANGE)
+    assert {r.id for r in changes.apply_changes(table, rows, OBJECT, marks_ms=500).collect()} == {"new", "here", "x"}
+    assert {r.id for r in changes.apply_changes(table, rows, OBJECT).collect()} == {"old", "new", "here", "x"}
+
+
+def test_customvar_tables(spark, tmp_path):
+    tables = [VersionedTable(spark, f"file://{tmp_path}/{t}", SCHEMAS[t], k, 4) for t, k in (("customvar", "id"), ("customvar_flat", "customvar_id"))]
+    value = lambda v: json.dumps({"environment_id": "e", "name": "n", "value": v})
+    for n, rows in enumerate([[("1-0", "a", "[1,2]"), ("1-1", "b", "{}"), ("0-9", "a", "[7]")], [("2-0", "a", "[3]")]]):
+        part = spark.createDataFrame([(p, "customvar", "upsert", i, value(v)) for p, i, v in rows], CHANGE)
+        changes.write_customvars(part, *tables, n)
+    assert {r.id: r.value for r in tables[0].read().collect()} == {"a": "[3]", "b": "{}"}
+    assert sorted((r.customvar_id, r.flatname, r.flatvalue) for r in tables[1].read().collect()) == [("a", "n[0]", "3"), ("b", "n", None)]
+    with pytest.raises(Exception, match="cannot be deleted"):
+        changes.write_customvars(spark.createDataFrame([("3-0", "customvar", "delete", "a", None)], CHANGE), *tables, 2)
+
+
+def test_periodic_passes(spark, tmp_path):
+    """Overdue objects and changed outputs, each as a stream driven by the clock."""
+    table = VersionedTable(spark, f"file://{tmp_path}/overdue", "id string", "id", 2)
+    nu = spark.createDataFrame([("a", 10), ("b", 20)], "id string, next_update bigint")
+    times = iter([15_000, 25_000] + [25_000] * 1000)
+    sent, q = [], changes.start_overdue(spark, lambda: nu, table, f"file://{tmp_path}/ck1", 0.2, lambda: next(times))
+    states = spark.createDataFrame([("a", 2_000_000_000_000, "out", None), ("b", 5, "out", "more")], "id string, last_update bigint, output string, long_output string")
+    r = changes.start_output_sync(spark, lambda: states, lambda df: sent.append([tuple(x) for x in df.select("id", "message").collect()]), f"file://{tmp_path}/ck2", 6, 0.2)
+    end = time.time() + 60
+    while time.time() < end and (len(sent) < 2 or table.read().count() < 2):
+        time.sleep(0.3)
+    q.stop()
+    r.stop()
+    assert {x.id for x in table.read().collect()} == {"a", "b"} and sent[0] == [("a", "out")]
+
+
 def test_customvar_changes(spark):
     rows = spark.createDataFrame([("1-0", "customvar", "upsert", "v", '{"environment_id":"e","name":"n","value":"[1,{\\"a\\":2}]"}')], CHANGE)
     own, flat = changes.expand_customvars(rows)
@@ -82,10 +117,10 @@ def test_history_stream(spark, sf, tmp_path, kind):
 
 def test_reorder(spark, tmp_path):
     rng = random.Random(5)
-    messages = [(f"{1000 + i + rng.choice([0, 0, 0, -5])}-{i % 7}", f"m{i}") for i in range(200)]
-    feed(spark, f"file://{tmp_path}/in", messages, "stream_id string, payload string", 4)
-    stream = spark.readStream.schema("stream_id string, payload string").option("maxFilesPerTrigger", 2).parquet(f"file://{tmp_path}/in")
-    q = stateful.reorder(stream, delay_ms=1500).writeStream.format("memory").queryName("released").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").start()
+    messages = [(f"{1000 + i + rng.choice([0, 0, 0, -5])}-{i % 7}", f"m{i}", "env") for i in range(200)]
+    feed(spark, f"file://{tmp_path}/in", messages, "stream_id string, payload string, environment string", 4)
+    stream = spark.readStream.schema("stream_id string, payload string, environment string").option("maxFilesPerTrigger", 2).parquet(f"file://{tmp_path}/in")
+    q = stateful.reorder(stream, "environment", delay_ms=1500).writeStream.format("memory").queryName("released").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").start()
     try:
         end = time.time() + 60
         while time.time() < end and spark.table("released").count() < len(messages):
@@ -93,7 +128,7 @@ def test_reorder(spark, tmp_path):
         rows = sorted(spark.table("released").collect(), key=lambda r: r.release)
     finally:
         q.stop()
-    assert sorted(r.payload for r in rows) == sorted(m for _, m in messages)
+    assert sorted(r.payload for r in rows) == sorted(m for _, m, _ in messages)
     assert [r.release for r in rows] == list(range(200))
     # what is released together is in order
     assert sum((a.ms, a.seq) > (b.ms, b.seq) for a, b in zip(rows, rows[1:], strict=False)) <= 4
