@@ -36,7 +36,7 @@ PATTERNS = {
     "secret": r"[A-Za-z0-9_-]{20,}+",
 }
 #: A text without a match of this cannot have the kind.
-GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "secret": "[A-Za-z0-9_-]{20}"}
+GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]{2}|[0-9][\x20-][0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]{2}-[0-9]", "secret": "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20}"}
 CONTEXT = {
     "email": ("mail", "email", "e-mail", "contact", "write", "reply"),
     "ip": ("ip", "host", "server", "address"),
