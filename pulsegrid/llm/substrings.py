@@ -38,7 +38,9 @@ LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19
 #: Buffers of texts are shorter than 2 to this power.
 PLACE_BITS = 21
-MAX_RUNS = 5_000
+MAX_RUNS = 20_000
+#: Suffixes that are sorted at a time, but for those of one anchor place.
+SORTED = 300_000
 BROADCAST_ROWS = 500_000
 #: Anchors of more runs than this are broadcast; there is one for so many runs at most.
 HOT_RUNS = 2_000
@@ -123,12 +125,12 @@ def segments(raw: bytes) -> Iterator[tuple[int, bytes]]:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """anchor, kind, row, lo, n and at (the anchor's place from lo) of every run of (row, text)."""
+    """anchor, kind, row, lo and shape of every run of (row, text); shape holds n and at, the anchor's place from lo, as n * 256 + at."""
 
     def of(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         owner, lo, n, anchor, kind, at = runs_of([h[2] for h in held])
         rows, places = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, kind, rows[owner], lo + places[owner], n, at)], ["anchor", "kind", "row", "lo", "n", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, kind, rows[owner], lo + places[owner], n * 256 + at)], ["anchor", "kind", "row", "lo", "shape"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -147,7 +149,7 @@ def _runs(docs: DataFrame) -> DataFrame:
         if held:
             yield of(held)
 
-    return docs.select("row", "text").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, n bigint, at bigint")
+    return docs.select("row", "text").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, shape bigint")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
@@ -285,13 +287,19 @@ def _sorted_buckets(pieces: DataFrame) -> DataFrame:
         spot = begins[owner] + place
         number = np.empty(int(sizes.sum()), np.int64)
         number[spot] = np.arange(len(spot))
-        at = block.sorted(spot[order], groups)
-        equal = block.same(at[:-1], at[1:])
-        equal[np.cumsum(groups)[:-1] - 1] = False
-        repeated = np.zeros(len(at), bool)
-        repeated[1:] = equal
-        repeated[:-1] |= equal
-        hit = np.sort(number[at[repeated]])
+        hits, ends, begin = [np.zeros(0, np.int64)], np.cumsum(groups), 0
+        while begin < len(groups):  # some buckets at a time
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + SORTED, side="right")))
+            some = groups[begin:end]
+            at = block.sorted(spot[order[ends[end - 1] - some.sum() : ends[end - 1]]], some)
+            equal = block.same(at[:-1], at[1:])
+            equal[np.cumsum(some)[:-1] - 1] = False
+            repeated = np.zeros(len(at), bool)
+            repeated[1:] = equal
+            repeated[:-1] |= equal
+            hits.append(number[at[repeated]])
+            begin = end
+        hit = np.sort(np.concatenate(hits))
         once = np.array([h[3] for h in held]) == 1
         hit = hit[once[owner[hit]]]
         rows, lo = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
@@ -342,14 +350,15 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     # runs of hot anchors need no partner: they are dealt evenly
     dealt = runs.join(hot, "anchor", "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("row", "lo")).otherwise(F.col("anchor")))
     cold = buckets.filter(F.col("total") <= HOT_RUNS).select(F.col("anchor").alias("key"), F.lit(True).alias("cold"))
-    met = materialize(dealt.join(cold, "key", "left").filter("hot or cold").select("anchor", "kind", "row", "lo", "n", "at"))
-    kinds = materialize(met.groupBy("anchor", "kind").agg(F.count("*").alias("same"), F.min(F.struct("row", "lo", "n", "at")).alias("one")))
+    met = materialize(dealt.drop("hot").join(cold, "key", "left").filter("cold or key <> anchor").select("anchor", "kind", "row", "lo", "shape"))
+    kinds = materialize(met.groupBy("anchor", "kind").agg(F.count("*").alias("same"), F.min(F.struct("row", "lo", "shape")).alias("one")))
     equal = met.join(kinds.filter("same > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi")
-    whole = equal.select("row", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (LENGTH - 1)).alias("end"))
+    n = lambda shape: F.shiftright(shape, 8)
+    whole = equal.select("row", F.col("lo").alias("start"), (F.col("lo") + n("shape") + (LENGTH - 1)).alias("end"))
     sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     unequal = kinds.join(sizes.select("anchor"), "anchor", "left_semi")
     large = sizes.filter(F.col("kinds") > MAX_RUNS).select("anchor")
-    asked = unequal.select(F.col("one.row").alias("row"), F.struct("anchor", "kind", F.col("one.lo").alias("lo"), F.col("one.n").alias("n"), "same", F.col("one.at").alias("at")).alias("run"))
+    asked = unequal.select(F.col("one.row").alias("row"), F.struct("anchor", "kind", F.col("one.lo").alias("lo"), n("one.shape").alias("n"), "same", (F.col("one.shape") % 256).alias("at")).alias("run"))
     asked = materialize(asked.groupBy("row").agg(F.collect_list("run").alias("runs")))
     some = keyed.join(at_most(asked.select("row"), BROADCAST_ROWS), "row", "left_semi").join(asked, "row")
     pieces = _cut(some)
