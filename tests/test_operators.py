@@ -172,7 +172,7 @@ def test_versioned_table(spark, tmp_path):
     assert p.last_id("e", "state", 0, 1) == 9 and p.last_id("e", "other", 0, 1) is None
 
 
-def test_buckets(spark, tmp_path):
+def test_buckets(spark, tmp_path, monkeypatch):
     """A batch writes the buckets of its keys alone, a retry leaves the same table, and emptied buckets are empty."""
     t = sinks.VersionedTable(spark, f"file://{tmp_path}/t", "id bigint, n bigint", "id", 8)
     rows = lambda *pairs: spark.createDataFrame(list(pairs), t.schema)
@@ -186,9 +186,13 @@ def test_buckets(spark, tmp_path):
         assert held() == dict.fromkeys(range(100), 0) | {7: 1, 200: 2}
     gone = t.merge(rows((7, 0)), lambda old, new: old.limit(0))
     assert set(held()) == {i for i in [*range(100), 200] if i not in {r.id for r in t.read(below=3, buckets=gone).collect()}}
-    for i in range(40):  # additions are put together now and then, and what is replaced is deleted
+    monkeypatch.setattr(sinks, "MAX_ADDS", 3)
+    for i in range(30):  # additions are put together now and then
         t.append_new(rows((7, i), (1000 + i, i)))
-    assert len(t.versions()) <= 38 and set(range(1000, 1040)) < set(held()) and held()[7] == 0
+    assert set(range(1000, 1030)) < set(held()) and held()[7] == 0
+    for b in range(8):
+        kinds = [m[b] for m in reversed(t.manifests().values()) if b in m]
+        assert len(kinds[: kinds.index("replace")]) <= 4
     assert t.read(buckets=[]).count() == 0 and t.append_new(rows()) == []
 
 
