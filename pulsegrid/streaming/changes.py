@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.scalars import message, stream_id
 from ..operators.customvars import flatten_customvars
@@ -59,7 +59,7 @@ def live(target: DataFrame) -> DataFrame:
     return target.filter("not __deleted").drop("__ms", "__seq", "__deleted")
 
 
-CUSTOMVAR = StructType.fromDDL("id string, environment_id string, name string, value string")
+CUSTOMVAR = StructType([StructField(n, StringType()) for n in ("id", "environment_id", "name", "value")])
 
 
 def expand_customvars(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
