@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of_batches
+from .common import bytes_of_batches, plain_names
 
 #: Merged pre-tokens that a worker remembers: half of them the last, half those before; about 200 bytes each.
 MEMORY = 200_000
@@ -267,13 +267,13 @@ def _over_texts(docs: DataFrame, text: str, path: str, pattern: str, names: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(shared.value, pattern)
         for batch in batches:
-            others = [batch.schema.get_field_index(f.name) for f in kept]
-            for first, part in _parts(batch.column(batch.schema.get_field_index(text))):
+            for first, part in _parts(batch.column(len(kept))):
                 some = batch.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([some.column(i) for i in others] + columns(codec, part), [f.name for f in kept] + names)
+                yield pa.RecordBatch.from_arrays(some.columns[: len(kept)] + columns(codec, part), some.schema.names[: len(kept)] + names)
 
-    own = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`"))
-    return own.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"{n} {COLUMNS[n]}" for n in names]))
+    own = plain_names(docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`")))
+    out = own.mapInArrow(run, ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)] + [f"{n} {COLUMNS[n]}" for n in names]))
+    return out.toDF(*[f.name for f in kept], *names)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import string
 import tempfile
@@ -46,6 +47,18 @@ def bytes_of_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(most))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1 and so on: functions over Arrow batches do not take names with dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows that the driver holds, read from one JSON literal: no Python runs for it."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':').replace(',:', ', ')}>>")))
+
+
 def at_most(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is (a shuffle join follows)."""
     return F.broadcast(df) if df.count() <= rows else df

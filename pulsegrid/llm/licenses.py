@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, materialize, row_key, words_of
+from .common import at_most, materialize, row_key, small_table, words_of
 
 THRESHOLD, WINDOW = 0.9, 1.2
 BROADCAST_ROWS = 500_000
@@ -89,7 +89,7 @@ def _candidates(held: DataFrame, templates: list[tuple[str, str]], threshold: fl
         ranks = sorted(rank[w] for w in set(t.split()))
         least = needed(len(ranks), threshold)
         rows += [(order[r], at, i, [order[x] for x in ranks], least) for at, r in enumerate(ranks[: len(ranks) - least + 1])]
-    prefix = F.broadcast(held.sparkSession.createDataFrame(rows, "word string, at int, template int, words array<string>, least int"))
+    prefix = F.broadcast(small_table(held.sparkSession, rows, "word string, at int, template int, words array<string>, least int"))
     in_order = F.array(*map(F.lit, order))
     ranked = held.select("key", F.array_sort(F.transform("have", lambda w: F.struct(F.array_position(in_order, w).alias("rank"), w.alias("word")))).alias("have"))
     probes = ranked.select("key", F.transform("have", lambda x: x["word"]).alias("have"), F.posexplode("have").alias("pos", "x")).select("key", "have", "pos", F.col("x.word").alias("word"))
@@ -101,7 +101,7 @@ def _candidates(held: DataFrame, templates: list[tuple[str, str]], threshold: fl
 def _blocks(some: DataFrame, pairs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(key, template, label, first, containment) of the best blocks (of equals the first) that meet the threshold. some: key and words."""
     rows = [(i, label, sorted(set(t.split())), needed(len(set(t.split())), threshold), width(t)) for i, (label, t) in enumerate(templates)]
-    table = F.broadcast(some.sparkSession.createDataFrame(rows, "template int, label string, tw array<string>, least int, width int"))
+    table = F.broadcast(small_table(some.sparkSession, rows, "template int, label string, tw array<string>, least int, width int"))
 
     def best(at: Column) -> Column:
         def block(x: Column, k: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bytes_of_batches, materialize, plain_names
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 FEATURES, RIDGE, SEED = 256, 1e-3, 20240501
@@ -62,19 +62,19 @@ def fold_of(key: Column) -> Column:
 
 
 def describe(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `stats` (array of double) in place of the text."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+    """docs with `stats` (array of double) in place of the text, and of any column of that name."""
+    kept = [f for f in docs.schema.fields if f.name not in (text, "stats")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text)
-            column = batch.column(at)
+            column = batch.column(len(kept))
             stats = np.concatenate([statistics(column[i].as_py() or "") for i in range(len(column))] or [np.zeros(0)])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(column) + 1) * N_STATS, pa.int32()), pa.array(stats))
-            others = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in others] + [lists], [batch.schema.names[i] for i in others] + ["stats"])
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + [lists], batch.schema.names[: len(kept)] + ["stats"])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["stats array<double>"]))
+    bytes_of_batches(docs.sparkSession)
+    own = plain_names(docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`")))
+    return own.mapInArrow(run, ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)] + ["stats array<double>"])).toDF(*[f.name for f in kept], "stats")
 
 
 @dataclass
@@ -172,9 +172,10 @@ def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
+            column = batch.column(at)
             if len(column):
                 scores = model.score(np.stack([statistics(column[i].as_py() or "") for i in range(len(column))]))
                 yield batch.filter(pa.array(scores >= ACCEPT))
 
-    return docs.mapInArrow(run, docs.schema)
+    at, own = docs.columns.index("text"), plain_names(docs)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

@@ -25,7 +25,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import at_most, materialize
+from .common import at_most, materialize, small_table
 
 #: Quotas leave some slack while rows move; the balance at the end makes shards exactly even.
 SHARDS, ROUNDS, SLACK = 24, 3, 0.25
@@ -79,7 +79,7 @@ def propagate(cells: DataFrame, loads: Counter, quota: int, rounds: int = ROUNDS
         go = _admitted(flows, loads, quota)
         if not go:
             break
-        allowed = F.broadcast(cells.sparkSession.createDataFrame(go, FLOWS).withColumn("go", F.lit(True)))  # BINS x shards x shards rows at most
+        allowed = F.broadcast(small_table(cells.sparkSession, go, FLOWS).withColumn("go", F.lit(True)))  # BINS x shards x shards rows at most
         moved = wished.withColumnRenamed("shard", "own").join(allowed, ["own", "best", "bin"], "left")
         cells = moved.groupBy("grp", F.when(F.col("go"), F.col("best")).otherwise(F.col("own")).alias("shard")).agg(F.sum("n").alias("n"))
     return _best(cells, rounds).withColumnRenamed("best", "home")
@@ -198,12 +198,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     plan = Balance(held | {(k, 1): n for k, n in alone.items() if n}, capacity)
 
     interval = "array<struct<first:bigint,last:bigint,to:int>>"
-    moves = spark.createDataFrame([(k, size, held.get((k, size), alone[k]), x) for (k, size), x in plan.moves.items()], f"home int, same bigint, cell bigint, moves {interval}")
-    cuts = spark.createDataFrame([(*key, x) for key, x in plan.cuts.items()], f"home int, same bigint, no bigint, cuts {interval}")
+    named = lambda x: [dict(zip(("first", "last", "to"), i, strict=True)) for i in x]
+    moves = small_table(spark, [(k, size, held.get((k, size), alone[k]), named(x)) for (k, size), x in plan.moves.items()], f"home int, same bigint, cell bigint, moves {interval}")
+    cuts = small_table(spark, [(*key, named(x)) for key, x in plan.cuts.items()], f"home int, same bigint, no bigint, cuts {interval}")
 
     # groups: only cells from which some move, or are cut, are numbered
     touched = {(k, size) for k, size in plan.moves if size > 1} | {key[:2] for key in plan.cuts}
-    marks = F.broadcast(spark.createDataFrame([(*c, held[c]) for c in touched], "home int, same bigint, cell bigint"))
+    marks = F.broadcast(small_table(spark, [(*c, held[c]) for c in touched], "home int, same bigint, cell bigint"))
     numbered = _numbered(homes.join(marks, ["home", "same"]), ["home", "same"], F.col("cell"), F.col("grp"), ["grp"])
     numbered = numbered.select("grp", "home", "same", "no").join(F.broadcast(moves.drop("cell")), ["home", "same"], "left").join(F.broadcast(cuts), ["home", "same", "no"], "left")
     settled = numbered.select("grp", "same", F.coalesce(_where("moves", "no"), F.col("home")).alias("to"), "cuts")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, bytes_of_batches, materialize, row_key
+from .common import at_most, bytes_of_batches, materialize, plain_names, row_key
 
 LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19
@@ -372,8 +372,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
 
 def _strip(docs: DataFrame, text_column: str, out: str, row) -> DataFrame:  # noqa: ANN001
     """docs (any columns, text, spans last) with what row(raw bytes, merged spans) returns in place of text and spans."""
-    kept = [f for f in docs.schema.fields if f.name not in (text_column, "__spans")]
     names = [part.split()[0] for part in out.split(", ")]
+    kept = [f for f in docs.schema.fields if f.name not in (text_column, "__spans", *names)]
 
     def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
         done: list[list[int]] = []
@@ -386,15 +386,14 @@ def _strip(docs: DataFrame, text_column: str, out: str, row) -> DataFrame:  # no
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t, s = (batch.schema.get_field_index(c) for c in (text_column, "__spans"))
-            texts, spans = batch.column(t), batch.column(s)
+            texts, spans = batch.column(len(kept)), batch.column(len(kept) + 1)
             rows = [row((texts[i].as_py() or "").encode(), merged(spans[i].as_py())) for i in range(batch.num_rows)]
-            rest = [i for i in range(batch.num_columns) if i not in (t, s)]
             made = [pa.array([r[j] for r in rows]) if rows else pa.array([], pa.string()) for j in range(len(names))]
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in rest] + made, [batch.schema.names[i] for i in rest] + names)
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(kept)] + made, batch.schema.names[: len(kept)] + names)
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [out]))
+    own = plain_names(docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text_column}`"), "__spans"))
+    return own.mapInArrow(run, ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(kept)] + [out])).toDF(*[f.name for f in kept], *names)
 
 
 def _left(raw: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, new_folder
@@ -204,7 +204,9 @@ def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFra
     A record whose payload does not match its digest stops the job.
     """
     archives = materialize(write(assign_revisits(pages, least), new_folder(spark, "warc")))
-    archives = archives.repartition(max(1, archives.count()), "archive")
+    # one archive to a task; there is a row for each ARCHIVE_BYTES
+    numbered = archives.withColumn("no", F.row_number().over(Window.orderBy("archive")) - 1)
+    archives = numbered.repartitionById(max(1, archives.count()), "no")
     found = read(archives, payloads=False).filter(F.col("warc_type").isin("response", "revisit"))
     checked = F.when(F.col("digest_ok") == F.lit(False), F.raise_error(F.lit("a payload does not match its digest"))).otherwise(F.col("payload_digest"))
     return found.select(_page("record_id").alias("page_id"), "payload_bytes", checked.cast("string").alias("payload_digest"), F.col("warc_type").alias("record_type"), _page("refers_to").alias("refers_to"))

@@ -4,7 +4,9 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -126,6 +128,34 @@ def test_quality(spark, sf):
     assert rows(quality.quality(documents(spark, sf).drop("lang", "source"), turned)) == rows(quality.quality(documents(spark, sf), labels))
 
 
+def test_quality_is_the_ridge_over_all_rows(spark, sf):
+    """The sums over partitions, solved, and the calibration, against one matrix of all rows and a slow isotonic fit."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    source = documents(spark, sf).collect()
+    stats = np.array([quality.statistics(r.text or "") for r in source])
+    own = np.array([fold(r.doc_id) if r.doc_id in label else 0 for r in source])
+    y = np.array([label.get(r.doc_id, 0) for r in source], float)
+    used = own > 0
+    model = quality.Model(stats[used].mean(axis=0), np.maximum(stats[used].std(axis=0), 1e-6), None, None)
+    z = model.lift(stats)
+    fit = own > 1
+    ridge = quality.RIDGE * fit.sum() / (quality.FEATURES + 1 - 1)
+    model.weights = np.linalg.solve(z[fit].T @ z[fit] + ridge * np.eye(z.shape[1]), z[fit].T @ y[fit])
+    raw = z @ model.weights
+    bins = defaultdict(list)
+    for i in np.flatnonzero(own == 1):
+        bins[math.floor(raw[i] * quality.BINS)].append(i)
+    x, v, w = (np.array(c) for c in zip(*[(raw[b].mean(), y[b].mean(), len(b)) for _, b in sorted(bins.items())], strict=True))
+    steps = [max(min(v[a : b + 1] @ w[a : b + 1] / w[a : b + 1].sum() for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))]
+    got = {r.doc_id: r.score for r in quality.quality(documents(spark, sf), labels).collect()}
+    level = np.array(steps)
+    at = [x[level == s] @ w[level == s] / w[level == s].sum() for s in sorted(set(steps))]
+    want = np.clip(np.interp(raw, at, sorted(set(steps))), 0, 1)
+    assert max(abs(got[r.doc_id] - s) for r, s in zip(source, want, strict=True)) < 1e-4
+
+
 def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.quality(odd(spark), none).collect()} == {0.5}
@@ -243,6 +273,30 @@ def test_next_of_ids_beyond_doubles(spark, monkeypatch):
         assert rows(fingerprint.with_next(docs, lambda a, b: (a, b), "text string, following string")) == sorted(want, key=str)
 
 
+def counted(data):
+    """A digest by its definition: six triplets of every window of five bytes that lie inside the data, by plain counting."""
+    buckets = [0] * 256
+    for k, (x, y, z) in enumerate([(0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4)]):
+        for i in range(len(data) - z):
+            h = (data[i + x] * 0x01000193 + data[i + y] * 0x0001F35B + data[i + z] * 0x00009E37 + k * 0x2545F491) * 0x9E3779B1 % 2**32
+            buckets[h >> 24] += 1
+    q = [sorted(buckets)[i] for i in (63, 127, 191)]
+    codes = [sum(c > x for x in q) for c in buckets]
+    packed = bytes(codes[i] + 4 * codes[i + 1] + 16 * codes[i + 2] + 64 * codes[i + 3] for i in range(0, 256, 4))
+    return bytes([min(255, int(math.log(len(data) + 1) / math.log(1.05)))]) + packed, codes
+
+
+def test_fingerprint_by_its_definition():
+    rng = random.Random(18)
+    texts = [b"", b"a", b"ab", b"abc", b"abcd", b"abcde", bytes(1000), *(bytes(rng.randrange(97, 107) for _ in range(n)) for n in (10, 100, 3000))]
+    made = [counted(t) for t in texts]
+    assert [fingerprint.fingerprint(t).tobytes() for t in texts] == [m[0] for m in made]
+    for a, ca in made:
+        for b, cb in made:
+            diff = sum(abs(x - y) for x, y in zip(ca, cb, strict=True)) + 4 * min(16, abs(a[0] - b[0]))
+            assert fingerprint.likeness(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)) == pytest.approx(1 - diff / (3 * 256 + 64))
+
+
 def test_fingerprints_tell_edits_from_others(spark, sf):
     out = fingerprint.digest(documents(spark, sf)).filter("n_chars > 50").collect()
     assert sum(r.near_edited > r.near_next for r in out) >= 0.97 * len(out)
