@@ -1,4 +1,10 @@
-"""A cleaning pipeline over documents: each stage applies one operator to all that the stage before it kept."""
+"""A cleaning pipeline over documents: each stage applies one operator to all that the stage before it kept.
+
+Stages need doc_id and text; all other columns stay, whatever their names (n_chars follows a redacted text, and `encode` puts
+its columns in the text's place). An empty table passes through as one. A null or empty text is scored like an empty one, is a
+near copy of nothing and has no hits, spans or tokens. Rows of equal id and text are one document, so one of them stays; rows
+of one id and different texts, and rows without an id, are documents of their own. Texts are read whole by every stage.
+"""
 
 from __future__ import annotations
 
@@ -31,10 +37,10 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, the ids and the digests of the ids and of what they decode to."""
+    """All columns but the text, with n_tokens, the ids and the digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    return bpe.tokens(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.tokens(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [

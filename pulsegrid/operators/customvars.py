@@ -77,8 +77,10 @@ def flatten_json(df: DataFrame, name: str = "name", value: str = "value", depth:
         part = others.take(pa.array(at))
         return pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(values, pa.string())], [*part.schema.names, "flatname", "flatvalue"])
 
-    own = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{name}`").alias("__path"), F.col(f"`{value}`").alias("__json"))
-    return own.mapInArrow(run, StructType([*kept, StructField("flatname", StringType()), StructField("flatvalue", StringType())]))
+    # functions over Arrow batches do not take names with dots
+    own = df.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.col(f"`{name}`").alias("path"), F.col(f"`{value}`").alias("json"))
+    schema = StructType([*own.schema.fields[: len(kept)], StructField("flatname", StringType()), StructField("flatvalue", StringType())])
+    return own.mapInArrow(run, schema).toDF(*[f.name for f in kept], "flatname", "flatvalue")
 
 
 def flatten_customvars(customvars: DataFrame, depth: int = DEPTH) -> DataFrame:
