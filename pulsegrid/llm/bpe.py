@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of_batches, plain_names
 
 #: Merged pre-tokens that a worker remembers: half of them the last, half those before; about 200 bytes each.
-MEMORY = 200_000
+MEMORY = 400_000
 #: Characters of text that are encoded at a time, and pre-tokens of a longer text.
 PART_CHARS, PIECES = 500_000, 100_000
 
@@ -157,7 +158,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         keys = list(ranks)
-        self.ids = np.array([ranks[k] for k in keys], np.int32)
+        self.ids = [array("i", [ranks[k]]).tobytes() for k in keys]
         self.whole = PerfectHash(keys)
         self.bytes = {i: k for k, i in ranks.items()}
         self.names = {i: str(i) for i in self.bytes}
@@ -168,15 +169,12 @@ class Codec:
         self.answered = [0, 0, 0]
 
     def _merged(self, word: bytes) -> bytes:
-        """The ids of a word that is no vocabulary entry, as bytes of int32."""
-        if (ids := self.known.get(word)) is not None:
-            self.answered[1] += 1
-            return ids
-        if (ids := self.older.get(word)) is not None:
-            self.answered[1] += 1
-        else:
+        """The ids of a word that is no vocabulary entry and not among the last ones, as bytes of int32."""
+        if (ids := self.older.get(word)) is None:
             self.answered[2] += 1
-            ids = np.array(merge(word, self.ranks), np.int32).tobytes()
+            ids = array("i", merge(word, self.ranks)).tobytes()
+        else:
+            self.answered[1] += 1
         if len(self.known) >= MEMORY // 2:
             self.known, self.older = {}, self.known
         self.known[word] = ids
@@ -186,9 +184,16 @@ class Codec:
         """The ids of some pre-tokens, one after the other, and how many each has."""
         number = {p: i for i, p in enumerate(dict.fromkeys(pieces))}
         words = [p.encode() for p in number]
-        found = self.whole.find(words)
-        self.answered[0] += sum(i >= 0 for i in found)
-        each = [self.ids[i : i + 1].tobytes() if i >= 0 else self._merged(w) for w, i in zip(words, found, strict=True)]
+        each = []
+        for word, i in zip(words, self.whole.find(words), strict=True):
+            if i >= 0:
+                self.answered[0] += 1
+                each.append(self.ids[i])
+            elif (ids := self.known.get(word)) is not None:
+                self.answered[1] += 1
+                each.append(ids)
+            else:
+                each.append(self._merged(word))
         flat = np.frombuffer(b"".join(each), np.int32)
         n = np.fromiter(map(len, each), np.int64, len(each)) // 4
         at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
