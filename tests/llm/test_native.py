@@ -79,6 +79,24 @@ def test_contamination_random(spark):
     check_contamination(spark, docs, spark.createDataFrame([(i, draw(rng.randrange(20))) for i in range(8)], "item_id long, text string"))
 
 
+def test_contamination_of_mixed_lengths(spark):
+    """Items of all lengths at once, repeated words in texts and items, runs of one item that meet those of another."""
+    rng = random.Random(11)
+    draw = lambda n, of: " ".join(rng.choice(of) for _ in range(n))
+    items = [(i, draw(i % 17, "ab" if i % 3 else "abcdefgh")) for i in range(40)] + [(100, "a " * 30), (101, "a " * 13), (102, "a " * 12)]
+    docs = [(i, draw(rng.randrange(80), "ab" if i % 2 else "abcdefgh")) for i in range(40)] + [(200, "a " * 50), (201, "a " * 11), (202, "b " * 5 + "a " * 13)]
+    check_contamination(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+
+
+def test_contamination_of_repeated_words(spark):
+    """100 000 equal words against items of 40 and 300 of them: a row for each window, whatever the items."""
+    docs = [(1, "echo " * 20_000), (2, "echo " * 100_000), (3, "echo " * 12), (4, "one two three " * 10_000)]
+    items = [(1, "echo " * 40), (2, "echo " * 300), (3, "two three one " * 5), (4, "two three " * 8)]
+    got = {r.doc_id: tuple(r) for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).drop("key").collect()}
+    assert got[1][1:] == (20_000, 20_000, 2, sha("1,2"), True) and got[2][1:] == (100_000, 100_000, 2, sha("1,2"), True)
+    assert got[3][1:] == (12, 0, 0, sha(""), False) and got[4][1:] == (30_000, 30_000, 1, sha("3"), True)
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
