@@ -39,6 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder as Parquet and read it again: like `materialize`, in compressed columns, of which later
+    steps read what they need."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bytes_of_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """From now on Python tasks of this session get at most so many bytes at a time (one row at least), which bounds their
     memory, and that of the JVM beside them, where rows hold texts. A smaller setting stays as it is."""

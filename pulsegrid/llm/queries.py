@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, licenses, neardup, pii, quality, sharding, substrings, warc
+from . import bpe, decontaminate, fingerprint, licenses, neardup, pii, quality, search, sharding, substrings, trie, warc
 from .common import documents
 
 
@@ -53,6 +53,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(documents(spark, sf_dir))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op12_trie": op12_trie,
+    "op13_search": op13_search,
 }
 
 #: SQL of lower-casing A to Z, and of the words of a text.
@@ -137,5 +147,33 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_base, 0) AS n_base, first_w
 FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN tt USING (doc_id) LEFT JOIN al USING (doc_id)"""
 
 
+_CRC = "(list_reduce([4294967295] || list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint), lambda x, y: list_reduce([xor(x, y)] || range(8), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))))"
+
+#: Nodes are paths of turn digests; subtrees by every node's prefixes.
+OP12 = f"""WITH o AS (SELECT conv_id::bigint AS c, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS d, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint AS w,
+row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, xor({_CRC}, 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM o)),
+hd AS (SELECT k.c, o.p, o.d, o.w FROM k JOIN o ON o.c = k.c - k.c % 20 AND o.p <= k.h),
+m AS (SELECT c, count(*) AS m FROM hd GROUP BY 1),
+rb AS (SELECT * FROM hd UNION ALL SELECT o.c, o.p - k.h + coalesce(m, 0), o.d, o.w FROM o JOIN k USING (c) LEFT JOIN m USING (c) WHERE o.p > k.h),
+pre AS (SELECT c, p AS depth, string_agg(d, '') OVER (PARTITION BY c ORDER BY p) AS path, w FROM rb UNION ALL SELECT c, 0, '', 0 FROM k),
+n AS (SELECT c, max(depth) AS n FROM pre GROUP BY 1),
+node AS (SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w, string_agg(c::varchar, ',' ORDER BY c) FILTER (n = depth) AS ends FROM pre JOIN n USING (c) GROUP BY 1, 2),
+kid AS (SELECT left(path, 64 * (depth::int - 1)) AS path, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+own AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kid USING (path)),
+sub AS (SELECT left(path, 64 * u::int) AS path, sum((n_children = 0)::int)::bigint AS n_leaves, sum((n_convs - 1) * w)::bigint AS saved_tokens FROM (SELECT *, unnest(range(depth::int + 1)) AS u FROM own) GROUP BY 1)
+SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, sha256(coalesce(own.ends, '')) AS ends_sha256
+FROM own JOIN sub USING (path) LEFT JOIN node up ON own.depth > 0 AND up.path = left(own.path, 64 * (own.depth::int - 1))"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP13 = f"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{_TERM}'), lambda x: {_LOW.format('x')}) AS w FROM documents),
+s AS (SELECT count(*)::bigint AS docs, sum(len(w))::bigint AS terms FROM d WHERE len(w) > 0),
+it AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(text, '{_TERM}'), lambda x: {_LOW.format('x')})) AS t FROM benchmark) GROUP BY 1, 2),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM it) GROUP BY 1, 2, 3),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM tf, s GROUP BY 1),
+sc AS (SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::bigint AS score FROM tf JOIN it USING (t) JOIN w USING (t), s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {search.TOP}"""
+
 #: Others: substrings, quality, shards, near copies, fingerprints and BPE are tested against plain Python.
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_pii": _op3(), "op10_licenses": _op10()}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_warc": OP2, "op3_pii": _op3(), "op10_licenses": _op10(), "op12_trie": OP12, "op13_search": OP13}
