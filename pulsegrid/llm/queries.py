@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, licenses, neardup, pii, quality, search, sharding, substrings, trie, warc
+from . import bpe, decontaminate, fingerprint, licenses, lm, neardup, pii, quality, search, sharding, substrings, trie, warc
 from .common import documents
 
 
@@ -53,6 +53,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_digest(documents(spark, sf_dir))
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op11_lm": op11_lm,
     "op12_trie": op12_trie,
     "op13_search": op13_search,
 }
