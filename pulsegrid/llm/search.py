@@ -35,8 +35,8 @@ TOP = 20
 BLOCK_TERMS = 100_000
 #: Bytes of a text that are split at a time.
 PIECE = 1 << 20
-#: Scores of classes and items that a task holds at a time.
-CELLS = 1 << 21
+#: Scores of classes and items, and what they are summed up from, that a task holds at a time, about.
+CELLS = 1 << 20
 #: Chosen classes of a block are broadcast up to this count.
 BROADCAST_ROWS = 100_000
 
@@ -111,10 +111,13 @@ def _best_classes(classes: DataFrame, postings: tuple[np.ndarray, ...], weights:
         held: pa.Table | None = None
         item, score, first = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         least = np.ones(n_items, np.int64)
-        step = max(1, CELLS // n_items)
         for whole in batches:
-            for begin in range(0, whole.num_rows, step):
-                batch = whole.slice(begin, step)
+            parts = np.concatenate([[0], np.cumsum(begins[(t := whole.column(4).flatten().to_numpy()) + 1] - begins[t])])
+            work = parts[whole.column(4).offsets.to_numpy() - whole.column(4).offsets[0].as_py()] + np.arange(whole.num_rows + 1) * n_items
+            end = 0
+            while end < whole.num_rows:
+                begin, end = end, max(end + 1, int(np.searchsorted(work, work[end] + CELLS, side="right")) - 1)
+                batch = whole.slice(begin, end - begin)
                 m, ids = batch.column(2).to_numpy(), batch.column(3).fill_null(np.iinfo(np.int64).max).to_numpy()
                 found = scores(m, np.diff(batch.column(4).offsets.to_numpy()), batch.column(4).flatten().to_numpy().astype(np.int64), batch.column(5).flatten().to_numpy())
                 row, col = np.nonzero(found >= least)
