@@ -11,15 +11,18 @@ instead of one row for each suffix:
    bucket's task, which takes its buckets block by block (see `Block`). The suffixes of a block are sorted by their first
    PERIOD bytes; longer ties are resolved by ranks that are computed before for a difference cover of the places: for any
    two places there is a distance below PERIOD at which both have a rank. Neighbours are then compared byte by byte;
-4. buckets of more than MAX_RUNS kinds of runs are not put in one task: their suffixes are counted by anchor and digest in
-   a Spark aggregation and joined back.
+4. a bucket of more than MAX_RUNS kinds of runs would be too much for a task, so it is divided, and its parts take the same
+   steps: a suffix has `rest` bytes besides its anchor, so it has half of them on the anchor's left or on its right, and equal
+   suffixes have the same there. This half joins the anchor (see `_extended`): a run falls into two at most, of suffixes that go
+   left and right, and the longer anchors name the new buckets. Parts that are equal as a whole need no sort, again. After 8
+   divisions at most an anchor is all of a suffix, and its bucket one kind.
 
 Anchors of many runs are kept by a broadcast of their names, so that no task gets all runs of one.
 
 Texts are UTF-8 bytes; null is empty; strings never cross texts; rows of equal id and text are documents of their own, so
 each repeats the other; an empty table gives an empty table. Long texts are cut into overlapping segments, so a task's
-memory does not grow with a text but for the text itself. Runs (and the suffixes of point 4) are held equal by 64-bit
-digests, within an anchor. `digest` reads doc_id and text alone, `remove` keeps all other columns.
+memory does not grow with a text but for the text itself. Runs are held equal by 64-bit digests within an anchor, which is one
+of 64 bits itself; suffixes by their bytes. `digest` reads doc_id and text alone, `remove` keeps all other columns.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import at_most, bytes_of_batches, materialize, plain_names, row_key
@@ -38,7 +41,8 @@ LENGTH, GRAM = 200, 64
 SEGMENT = 1 << 19
 #: Buffers of texts are shorter than 2 to this power.
 PLACE_BITS = 21
-MAX_RUNS = 20_000
+#: Kinds of runs that one bucket may have, about 1.5 MB; larger ones are divided.
+MAX_RUNS = 5_000
 #: Suffixes that are sorted at a time, but for those of one anchor place.
 SORTED = 300_000
 BROADCAST_ROWS = 500_000
@@ -167,15 +171,6 @@ def _cut(texts: DataFrame) -> DataFrame:
     return texts.select("row", "text", "runs").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, same bigint, at bigint, piece binary")
 
 
-def _suffixes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, piece number and place of each suffix of LENGTH bytes in some pieces."""
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    counts = sizes - LENGTH + 1
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-    return Hashes(b"".join(pieces)).at(place + np.repeat(np.cumsum(sizes) - sizes, counts), LENGTH), owner, place
-
-
 def _spans(rows: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """Neighbouring repeated suffixes (row, place; in order) as (row, start, end) of the bytes that they cover."""
     cut = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
@@ -325,20 +320,37 @@ def _sorted_buckets(pieces: DataFrame) -> DataFrame:
     return ordered.select("anchor", "row", "lo", "same", "piece", "kind", "at").mapInArrow(run, "row bigint, start bigint, end bigint")
 
 
-def _counted_buckets(pieces: DataFrame) -> DataFrame:
-    """The same for buckets too large for a task: by an aggregation over anchors and the suffixes' digests."""
+def _digest(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def _extended(texts: DataFrame, rest: int) -> DataFrame:
+    """texts (row, text, runs) → anchor, kind, row, lo, shape and same of the runs' parts, with anchors longer by half of rest.
+
+    The suffixes of a run that have so many bytes on the anchor's left take them into the anchor, the others those on its right.
+    """
+    half = (rest + 1) // 2
+    names = ["anchor", "kind", "row", "lo", "shape", "same"]
+
+    def parts(raw: bytes, row: int, r: dict) -> Iterator[tuple]:
+        lo, n, at = r["lo"], r["n"], r["at"]
+        left = min(n, max(0, at - half + 1))
+        for begin, count, new in ((0, left, at - half), (left, n - left, at - left)):
+            if count:
+                start = lo + begin
+                # the bytes that join the anchor: at its left end, or behind its right one
+                more = raw[start + new : start + new + half] if not begin and left else raw[lo + at + LENGTH - rest : lo + at + LENGTH - rest + half]
+                anchor = _digest(r["anchor"].to_bytes(8, "little", signed=True), b"l" if not begin and left else b"r", more)
+                yield anchor, _digest(bytes([new]), raw[start : start + count + LENGTH - 1]), row, start, count * 256 + new, r["same"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            digest, owner, place = _suffixes(batch.column(4).to_pylist())
-            anchor, rows, lo, same = (batch.column(j).to_numpy()[owner] for j in range(4))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, digest.view(np.int64), rows, lo + place, same)], ["anchor", "digest", "row", "start", "same"])
+            for i in range(batch.num_rows):
+                raw, row = (batch.column(1)[i].as_py() or "").encode(), batch.column(0)[i].as_py()
+                out = [x for r in batch.column(2)[i].as_py() for x in parts(raw, row, r)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in range(6)], names)
 
-    each = pieces.select("anchor", "row", "lo", "same", "piece").mapInArrow(run, "anchor bigint, digest bigint, row bigint, start bigint, same bigint")
-    repeated = each.groupBy("anchor", "digest").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "digest")
-    return each.filter("same = 1").join(repeated, ["anchor", "digest"], "left_semi").select("row", "start", (F.col("start") + LENGTH).alias("end"))
+    return texts.select("row", "text", "runs").mapInArrow(run, "anchor bigint, kind bigint, row bigint, lo bigint, shape bigint, same bigint")
 
 
 def repeated_spans(keyed: DataFrame) -> DataFrame:
@@ -351,23 +363,32 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     dealt = runs.join(hot, "anchor", "left").withColumn("key", F.when(F.col("hot"), F.xxhash64("row", "lo")).otherwise(F.col("anchor")))
     cold = buckets.filter(F.col("total") <= HOT_RUNS).select(F.col("anchor").alias("key"), F.lit(True).alias("cold"))
     met = materialize(dealt.drop("hot").join(cold, "key", "left").filter("cold or key <> anchor").select("anchor", "kind", "row", "lo", "shape"))
-    kinds = materialize(met.groupBy("anchor", "kind").agg(F.count("*").alias("same"), F.min(F.struct("row", "lo", "shape")).alias("one")))
-    equal = met.join(kinds.filter("same > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi")
-    n = lambda shape: F.shiftright(shape, 8)
-    whole = equal.select("row", F.col("lo").alias("start"), (F.col("lo") + n("shape") + (LENGTH - 1)).alias("end"))
-    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    unequal = kinds.join(sizes.select("anchor"), "anchor", "left_semi")
-    large = sizes.filter(F.col("kinds") > MAX_RUNS).select("anchor")
-    asked = unequal.select(F.col("one.row").alias("row"), F.struct("anchor", "kind", F.col("one.lo").alias("lo"), n("one.shape").alias("n"), "same", (F.col("one.shape") % 256).alias("at")).alias("run"))
-    asked = materialize(asked.groupBy("row").agg(F.collect_list("run").alias("runs")))
-    some = keyed.join(at_most(asked.select("row"), BROADCAST_ROWS), "row", "left_semi").join(asked, "row")
-    pieces = _cut(some)
-    if large.limit(1).count():
-        counted = materialize(pieces.join(large, "anchor", "left_semi").dropDuplicates(["anchor", "kind"]))
-        settled = _sorted_buckets(pieces.join(large, "anchor", "left_anti")).unionByName(_counted_buckets(counted))
-    else:
-        settled = _sorted_buckets(pieces)
-    return whole.unionByName(settled)
+    met = met.withColumn("same", F.lit(1).cast("long"))
+    n, at = F.shiftright("shape", 8), F.col("shape") % 256
+    spans, rest = [], LENGTH - GRAM
+    while True:
+        kinds = materialize(met.groupBy("anchor", "kind").agg(F.sum("same").alias("same"), F.min(F.struct("row", "lo", "shape")).alias("one")))
+        equal = met.join(kinds.filter("same > 1").select("anchor", "kind"), ["anchor", "kind"], "left_semi")
+        spans.append(equal.select("row", F.col("lo").alias("start"), (F.col("lo") + n + (LENGTH - 1)).alias("end")))
+        sizes = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        large = F.col("kinds") > (MAX_RUNS if rest else F.lit(2**62))
+        unequal = materialize(kinds.join(sizes, "anchor").select("one.*", "anchor", "kind", "same", large.alias("large")))
+        spans.append(_sorted_buckets(_cut(_with_runs(keyed, unequal.filter("not large"), n, at))))
+        if not unequal.filter("large").limit(1).count():
+            break
+        met = materialize(_extended(_with_runs(keyed, unequal.filter("large"), n, at), rest))
+        rest -= (rest + 1) // 2
+    out = spans[0]
+    for part in spans[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _with_runs(keyed: DataFrame, runs: DataFrame, n: Column, at: Column) -> DataFrame:
+    """row, text and runs of the texts that have some."""
+    own = runs.select("row", F.struct("anchor", "kind", "lo", n.alias("n"), "same", at.alias("at")).alias("run"))
+    own = materialize(own.groupBy("row").agg(F.collect_list("run").alias("runs")))
+    return keyed.join(at_most(own.select("row"), BROADCAST_ROWS), "row", "left_semi").join(own, "row")
 
 
 def _strip(docs: DataFrame, text_column: str, out: str, row) -> DataFrame:  # noqa: ANN001
