@@ -28,3 +28,10 @@ def count_prefix(table: DataFrame, column: str, prefix: str) -> DataFrame:
 def change_counters(applied: DataFrame, time: str = "ts", kind: str = "kind") -> DataFrame:
     """(second, kind, n): applied changes per second."""
     return applied.groupBy(F.window(time, "1 second").getField("start").alias("second"), kind).agg(F.count("*").alias("n"))
+
+
+def stream_change_counters(applied: DataFrame, time: str = "ts", kind: str = "kind", late: str = "10 seconds") -> DataFrame:
+    """The same for a stream: a second is put out once no more of it is awaited, `late` behind the newest change; what comes even
+    later is left out (Spark counts it in numRowsDroppedByWatermark). time is a timestamp."""
+    counted = applied.withWatermark(time, late).groupBy(F.window(time, "1 second"), kind).agg(F.count("*").alias("n"))
+    return counted.select(F.col("window.start").alias("second"), kind, "n")

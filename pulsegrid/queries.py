@@ -93,10 +93,9 @@ def backfill_sla_downtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EV}, {RAW}, {ST}, q AS (SELECT DISTINCT user_id FROM ev) SELECT q.user_id, coalesce(max_by(hard_state, (event_time, id)) FILTER (event_time <= 1705000000000), min_by(previous_hard_state, (event_time, id)) FILTER (event_time > 1705000000000), 0) AS initial FROM q LEFT JOIN st USING (user_id) GROUP BY 1")
 def initial_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = A.events(spark, sf_dir)
-    asked = ev.select("host_id", "service_id").distinct().select(sla.object_key().alias("obj"), F.lit(1705000000000).alias("start"), F.lit(1705000000001).alias("end"))
-    st = A.states(ev).select(sla.object_key().alias("obj"), F.col("id").cast("string").alias("sid"), "event_time", "hard_state", "previous_hard_state")
-    out = sla._initial(asked, st, None)
-    return out.select(F.coalesce(F.when(~F.col("obj.is_host"), F.col("obj.s")), F.col("obj.host_id")).cast("bigint").alias("user_id"), "initial")
+    asked = ev.select("host_id", "service_id").distinct().withColumns({"start": F.lit(1705000000000), "end": F.lit(1705000000001)})
+    out = sla.initial_states(A.states(ev), asked)
+    return out.select(F.coalesce("service_id", "host_id").cast("bigint").alias("user_id"), "initial")
 
 
 # sequences
@@ -159,6 +158,11 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.snapshot_diff(*A.snapshots(spark, sf_dir), checksum="checksum")
 
 
+@query(f"WITH {PARTS}, {DIFF} SELECT * FROM diff")
+def snapshot_diff_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.digest_tree_diff(*A.snapshots(spark, sf_dir))
+
+
 @query(f"WITH {PARTS} SELECT coalesce(d.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'create' WHEN d.id IS NULL THEN 'delete' ELSE 'update' END AS op FROM desired d FULL JOIN actual a ON d.id = a.id WHERE a.id IS NULL OR d.id IS NULL OR a.price IS DISTINCT FROM d.price")
 def snapshot_diff_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.snapshot_diff(*A.snapshots(spark, sf_dir), compare=["name", "price"])
@@ -617,6 +621,14 @@ def change_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.change_counters(A.table(spark, sf_dir, "events").withColumnRenamed("event_type", "kind"))
 
 
+@query("SELECT date_trunc('second', ts) AS second, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('second', ts) + INTERVAL 1 SECOND <= (SELECT max(ts) - INTERVAL 10 SECOND FROM events)")
+def stream_change_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second is put out once the newest event is ten seconds past its end; the last ones are still open when the source is read."""
+    stream = A.event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    out = _streamed(audit.stream_change_counters(stream), A.scratch(spark, "counters"))
+    return out.select(F.col("second").cast("timestamp_ntz").alias("second"), "kind", "n")
+
+
 @query("SELECT event_id, value FROM events WHERE cast(event_id AS varchar) LIKE '1%5'")
 def text_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "events").filter(S.text_like("event_id", "1%5")).select("event_id", "value")
@@ -934,23 +946,58 @@ def drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(once(stream.union(stream), "ts"), A.scratch(spark, "repeats")).select("event_id", "user_id")
 
 
-@query("WITH m AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events) SELECT user_id::varchar AS lane, ms, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ms, event_id) - 1 AS release FROM m")
+def _fed(df: DataFrame, base: str, parts: list[tuple[DataFrame, int]]) -> DataFrame:
+    """What a stream over files in base/in puts out: each part is written there once so many rows are out of what came before."""
+    import time
+
+    from .streaming import stateful
+
+    spark = df.sparkSession
+    q = stateful.start_stateful(df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint"), spark)
+    out = spark.read.schema(df.schema)
+    try:
+        for part, rows in parts:
+            part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+            while q.isActive and (sum(p["numInputRows"] for p in q.recentProgress) == 0 or out.parquet(f"{base}/out").count() < rows):
+                time.sleep(0.3)
+        if q.exception():
+            raise q.exception()
+    finally:
+        q.stop()
+    return out.parquet(f"{base}/out")
+
+
+@query("""WITH m AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ms FROM events)
+SELECT user_id::varchar AS lane, ms, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 7 = 0, ms, event_id) - 1 AS release FROM m""")
 def reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without a delay, all that one batch brings is released at once, in order; a lane is one object's messages."""
+    """A lane is one object's messages. They are held for two seconds and released in order; every seventh comes when its lane's
+    others are out, so it is released after them, out of order."""
     from .streaming import stateful
 
-    ev = A.as_events(A.event_stream(spark, sf_dir))
-    messages = ev.select(F.concat(F.col("ms").cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("stream_id"), F.col("props").alias("payload"), "user_id")
-    return _streamed(stateful.reorder(messages, "user_id", 0), A.scratch(spark, "reorder"), A.table(spark, sf_dir, "events").count()).select("lane", "ms", "seq", "release")
+    ev = A.events(spark, sf_dir)
+    messages = ev.select(F.concat(F.col("ms").cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("stream_id"), F.col("props").alias("payload"), "user_id", (F.col("event_id") % 7 == 0).alias("late"))
+    messages = messages.orderBy(F.xxhash64("stream_id"))  # in no order
+    base = A.scratch(spark, "reorder")
+    messages.limit(0).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(messages.schema).parquet(f"{base}/in")
+    n, late = messages.agg(F.count("*"), F.count_if("late")).first()
+    out = _fed(stateful.reorder(stream, "user_id", 2000), base, [(messages.filter("not late"), n - late), (messages.filter("late"), n)])
+    return out.select("lane", "ms", "seq", "release")
 
 
-@query("SELECT DISTINCT user_id::varchar AS source, 'active' AS event FROM events")
+@query("""WITH s AS (SELECT DISTINCT user_id FROM events) SELECT user_id::varchar AS source, event, CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END AS n FROM s, (VALUES ('active'), ('lost')) v(event)""")
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source shows up once within the time that the stream runs."""
+    """Every source beats, falls silent and is lost; a third of them beat again later, are active once more, and are lost again."""
     from .streaming import stateful
 
-    beats = A.as_events(A.event_stream(spark, sf_dir)).select(F.col("user_id").alias("source"))
-    return _streamed(stateful.heartbeats(beats), A.scratch(spark, "heartbeats"), A.table(spark, sf_dir, "events").count())
+    beats = A.events(spark, sf_dir).select(F.col("user_id").cast("string").alias("source"), "user_id")
+    base = A.scratch(spark, "heartbeats")
+    beats.limit(0).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(beats.schema).parquet(f"{base}/in")
+    again = beats.filter("user_id % 3 = 0")
+    n, m = (df.select("user_id").distinct().count() for df in (beats, again))
+    out = _fed(stateful.heartbeats(stream, silence_ms=1500), base, [(beats, 2 * n), (again, 2 * n + 2 * m)])
+    return out.groupBy("source", "event").agg(F.count("*").alias("n"))
 
 
 # legacy joins

@@ -120,7 +120,8 @@ def test_reorder(spark, tmp_path):
     messages = [(f"{1000 + i + rng.choice([0, 0, 0, -5])}-{i % 7}", f"m{i}", "env") for i in range(200)]
     feed(spark, f"file://{tmp_path}/in", messages, "stream_id string, payload string, environment string", 4)
     stream = spark.readStream.schema("stream_id string, payload string, environment string").option("maxFilesPerTrigger", 2).parquet(f"file://{tmp_path}/in")
-    q = stateful.reorder(stream, "environment", delay_ms=1500).writeStream.format("memory").queryName("released").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").start()
+    writer = stateful.reorder(stream, "environment", delay_ms=1500).writeStream.format("memory").queryName("released").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck")
+    q = stateful.start_stateful(writer, spark)
     try:
         end = time.time() + 60
         while time.time() < end and spark.table("released").count() < len(messages):
@@ -137,7 +138,9 @@ def test_reorder(spark, tmp_path):
 def test_heartbeats(spark, tmp_path):
     feed(spark, f"file://{tmp_path}/in", [("a",), ("b",)], "source string")
     stream = spark.readStream.schema("source string").parquet(f"file://{tmp_path}/in")
-    q = stateful.heartbeats(stream, silence_ms=1500).writeStream.format("memory").queryName("beats").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").start()
+    writer = stateful.heartbeats(stream, silence_ms=1500).writeStream.format("memory").queryName("beats").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck")
+    q = stateful.start_stateful(writer, spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != stateful.ROCKSDB
     try:
         end = time.time() + 60
         while time.time() < end and spark.table("beats").count() < 4:
@@ -171,3 +174,20 @@ def test_reorder_batch(spark):
     rows = [("2-0", 1), ("1-5", 2), ("1-5", 1), ("1-10", 0)]
     out = stateful.reorder_batch(spark.createDataFrame(rows, "stream_id string, arrival int")).collect()
     assert [tuple(r) for r in out] == [("1-5", 1), ("1-5", 2), ("1-10", 0), ("2-0", 1)]
+
+
+def test_stream_change_counters(spark, tmp_path):
+    """Seconds close behind the watermark (that of the batch before decides what is late); what comes later still is left out."""
+    from pulsegrid.operators.audit import change_counters, stream_change_counters
+
+    parts = [[("2024-01-01 00:00:01", "a"), ("2024-01-01 00:00:01", "a"), ("2024-01-01 00:00:30", "b")], [("2024-01-01 00:00:31", "c")], [("2024-01-01 00:00:02", "late"), ("2024-01-01 00:00:25", "in time")], [("2024-01-01 00:01:00", "end")]]
+    for rows in parts:
+        spark.createDataFrame(rows, "t string, kind string").selectExpr("cast(t as timestamp) as ts", "kind").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        time.sleep(1.1)  # files are read in the order of their times
+    stream = spark.readStream.schema("ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    q = stream_change_counters(stream).writeStream.format("memory").queryName("counters").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((str(r.second)[14:], r.kind, r.n) for r in spark.table("counters").collect())
+    assert got == [("00:01", "a", 2), ("00:25", "in time", 1), ("00:30", "b", 1), ("00:31", "c", 1)]
+    batch = change_counters(spark.read.schema("ts timestamp, kind string").parquet(f"file://{tmp_path}/in"))
+    assert {r.kind: r.n for r in batch.collect()} == {"a": 2, "b": 1, "c": 1, "late": 1, "in time": 1, "end": 1}
