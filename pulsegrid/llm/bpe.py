@@ -2,7 +2,7 @@
 
 Two tiers. The distinct pre-tokens of each part of a batch go to a minimal perfect hash (two-level displacement, built once
 per worker), which resolves those that are vocabulary entries in a few array operations. The others are merged by a heap over
-linked bytes; a worker remembers what it has merged, for MEMORY pre-tokens at most. A text is one row, so no shuffle takes
+linked bytes; a worker remembers what it has merged, in MEMORY bytes at most. A text is one row, so no shuffle takes
 place. Memory does not grow with a batch or a text but by 4 bytes for each id: parts of PART_CHARS characters are split,
 encoded and sent off one after the other, and a longer text is encoded PIECES pre-tokens at a time.
 
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import bytes_of_batches, plain_names
 
-#: Merged pre-tokens that a worker remembers: half of them the last, half those before; about 200 bytes each.
-MEMORY = 400_000
+#: Bytes of merged pre-tokens that a worker remembers, half of them the last, half those before, and what each takes besides its
+#: own bytes and those of its ids.
+MEMORY, ENTRY = 80_000_000, 170
 #: Characters of text that are encoded at a time, and pre-tokens of a longer text.
 PART_CHARS, PIECES = 500_000, 100_000
 
@@ -165,6 +166,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.size = 0
         #: Pre-tokens that each tier has answered: the hash, the memory of merged ones, the heap.
         self.answered = [0, 0, 0]
 
@@ -175,9 +177,13 @@ class Codec:
             ids = array("i", merge(word, self.ranks)).tobytes()
         else:
             self.answered[1] += 1
-        if len(self.known) >= MEMORY // 2:
-            self.known, self.older = {}, self.known
-        self.known[word] = ids
+        self.size += len(word) + len(ids) + ENTRY
+        if self.size > MEMORY // 2:
+            self.known, self.older, self.size = {}, self.known, len(word) + len(ids) + ENTRY
+        if self.size <= MEMORY // 2:  # else this one alone is too long
+            self.known[word] = ids
+        else:
+            self.size = 0
         return ids
 
     def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
