@@ -30,6 +30,8 @@ from .common import at_most, materialize, small_table
 #: Quotas leave some slack while rows move; the balance at the end makes shards exactly even.
 SHARDS, ROUNDS, SLACK = 24, 3, 0.25
 BINS, ROWS_PER_BUCKET = 16, 2000
+#: Parts of a group of equal texts for each bucket that its rows would fill.
+PARTS = 16
 #: Groups of more rows are joined by a broadcast of their keys; there is one for so many rows at most, and beyond BROADCAST_ROWS they are shuffled.
 HOT_ROWS, BROADCAST_ROWS = 2000, 500_000
 FLOWS = "own int, best int, bin int"
@@ -223,10 +225,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cut = _numbered(dealt.filter(F.col("cuts").isNotNull()), ["grp"], F.col("same"), F.col("doc_id"), ["doc_id"]).withColumn("shard", _where("cuts", "no"))
     single = dealt.filter("to is null").join(F.broadcast(moves.filter("same = 1").select(F.col("home").alias("start"), "cell", "moves")), "start", "left")
     moving = _numbered(single.filter("moves is not null"), ["start"], F.col("cell"), F.xxhash64("doc_id", "grp"), ["grp", "doc_id"]).withColumn("shard", F.coalesce(_where("moves", "no"), F.col("start")))
-    names = ["doc_id", "size", "text_crc32", "grp", "shard"]
+    names = ["doc_id", "size", "text_crc32", "grp", "shard", F.coalesce("same", F.lit(1)).alias("same")]
     whole = dealt.filter(F.col("to").isNotNull() & F.col("cuts").isNull()).withColumn("shard", F.col("to"))
     placed = whole.select(*names).unionByName(single.filter("moves is null").withColumn("shard", F.col("start")).select(*names)).unionByName(moving.select(*names)).unionByName(cut.select(*names))
-    slots = _numbered(placed, ["shard"], F.lit(max(1, total // shards)), F.xxhash64("grp", _part(F.lit(8), F.col("doc_id"))), ["grp", "doc_id"])
+    # rows of a group stay together in some parts of it, many for a large one, so that no bucket gets all of them
+    parts = F.greatest(F.lit(8), F.ceil(F.col("same") * (PARTS / ROWS_PER_BUCKET)))
+    slots = _numbered(placed, ["shard"], F.lit(max(1, total // shards)), F.xxhash64("grp", _part(parts, F.col("doc_id"))), ["grp", "doc_id"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("no").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
