@@ -98,21 +98,39 @@ def _candidates(held: DataFrame, templates: list[tuple[str, str]], threshold: fl
     return near.filter(F.size(F.array_intersect("have", "words")) >= F.col("least")).select("key", "template").distinct()
 
 
+def _apart(places: Column, length: Column) -> Column:
+    """Of places (pos, n, in order) that begin less than a length after the first of them the one of the largest n (of equals the
+    first), then of those from there on, and so on."""
+    one = lambda x: F.struct(x["pos"].alias("pos"), x["n"].alias("n"))
+    none = F.struct(F.lit(None).cast("struct<pos:int,n:int>").alias("best"), F.lit(0).alias("since"), F.array().cast("array<struct<pos:int,n:int>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(one(x).alias("best"), x["pos"].alias("since"), F.when(acc["best"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["best"]))).alias("out"))
+        same = F.struct(F.when(x["n"] > acc["best"]["n"], one(x)).otherwise(acc["best"]).alias("best"), acc["since"].alias("since"), acc["out"].alias("out"))
+        return F.when(acc["best"].isNotNull() & (x["pos"] < acc["since"] + length), same).otherwise(new)
+
+    return F.aggregate(places, none, step, lambda acc: F.when(acc["best"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["best"]))))
+
+
 def _blocks(some: DataFrame, pairs: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(key, template, label, first, containment) of the best blocks (of equals the first) that meet the threshold. some: key and words."""
-    rows = [(i, label, sorted(set(t.split())), needed(len(set(t.split())), threshold), width(t)) for i, (label, t) in enumerate(templates)]
-    table = F.broadcast(small_table(some.sparkSession, rows, "template int, label string, tw array<string>, least int, width int"))
+    """(key, template, label, first, containment) of every block that meets the threshold. some: key and words.
+
+    Blocks begin at words of their template. Of those that overlap (that begin less than a template's length after the first one
+    of them) the best one is returned, of equals the first; so copies of a notice that follow each other are blocks of their own.
+    """
+    rows = [(i, label, sorted(set(t.split())), needed(len(set(t.split())), threshold), width(t), len(t.split())) for i, (label, t) in enumerate(templates)]
+    table = F.broadcast(small_table(some.sparkSession, rows, "template int, label string, tw array<string>, least int, width int, length int"))
 
-    def best(at: Column) -> Column:
+    def all_blocks(at: Column) -> Column:
         def block(x: Column, k: Column) -> Column:
             inside = F.filter(F.slice(at, k + 1, F.col("width")), lambda y: y["pos"] < x["pos"] + F.col("width"))
-            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda y: y["word"]))).alias("n"), (-x["pos"]).alias("back"))
+            return F.struct(x["pos"].alias("pos"), F.size(F.array_distinct(F.transform(inside, lambda y: y["word"]))).alias("n"))
 
-        return F.array_max(F.transform(at, block))
+        return _apart(F.filter(F.transform(at, block), lambda x: x["n"] >= F.col("least")), F.col("length"))
 
     held = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: F.array_contains("tw", x["word"]))
-    found = some.join(pairs, "key").join(table, "template").select("key", "template", "label", "least", F.size("tw").alias("of"), _let(held, best).alias("best"))
-    return found.filter(F.col("best.n") >= F.col("least")).select("key", "template", "label", (-F.col("best.back")).cast("long").alias("first"), (F.col("best.n") / F.col("of")).alias("containment"))
+    found = some.join(pairs, "key").join(table, "template").select("key", "template", "label", F.size("tw").alias("of"), F.explode(_let(held, all_blocks)).alias("block"))
+    return found.select("key", "template", "label", F.col("block.pos").cast("long").alias("first"), (F.col("block.n") / F.col("of")).alias("containment"))
 
 
 def _hits(docs: DataFrame, held: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -128,9 +146,9 @@ def _have(words: Column, templates: list[tuple[str, str]]) -> Column:
 
 
 def find_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs without the text, and for each row and template that is found in it (label, template, first, containment) as `found`.
+    """docs without the text, and for each row and block of a template in it (label, template, first, containment) as `found`.
 
-    first is the word at which the best block begins, from 0. The templates are a fixed list, so they are broadcast.
+    first is the word at which the block begins, from 0; see `_blocks` for blocks that overlap. The templates are a fixed list, so they are broadcast.
     """
     texts = docs.select(F.col(f"`{text}`").alias("text"))
     held = materialize(texts.select(row_key("text").alias("key"), _have(words_of(F.col("text")), templates)).filter(F.size("have") > 0).dropDuplicates(["key"]))

@@ -259,6 +259,33 @@ def test_wrapped_notices_are_found(spark):
     assert one["found.x"] == "x" and one.found.first == 30 and one.found.containment >= 0.9
 
 
+def test_all_blocks(spark):
+    """Copies of a notice in one text, next to each other and far apart, are blocks of their own, each with its place."""
+    label, template = licenses.TEMPLATES[0]
+    n = len(template.split())
+    text = " ".join(["filler"] * 30 + template.split() + template.split() + ["other"] * 500 + template.split())
+    rows = licenses.find_templates(spark.createDataFrame([(1, text), (2, template), (3, "nothing here")], "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.found.first) for r in rows if r.found.template == 0)
+    assert got == [(1, 30), (1, 30 + n), (1, 530 + 2 * n), (2, 0)]
+    assert all(r.found.containment == 1 for r in rows if r.found.template == 0)
+
+
+def test_slots_of_a_hot_group(spark, monkeypatch):
+    """100 000 equal texts: their slots are numbered in buckets of twice the usual rows at most."""
+    sizes = []
+    numbered = sharding._numbered
+
+    def watched(df, keys, rows, by, order):
+        sizes.append(df.groupBy(*keys, sharding._part(F.ceil(rows / sharding.ROWS_PER_BUCKET), by).alias("bucket")).count().agg(F.max("count")).first()[0] or 0)
+        return numbered(df, keys, rows, by, order)
+
+    monkeypatch.setattr(sharding, "_numbered", watched)
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("the same").alias("text"))
+    out = sharding.shard(docs, 3)
+    assert out.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.max("slot").alias("last")).filter("slots <> n or last <> n - 1 or n not in (33333, 33334)").count() == 0
+    assert max(sizes) < 2 * sharding.ROWS_PER_BUCKET
+
+
 @pytest.mark.parametrize("kind", ["tables", "odd", "hot", "empty"])
 def test_shards(spark, sf, kind):
     docs = {
