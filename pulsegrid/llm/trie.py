@@ -131,10 +131,10 @@ def subtree_sums(items: DataFrame, paths: DataFrame | None, level: int, columns:
         extra = all_below.select("key", *[F.col(v).alias(f"more_{v}") for v in values])
         items = items.join(extra, "key", "left").withColumns({v: F.col(v) + F.coalesce(f"more_{v}", F.lit(0)) for v in values}).drop(*[f"more_{v}" for v in values])
         below = all_below.withColumnRenamed("key", "root")
-    rolled = items.rollup("root", *columns).agg(F.grouping_id().alias("g"), *sums, F.min(F.struct("k", "key")).alias("at"))
+    rolled = items.rollup("root", *columns).agg(F.grouping_id().alias("g"), *sums, F.min("k").alias("least"), F.min_by("key.a", "k").alias("a"), F.min_by("key.b", "k").alias("b"))
     # of the items below a prefix, the one that ends there is the least
-    found = rolled.withColumn("depth", _depth(columns)).filter((F.col("depth") > 0) & (F.col("at.k") == F.col("depth")))
-    return found.select("at.key", *values), below
+    found = rolled.withColumn("depth", _depth(columns)).filter((F.col("depth") > 0) & (F.col("least") == F.col("depth")))
+    return found.select(F.struct("a", "b").alias("key"), *values), below
 
 
 def _paths(blocks: DataFrame, longest: int) -> DataFrame | None:
