@@ -15,7 +15,7 @@ from ..functions import scalars as S
 from ..operators.sequence import carry, pair_start_end, previous_hard_state
 from ..operators.upserts import fold_upserts
 from ..sources.schemas import UPSERTS, schema
-from ..sources.sinks import Progress, VersionedTable, insert_ignore, upsert
+from ..sources.sinks import Progress, BucketedTable, insert_ignore, upsert
 
 FLAPPING_START, FLAPPING_END = 1000, 1001
 #: What names an object among legacy rows, once they are read.
@@ -177,7 +177,7 @@ def resumed(env: str, kind: str, rows: DataFrame, last_id: int | None) -> tuple[
     return fresh, None
 
 
-def migrate_history(env: str, sources: dict[str, DataFrame], tables: dict[str, VersionedTable], progress: Progress | None = None, contacts: DataFrame | None = None, from_ts: int = 0, to_ts: int = 2**62) -> None:
+def migrate_history(env: str, sources: dict[str, DataFrame], tables: dict[str, BucketedTable], progress: Progress | None = None, contacts: DataFrame | None = None, from_ts: int = 0, to_ts: int = 2**62) -> None:
     """Convert all kinds and add what is new to the tables; a run that is repeated changes nothing.
 
     With progress, a kind goes on after the last row that an earlier run has converted. Detail tables come before history and

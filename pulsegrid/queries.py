@@ -800,8 +800,8 @@ def _migrated(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[dict, obje
     sources = {k: rows for k, rows in A.legacy(ev).items() if not kinds or k in kinds}
     mid = _bounds(ev)[1]
     contacts = ev.select(F.col("event_id").alias("notification_id"), F.explode(F.array(F.lit("ann"), F.lit("bob"))).alias("contact"))
-    tables = {t: sinks.VersionedTable(spark, f"{base}/{t}", SCHEMAS[t], key, 2) for t, (key, _) in UPSERTS.items()}
-    progress = sinks.Progress(sinks.VersionedTable(spark, f"{base}/progress", SCHEMAS["migration_progress"]))
+    tables = {t: sinks.BucketedTable(spark, f"{base}/{t}", SCHEMAS[t], key, 2) for t, (key, _) in UPSERTS.items()}
+    progress = sinks.Progress(sinks.BucketedTable(spark, f"{base}/progress", SCHEMAS["migration_progress"]))
     half = {kind: rows.filter(F.col(legacy_etl.CONVERTERS[kind][0]) <= mid) for kind, rows in sources.items()}
     for part in (half, sources):
         legacy_etl.migrate_history(A.ENV, part, tables, progress, contacts)
@@ -864,14 +864,14 @@ for _kind in history.KINDS:
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.types import StructType
 
-    from .sources.sinks import VersionedTable
     from .streaming import changes
 
     base = A.scratch(spark, "change-stream")
-    table = VersionedTable(spark, f"{base}/objects", f"id string, event_type string, n bigint, {changes.POSITION}", "id")
+    store = changes.change_store(spark, f"{base}/objects")
+    schema = StructType.fromDDL("id string, event_type string, n bigint")
     stream = A.changes(A.as_events(A.event_stream(spark, sf_dir)))
-    changes.start_change_stream(stream, {"objects": (table, StructType.fromDDL("id string, event_type string, n bigint"))}, f"{base}/checkpoint").awaitTermination()
-    return changes.live(table.read())
+    changes.start_change_stream(stream, store, {"objects": schema}, f"{base}/checkpoint").awaitTermination()
+    return changes.objects_of(store, "objects", schema)
 
 
 @query("""WITH l AS (SELECT user_id::varchar AS id, max_by(props, (epoch_us(ts) // 1000, event_id)) AS props FROM events GROUP BY 1)
@@ -879,29 +879,29 @@ SELECT id, 'v' || id AS name, 'v' || id || '.' || k AS flatname, json_extract_st
 def customvar_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of one variable for each user: the stream writes the variables and their flat rows."""
     from .sources.schemas import SCHEMAS
-    from .sources.sinks import VersionedTable
+    from .sources.sinks import BucketedTable
     from .streaming import changes
 
     base = A.scratch(spark, "customvar-stream")
-    tables = [VersionedTable(spark, f"{base}/{t}", SCHEMAS[t], key) for t, key in (("customvar", "id"), ("customvar_flat", "customvar_id"))]
+    tables = [BucketedTable(spark, f"{base}/{t}", SCHEMAS[t], key) for t, key in (("customvar", "id"), ("customvar_flat", "customvar_id"))]
     ev = A.as_events(A.event_stream(spark, sf_dir))
     own = F.struct(F.lit(A.ENV).alias("environment_id"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("name"), F.col("props").alias("value"))
     stream = ev.select(
         F.concat(F.col("ms").cast("string"), F.lit("-"), F.col("event_id").cast("string")).alias("stream_id"), F.lit("customvar").alias("redis_key"), F.lit("upsert").alias("runtime_type"), F.col("user_id").cast("string").alias("id"), F.to_json(own).alias("payload"),
     )
-    changes.start_change_stream(stream, {}, f"{base}/checkpoint", ("customvar", *tables)).awaitTermination()
+    changes.start_change_stream(stream, changes.change_store(spark, f"{base}/objects"), {}, f"{base}/checkpoint", ("customvar", *tables)).awaitTermination()
     return tables[0].read().join(tables[1].read().withColumnRenamed("id", "flat_id").withColumnRenamed("customvar_id", "id"), "id").select("id", "name", "flatname", "flatvalue")
 
 
 @query(f"WITH {NEXT} SELECT id FROM nu WHERE next_update < 1706600000")
 def overdue_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passes an hour apart over the same objects: the table of overdue objects is the state between them."""
+    """Three passes: in the first one all objects are overdue, later ones unmark some again; the table is the state between them."""
     from .streaming import changes
 
-    table = sinks.VersionedTable(spark, f"{A.scratch(spark, 'overdue')}/overdue", "id bigint", "id")
+    table = sinks.BucketedTable(spark, f"{A.scratch(spark, 'overdue')}/overdue", "id bigint", "id")
     nu, od = _overdue(spark, sf_dir)
     table.write(od)
-    for now in (NOW - 7200, NOW - 3600, NOW):
+    for now in (NOW + 10**7, NOW - 3600, NOW):
         changes.overdue_pass(nu, table, int(now * 1000)).unpersist()
     return table.read()
 

@@ -38,11 +38,15 @@ def read_history_stream(spark: SparkSession, path: str, schema: StructType | str
     return spark.readStream.format(form).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def known_changes(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """changes with a check that fails on any unknown redis_key."""
+    wrong = F.raise_error(F.concat(F.lit("unknown key: "), F.coalesce("redis_key", F.lit("null")))).cast("string")
+    return changes.withColumn("redis_key", F.when(F.col("redis_key").isin(*keys), F.col("redis_key")).otherwise(wrong))
+
+
 def route_changes(changes: DataFrame, keys: dict[str, str]) -> dict[str, DataFrame]:
     """Changes by table; keys: redis_key → table. Each part carries a check that fails on any unknown key of the batch."""
-    known = F.col("redis_key").isin(*keys)
-    wrong = F.raise_error(F.concat(F.lit("unknown key: "), F.coalesce("redis_key", F.lit("null")))).cast("string")
-    checked = changes.withColumn("redis_key", F.when(known, F.col("redis_key")).otherwise(wrong))
+    checked = known_changes(changes, list(keys))
     return {table: checked.filter(F.col("redis_key") == key) for key, table in keys.items()}
 
 

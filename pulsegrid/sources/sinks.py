@@ -1,21 +1,18 @@
-"""Writing: keyed, repeatable sinks over tables of files.
-
-A table is a folder of numbered versions. A version holds some of the table's buckets (rows by a hash of their key), each as
-a replacement of the bucket or as an addition to it, and a manifest that names them; it counts once the manifest is there.
-"""
+"""Writing: keyed, repeatable sinks over tables of Parquet files."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType, VariantType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, MapType, StructField, StructType, VariantType
 
 from ..operators.upserts import fold_upserts
 
-#: Buckets of a keyed table, and additions to a bucket after which it is written anew.
+#: Buckets of a keyed table, and batches of additions of which the last one writes its partitions anew.
 BUCKETS, MAX_ADDS = 16, 32
 
 
@@ -56,119 +53,103 @@ def delete_ids(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return target.join(ids.select(key), key, "left_anti")
 
 
-class VersionedTable:
-    """A table in a folder. With a key, its rows lie in buckets by a hash of the key, and a batch writes only the buckets that
-    its keys fall into; without one, there is one bucket.
+class BucketedTable:
+    """A Parquet table in a folder, partitioned by buckets of a hash of its key (and by the column `by`, if there is one).
 
-    A version is numbered by its batch, so a batch that is tried again replaces only what it wrote itself. Choose `buckets` so
-    that one of them is work for one task. What later versions replace is deleted, except for what a retry of the last batch reads.
+    A batch reads the partitions that its keys fall into and writes them anew, by Spark's dynamic partition overwrite. As that
+    replaces one partition after the other, what is to be there is written beside the table first: a batch that is tried again
+    finds it and only puts it in place, so a batch that broke off anywhere leaves no other table than one that did not. Rows
+    that never change are appended if their key is new, which can be tried again as well. A partition holds a row that marks
+    it, so that it can become empty. One writer at a time. Choose `buckets` so that one of them is work for one task. With a
+    table format that has row-level MERGE, `DataFrame.mergeInto` takes the place of `merge`.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, key: str | None = None, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets if key else 1
+    def __init__(self, spark: SparkSession, path: str, schema: StructType | str, key: str | None = None, buckets: int = BUCKETS, by: str | None = None) -> None:
+        self.spark, self.path, self.key, self.buckets, self.by = spark, path.rstrip("/"), key, buckets if key else 1, by
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        self.partitions = [*([by] if by else []), "__bucket"]
+        self.stored = StructType([*[f for f in self.schema.fields if f.name != by], StructField("__void", BooleanType()), *[f for f in self.schema.fields if f.name == by], StructField("__bucket", IntegerType())])
 
-    def _files(self):  # noqa: ANN202
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def manifests(self) -> dict[int, dict[int, str]]:
-        """What each complete version holds: bucket → replace, empty or add. Manifests are small text files."""
-        fs, path = self._files()
-        if not fs.exists(path(self.path)):
-            return {}
-        out = {}
-        for name in (s.getPath().getName() for s in fs.listStatus(path(self.path))):
-            if name.startswith("v=") and fs.exists(path(f"{self.path}/{name}/_manifest")):
-                stream = fs.open(path(f"{self.path}/{name}/_manifest"))
-                try:
-                    text = bytes(stream.readAllBytes()).decode()
-                finally:
-                    stream.close()
-                out[int(name[2:])] = {int(b): kind for b, kind in (line.split() for line in text.splitlines())}
-        return dict(sorted(out.items()))
-
-    def versions(self) -> list[int]:
-        return list(self.manifests())
+    def _read(self, path: str, schema: StructType) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+                raise
+            return None
 
     def bucket_of(self, key: str | Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
 
-    def read(self, below: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-        """The table, or some of its buckets, as it is or as it was before a batch."""
-        held, paths, closed = self.manifests(), [], set()
-        for v in sorted((v for v in held if below is None or v < below), reverse=True):
-            for b, kind in held[v].items():
-                if b not in closed and (buckets is None or b in buckets):
-                    if kind != "empty":
-                        paths.append(f"{self.path}/v={v}/__bucket={b}")
-                    if kind != "add":
-                        closed.add(b)
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
-
-    def _touched(self, rows: DataFrame) -> list[int]:
-        return sorted(r[0] for r in rows.select(self.bucket_of(self.key or "").alias("b")).distinct().collect())
-
-    def _store(self, rows: DataFrame, version: int, kinds: dict[int, str]) -> None:
-        fs, path = self._files()
-        dealt = rows.select(*self.schema.names, self.bucket_of(self.key or "").alias("__bucket"))
-        dealt.repartition(len(kinds), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.path}/v={version}")
-        made = {s.getPath().getName() for s in fs.listStatus(path(f"{self.path}/v={version}"))}
-        lines = [f"{b} {kind if f'__bucket={b}' in made else 'empty'}" for b, kind in kinds.items() if kind == "replace" or f"__bucket={b}" in made]
-        stream = fs.create(path(f"{self.path}/v={version}/_manifest.tmp"), True)
-        try:
-            stream.write(bytearray("\n".join(lines).encode()))
-        finally:
-            stream.close()
-        fs.rename(path(f"{self.path}/v={version}/_manifest.tmp"), path(f"{self.path}/v={version}/_manifest"))
-        self._clean(version)
-
-    def _clean(self, version: int) -> None:
-        """Delete what a version before this one has replaced."""
-        fs, path = self._files()
-        held, closed = self.manifests(), set()
-        for v in sorted((v for v in held if v < version), reverse=True):
-            gone = [b for b in held[v] if b in closed]
-            for b in gone:
-                fs.delete(path(f"{self.path}/v={v}/__bucket={b}"), True)
-            if len(gone) == len(held[v]):
-                fs.delete(path(f"{self.path}/v={v}"), True)
-            closed |= {b for b, kind in held[v].items() if kind != "add"}
-
-    def write(self, rows: DataFrame, batch: int | None = None) -> None:
+    def read(self, touched: list[tuple] | None = None) -> DataFrame:
+        """The table, or some of its partitions."""
+        held = self._read(f"{self.path}/data", self.stored)
+        if held is None:
+            return self.spark.createDataFrame([], self.schema)
+        if touched is not None:
+            of: dict[object, list[int]] = {}
+            for *by, bucket in touched:
+                of.setdefault(by[0] if by else None, []).append(bucket)
+            parts = [F.col("__bucket").isin(b) & (F.col(self.by) == v if self.by else F.lit(True)) for v, b in of.items()]
+            held = held.filter(reduce(lambda x, y: x | y, parts, F.lit(False)))
+        return held.filter("not __void").select(*self.schema.names)
+
+    def touched(self, rows: DataFrame) -> list[tuple]:
+        """The partitions that rows fall into; there are as many as buckets, for each value of `by`."""
+        return sorted(tuple(r) for r in rows.select(*([self.by] if self.by else []), self.bucket_of(self.key or "").alias("b")).distinct().collect())
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*self.schema.names, F.lit(False).alias("__void"), self.bucket_of(self.key or "").alias("__bucket")).select(*self.stored.names)
+
+    def _staged(self) -> int | None:
+        """The batch of what is written beside the table, if that is complete."""
+        if self._read(f"{self.path}/staged/_SUCCESS", StructType.fromDDL("x int")) is None:
+            return None
+        row = self.spark.read.parquet(f"{self.path}/staged").select("__batch").first()
+        return row and row[0]
+
+    def _put(self) -> None:
+        staged = self.spark.read.schema(StructType([*self.stored.fields, StructField("__batch", LongType())])).parquet(f"{self.path}/staged").drop("__batch")
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partitions).parquet(f"{self.path}/data")
+
+    def _replace(self, rows: DataFrame, touched: list[tuple], batch: int | None) -> None:
+        marks = self.spark.createDataFrame(touched, ", ".join(f"`{p}` {self.stored[p].dataType.simpleString()}" for p in self.partitions))
+        marks = marks.select(*[F.col(f.name) if f.name in self.partitions else F.lit(f.name == "__void" or None).cast(f.dataType).alias(f.name) for f in self.stored.fields])
+        every = self._dealt(rows).unionByName(marks).withColumn("__batch", F.lit(batch).cast("long"))
+        # a file for each partition, so that putting them in place needs no shuffle
+        every.repartition(len(touched), *self.partitions).write.mode("overwrite").parquet(f"{self.path}/staged")
+        self._put()
+
+    def write(self, rows: DataFrame) -> None:
         """Replace the whole table."""
-        done = self.versions()
-        self._store(rows, (done[-1] + 1 if done else 0) if batch is None else batch, dict.fromkeys(range(self.buckets), "replace"))
-
-    def merge(self, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None) -> list[int]:
-        """Replace the buckets that keys of changes fall into by apply(what they hold, changes); returns these buckets."""
-        done = self.versions()
-        batch = (done[-1] + 1 if done else 0) if batch is None else batch
-        if touched := self._touched(changes):
-            self._store(apply(self.read(batch, touched), changes), batch, dict.fromkeys(touched, "replace"))
+        values = [()] if not self.by else [tuple(r) for r in self.read().select(self.by).unionByName(rows.select(self.by)).distinct().collect()]
+        self._replace(rows, [(*v, b) for v in values for b in range(self.buckets)], None)
+
+    def merge(self, changes: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], batch: int | None = None) -> list[tuple]:
+        """Replace the partitions that keys of changes fall into by apply(what they hold, changes); returns these partitions."""
+        if touched := self.touched(changes):
+            if batch is not None and self._staged() == batch:
+                self._put()
+            else:
+                self._replace(apply(self.read(touched), changes), touched, batch)
         return touched
 
-    def append_new(self, rows: DataFrame, batch: int | None = None) -> list[int]:
-        """Add the rows whose key is new, without writing what is there; a bucket of MAX_ADDS additions is written as one."""
-        done = self.manifests()
-        batch = (max(done, default=-1) + 1) if batch is None else batch
+    def append_new(self, rows: DataFrame, batch: int | None = None) -> list[tuple]:
+        """Add the rows whose key is new, without writing what is there; every MAX_ADDS-th batch writes its partitions as one."""
         if not self.key:
             raise ValueError("a table without a key cannot tell which rows are new")
-        if touched := self._touched(rows):
-            adds = Counter(b for v, kinds in done.items() if v < batch for b, kind in kinds.items() if kind == "add")
-            full = [b for b in touched if adds[b] and adds[b] % MAX_ADDS == 0]
-            fresh = first_rows(rows, [self.key]).join(self.read(batch, touched).select(self.key), self.key, "left_anti").select(*self.schema.names)
-            if full:
-                fresh = fresh.unionByName(self.read(batch, full))
-            self._store(fresh, batch, {b: "replace" if b in full else "add" for b in touched})
+        if batch is not None and batch % MAX_ADDS == MAX_ADDS - 1:
+            return self.merge(rows, lambda old, new: insert_ignore(old, new.select(*self.schema.names), self.key), batch)
+        if touched := self.touched(rows):
+            fresh = first_rows(rows, [self.key]).join(self.read(touched).select(self.key), self.key, "left_anti")
+            self._dealt(fresh).repartition(len(touched), *self.partitions).write.mode("append").partitionBy(*self.partitions).parquet(f"{self.path}/data")
         return touched
 
 
 class Progress:
     """Resume marks: the last id written for (environment, type, from, to)."""
 
-    def __init__(self, table: VersionedTable) -> None:
+    def __init__(self, table: BucketedTable) -> None:
         self.table = table
 
     def last_id(self, environment: str, kind: str, from_ts: int, to_ts: int) -> int | None:

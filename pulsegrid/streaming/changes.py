@@ -14,12 +14,13 @@ from ..operators.customvars import flatten_customvars
 from ..operators.incidents import updated_outputs
 from ..operators.overdue import apply_overdue, overdue_diff
 from ..operators.upserts import latest_changes
-from ..sources.sinks import VersionedTable, delete_ids
+from ..sources.scans import known_changes
+from ..sources.sinks import BUCKETS, BucketedTable, Progress, delete_ids
 
 #: Position columns that a table keeps, so that an older change cannot overwrite a newer one, or revive what is deleted.
 POSITION = "__ms bigint, __seq bigint, __deleted boolean"
-#: How far behind the newest position marks of deleted keys go.
-MARKS_MS = 7 * 86_400_000
+#: What a store of changes holds: the last payload of every object of every type.
+STORE = f"redis_key string, id string, payload string, {POSITION}"
 
 
 def positioned(changes: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def expand_customvars(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, flatten_customvars(own)
 
 
-def write_customvars(changes: DataFrame, customvar: VersionedTable, customvar_flat: VersionedTable, n: int) -> None:
+def write_customvars(changes: DataFrame, customvar: BucketedTable, customvar_flat: BucketedTable, n: int) -> None:
     """A batch of changes of custom variables to both tables: the last value of each variable, and its flat rows in place of
     those it had. customvar_flat's buckets are by customvar_id, so that a variable's rows lie together."""
     last = latest_changes(positioned(changes), ["id"], ["__ms", "__seq"]).persist()
@@ -87,29 +88,51 @@ def write_customvars(changes: DataFrame, customvar: VersionedTable, customvar_fl
         last.unpersist()
 
 
-def start_change_stream(stream: DataFrame, tables: dict[str, tuple[VersionedTable, StructType]], checkpoint: str, customvars: tuple[str, VersionedTable, VersionedTable] | None = None, marks_ms: int | None = MARKS_MS, **trigger: object) -> StreamingQuery:
-    """Apply a stream of changes; tables: redis_key → table (schema and POSITION) and its schema; customvars: the key of
-    custom variables and their two tables. Unknown keys are errors. A batch writes the buckets that its keys fall into."""
+def change_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> BucketedTable:
+    """One table for objects of all types, partitioned by type and bucket."""
+    return BucketedTable(spark, path, STORE, "id", buckets, by="redis_key")
+
+
+def apply_to_store(held: DataFrame, changes: DataFrame, schemas: dict[str, StructType], marks_ms: int | None = None) -> DataFrame:
+    """held (STORE) after changes of all types at once: of each type and id the last one counts. Payloads are checked by the
+    schemas of their types, unknown types are errors. marks_ms as for `apply_changes`, by type."""
+    last = latest_changes(positioned(known_changes(changes, list(schemas))).select("redis_key", "id", "stream_id", "runtime_type", "payload", "__ms", "__seq"), ["redis_key", "id"], ["__ms", "__seq"])
+    parsed = F.coalesce(*[F.when(F.col("redis_key") == k, payload_of(v).isNotNull()) for k, v in schemas.items()])
+    deleted = F.col("runtime_type") == "delete"
+    new = last.withColumn("payload", F.when(F.coalesce(parsed, F.lit(False)) & ~deleted, F.col("payload"))).select("redis_key", "id", "payload", "__ms", "__seq", deleted.alias("__deleted"))
+    out = latest_changes(held.unionByName(new), ["redis_key", "id"], ["__ms", "__seq"]).select(*held.columns)
+    if marks_ms is None:
+        return out
+    newest = new.groupBy("redis_key").agg(F.max("__ms").alias("__newest"))
+    return out.join(F.broadcast(newest), "redis_key", "left").filter(~F.col("__deleted") | F.col("__newest").isNull() | (F.col("__ms") >= F.col("__newest") - marks_ms)).select(*held.columns)
 
-    def batch(changes: DataFrame, n: int) -> None:
-        from ..sources.scans import route_changes
 
-        changes = changes.persist()
+def objects_of(store: BucketedTable, redis_key: str, schema: StructType, key: str = "id") -> DataFrame:
+    """The live objects of one type, which is a partition of the store."""
+    rows = store.read().filter((F.col("redis_key") == redis_key) & ~F.col("__deleted")).select("id", F.from_json("payload", schema).alias("v"))
+    return rows.select(*[F.col("id").alias(key) if n == key else F.col("v")[n].alias(n) for n in schema.names])
+
+
+def start_change_stream(stream: DataFrame, store: BucketedTable, schemas: dict[str, StructType], checkpoint: str, customvars: tuple[str, BucketedTable, BucketedTable] | None = None, marks_ms: int | None = None, **trigger: object) -> StreamingQuery:
+    """Apply a stream of changes to a store, all types of a batch in one write, however many there are; schemas: redis_key →
+    schema; customvars: the key of custom variables and their two tables. Unknown keys are errors. A batch writes the
+    partitions that its keys fall into. With marks_ms, marks of deleted objects go so far behind the newest change of their
+    type, and a change that comes even later is taken as new; without, they stay."""
+
+    def batch(changes: DataFrame, n: int) -> None:
+        changes = known_changes(changes, [*schemas, *([customvars[0]] if customvars else [])]).persist()
         try:
-            keys = {k: k for k in tables} | ({customvars[0]: customvars[0]} if customvars else {})
-            for key, part in route_changes(changes, keys).items():
-                if customvars and key == customvars[0]:
-                    write_customvars(part, customvars[1], customvars[2], n)
-                else:
-                    table, schema = tables[key]
-                    table.merge(part, lambda old, new, schema=schema: apply_changes(old, new, schema, marks_ms=marks_ms), n)
+            own = F.col("redis_key") == customvars[0] if customvars else F.lit(False)
+            store.merge(changes.filter(~own), lambda held, new: apply_to_store(held, new, schemas, marks_ms), n)
+            if customvars:
+                write_customvars(changes.filter(own), customvars[1], customvars[2], n)
         finally:
             changes.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def overdue_pass(next_update: DataFrame, overdue: VersionedTable, now_ms: int, key: str = "id") -> DataFrame:
+def overdue_pass(next_update: DataFrame, overdue: BucketedTable, now_ms: int, key: str = "id") -> DataFrame:
     """One pass at a time: what has become overdue enters the table, what no longer is leaves it. Returns the changes (key, action)."""
     diff = overdue_diff(next_update, overdue.read(), now_ms / 1000, key).persist()
     overdue.merge(diff, lambda old, new: apply_overdue(old, new, key).select(*overdue.schema.names))
@@ -122,18 +145,24 @@ def output_pass(states: DataFrame, last_sync_ms: int, sink: Callable[[DataFrame]
     sink(changed.withColumn("message", message("output", "long_output")))
 
 
-def start_overdue(spark: SparkSession, next_update: Callable[[], DataFrame], overdue: VersionedTable, checkpoint: str, seconds: float = 2, clock: Callable[[], int] | None = None) -> StreamingQuery:
+def start_overdue(spark: SparkSession, next_update: Callable[[], DataFrame], overdue: BucketedTable, checkpoint: str, seconds: float = 2, clock: Callable[[], int] | None = None) -> StreamingQuery:
     """The overdue pass every so many seconds, over what next_update() reads then; the table of overdue objects is its state."""
     return periodic(spark, seconds, lambda now: overdue_pass(next_update(), overdue, clock() if clock else now).unpersist(), checkpoint)
 
 
-def start_output_sync(spark: SparkSession, states: Callable[[], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, since_ms: int, seconds: float = 300) -> StreamingQuery:
-    """The output sync every so many seconds: each pass takes what was updated since the pass before began."""
-    last = [since_ms]
+def start_output_sync(
+    spark: SparkSession, states: Callable[[], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, since_ms: int, seconds: float = 300, progress: Progress | None = None, environment: str = "",
+) -> StreamingQuery:
+    """The output sync every so many seconds: each pass takes what was updated since the pass before began. With progress, a
+    sync that is started again goes on where the last one stopped."""
+    mark = (environment, "output_sync", 0, 0)
+    last = [(progress.last_id(*mark) if progress else None) or since_ms]
 
     def step(now: int) -> None:
         output_pass(states(), last[0], sink)
         last[0] = now
+        if progress:
+            progress.save(*mark, now)
 
     return periodic(spark, seconds, step, checkpoint)
 

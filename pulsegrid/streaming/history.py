@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.history import KINDS, detail_rows, history_rows, user_rows
 from ..operators.sla import sla_downtime_rows, sla_state_rows
 from ..sources.schemas import SCHEMAS, UPSERTS
-from ..sources.sinks import BUCKETS, VersionedTable, insert_ignore, upsert
+from ..sources.sinks import BUCKETS, BucketedTable, insert_ignore, upsert
 
 
 def fan_out(kind: str, events: DataFrame, order: list[str]) -> dict[str, DataFrame]:
@@ -28,13 +28,13 @@ def fan_out(kind: str, events: DataFrame, order: list[str]) -> dict[str, DataFra
     return out
 
 
-def history_tables(spark: SparkSession, base: str, kind: str, buckets: int = BUCKETS) -> dict[str, VersionedTable]:
+def history_tables(spark: SparkSession, base: str, kind: str, buckets: int = BUCKETS) -> dict[str, BucketedTable]:
     """The tables that a kind's events fill, each in a folder of its own below base."""
     names = [KINDS[kind][0], "history"] + {"notification": ["user_notification_history"], "state": ["sla_history_state"], "downtime": ["sla_history_downtime"]}.get(kind, [])
-    return {n: VersionedTable(spark, f"{base.rstrip('/')}/{n}", SCHEMAS[n], UPSERTS[n][0], buckets) for n in names}
+    return {n: BucketedTable(spark, f"{base.rstrip('/')}/{n}", SCHEMAS[n], UPSERTS[n][0], buckets) for n in names}
 
 
-def write_batch(kind: str, events: DataFrame, tables: dict[str, VersionedTable], n: int, order: list[str]) -> None:
+def write_batch(kind: str, events: DataFrame, tables: dict[str, BucketedTable], n: int, order: list[str]) -> None:
     """Write a batch's rows; a later table only after the earlier ones. Done twice, it leaves the same tables.
 
     Rows that never change are added; where columns may change, the buckets that the batch's keys fall into are written anew.
@@ -56,7 +56,7 @@ def write_batch(kind: str, events: DataFrame, tables: dict[str, VersionedTable],
         events.unpersist()
 
 
-def start_history_stream(stream: DataFrame, kind: str, tables: dict[str, VersionedTable], checkpoint: str, order: list[str], **trigger: object) -> StreamingQuery:
+def start_history_stream(stream: DataFrame, kind: str, tables: dict[str, BucketedTable], checkpoint: str, order: list[str], **trigger: object) -> StreamingQuery:
     """Structured Streaming keeps the position and commits it after all tables are written."""
     return (
         stream.writeStream.foreachBatch(lambda events, n: write_batch(kind, events, tables, n, order))

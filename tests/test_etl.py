@@ -1,6 +1,6 @@
 from pulsegrid.plans import legacy_etl as etl
 from pulsegrid.sources.schemas import SCHEMAS, UPSERTS
-from pulsegrid.sources.sinks import Progress, VersionedTable
+from pulsegrid.sources.sinks import Progress, BucketedTable
 
 OBJECT = "objecttype_id int, name1 string, name2 string"
 
@@ -69,8 +69,8 @@ def test_states(spark):
 
 def test_migrate_twice_changes_nothing(spark, tmp_path):
     names = ["comment_history", "acknowledgement_history", "downtime_history", "sla_history_downtime", "flapping_history", "notification_history", "user_notification_history", "state_history", "sla_history_state", "history"]
-    tables = {n: VersionedTable(spark, f"file://{tmp_path}/{n}", SCHEMAS[n]) for n in names}
-    progress = Progress(VersionedTable(spark, f"file://{tmp_path}/progress", SCHEMAS["migration_progress"]))
+    tables = {n: BucketedTable(spark, f"file://{tmp_path}/{n}", SCHEMAS[n]) for n in names}
+    progress = Progress(BucketedTable(spark, f"file://{tmp_path}/progress", SCHEMAS["migration_progress"]))
     contacts = spark.createDataFrame([(1, "ann")], "notification_id bigint, contact string")
     etl.migrate_history("e", frames(spark), tables, progress, contacts, 0, 10)
     first = {n: sorted(map(str, t.read().collect())) for n, t in tables.items()}
@@ -84,8 +84,8 @@ def test_migration_goes_on_after_its_mark(spark, tmp_path):
     contacts = spark.createDataFrame([(1, "ann")], "notification_id bigint, contact string")
     left = []
     for name, steps in (("one", [99]), ("two", [2, 99])):
-        tables = {n: VersionedTable(spark, f"file://{tmp_path}/{name}/{n}", SCHEMAS[n], key, 2) for n, (key, _) in UPSERTS.items()}
-        progress = Progress(VersionedTable(spark, f"file://{tmp_path}/{name}/progress", SCHEMAS["migration_progress"]))
+        tables = {n: BucketedTable(spark, f"file://{tmp_path}/{name}/{n}", SCHEMAS[n], key, 2) for n, (key, _) in UPSERTS.items()}
+        progress = Progress(BucketedTable(spark, f"file://{tmp_path}/{name}/progress", SCHEMAS["migration_progress"]))
         for upto in steps:
             part = {k: rows.filter(f"{etl.CONVERTERS[k][0]} <= {upto}") for k, rows in frames(spark).items() if k in ("flapping", "state")}
             etl.migrate_history("e", part, tables, progress, contacts)

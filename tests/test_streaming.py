@@ -4,12 +4,13 @@ import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from pulsegrid.plans import adapters
 from pulsegrid.sources.scans import read_history_stream
 from pulsegrid.sources.schemas import SCHEMAS
-from pulsegrid.sources.sinks import VersionedTable
+from pulsegrid.sources.sinks import BucketedTable, Progress
 from pulsegrid.streaming import changes, stateful
 from pulsegrid.streaming.history import drop_repeats, start_history_stream
 
@@ -22,14 +23,12 @@ def feed(spark, path, rows, schema, parts=1):
         spark.createDataFrame(rows[i::parts], schema).coalesce(1).write.mode("append").parquet(path)
 
 
-def run_changes(spark, base, rows, start=()):
+def run_changes(spark, base, rows):
     feed(spark, f"file://{base}/in", rows, CHANGE, 3)
-    table = VersionedTable(spark, f"file://{base}/objects", f"id string, n bigint, {changes.POSITION}")
-    if start:
-        table.write(spark.createDataFrame([(i, 0, 0, 0, False) for i in start], table.schema))
+    store = changes.change_store(spark, f"file://{base}/objects", 4)
     stream = read_history_stream(spark, f"file://{base}/in", CHANGE, 1)
-    changes.start_change_stream(stream, {"objects": (table, OBJECT)}, f"file://{base}/ck").awaitTermination()
-    return changes.live(table.read())
+    changes.start_change_stream(stream, store, {"objects": OBJECT, "others": OBJECT}, f"file://{base}/ck").awaitTermination()
+    return changes.objects_of(store, "objects", OBJECT)
 
 
 def change(ms, seq, kind, i, key="objects"):
@@ -61,8 +60,30 @@ def test_marks_go(spark):
     assert {r.id for r in changes.apply_changes(table, rows, OBJECT).collect()} == {"old", "new", "here", "x"}
 
 
+def test_types_in_one_write(spark, tmp_path):
+    """40 types in as many jobs as one; a batch that is tried again, also when it broke off, leaves the same store."""
+    jobs = []
+    for name, types in (("one", 1), ("many", 40)):
+        store = changes.change_store(spark, f"file://{tmp_path}/{name}", 2)
+        schemas = {f"type{k}": OBJECT for k in range(types)}
+        rows = lambda ms: spark.createDataFrame([change(ms + i % 3, i, "delete" if i % 5 == 0 and ms else "upsert", i, f"type{i % types}") for i in range(200)], CHANGE)  # noqa: E731, B023
+        spark.sparkContext.setJobGroup(name, name)
+        for n, ms in enumerate((0, 10, 5)):
+            store.merge(rows(ms), lambda held, new, schemas=schemas: changes.apply_to_store(held, new, schemas), n)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        held = lambda: sorted((r.redis_key, r.id, r.payload, r["__ms"]) for r in store.read().collect())  # noqa: E731, B023
+        before = held()
+        assert len(before) == 200 and all(x[3] >= 10 for x in before)
+        assert sum(changes.objects_of(store, t, OBJECT).count() for t in schemas) == 160
+        spark.range(1).select(F.lit(0).alias("n")).write.mode("overwrite").parquet(f"file://{tmp_path}/{name}/data/redis_key=type0/__bucket=0")  # half put in place
+        store.merge(rows(5), lambda held, new: held.limit(0), 2)
+        assert held() == before
+    assert jobs[1] <= jobs[0] + 6
+
+
 def test_customvar_tables(spark, tmp_path):
-    tables = [VersionedTable(spark, f"file://{tmp_path}/{t}", SCHEMAS[t], k, 4) for t, k in (("customvar", "id"), ("customvar_flat", "customvar_id"))]
+    tables = [BucketedTable(spark, f"file://{tmp_path}/{t}", SCHEMAS[t], k, 4) for t, k in (("customvar", "id"), ("customvar_flat", "customvar_id"))]
     value = lambda v: json.dumps({"environment_id": "e", "name": "n", "value": v})
     for n, rows in enumerate([[("1-0", "a", "[1,2]"), ("1-1", "b", "{}"), ("0-9", "a", "[7]")], [("2-0", "a", "[3]")]]):
         part = spark.createDataFrame([(p, "customvar", "upsert", i, value(v)) for p, i, v in rows], CHANGE)
@@ -75,18 +96,21 @@ def test_customvar_tables(spark, tmp_path):
 
 def test_periodic_passes(spark, tmp_path):
     """Overdue objects and changed outputs, each as a stream driven by the clock."""
-    table = VersionedTable(spark, f"file://{tmp_path}/overdue", "id string", "id", 2)
+    table = BucketedTable(spark, f"file://{tmp_path}/overdue", "id string", "id", 2)
     nu = spark.createDataFrame([("a", 10), ("b", 20)], "id string, next_update bigint")
     times = iter([15_000, 25_000] + [25_000] * 1000)
     sent, q = [], changes.start_overdue(spark, lambda: nu, table, f"file://{tmp_path}/ck1", 0.2, lambda: next(times))
     states = spark.createDataFrame([("a", 2_000_000_000_000, "out", None), ("b", 5, "out", "more")], "id string, last_update bigint, output string, long_output string")
-    r = changes.start_output_sync(spark, lambda: states, lambda df: sent.append([tuple(x) for x in df.select("id", "message").collect()]), f"file://{tmp_path}/ck2", 6, 0.2)
+    progress = Progress(BucketedTable(spark, f"file://{tmp_path}/progress", SCHEMAS["migration_progress"]))
+    sync = lambda n: changes.start_output_sync(spark, lambda: states, lambda df: sent.append([tuple(x) for x in df.select("id", "message").collect()]), f"file://{tmp_path}/ck{n}", 6, 0.2, progress, "env")
+    r = sync(2)
     end = time.time() + 60
     while time.time() < end and (len(sent) < 2 or table.read().count() < 2):
         time.sleep(0.3)
     q.stop()
     r.stop()
     assert {x.id for x in table.read().collect()} == {"a", "b"} and sent[0] == [("a", "out")]
+    assert abs(progress.last_id("env", "output_sync", 0, 0) - time.time() * 1000) < 60_000
 
 
 def test_customvar_changes(spark):
@@ -101,7 +125,7 @@ def test_history_stream(spark, sf, tmp_path, kind):
     for part in (0, 1, 0):  # the first part comes twice, as from two writers
         events.filter(f"event_id % 2 = {part} or '{kind}' in ('notification', 'state') and {part} = 0").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     names = {"comment": ["comment_history"], "notification": ["notification_history", "user_notification_history"], "state": ["state_history", "sla_history_state"], "downtime": ["downtime_history", "sla_history_downtime"]}[kind]
-    tables = {n: VersionedTable(spark, f"file://{tmp_path}/{n}", SCHEMAS[n]) for n in [*names, "history"]}
+    tables = {n: BucketedTable(spark, f"file://{tmp_path}/{n}", SCHEMAS[n]) for n in [*names, "history"]}
     schema = events.schema
     stream = read_history_stream(spark, f"file://{tmp_path}/in", schema, 1)
     if kind == "state":
