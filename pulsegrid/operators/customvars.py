@@ -14,7 +14,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions.scalars import sha1_id
 from .snapshot import snapshot_diff
 
-DEPTH = 10
 #: Bytes of rows that are sent on at a time.
 BATCH_BYTES = 4 << 20
 
@@ -29,13 +28,13 @@ _DECODER = json.JSONDecoder(parse_int=str, parse_float=str, parse_constant=_no_c
 _SURROGATES = re.compile("[\ud800-\udfff]")
 
 
-def leaves(name: str, text: str, depth: int = DEPTH) -> Iterator[tuple[str, str | None]]:
+def leaves(name: str, text: str, depth: int | None = None) -> Iterator[tuple[str, str | None]]:
     """(flatname, flatvalue) of each leaf of one JSON value."""
     open_ = [(name, _DECODER.decode(text), 0)]
     while open_:
         path, value, level = open_.pop()
         if isinstance(value, dict | list) and value:
-            if level >= depth:
+            if depth is not None and level >= depth:
                 raise ValueError(f"nested too deeply: {path}")
             children = value.items() if isinstance(value, dict) else enumerate(value)
             open_ += [(f"{path}.{k}" if isinstance(value, dict) else f"{path}[{k}]", v, level + 1) for k, v in children]
@@ -45,12 +44,12 @@ def leaves(name: str, text: str, depth: int = DEPTH) -> Iterator[tuple[str, str
             yield _SURROGATES.sub("\ufffd", path), None if value in ({}, []) else {None: "null", True: "true", False: "false"}[value]
 
 
-def flatten_json(df: DataFrame, name: str = "name", value: str = "value", depth: int = DEPTH, keep: list[str] | None = None) -> DataFrame:
+def flatten_json(df: DataFrame, name: str = "name", value: str = "value", depth: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """df (or the columns to keep) with flatname and flatvalue, a row for each leaf of a JSON value; one pass over the rows.
 
     Children of objects are named a.b, of arrays a[0]. An empty container is a row without a value, JSON null the text null,
-    other leaves their text; numbers stay as they are written. Of equal keys the last counts. Containers below `depth` levels
-    and bad JSON are errors; a value that is null has no rows. Columns named flatname or flatvalue are replaced.
+    other leaves their text; numbers stay as they are written. Of equal keys the last counts. Bad JSON is an error, as are
+    containers below `depth` levels, if it is given; a value that is null has no rows. Columns named flatname or flatvalue are replaced.
     """
     kept = [f for f in df.schema.fields if f.name not in ("flatname", "flatvalue") and (keep is None or f.name in keep)]
 
@@ -83,7 +82,7 @@ def flatten_json(df: DataFrame, name: str = "name", value: str = "value", depth:
     return own.mapInArrow(run, schema).toDF(*[f.name for f in kept], "flatname", "flatvalue")
 
 
-def flatten_customvars(customvars: DataFrame, depth: int = DEPTH) -> DataFrame:
+def flatten_customvars(customvars: DataFrame, depth: int | None = None) -> DataFrame:
     """customvar → customvar_flat rows; the id is made of environment, variable, path and value."""
     own = customvars.select("environment_id", F.col("id").alias("customvar_id"), "name", F.col("value").alias("json"))
     flat = flatten_json(own, "name", "json", depth, ["environment_id", "customvar_id"])

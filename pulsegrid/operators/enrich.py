@@ -70,13 +70,17 @@ def enrich_events(
 
     services: id, host_id, name, display_name; groups: key (host_id or service_id), name, display_name; vars: key, vars (map).
     A service's event has that service only and its own groups, a host's all services of the host and all their groups.
-    All relations are aggregated per object and joined once, not looked up event by event.
+    Relations are aggregated once per object that has events, and joined; those of other objects are dropped before that.
     """
     if unknown := set(relations) - set(RELATIONS):
         raise ValueError(f"unknown relations: {sorted(unknown)}")
     out = events
+    hosts, own_services = (events.select(c).filter(F.col(c).isNotNull()).distinct() for c in ("host_id", "service_id"))
+    known = services.join(own_services.withColumnRenamed("service_id", "id"), "id", "left_semi")
+    services, hostgroups, servicegroups_of_host, host_vars = (df.join(hosts, "host_id", "left_semi") for df in (services, hostgroups, servicegroups_of_host, host_vars))
+    servicegroups, service_vars = (df.join(own_services, "service_id", "left_semi") for df in (servicegroups, service_vars))
     all_services = named_list(services, "host_id", "__host_services")
-    own_service = services.select(F.col("id").alias("service_id"), F.array(F.struct("name", "display_name")).alias("__own_service"))
+    own_service = known.select(F.col("id").alias("service_id"), F.array(F.struct("name", "display_name")).alias("__own_service"))
     parts: dict[str, object] = {}
     if "host" in relations:
         parts["host"] = F.struct(F.col("host_name").alias("name"))

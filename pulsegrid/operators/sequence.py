@@ -27,10 +27,14 @@ def previous_hard_state(events: DataFrame, key: list[str], order: list[str], sta
     return out.drop("__before", "__turn", "__last", "__first")
 
 
-def carry(done: DataFrame, key: list[str], order: list[str], state: str, previous: str = "previous_hard_state") -> DataFrame:
-    """(key, last_state, before_last) after an increment, for the next one."""
-    last = F.max_by(F.struct(F.col(state).alias("last_state"), F.col(previous).alias("before_last")), F.struct(*order)).alias("x")
-    return done.groupBy(*key).agg(last).select(*key, "x.*")
+def carry(done: DataFrame, key: list[str], order: list[str], state: str) -> DataFrame:
+    """(key, last_state, before_last) after an increment, for the next one: the states of the last run and of the one before.
+
+    By the last place of each state, so what is sent of an object is a row for each of its few states, and nothing is sorted.
+    """
+    last = done.filter(F.col(state).isNotNull()).groupBy(*key, F.col(state).alias("__state")).agg(F.max(F.struct(*order)).alias("__at"))
+    two = last.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__at", "__state")), asc=False).alias("__x"))
+    return two.select(*key, F.get("__x", F.lit(0))["__state"].alias("last_state"), F.coalesce(F.get("__x", F.lit(1))["__state"], F.lit(PENDING)).alias("before_last"))
 
 
 def pair_start_end(events: DataFrame, key: list[str], order: list[str], is_start: Column, time: str, name: str = "start_time") -> DataFrame:

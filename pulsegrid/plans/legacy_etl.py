@@ -15,7 +15,7 @@ from ..functions import scalars as S
 from ..operators.sequence import carry, pair_start_end, previous_hard_state
 from ..operators.upserts import fold_upserts
 from ..sources.schemas import UPSERTS, schema
-from ..sources.sinks import Progress, BucketedTable, insert_ignore, upsert
+from ..sources.sinks import BucketedTable, Progress, insert_ignore, upsert
 
 FLAPPING_START, FLAPPING_END = 1000, 1001
 #: What names an object among legacy rows, once they are read.
@@ -169,7 +169,7 @@ def resumed(env: str, kind: str, rows: DataFrame, last_id: int | None) -> tuple[
     if kind in CARRIED:
         state = CARRIED[kind]
         own = _meta(env, done).select(*OBJECT, key, state)
-        return fresh, carry(previous_hard_state(own, OBJECT, [key], state), OBJECT, [key], state)
+        return fresh, carry(own, OBJECT, [key], state)
     if kind == "flapping":
         names = ["name1", "name2", "objecttype_id"]
         last = done.filter(F.col("event_time").isNotNull()).groupBy(*names).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in names]), key).alias("x"))
@@ -184,27 +184,34 @@ def migrate_history(env: str, sources: dict[str, DataFrame], tables: dict[str, B
     availability rows; a kind's mark is saved when all its tables are written. Tables with a key get rows added, others are
     written anew.
     """
-    for kind, (key, convert) in CONVERTERS.items():
+    for kind in CONVERTERS:
         if kind not in sources:
             continue
         rows, carried = resumed(env, kind, sources[kind], progress.last_id(env, kind, from_ts, to_ts) if progress else None)
         rows = rows.persist()
-        last = rows.agg(F.max(key)).first()[0]
-        if last is None:
-            continue
-        more = {"carried": carried} if kind in CARRIED else {}
-        made = convert(env, rows, contacts, **more) if kind == "notification" else convert(env, rows, **more)
-        for name in sorted(made, key=lambda t: (t == "history", t.startswith("sla_"))):
-            table, id_column = tables[name], UPSERTS[name][0]
-            if name == "flapping_history":
-                table.merge(made[name].withColumn("__at", F.coalesce("end_time", "start_time")), lambda old, new, c=id_column: upsert(old, new, c, ["__at"], UPSERTS["flapping_history"][1]))
-            elif table.key:
-                table.append_new(made[name])
-            else:
-                table.merge(made[name], lambda old, new, c=id_column: insert_ignore(old, new, c))
-        if progress is not None:
-            progress.save(env, kind, from_ts, to_ts, last)
-        rows.unpersist()
+        try:
+            _migrate_kind(env, kind, rows, carried, tables, progress, contacts, from_ts, to_ts)
+        finally:
+            rows.unpersist()
+
+
+def _migrate_kind(env: str, kind: str, rows: DataFrame, carried: DataFrame | None, tables: dict[str, BucketedTable], progress: Progress | None, contacts: DataFrame | None, from_ts: int, to_ts: int) -> None:
+    key, convert = CONVERTERS[kind]
+    last = rows.agg(F.max(key)).first()[0]
+    if last is None:
+        return
+    more = {"carried": carried} if kind in CARRIED else {}
+    made = convert(env, rows, contacts, **more) if kind == "notification" else convert(env, rows, **more)
+    for name in sorted(made, key=lambda t: (t == "history", t.startswith("sla_"))):
+        table, id_column = tables[name], UPSERTS[name][0]
+        if name == "flapping_history":
+            table.merge(made[name].withColumn("__at", F.coalesce("end_time", "start_time")), lambda old, new, c=id_column: upsert(old, new, c, ["__at"], UPSERTS["flapping_history"][1]))
+        elif table.key:
+            table.append_new(made[name])
+        else:
+            table.merge(made[name], lambda old, new, c=id_column: insert_ignore(old, new, c))
+    if progress is not None:
+        progress.save(env, kind, from_ts, to_ts, last)
 
 
 # backfills of stored rows

@@ -50,12 +50,29 @@ def route_changes(changes: DataFrame, keys: dict[str, str]) -> dict[str, DataFra
     return {table: checked.filter(F.col("redis_key") == key) for key, table in keys.items()}
 
 
+def key_predicates(keys: DataFrame, key: str, quoted: str, partitions: int) -> list[str]:
+    """SQL conditions that deal the rows of keys into parts of about equal size, whatever gaps the ids have."""
+    at = keys.agg(F.percentile_approx(key, [i / partitions for i in range(1, partitions)], 100 * partitions)).first()[0] if partitions > 1 else []
+    cuts = sorted(set(at or []))
+    bounds = [None, *cuts, None]
+    parts = [" AND ".join([*([f"{quoted} > {a}"] if a is not None else []), *([f"{quoted} <= {b}"] if b is not None else [])]) for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [p or "1 = 1" for p in parts]
+
+
 def read_legacy(spark: SparkSession, table: str, key: str, from_id: int, to_id: int, last_id: int | None = None, partitions: int = 64, **jdbc: str) -> DataFrame:
-    """A legacy table's rows from_id..to_id beyond last_id: by JDBC in ranges of the key if a url is given, else from Parquet."""
+    """A legacy table's rows from_id..to_id beyond last_id: by JDBC if a url is given, else from Parquet.
+
+    By JDBC each task reads one range of the key. Their bounds are quantiles of the ids that are there, which a scan of the key
+    alone tells, so a table with gaps is not read by a few tasks. The range from_id..to_id is part of every condition.
+    """
     low = from_id if last_id is None else max(from_id, last_id + 1)
     if "url" in jdbc:
-        reader = spark.read.format("jdbc").options(dbtable=table, partitionColumn=key, lowerBound=low, upperBound=max(to_id, low + 1), numPartitions=partitions, fetchsize=20000, **jdbc)
-        return reader.load().filter(F.col(key).between(low, to_id))
+        quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(jdbc["url"]).quoteIdentifier(key)
+        asked = f"{quoted} BETWEEN {low} AND {to_id}"
+        properties = {"fetchsize": "20000"} | {k: str(v) for k, v in jdbc.items() if k != "url"}
+        keys = spark.read.jdbc(jdbc["url"], f"(SELECT {quoted} FROM {table} WHERE {asked}) own_keys", properties=properties)
+        conditions = [f"({c}) AND {asked}" for c in key_predicates(keys, keys.columns[0], quoted, partitions)]
+        return spark.read.jdbc(jdbc["url"], table, predicates=conditions, properties=properties)
     return spark.read.parquet(table).filter(F.col(key).between(low, to_id))
 
 

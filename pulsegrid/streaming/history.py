@@ -46,7 +46,7 @@ def write_batch(kind: str, events: DataFrame, tables: dict[str, BucketedTable],
             table = tables[name]
             shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields])
             if mutable and name != "user_notification_history":
-                when = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in mutable])
+                when = F.struct(*mutable)  # of each key there is one row
                 table.merge(shaped.withColumn("__when", when), lambda old, new, key=key, mutable=mutable: upsert(old, new, key, ["__when"], mutable), n)
             elif table.key:
                 table.append_new(shaped, n)

@@ -111,6 +111,38 @@ def test_addresses_native(spark):
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("depth", [40, 900])
+def test_flatten_depth(spark, depth):
+    text = '{"a":[' * (depth // 2) + "1e20" + "]}" * (depth // 2)
+    rows = customvars.flatten_json(spark.createDataFrame([("n", text)], "name string, json string"), "name", "json").collect()
+    assert [(r.flatname, r.flatvalue) for r in rows] == [("n" + ".a[0]" * (depth // 2), "1e20")]
+
+
+def test_carry(spark):
+    """By an aggregation what the window plan has in an object's last row."""
+    rng = random.Random(6)
+    rows = [(k, i, rng.choice([0, 1, 2])) for k in range(40) for i in range(rng.randrange(1, 8))]
+    df = spark.createDataFrame(rows, "k int, i int, state int")
+    want = {}
+    for r in sorted(sequence.previous_hard_state(df, ["k"], ["i"], "state").collect(), key=lambda r: (r.k, r.i)):
+        want[r.k] = (r.state, r.previous_hard_state)
+    assert {r.k: (r.last_state, r.before_last) for r in sequence.carry(df, ["k"], ["i"], "state").collect()} == want
+
+
+def test_legacy_by_jdbc(spark, tmp_path):
+    """Through a database: ids with a wide gap are dealt evenly, and reading goes on after a mark."""
+    url = "jdbc:derby:memory:legacy;create=true"
+    ids = F.when(F.col("id") < 900, F.col("id")).otherwise(F.col("id") * 10_000_000)
+    spark.range(1000).select(ids.alias("history_id"), F.concat(F.lit("row "), F.col("id")).alias("text")).write.jdbc(url, "legacy_history")
+    read = lambda low, high, last=None, parts=8: scans.read_legacy(spark, "legacy_history", "history_id", low, high, last, parts, url=url)
+    df = read(0, 10**12)
+    parts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 1000 and len(parts) == 8 and max(parts) < 200  # equal widths would put 900 in one
+    assert {r.history_id for r in read(0, 10**12, 897).collect()} == {898, 899, *(i * 10_000_000 for i in range(900, 1000))}
+    assert sorted(r.history_id for r in read(5, 9).collect()) == [5, 6, 7, 8, 9]
+    assert read(2000, 3000).count() == 0 and read(0, 10**12, parts=1).count() == 1000
+
+
 def shuffled_rows(spark):
     store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark._jvm
     stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
