@@ -373,6 +373,19 @@ def apply_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query(f"WITH {EV} SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'other' ELSE 'own' END AS environment_id, ms AS event_time FROM ev WHERE NOT (event_id % 3 <> 0 AND ms < 1705500000000)")
+def retention_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by environment and day: old days leave as partitions, the cutoff's own day is written anew."""
+    import uuid
+
+    name = f"events_{uuid.uuid4().hex}"
+    rows = A.events(spark, sf_dir).select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "other").otherwise("own").alias("environment_id"), F.col("ms").alias("event_time"))
+    retention.save_by_day(rows, name, "event_time", path=f"{A.scratch(spark, 'retention')}/events")
+    for _ in range(2):
+        left = retention.drop_old_days(spark, name, "event_time", "own", 1705500000000)
+    return left.select("id", "environment_id", "event_time")
+
+
 @query(f"WITH {HIST} SELECT id, kind FROM h WHERE NOT (kind = 'comment' AND try_cast(ref AS bigint) % 4 = 0)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = A.history_events(A.events(spark, sf_dir))

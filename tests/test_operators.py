@@ -284,6 +284,26 @@ def test_buckets(spark, tmp_path, monkeypatch):
     assert t.read([]).count() == 0 and t.append_new(rows()) == []
 
 
+def test_retention_by_day(spark, tmp_path):
+    """Old days leave without being read; one day is written anew; other environments and rows without a time stay."""
+    day = retention.DAY_MS
+    df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "a'b").otherwise("z").alias("environment_id"), F.col("id").cast("string").alias("id"), F.when(F.col("id") % 50 != 0, (F.col("id") * (day / 100)).cast("long")).alias("event_time"))
+    retention.save_by_day(df, "by_day", "event_time", path=f"file://{tmp_path}/by_day")
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    stamps = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_path}/by_day/*/*/*.parquet")}
+    before = stamps()
+    for cutoff in (int(4.5 * day), int(4.5 * day), 6 * day, 8 * day - 1):
+        left = retention.drop_old_days(spark, "by_day", "event_time", "a'b", cutoff)
+        assert sorted(map(tuple, left.select(*df.columns).collect()), key=str) == sorted(map(tuple, df.filter(~retention.expired("a'b", "event_time", cutoff)).collect()), key=str)
+    assert len(before.keys() - stamps().keys()) == 1 and spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+    # a run that broke off after the day was written beside the table
+    spark.table("by_day").filter("environment_id = 'z' and day = 9").write.option("path", f"file://{tmp_path}/by_day__boundary").mode("overwrite").saveAsTable("by_day__boundary")
+    spark.sql("ALTER TABLE by_day DROP PARTITION (environment_id = 'z', day = 9)")
+    assert retention.drop_old_days(spark, "by_day", "event_time", "none", 0).filter("environment_id = 'z' and day = 9").count() == 50
+    assert not spark.catalog.tableExists("by_day__boundary")
+    spark.sql("DROP TABLE by_day")
+
+
 def test_first_rows(spark):
     df = spark.createDataFrame([(1, "b", 5), (1, "a", 5), (2, None, 1), (1, "c", 4)], "id int, x string, `at.ms` int")
     assert sorted(map(tuple, sinks.first_rows(df, ["id"]).collect())) == [(1, "a", 5), (2, None, 1)]
