@@ -6,7 +6,7 @@ record by its Content-Length, and checks the payload against its digest, so memo
 Of pages with equal payloads of at least `least` bytes, the one with the largest id is a response and the others are
 revisits that refer to it; smaller payloads are always responses. Null payloads count as empty, null urls as urn:none.
 Repeated rows of one id are a record each, and all of the same kind. A null id is a revisit of the largest id that is not
-null, or a response where there is none. Columns other than id, url and payload are not read. A task that is tried again
+null, or a response where there is none; its record has an id of its own, while those of repeated ids share theirs. Columns other than id, url and payload are not read. A task that is tried again
 writes its archives anew under another name; only the names that finished tasks return are read.
 """
 
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder
+from .common import at_most, materialize, new_folder
 
 ARCHIVE_BYTES = 256 << 20
+#: Digests that several pages hold are broadcast up to this count, else shuffled.
+BROADCAST_ROWS = 500_000
 CHUNK = 1 << 20
 RECORD_SCHEMA = "archive string, record_id string, warc_type string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary, digest_ok boolean"
 
@@ -116,7 +118,9 @@ def assign_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("sha1", F.sha1("payload"))
     large = F.octet_length("payload") >= least
-    groups = own.filter(large & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max("page_id").alias("newest"))
+    # payloads stay where they are: only the digests that several pages hold are sent to them
+    groups = own.filter(large).groupBy("sha1").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).filter("n > 1 and newest is not null").drop("n")
+    groups = at_most(materialize(groups), BROADCAST_ROWS)
     refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))
     return own.join(groups, "sha1", "left").select("page_id", "url", "payload", "sha1", refers.alias("refers_to"))
 
@@ -147,7 +151,7 @@ def write(assigned: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES)
                     out.write(member("warcinfo", {"WARC-Date": date, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
                 page_id, url, payload, sha1, refers_to = (batch.column(j)[i].as_py() for j in range(5))
                 headers = {
-                    "WARC-Date": date, "WARC-Record-ID": f"<urn:page:{page_id}>", "WARC-Target-URI": (url or "urn:none").replace("\r", "").replace("\n", ""),
+                    "WARC-Date": date, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}>", "WARC-Target-URI": (url or "urn:none").replace("\r", "").replace("\n", ""),
                     "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode(), "Content-Type": "application/http; msgtype=response",
                 }
                 if refers_to is None:
