@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import at_most, materialize, row_key, small_table, words_of
+from .common import at_most, materialize, wide_key, small_table, words_of
 
 THRESHOLD, WINDOW = 0.9, 1.2
 BROADCAST_ROWS = 500_000
@@ -134,9 +134,9 @@ def _blocks(some: DataFrame, pairs: DataFrame, templates: list[tuple[str, str]],
 
 
 def _hits(docs: DataFrame, held: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """The blocks found, by row_key of the text. held: key and have (the templates' words that a text holds), for every text."""
+    """The blocks found, by wide_key of the text. held: key and have (the templates' words that a text holds), for every text."""
     pairs = materialize(_candidates(held, templates, threshold))
-    keyed = docs.select(row_key("text").alias("key"), "text")
+    keyed = docs.select(wide_key("text").alias("key"), "text")
     some = keyed.join(at_most(pairs.select("key").distinct(), BROADCAST_ROWS), "key", "left_semi").dropDuplicates(["key"])
     return _blocks(some.select("key", words_of(F.col("text")).alias("words")), pairs, templates, threshold)
 
@@ -151,10 +151,10 @@ def find_templates(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     first is the word at which the block begins, from 0; see `_blocks` for blocks that overlap. The templates are a fixed list, so they are broadcast.
     """
     texts = docs.select(F.col(f"`{text}`").alias("text"))
-    held = materialize(texts.select(row_key("text").alias("key"), _have(words_of(F.col("text")), templates)).filter(F.size("have") > 0).dropDuplicates(["key"]))
+    held = materialize(texts.select(wide_key("text").alias("key"), _have(words_of(F.col("text")), templates)).filter(F.size("have") > 0).dropDuplicates(["key"]))
     hits = _hits(texts, held, templates, threshold).select(F.col("key").alias("__key"), F.struct("label", "template", "first", "containment").alias("found"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return docs.withColumn("__key", row_key(text)).join(hits, "__key").select(*kept, "found")
+    return docs.withColumn("__key", wide_key(text)).join(hits, "__key").select(*kept, "found")
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def license_digest(docs: DataFrame) -> DataFrame:
     Texts are split into words once; what the counts and the join need of them is written down.
     """
     texts = docs.select("doc_id", "text")
-    split = texts.select("doc_id", row_key("text").alias("key"), words_of(F.col("text")).alias("words"))
+    split = texts.select("doc_id", wide_key("text").alias("key"), words_of(F.col("text")).alias("words"))
     blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     phrases = "(?<= )(?=(?:" + "|".join(BASE) + ") )"
     plain = split.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), _have(F.col("words"), TEMPLATES), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("plain"))
