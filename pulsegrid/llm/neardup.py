@@ -11,7 +11,11 @@ are compared there. Before a comparison, the union of the two sketches estimates
 confirmed on the full sets.
 
 A text without words (or null) has an empty set and is linked with nothing. Rows of equal id and text are one document; a
-null id takes part, but is no component's name unless the whole component has none. Only id and text are read.
+null id takes part, but is no component's name unless the whole component has none. Very long texts are read whole, one at a
+time, with 8 bytes for each shingle; an empty table gives an empty table. Only id and text are read, of any other columns.
+
+Rows and sets are told apart by 128 bits: sets have two digests, of which the first names the class. Of sets that share it alone,
+all but one get another name (`_renamed`).
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import at_most, bytes_of_batches, materialize, row_key
+from .common import at_most, bytes_of_batches, materialize, wide_key
 from .components import connected_components
 
 K = 32
@@ -79,7 +83,7 @@ def least_shared(threshold: float, k: int = K, miss: float = MISS) -> int:
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, row (row_key), n (set size), set (a digest of the set; null if empty) and sketch, for every row."""
+    """doc_id, row (wide_key), n (set size), set and second (digests of the set; null if empty) and sketch, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,14 +91,26 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
             for i in range(len(texts)):
                 s = shingles(texts[i].as_py() or "", size)
                 whole = _mix(s + _ODD[4]).sum(dtype=np.uint64) + np.array([len(s)], np.uint64) * _ODD[5]
-                out.append((len(s), int(whole.view(np.int64)[0]) if len(s) else None, s[:K].view(np.int64)))
+                second = _mix(s ^ _ODD[6]).sum(dtype=np.uint64) + np.array([len(s)], np.uint64) * _ODD[3]
+                out.append((len(s), *(int(x.view(np.int64)[0]) if len(s) else None for x in (whole, second)), s[:K].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))],
-                ["doc_id", "row", "n", "set", "sketch"],
+                [batch.column(0), batch.column(1), *(pa.array([o[j] for o in out], pa.int64()) for j in range(3)), pa.array([o[3] for o in out], pa.list_(pa.int64()))],
+                ["doc_id", "row", "n", "set", "second", "sketch"],
             )
 
-    own = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), "text")
-    return own.mapInArrow(run, "doc_id bigint, row bigint, n bigint, `set` bigint, sketch array<bigint>")
+    own = docs.select(F.col("doc_id").cast("long"), wide_key("doc_id", "text").alias("row"), "text")
+    return own.mapInArrow(run, "doc_id bigint, row struct<a:bigint,b:bigint>, n bigint, `set` bigint, second bigint, sketch array<bigint>")
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
+    """rows with `set` as the name of their class: of sets that share their first digest, all but one are named by both."""
+    both = rows.filter(F.col("set").isNotNull()).groupBy("set", "second").agg(F.lit(1).alias("one"))
+    shared = both.groupBy("set").agg(F.count("*").alias("n"), F.min("second").alias("least")).filter("n > 1").select("set", "least")
+    shared = materialize(shared)
+    if shared.isEmpty():
+        return rows
+    other = F.col("least").isNotNull() & (F.col("second") != F.col("least"))
+    return materialize(rows.join(at_most(shared, BROADCAST_ROWS), "set", "left").withColumn("set", F.when(other, F.xxhash64("set", "second")).otherwise(F.col("set"))).drop("least"))
 
 
 def _prefixes(classes: DataFrame, shared: int, threshold: float) -> DataFrame:
@@ -217,7 +233,7 @@ def link_classes(classes: DataFrame, docs: DataFrame, size: int, percent: int) -
     shared = least_shared(threshold)
     lists = materialize(_prefixes(classes, shared, threshold))
     small = classes.select("set", "n", "sketch", "row")
-    keyed = docs.select(row_key("doc_id", "text").alias("row"), "text")
+    keyed = docs.select(wide_key("doc_id", "text").alias("row"), "text")
     links, tried, roots = None, None, None
 
     def texts_of(sets: DataFrame) -> DataFrame:
@@ -256,9 +272,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def _near_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, row (row_key), n_shingles, component_id and keeper (row of the component's first document: of the smallest id, then row)."""
+    """doc_id, row (wide_key), n_shingles, component_id and keeper (row of the component's first document: of the smallest id, then row)."""
     bytes_of_batches(docs.sparkSession)
-    rows = materialize(sketch(docs, size))
+    rows = _renamed(materialize(sketch(docs, size)))
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     classes = materialize(
         rows.filter(F.col("set").isNotNull()).groupBy("set").agg(F.min_by(F.struct("doc_id", "row", "n", "sketch"), first).alias("x")).select("set", "x.doc_id", "x.row", "x.n", "x.sketch")
@@ -278,7 +294,7 @@ def drop_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     included; documents without words are linked with nothing, so each of them stays."""
     found = materialize(_near_duplicates(docs, size, percent).select("row", "keeper"))
     gone = materialize(found.filter("row <> keeper").select(F.col("row").alias("__row")).distinct())
-    left = docs.withColumn("__row", row_key("doc_id", "text")).join(at_most(gone, BROADCAST_ROWS), "__row", "left_anti")
+    left = docs.withColumn("__row", wide_key("doc_id", "text")).join(at_most(gone, BROADCAST_ROWS), "__row", "left_anti")
     repeated = materialize(found.filter("row = keeper").groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("row").alias("__row")))
     if not repeated.isEmpty():  # only these rows are moved
         repeated = at_most(repeated, BROADCAST_ROWS)

@@ -323,3 +323,12 @@ def test_perfect_hash():
     table = bpe.PerfectHash(keys)
     assert table.find(keys) == list(range(len(keys))) and table.find([b"no", b"\xff\xff\xff"]) == [-1, -1]
     assert sorted(table.slot.tolist()) == list(range(len(keys)))
+
+
+def test_sets_of_one_digest(spark):
+    """Sets that share their first digest alone are classes of their own."""
+    rows = spark.createDataFrame([(1, 1, 10), (2, 1, 10), (3, 1, 20), (4, 2, 5), (5, None, None), (6, 1, 30)], "doc_id long, `set` long, second long")
+    named = {r.doc_id: r["set"] for r in neardup._renamed(rows).collect()}
+    assert named[1] == named[2] == 1 and named[4] == 2 and named[5] is None
+    assert len({named[i] for i in (1, 3, 4, 6)}) == 4
+    assert neardup._renamed(rows.filter("second <> 20 and second <> 30")).count() == 3
