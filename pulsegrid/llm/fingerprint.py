@@ -7,7 +7,8 @@ by MAX_DIFF, so likeness lies between 0 and 1. Equal bytes have equal digests.
 `with_next` lays each document beside the one that follows it by doc_id, without a global sort in one task: ids are cut
 into ranges near their quantiles, each range is one task's, and the first document of a range also goes to the range before.
 Null ids come first; rows of equal id are in the order of their texts; the last is followed by the first. Null texts count as
-empty; texts of fewer than three bytes have empty buckets and are told apart by length alone.
+empty; texts of fewer than three bytes have empty buckets and are told apart by length alone; very long ones are read whole, with
+BUCKETS counters beside them. An empty table gives an empty table. Columns but id and text are not read.
 """
 
 from __future__ import annotations

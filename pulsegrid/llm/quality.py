@@ -6,8 +6,8 @@ of the normal equations; only these sums reach the driver. A separate fold of th
 
 Labels of fold 0 (crc32 of the id as text, modulo 5) are held out and never read for fitting; fold 1 calibrates, the rest
 fit. At most MAX_TRAIN labelled rows are used, by a hash of the id. Several labels of one id are averaged; null labels are
-ignored; a null id counts as fold 0. Null and empty texts get the score of an empty text. Without any labels every score
-is 0.5. Inputs of a score are the text's statistics alone.
+ignored; a null id counts as fold 0. Null and empty texts get the score of an empty text; very long ones are read whole, one at
+a time. Without any labels every score is 0.5; an empty table of documents gives an empty table. Inputs of a score are the text's statistics alone.
 """
 
 from __future__ import annotations
