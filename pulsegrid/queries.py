@@ -125,6 +125,22 @@ def latest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserts.latest_changes(own, ["id"], ["ms", "n"])
 
 
+@query(f"WITH {EV} SELECT event_id::varchar AS id, ms AS event_time, (event_id % 4)::int AS hard_state, ((event_id + 1) % 4)::int AS previous_hard_state FROM ev WHERE event_type = 'error' AND event_id % 2 = 1 AND event_id % 3 <> 0")
+def history_stream_sla_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Availability rows that the stream writes besides: hard states alone."""
+    return _history_tables(spark, sf_dir, "state")["sla_history_state"].read().select("id", "event_time", "hard_state", "previous_hard_state")
+
+
+@query(f"WITH {EV} SELECT event_id::varchar AS downtime_id, ms AS downtime_start, CASE WHEN event_id % 3 <> 0 AND event_id % 4 = 1 THEN ms + 1 ELSE ms + cast(floor(value * 1000) AS bigint) END AS downtime_end FROM ev WHERE event_type = 'view'")
+def history_stream_sla_downtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history_tables(spark, sf_dir, "downtime")["sla_history_downtime"].read().select("downtime_id", "downtime_start", "downtime_end")
+
+
+@query(f"WITH {EV}, u AS (SELECT event_id, unnest([user_id, user_id + 1, user_id + 2]) AS u FROM ev WHERE event_type = 'error' AND event_id % 2 = 0) SELECT {sid('event_id')} AS notification_history_id, {sid('u')} AS user_id FROM u")
+def history_stream_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history_tables(spark, sf_dir, "notification")["user_notification_history"].read().select("notification_history_id", "user_id")
+
+
 @query(f"WITH {CHANGES} SELECT id, event_type, n FROM ch WHERE k = 1 AND runtime_type = 'upsert'")
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.types import StructType
@@ -849,15 +865,21 @@ def migration_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 # streams over the events table
 
 
-def _history_stream(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def _history_tables(spark: SparkSession, sf_dir: str, kind: str) -> dict[str, sinks.BucketedTable]:
+    """The tables that a stream of a kind's events has filled; soft and hard states of all kinds."""
     from .streaming.history import history_tables, start_history_stream
 
     base = A.scratch(spark, "history-stream")
     tables = history_tables(spark, base, kind, 4)
     stream = A.history_events(A.as_events(A.event_stream(spark, sf_dir)))[kind]
     if kind == "state":
-        stream = stream.selectExpr("*", "'hard' as state_type", "2 as hard_state", "99 as previous_hard_state")
+        stream = stream.selectExpr("*", "if(event_id % 3 = 0, 'soft', 'hard') as state_type", "cast(event_id % 4 as int) as hard_state", "cast((event_id + 1) % 4 as int) as previous_hard_state")
     start_history_stream(stream, kind, tables, f"{base}/checkpoint", ["ms"]).awaitTermination()
+    return tables
+
+
+def _history_stream(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    tables = _history_tables(spark, sf_dir, kind)
     table, key, reference = history.KINDS[kind]
     detail = tables[table].read().select(F.col(key).alias(reference), F.lit(True).alias("has_detail"))
     return tables["history"].read().join(detail, reference, "left").select("id", "event_type", "event_time", reference, "has_detail")
@@ -873,6 +895,22 @@ for _kind in history.KINDS:
     ORACLE_SQL[f"history_stream_{_kind}"] = f"WITH {HIST} SELECT id, event_type, event_time, ref AS {history.KINDS[_kind][2]}, true AS has_detail FROM h WHERE kind = '{_kind}'"
 
 
+@query(f"WITH {EV} SELECT event_id::varchar AS id, ms AS event_time, (event_id % 4)::int AS hard_state, ((event_id + 1) % 4)::int AS previous_hard_state FROM ev WHERE event_type = 'error' AND event_id % 2 = 1 AND event_id % 3 <> 0")
+def history_stream_sla_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Availability rows that the stream writes besides: hard states alone."""
+    return _history_tables(spark, sf_dir, "state")["sla_history_state"].read().select("id", "event_time", "hard_state", "previous_hard_state")
+
+
+@query(f"WITH {EV} SELECT event_id::varchar AS downtime_id, ms AS downtime_start, CASE WHEN event_id % 3 <> 0 AND event_id % 4 = 1 THEN ms + 1 ELSE ms + cast(floor(value * 1000) AS bigint) END AS downtime_end FROM ev WHERE event_type = 'view'")
+def history_stream_sla_downtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history_tables(spark, sf_dir, "downtime")["sla_history_downtime"].read().select("downtime_id", "downtime_start", "downtime_end")
+
+
+@query(f"WITH {EV}, u AS (SELECT event_id, unnest([user_id, user_id + 1, user_id + 2]) AS u FROM ev WHERE event_type = 'error' AND event_id % 2 = 0) SELECT {sid('event_id')} AS notification_history_id, {sid('u')} AS user_id FROM u")
+def history_stream_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history_tables(spark, sf_dir, "notification")["user_notification_history"].read().select("notification_history_id", "user_id")
+
+
 @query(f"WITH {CHANGES} SELECT id, event_type, n FROM ch WHERE k = 1 AND runtime_type = 'upsert'")
 def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.types import StructType
