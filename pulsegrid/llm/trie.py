@@ -125,8 +125,8 @@ def subtree_sums(items: DataFrame, paths: DataFrame | None, level: int, columns:
         upper = own.join(below.withColumnRenamed("root", "key"), "key").select("key", "root", "k", *[f"p{j}" for j in range(1, WIDTH + 1)], *values)
         deeper, tops = subtree_sums(upper, more if more.limit(1).count() else None, level + 1, [f"p{j}" for j in range(1, WIDTH + 1)], values)
         # below the trie's root lies what its own block holds and what lies below the roots in it
-        top = below.filter(F.col("root") == _root()).join(tops.filter(F.col("root") == _root()).select("root", *[F.col(v).alias(f"more_{v}") for v in values]), "root", "left")
-        all_below = deeper.unionByName(top.select(F.col("root").alias("key"), *[(F.col(v) + F.coalesce(f"more_{v}", F.lit(0))).alias(v) for v in values]))
+        top = below.unionByName(tops).filter(F.col("root") == _root()).groupBy("root").agg(*sums)
+        all_below = deeper.unionByName(top.withColumnRenamed("root", "key"))
         all_below = written(all_below, "deeper")
         extra = all_below.select("key", *[F.col(v).alias(f"more_{v}") for v in values])
         items = items.join(extra, "key", "left").withColumns({v: F.col(v) + F.coalesce(f"more_{v}", F.lit(0)) for v in values}).drop(*[f"more_{v}" for v in values])
@@ -220,7 +220,10 @@ def prefix_trie(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     paths = _paths(blocks, longest or 0)
     sums, under = subtree_sums(nodes.select("key", "root", "k", *_TURNS, *values), paths, 0, _TURNS, values)
     none = F.sha2(F.lit(""), 256)
-    start = top.withColumn("key", _root()).join(ends, "key", "left").join(under.filter(F.col("root") == _root()).select(F.col("root").alias("key"), *values), "key", "left")
+    # the root's row: what members, ends and sums tell of it, put together
+    own = lambda df: df.filter(F.col("key") == _root())
+    known = top.withColumn("key", _root()).unionByName(own(ends), allowMissingColumns=True).unionByName(own(under.withColumnRenamed("root", "key")).select("key", *values), allowMissingColumns=True)
+    start = known.groupBy("key").agg(*[F.max(c).alias(c) for c in ("conv_id", "n_convs", "ends_sha256", *values)])
     start = start.select("key", F.lit(None).cast(nodes.schema["key"].dataType).alias("parent"), "conv_id", F.lit(0).cast("long").alias("depth"), "n_convs", F.greatest(F.coalesce("n_leaves", F.lit(0)), F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", F.lit(0)).alias("saved_tokens"), F.coalesce("ends_sha256", none).alias("ends_sha256"))
     rest = nodes.drop(*values).join(sums, "key").select("key", "parent", "conv_id", "depth", "n_convs", *values, F.coalesce("ends_sha256", none).alias("ends_sha256"))
     every = start.unionByName(rest)
