@@ -7,21 +7,24 @@ what came before) for the head, by a softmax over the classes and one over the c
 (c + 1) of all its class's counts, plus one for every known word and one for an unknown one. So it is a distribution over words.
 
 Training is truncated backpropagation in numpy, over windows of STEPS tokens with the state carried from window to window, by
-Adam, from biases that equal the counts. Every training text takes part with one window in SHARE, a stretch of neighbours at a
-place by a hash of its key, so training grows with the corpus. It runs in ROUNDS: each task trains on its stretches from the
-weights so far, and Spark averages the tasks' weights by their tokens. Only the averages reach the driver.
+Adam, from biases that equal the counts. It takes every window of every training text, once. Texts are dealt to lanes of about
+equal length and follow each other there, so windows are full. It runs in ROUNDS: each text is of one round by a hash, each task
+trains on its texts of a round from the weights so far, and Spark averages the tasks' weights by their tokens. Only the averages
+reach the driver.
 
 Scoring takes whole texts: lanes of many texts walk side by side, window by window, with the state carried to the text's end.
+Texts are read once, for training and scoring: their symbols are written to the shared folder, two bytes a token.
 Tasks know the counts of the FREQUENT most frequent words; other words are sent, with the number of their text's row, to a join
 with the counts of all words, and what they add is summed up by row.
 
-Null and empty texts have the end alone; very long texts are walked by one lane, its ids in memory (4 bytes a token); repeated
+Null and empty texts have the end alone; very long texts are walked by one lane, its symbols in memory (6 bytes a token); repeated
 rows get the same scores; a null id counts as held out; without training texts all words are unknown and N is 0. An empty table
 gives an empty table. Columns but the named are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,10 +46,11 @@ FREQUENT = 100_000
 #: Shapes of the words outside the head: by bytes, up to these or more, and by whether the last one is a letter.
 LENGTHS = (4, 6, 8, 10, 13, 17, 25)
 TAILS = 2 * (len(LENGTHS) + 1)
-HIDDEN, STEPS, LANES = 24, 16, 64
+#: LANES at most; with few texts fewer, so that a pool of them makes UPDATES steps or more.
+HIDDEN, STEPS, LANES, UPDATES = 24, 16, 256, 300
 SCORE_STEPS, SCORE_LANES = 64, 512
-SHARE, ROUNDS, RATE, WARM, SEED = 16, 3, 0.005, 8, 20240501
-#: Distinct words that a counting task holds; tokens that a scoring task holds besides those of one text.
+ROUNDS, RATE, WARM, SEED = 3, 0.005, 8, 20240501
+#: Distinct words that a counting task holds; tokens that a training or scoring task holds besides those of one text.
 COUNTED, POOL = 400_000, 1_500_000
 LOG10 = float(np.log(10))
 _f = np.float32
@@ -162,18 +166,30 @@ class Model:
             at += size
         return Model(self.vocabulary, out)
 
-    def walk(self, xs: np.ndarray, h: np.ndarray, learn: bool = False) -> tuple[np.ndarray, list[tuple]]:
-        """States after each step of (steps, lanes) symbols, and what backpropagation needs."""
+    def walk(self, xs: np.ndarray, h: np.ndarray, learn: bool = False, fresh: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """States after each step of (steps, lanes) symbols, and what backpropagation needs. fresh: where a text begins, by a state of 0."""
         n, w = HIDDEN, self.w
-        states, kept = np.empty((*xs.shape, n), _f), []
+        states = np.empty((*xs.shape, n), _f)
+        kept = tuple(np.empty((*xs.shape, k), _f) for k in ((n, 2 * n, n, n) if learn else ()))
+        anew = fresh.any(1).tolist() if fresh is not None else [False] * len(xs)
         for t in range(len(xs)):
+            if anew[t]:
+                h = np.where(fresh[t][:, None], _f(0), h)
             g = w["x"][xs[t]]
-            zr = np.tanh((g[:, : 2 * n] + h @ w["u"]) * _f(0.5)) * _f(0.5) + _f(0.5)
-            z, rh = zr[:, :n], zr[:, n:] * h
-            c = np.tanh(g[:, 2 * n :] + rh @ w["v"])
+            zr = h @ w["u"]
+            zr += g[:, : 2 * n]
+            zr *= _f(0.5)
+            np.tanh(zr, out=zr)
+            zr *= _f(0.5)
+            zr += _f(0.5)
+            rh = zr[:, n:] * h
+            c = rh @ w["v"]
+            c += g[:, 2 * n :]
+            np.tanh(c, out=c)
             if learn:
-                kept.append((h, zr, rh, c))
-            h = h + z * (c - h)
+                for held, x in zip(kept, (h, zr, rh, c), strict=True):
+                    held[t] = x
+            h = h + zr[:, :n] * (c - h)
             states[t] = h
         return states, kept
 
@@ -181,12 +197,16 @@ class Model:
         """Natural logarithms of the probabilities of symbols ys (a tail class's words are left to the counts) after states s."""
         v, w = self.vocabulary, self.w
         kind = v.class_of[ys]
-        logits = s @ w["wc"] + w["bc"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1)
+        order = np.argsort(kind, kind="stable")
+        s, ys, kind = s[order], ys[order], kind[order]  # tokens of a class stand side by side
         rows = np.arange(len(ys))
-        out = (logits[rows, kind] - np.log(total)).astype(np.float64)
+        p = s @ w["wc"]
+        p += w["bc"]
+        p -= p.max(1, keepdims=True)
+        logs = p[rows, kind].astype(np.float64)
+        np.exp(p, out=p)
+        total = p.sum(1)
+        logs -= np.log(total)
         grads: dict = {}
         ds = None
         if learn:
@@ -194,97 +214,141 @@ class Model:
             p[rows, kind] -= 1
             grads = {"wc": s.T @ p, "bc": p.sum(0), "wo": np.zeros_like(w["wo"]), "bo": np.zeros_like(w["bo"])}
             ds = p @ w["wc"].T
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(len(v.begin) + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            some = order[cuts[k] : cuts[k + 1]]
+        cuts = np.searchsorted(kind, np.arange(len(v.begin) + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            some = slice(cuts[k], cuts[k + 1])
             a, b = v.begin[k], v.end[k]
             if b - a == 1:
                 continue
-            own = s[some]
-            logits = own @ w["wo"][a:b].T + w["bo"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            q = np.exp(logits)
-            total, at, which = q.sum(1), np.arange(len(some)), ys[some] - a
-            out[some] += logits[at, which] - np.log(total)
+            own, out_of = s[some], w["wo"][a:b]
+            q = own @ out_of.T
+            q += w["bo"][a:b]
+            q -= q.max(1, keepdims=True)
+            at, which = rows[: len(own)], ys[some] - a
+            mine = q[at, which]
+            np.exp(q, out=q)
+            total = q.sum(1)
+            logs[some] += mine - np.log(total)
             if learn:
                 q /= total[:, None]
                 q[at, which] -= 1
                 grads["wo"][a:b] = q.T @ own
                 grads["bo"][a:b] = q.sum(0)
-                ds[some] += q @ w["wo"][a:b]
+                ds[some] += q @ out_of
+        out = np.empty(len(ys))
+        out[order] = logs
+        if learn:
+            back = np.empty_like(ds)
+            back[order] = ds
+            ds = back
         return out, grads, ds
 
-    def gradients(self, xs: np.ndarray, ys: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Gradients of the loss over a window (by its size, so that a few texts left at last move little), the state after it, and the
-        summed loss. Masked steps count in nothing."""
+    def gradients(self, xs: np.ndarray, ys: np.ndarray, mask: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, size: int | None = None) -> tuple[dict, np.ndarray, float]:
+        """Gradients of the loss over a window (by `size`, a full one's, so that a few texts left at last move little), the state after
+        it, and the summed loss. Masked steps count in nothing."""
         n, w = HIDDEN, self.w
-        states, kept = self.walk(xs, h, True)
+        states, (before, zr, rh, c) = self.walk(xs, h, True, fresh)
         some = np.flatnonzero(mask.ravel())
         logs, grads, back = self.output(states.reshape(-1, n)[some], ys.ravel()[some], learn=True)
         ds = np.zeros((xs.size, n), _f)
         ds[some] = back
         ds = ds.reshape(*xs.shape, n)
         gates = np.empty((*xs.shape, 3 * n), _f)
-        grads |= {"u": np.zeros_like(w["u"]), "v": np.zeros_like(w["v"])}
+        # what does not come from later steps, for all steps at once
+        z = zr[..., :n]
+        of_c, of_z, of_gates = z * (1 - c * c), c - before, zr * (1 - zr)
+        u, v = np.ascontiguousarray(w["u"].T), np.ascontiguousarray(w["v"].T)
+        anew = fresh.any(1).tolist() if fresh is not None else [False] * len(xs)
         d = np.zeros_like(h)
         for t in range(len(xs) - 1, -1, -1):
-            before, zr, rh, c = kept[t]
-            z, r = zr[:, :n], zr[:, n:]
-            d = d + ds[t]
-            dc = d * z * (1 - c * c)
-            drh = dc @ w["v"].T
-            dzr = np.hstack([d * (c - before), drh * before]) * zr * (1 - zr)
-            grads["u"] += before.T @ dzr
-            grads["v"] += rh.T @ dc
-            gates[t, :, : 2 * n], gates[t, :, 2 * n :] = dzr, dc
-            d = d * (1 - z) + drh * r + dzr @ w["u"].T
+            d += ds[t]
+            own = gates[t]
+            dc = own[:, 2 * n :]
+            np.multiply(d, of_c[t], out=dc)
+            drh = dc @ v
+            dzr = own[:, : 2 * n]
+            np.multiply(d, of_z[t], out=dzr[:, :n])
+            np.multiply(drh, before[t], out=dzr[:, n:])
+            dzr *= of_gates[t]
+            drh *= zr[t, :, n:]
+            d *= 1 - z[t]
+            d += drh
+            d += dzr @ u
+            if anew[t]:
+                d[fresh[t]] = 0
+        gates = gates.reshape(-1, 3 * n)
+        grads |= {"u": before.reshape(-1, n).T @ gates[:, : 2 * n], "v": rh.reshape(-1, n).T @ gates[:, 2 * n :]}
         flat = xs.ravel()
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
         grads["x"] = np.zeros_like(w["x"])
-        grads["x"][flat[order][first]] = np.add.reduceat(gates.reshape(-1, 3 * n)[order], first, axis=0)
-        return {k: g / _f(xs.size) for k, g in grads.items()}, states[-1], -float(logs.sum())
+        grads["x"][flat[order][first]] = np.add.reduceat(gates[order], first, axis=0)
+        return {k: g / _f(size or xs.size) for k, g in grads.items()}, states[-1], -float(logs.sum())
+
 
+def windows(texts: Iterator[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """All texts, side by side: (symbols before, symbols, mask, where texts begin, size of the pool's full windows) of each window; a text
+    begins with the end before it.
 
-def windows(texts: Iterator[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts side by side: (symbols before, symbols, mask, lanes that begin anew) of each window; a text begins with the end before it."""
-    open_: list[np.ndarray | None] = [None] * lanes
-    done = False
+    Of about POOL tokens at a time, the longest texts are dealt first, each to the shortest lane; in a lane they stand as they came.
+    Lanes come by length, and those that are over are left out. The first window of a pool begins texts in all its lanes.
+    """
     while True:
-        fresh = np.zeros(lanes, bool)
-        for i in range(lanes):
-            if open_[i] is None or len(open_[i]) < 2:
-                text = None if done else next(texts, None)
-                done = done or text is None
-                open_[i] = None if text is None else np.concatenate([np.zeros(1, np.int32), text])
-                fresh[i] = True
-        if all(x is None for x in open_):
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= POOL:
+                break
+        if not held:
             return
-        xs, ys, mask = np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), np.int32), np.zeros((steps, lanes), bool)
-        for i, x in enumerate(open_):
-            if x is not None:
-                m = min(steps, len(x) - 1)
-                xs[:m, i], ys[:m, i], mask[:m, i] = x[:m], x[1 : m + 1], True
-                open_[i] = x[m:]
-        yield xs, ys, mask, fresh
+        queue = [(0, i) for i in range(min(len(held), max(1, min(lanes, size // (steps * UPDATES)))))]
+        dealt: list[list[int]] = [[] for _ in queue]
+        for i in sorted(range(len(held)), key=lambda i: -len(held[i])):
+            n, k = queue[0]
+            dealt[k].append(i)
+            heapq.heapreplace(queue, (n + len(held[i]), k))
+        rows = [np.concatenate([held[i] for i in sorted(own)]) for own in dealt]
+        begins = [np.cumsum([0] + [len(held[i]) for i in sorted(own)[:-1]]) for own in dealt]
+        order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))
+        rows, begins, ends = [rows[k] for k in order], [begins[k] for k in order], np.array([len(rows[k]) for k in order])
+        for at in range(0, int(ends[0]), steps):
+            n = int(np.searchsorted(-ends, -at, "left"))
+            xs, ys = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int32)
+            fresh = np.zeros((steps, n), bool)
+            for i in range(n):
+                part = rows[i][at : at + steps]
+                ys[: len(part), i] = part
+                xs[0, i] = rows[i][at - 1] if at else 0  # as every text ends with 0, the next one begins with it
+                if (some := begins[i][(begins[i] >= at) & (begins[i] < at + steps)]).size:
+                    fresh[some - at, i] = True
+            xs[1:] = ys[:-1]
+            yield xs, ys, np.arange(at, at + steps)[:, None] < ends[:n], fresh, steps * len(rows)
 
 
 def train(model: Model, texts: Iterator[np.ndarray]) -> tuple[Model, int, float]:
-    """The model after these stretches of symbols, how many there were, and their summed loss before each step."""
+    """The model after these texts of symbols, how many symbols there were, and their summed loss before each step."""
     w = {k: v.copy() for k, v in model.w.items()}
     out = Model(model.vocabulary, w)
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    h, seen, loss, t = np.zeros((LANES, HIDDEN), _f), 0, 0.0, 0
-    for xs, ys, mask, fresh in windows(texts, LANES, STEPS):
-        h = np.where(fresh[:, None], _f(0), h)
-        grads, h, own = out.gradients(xs, ys, mask, h)
+    h, seen, loss, t = np.zeros((0, HIDDEN), _f), 0, 0.0, 0
+    for xs, ys, mask, fresh, full in windows(texts, LANES, STEPS):
+        lanes = xs.shape[1]
+        h = h[:lanes] if lanes <= len(h) else np.zeros((lanes, HIDDEN), _f)
+        grads, h, own = out.gradients(xs, ys, mask, h, fresh, full)
         seen, loss, t = seen + int(mask.sum()), loss + own, t + 1
         rate = RATE * min(1, t / WARM) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         for k, g in grads.items():
             mean[k] += (g - mean[k]) * _f(0.1)
-            square[k] += (g * g - square[k]) * _f(0.001)
-            w[k] -= _f(rate) * mean[k] / (np.sqrt(square[k]) + _f(1e-8))
+            g *= g
+            g -= square[k]
+            g *= _f(0.001)
+            square[k] += g
+            np.sqrt(square[k], out=g)
+            g += _f(1e-8)
+            np.divide(mean[k], g, out=g)
+            g *= _f(rate)
+            w[k] -= g
     return out, seen, loss
 
 
@@ -321,8 +385,8 @@ def score(model: Model, texts: list[np.ndarray]) -> np.ndarray:
 
 
 @dataclass
-class Trained:
-    """The model and the corpus's counts; tails: N and V of each tail class."""
+class Counted:
+    """A corpus's counts, the vocabulary and the untrained model; tails: N and V of each tail class."""
 
     model: Model
     counts: DataFrame
@@ -331,46 +395,8 @@ class Trained:
     tails: list[tuple[int, int]]
 
 
-def _stretches(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """round and symbols: of each text (at, text) one window in SHARE, neighbours; at chooses place and round."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, ats = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist()
-            rounds, lists = [], []
-            for i in range(batch.num_rows):
-                own = words(column[i].as_py() or b"")
-                n = -(-(len(own) + 1) // STEPS)
-                take = -(-n // SHARE)
-                begin = STEPS * (ats[i] // ROUNDS % (n - take + 1))
-                part = own[begin : begin + STEPS * take]
-                symbols = vocabulary.read(part)[1]
-                lists.append(symbols if begin + STEPS * take > len(own) else symbols[:-1])
-                rounds.append(ats[i] % ROUNDS)
-            at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-            values = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, pa.int32()))], ["round", "symbols"])
-
-    return texts.select("at", "text").mapInArrow(run, "round int, symbols array<int>")
-
-
-def _averaged(stretches: DataFrame, model: Model) -> Model:
-    """The model after one round: tasks train by themselves, their weights are averaged by tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, _ = train(model, (batch.column(0)[i].values.to_numpy() for batch in batches for i in range(batch.num_rows)))
-        if seen:
-            flat = own.flat()
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], ["seen", "weights"])
-
-    trained = written(stretches.mapInArrow(run, "seen bigint, weights array<float>"), "weights")
-    each = trained.select("seen", F.posexplode("weights").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w"))
-    rows = each.orderBy("at").toArrow()
-    return model.filled(rows.column("w").to_numpy()) if rows.num_rows else model
-
-
-def fit(docs: DataFrame) -> Trained:
-    """Counts over all of docs (doc_id, text), and the model trained on all of them."""
+def count(docs: DataFrame) -> Counted:
+    """Counts over all of docs (text)."""
     bytes_of_batches(docs.sparkSession)
     counts = written(count_words(docs), "counts")
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -395,73 +421,114 @@ def fit(docs: DataFrame) -> Trained:
     sums = {r["k"]: (r["n"], r["v"]) for r in counts.mapInArrow(tails, "k int, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()}
     sizes = [sums.get(k, (0, 0)) for k in range(TAILS)]
     mass = np.array([ends] + [c for _, c in frequent[:HEAD]] + [n for n, _ in sizes], float)
-    model = Model.start(vocabulary, mass)
-    at = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    stretches = written(_stretches(docs.select(at.alias("at"), "text"), vocabulary), "stretches")
-    for i in range(ROUNDS):
-        model = _averaged(stretches.filter(F.col("round") == i).select("symbols"), model)
-    return Trained(model, counts, tokens, distinct, sizes)
+    return Counted(Model.start(vocabulary, mass), counts, tokens, distinct, sizes)
 
 
-def _walked(texts: DataFrame, trained: Trained) -> DataFrame:
-    """doc_id, row (a number), n_tokens, and of all but the others: known, base (sum of log10(c + 1)), part (of the score); others: words and tfs."""
-    model, vocabulary = trained.model, trained.model.vocabulary
+def read(texts: DataFrame, counted: Counted) -> DataFrame:
+    """Of texts (doc_id, text): doc_id, row (a number), round, symbols (two bytes each), n_tokens, and of all but the others: known, base (sum
+    of log10(c + 1)), tail (what words add inside their tail classes); others: words and tfs. Written, as training and scoring read it."""
+    vocabulary = counted.model.vocabulary
     counts, head = vocabulary.counts, vocabulary.head
     gain = np.log10(counts + 1.0)
-    shares = -np.array([0.0] * head + [np.log10(n + v + 1) for n, v in trained.tails])
-    names = ["doc_id", "row", "n_tokens", "known", "base", "part", "others", "tfs"]
+    shares = -np.array([0.0] * head + [np.log10(n + v + 1) for n, v in counted.tails])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held, size = TaskContext.get().partitionId() << 36, [], [], 0
-
-        def made() -> pa.RecordBatch:
-            logs = score(model, [x[2] for x in held])
-            lists, ends = [x for h in held for x in h[4]], np.concatenate([[0], np.cumsum([len(h[4]) for h in held])])
-            column = [pa.array([h[j] for h in held]) for j in (0, 1)]
-            part = pa.array(logs + np.array([h[3] for h in held]))
-            others = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x[j] for x in lists], t)) for j, t in ((0, pa.binary()), (1, pa.int64()))]
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.arange(at, at + len(held))), pa.array([len(h[2]) for h in held], pa.int64()), *column, part, *others], names)
-
+        at = TaskContext.get().partitionId() << 36
         for batch in batches:
-            column, begin = batch.column(1).cast(pa.binary()), 0
+            column = batch.column(2).cast(pa.binary())
+            lists, columns = [], ([], [], [], [], [])
             for i in range(batch.num_rows):
                 numbers, symbols, others = vocabulary.read(words(column[i].as_py() or b""))
                 seen = numbers[numbers >= 0]
                 tail = float(shares[symbols].sum() + gain[seen[seen >= head]].sum())
-                held.append((int((counts[seen] > 0).sum()), float(gain[seen].sum()), symbols, tail, list(Counter(others).items())))
-                size += len(symbols)
-                if size >= POOL:
-                    ids.append(batch.column(0).slice(begin, i + 1 - begin))
-                    yield made()
-                    at += len(held)
-                    ids, held, size, begin = [], [], 0, i + 1
-            if begin < batch.num_rows:
-                ids.append(batch.column(0).slice(begin))
+                for x, value in zip(columns, (symbols.astype("<u2").tobytes(), len(symbols), int((counts[seen] > 0).sum()), float(gain[seen].sum()), tail), strict=True):
+                    x.append(value)
+                lists.append(Counter(others))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            others = [pa.ListArray.from_arrays(pa.array(ends), pa.array([x for c in lists for x in each(c)], t)) for each, t in ((Counter.keys, pa.binary()), (Counter.values, pa.int64()))]
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            numbers = pa.array(np.arange(at, at + batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), numbers, batch.column(1), *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], *others], names)
+            at += batch.num_rows
+
+    of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int").alias("round")
+    names = ["doc_id", "row", "round", "symbols", "n_tokens", "known", "base", "tail", "others", "tfs"]
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    made = texts.select("doc_id", of, "text").mapInArrow(run, f"doc_id {kind}, row bigint, round int, symbols binary, n_tokens bigint, known bigint, base double, tail double, others array<binary>, tfs array<bigint>")
+    return written(made, "read")
+
+
+def _symbols(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for x in batch.column(column):
+            yield np.frombuffer(x.as_buffer(), "<u2").astype(np.int32)
+
+
+def _averaged(texts: DataFrame, model: Model) -> Model:
+    """The model after one round over texts (symbols): tasks train by themselves, their weights are averaged by tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, _ = train(model, _symbols(batches, 0))
+        if seen:
+            flat = own.flat()
+            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat))], ["seen", "weights"])
+
+    trained = written(texts.mapInArrow(run, "seen bigint, weights array<float>"), "weights")
+    each = trained.select("seen", F.posexplode("weights").alias("at", "w")).groupBy("at").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w"))
+    rows = each.orderBy("at").toArrow()
+    return model.filled(rows.column("w").to_numpy()) if rows.num_rows else model
+
+
+def fit(texts: DataFrame, model: Model) -> Model:
+    """The model trained on all windows of all texts, as they were read (see `read`)."""
+    for i in range(ROUNDS):
+        model = _averaged(texts.filter(F.col("round") == i).select("symbols"), model)
+    return model
+
+
+def _walked(texts: DataFrame, model: Model) -> DataFrame:
+    """texts, as they were read, without symbols, others and tail, but with part: what the model and the tails give."""
+    names = ["doc_id", "row", "n_tokens", "known", "base", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            part = score(model, held) + np.concatenate([x.column(5).to_numpy() for x in rows])
+            return pa.RecordBatch.from_arrays([*[pa.concat_arrays([x.column(j) for x in rows]) for j in range(5)], pa.array(part)], names)
+
+        for batch in batches:
+            held.extend(_symbols([batch], 6))
+            rows.append(batch.select(range(6)))
+            size += sum(len(x) for x in held[-batch.num_rows :]) if batch.num_rows else 0
+            if size >= POOL:
+                yield made()
+                held, rows, size = [], [], 0
         if held:
             yield made()
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row bigint, n_tokens bigint, known bigint, base double, part double, others array<binary>, tfs array<bigint>")
+    return texts.select(*names[:5], "tail", "symbols").mapInArrow(run, f"doc_id {kind}, row bigint, n_tokens bigint, known bigint, base double, part double")
 
 
-def likelihood(docs: DataFrame, trained: Trained) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document, whole texts."""
-    bytes_of_batches(docs.sparkSession)
-    walked = written(_walked(docs.select("doc_id", "text"), trained), "walked")
-    rare = walked.select("row", F.explode(F.arrays_zip("others", "tfs")).alias("x")).select("row", F.col("x.others").alias("word"), F.col("x.tfs").alias("tf"))
-    met = rare.join(trained.counts.filter("word <> X''"), "word")  # unknown words add nothing
+def likelihood(texts: DataFrame, counted: Counted, model: Model) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every text, as they were read, whole."""
+    rare = texts.select("row", F.explode(F.arrays_zip("others", "tfs")).alias("x")).select("row", F.col("x.others").alias("word"), F.col("x.tfs").alias("tf"))
+    met = rare.join(counted.counts.filter("word <> X''"), "word")  # unknown words add nothing
     sums = met.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("rare"), F.sum("tf").alias("rare_known"))
-    joined = walked.drop("others", "tfs").join(sums, "row", "left")
+    joined = written(_walked(texts, model), "walked").join(sums, "row", "left")
     rare_sum = F.coalesce("rare", F.lit(0.0))
-    base = F.col("base") + rare_sum - F.col("n_tokens") * F.log10(F.lit(float(trained.tokens + trained.distinct + 1)))
+    base = F.col("base") + rare_sum - F.col("n_tokens") * F.log10(F.lit(float(counted.tokens + counted.distinct + 1)))
     return joined.select(
-        "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(trained.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("part") + rare_sum).alias("score")
+        "doc_id", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(counted.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("part") + rare_sum).alias("score")
     )
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """likelihood of every document by a model of those that are not held out, and held_out."""
     own = docs.select("doc_id", "text")
-    trained = fit(own.filter(~held_out(F.col("doc_id"))))
-    out = likelihood(own, trained)
+    counted = count(own.filter(~held_out(F.col("doc_id"))))
+    texts = read(own, counted)
+    model = fit(texts.filter(~held_out(F.col("doc_id"))), counted.model)
+    out = likelihood(texts, counted, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -130,6 +130,39 @@ def test_lm_learns():
     assert lm.score(model, [text() for _ in range(20)]).sum() > before / 3
 
 
+def test_lm_windows_hold_every_token():
+    """Each symbol once, after the one before it, texts whole and in one lane from their begin on, whatever their lengths."""
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(1, 50, k), 0).astype(np.int32) for k in (0, 1, 3, 15, 16, 17, 300, 40, 2, 0)]
+    got, lanes = [], {}
+    for xs, ys, mask, fresh, _ in lm.windows(iter(texts), 3, 16):
+        for i in range(xs.shape[1]):
+            for x, y, m, f in zip(xs[:, i], ys[:, i], mask[:, i], fresh[:, i], strict=True):
+                if m:
+                    if f:
+                        assert x == 0
+                        lanes[i] = []
+                        got.append(lanes[i])
+                    assert x == ([0] + lanes[i])[-1]
+                    lanes[i].append(int(y))
+    assert sorted(got) == sorted(x.tolist() for x in texts)
+
+
+def test_lm_trains_on_all_windows(spark, sf, monkeypatch):
+    """The rounds' tasks see every token of every training text once."""
+    seen, held = [], lm.written
+
+    def kept(df, name):
+        out = held(df, name)
+        if name == "weights":
+            seen.append(out)
+        return out
+
+    monkeypatch.setattr(lm, "written", kept)
+    tokens = lm.scores(documents(spark, sf)).first().train_tokens
+    assert len(seen) == lm.ROUNDS and sum(r.seen for x in seen for r in x.select("seen").collect()) == tokens
+
+
 # prefix trie
 
 
