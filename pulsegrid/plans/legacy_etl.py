@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators.sequence import carry, pair_start_end, previous_hard_state
 from ..operators.upserts import fold_upserts
+from ..sources.scans import tasks_for
 from ..sources.schemas import UPSERTS, schema
 from ..sources.sinks import BucketedTable, Progress, insert_ignore, upsert
 
 FLAPPING_START, FLAPPING_END = 1000, 1001
+#: Contacts of notifications that a task takes.
+CONTACTS = 500_000
 #: What names an object among legacy rows, once they are read.
 OBJECT = ["object_name", "objecttype_id"]
 #: The state column whose runs a kind's rows carry from one increment to the next.
@@ -39,9 +42,13 @@ def with_triggers(downtimes: DataFrame, scheduled: DataFrame) -> DataFrame:
 
 def contact_names(notifications: DataFrame, contacts: DataFrame, objects: DataFrame) -> DataFrame:
     """(notification_id, contact), distinct: contacts: notification_id and contact_object_id."""
+    # dealt by notification, as pairs are too many for a map-side distinct; that partitioning serves the join and the distinct
+    n = tasks_for(contacts.sparkSession, contacts.count(), CONTACTS)
     names = objects.select(F.col("object_id").alias("contact_object_id"), F.col("name1").alias("contact"))
-    own = contacts.join(notifications.select("notification_id"), "notification_id", "left_semi")
-    return own.join(names, "contact_object_id").select("notification_id", "contact").distinct()
+    # (a semi join would be moved below the dealing, to partitions of its own)
+    known = notifications.select("notification_id").repartition(n, "notification_id").distinct()
+    own = contacts.join(names, "contact_object_id").select("notification_id", "contact").repartition(n, "notification_id")
+    return own.join(known.hint("merge"), "notification_id").select("notification_id", "contact").distinct()
 
 
 def _meta(env: str, df: DataFrame) -> DataFrame:

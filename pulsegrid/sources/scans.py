@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -88,3 +90,8 @@ def id_range(table: DataFrame, key: str, start: list[Column | str], end: list[Co
     first = F.min(F.when(first_real_date(*end) >= from_ts, F.col(key)))
     last = F.max(F.when(first_real_date(*start) <= to_ts, F.col(key)))
     return table.agg(F.coalesce(first, F.lit(2**63 - 1)).alias("from_id"), F.coalesce(last, F.lit(0)).alias("to_id"))
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for so many rows, about `each` in one: the memory of a task stays as it is when tables grow."""
+    return max(spark.sparkContext.defaultParallelism, ceil(rows / each))

@@ -102,3 +102,14 @@ def test_joins(spark):
     down = spark.createDataFrame([(7, None, 3, "h", "s")], "downtimehistory_id int, name string, triggered_by_id int, name1 string, name2 string")
     scheduled = spark.createDataFrame([(3, None, "h", "s")], "scheduleddowntime_id int, name string, name1 string, name2 string")
     assert rows(etl.with_triggers(down, scheduled.select("scheduleddowntime_id", "name", "name1", "name2")), "name", "triggered_by") == [("h!s-7", "h!s-3")]
+
+
+def test_contact_names_deals_by_rows(spark, monkeypatch):
+    """As many tasks as the rows ask for, whatever the session's partitions, and no distinct before the dealing."""
+    monkeypatch.setattr(etl, "CONTACTS", 10)
+    notifications = spark.createDataFrame([(i,) for i in [*range(100), 7]], "notification_id bigint")
+    contacts = spark.createDataFrame([(i % 120, i % 3) for i in range(300)], "notification_id bigint, contact_object_id bigint")
+    objects = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a")], "object_id bigint, name1 string")
+    got = etl.contact_names(notifications, contacts, objects)
+    assert rows(got, "notification_id", "contact") == sorted({(i % 120, "aba"[i % 3]) for i in range(300) if i % 120 < 100}, key=str)
+    assert got.rdd.getNumPartitions() == 30
