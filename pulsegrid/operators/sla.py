@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import PENDING, sla_downtime_end
+from ..sources.scans import tasks_for
 
 DAY_MS = 86_400_000
+#: Rows of the timeline that a task takes.
+ROWS = 250_000
 #: Order of events at one time: an interval ends before all of them and begins after them.
 TO, STATE, DOWN_START, DOWN_END, FROM = range(5)
 
@@ -45,8 +48,10 @@ def _marked(asked: DataFrame, states: DataFrame, downtimes: DataFrame | None, cu
     with; then blocks are walked by themselves, and their sums of segments put together. So a task has the events of one block, and
     of an object one row per block, however long its history, and an interval or downtime is two rows, however long it is.
     """
-    span = asked.agg(F.min("start").alias("low"), F.max("end").alias("high")).first()
-    low, high = (F.lit(x or 0).cast("bigint") for x in span)
+    least, most, n_asked = asked.agg(F.min("start"), F.max("end"), F.count("*")).first()
+    low, high = (F.lit(x or 0).cast("bigint") for x in (least, most))
+    # so many tasks that each has about ROWS rows; every step is dealt by its own keys to as many
+    n = tasks_for(asked.sparkSession, 2 * n_asked + states.count() + (0 if downtimes is None else 2 * downtimes.count()), ROWS)
     no = F.lit(None).cast("int")
 
     def rows(df: DataFrame, t: Column, prio: int, sid: Column, hard: Column = no, prev: Column = no, down: int = 0, marked: bool = False) -> DataFrame:
@@ -61,12 +66,12 @@ def _marked(asked: DataFrame, states: DataFrame, downtimes: DataFrame | None, cu
         down = down.withColumns({"t1": F.greatest("t1", low), "t2": F.least("t2", high)})
         every = every.unionByName(rows(down, F.col("t1"), DOWN_START, blank, down=1)).unionByName(rows(down, F.col("t2"), DOWN_END, blank, down=-1))
     marks = rows(asked, F.col("start"), FROM, blank, marked=True).unionByName(rows(asked, F.col("end"), TO, blank, marked=True))
-    every = every.unionByName(marks).withColumn("b", F.expr(f"(at - pmod(at, {block_ms}L)) div {block_ms}L"))
+    every = every.unionByName(marks).withColumn("b", F.expr(f"(at - pmod(at, {block_ms}L)) div {block_ms}L")).repartition(n, "obj", "b")
     fact, is_state = F.col("start").isNull(), F.col("prio") == STATE
     place, pending = F.struct("at", "prio", "sid"), F.coalesce(F.col("prev") == PENDING, F.lit(False))
     blocks = every.groupBy("obj", "b").agg(
         F.max_by("hard", F.when(F.col("hard").isNotNull(), place)).alias("last"), F.min_by("prev", F.when(is_state, place)).alias("prev"), F.min_by(pending, F.when(fact, place)).alias("next"), F.sum("down").alias("downs"), F.max(F.when(fact, F.col("t"))).alias("t0")
-    )
+    ).repartition(n, "obj")
     forth, back = Window.partitionBy("obj").orderBy("b"), Window.partitionBy("obj").orderBy(F.desc("b"))
     before, after = forth.rowsBetween(Window.unboundedPreceding, -1), back.rowsBetween(Window.unboundedPreceding, -1)
     begun = blocks.select(
@@ -77,7 +82,7 @@ def _marked(asked: DataFrame, states: DataFrame, downtimes: DataFrame | None, cu
     if current is not None:
         begun = begun.join(current.select(object_key().alias("obj"), F.col("hard_state").cast("int").alias("now")), "obj", "left")
         now = F.col("now")
-    begun = begun.select("obj", "b", F.coalesce("state", "earliest", now, F.lit(0)).alias("in_state"), F.col("downs").alias("in_downs"), F.coalesce("t0", low).alias("in_t0"), F.col("next").alias("in_next"))
+    begun = begun.select("obj", "b", F.coalesce("state", "earliest", now, F.lit(0)).alias("in_state"), F.col("downs").alias("in_downs"), F.coalesce("t0", low).alias("in_t0"), F.col("next").alias("in_next")).repartition(n, "obj", "b")
     inside = Window.partitionBy("obj", "b").orderBy("at", "prio", "sid", "start", "end")
     past = inside.rowsBetween(Window.unboundedPreceding, -1)
     coming = Window.partitionBy("obj", "b").orderBy(*[F.desc(c) for c in ("at", "prio", "sid", "start", "end")]).rowsBetween(Window.unboundedPreceding, -1)
@@ -89,10 +94,10 @@ def _marked(asked: DataFrame, states: DataFrame, downtimes: DataFrame | None, cu
     sums = {"out": F.when(pending, F.col("seg")).otherwise(0), "bad": F.when(~pending & _problem(), F.col("seg")).otherwise(0)}
     walked = walked.withColumns({c: F.sum(x).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for c, x in sums.items()})
     # marks add nothing, so sums up to the last row of a block are the block's
-    totals = walked.groupBy("obj", "b").agg(F.max("out").alias("out"), F.max("bad").alias("bad"))
-    totals = totals.select("obj", "b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"in_{c}") for c in sums])
+    totals = walked.groupBy("obj", "b").agg(F.max("out").alias("out"), F.max("bad").alias("bad")).repartition(n, "obj")
+    totals = totals.select("obj", "b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"in_{c}") for c in sums]).repartition(n, "obj", "b")
     out = walked.filter(~fact).join(totals, ["obj", "b"])
-    return out.select("obj", "start", "end", F.col("prio").alias("kind"), "state", "downs", "t0", "pending", *[(F.col(c) + F.col(f"in_{c}")).alias(c) for c in sums])
+    return out.select("obj", "start", "end", F.col("prio").alias("kind"), "state", "downs", "t0", "pending", *[(F.col(c) + F.col(f"in_{c}")).alias(c) for c in sums]).repartition(n, "obj", "start", "end")
 
 
 def _problem() -> Column:

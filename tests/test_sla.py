@@ -158,3 +158,13 @@ def test_long_intervals_and_hot_objects(spark):
     plan = sla.sla_ok_percent(states, down, asked)._jdf.queryExecution().executedPlan().toString()
     # windows over an object alone run over its blocks, those over events by object and block
     assert all("b#" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+
+
+def test_availability_deals_by_rows(spark, sf, monkeypatch):
+    """As many tasks as the rows ask for, whatever the session's partitions, with the same result."""
+    from pulsegrid import queries
+
+    want = sorted(map(str, queries.sla_ok_percent(spark, sf).collect()))
+    monkeypatch.setattr(sla, "ROWS", 100)
+    got = queries.sla_ok_percent(spark, sf)
+    assert got.rdd.getNumPartitions() > 4 and sorted(map(str, got.collect())) == want
