@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -819,6 +820,10 @@ _legacy_query("convert_states_history", "state", "history", ("id", "event_type",
 _legacy_query("convert_states_sla", "state", "sla_history_state", ("id", "event_time", "hard_state", "previous_hard_state"), f"SELECT {_STATE_ID} AS id, ms AS event_time, hard AS hard_state, prev AS previous_hard_state FROM {_STATE} AND kind = 'hard'")
 
 
+#: Events for each bucket of the migrated tables.
+MIGRATED = 250_000
+
+
 def _migrated(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[dict, object]:
     """The tables after two runs: of the first half of the legacy rows, and of all, going on after the first run's marks."""
     from .plans import legacy_etl
@@ -829,7 +834,8 @@ def _migrated(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[dict, obje
     sources = {k: rows for k, rows in A.legacy(ev).items() if not kinds or k in kinds}
     mid = _bounds(ev)[1]
     contacts = ev.select(F.col("event_id").alias("notification_id"), F.explode(F.array(F.lit("ann"), F.lit("bob"))).alias("contact"))
-    tables = {t: sinks.BucketedTable(spark, f"{base}/{t}", SCHEMAS[t], key, 2) for t, (key, _) in UPSERTS.items()}
+    buckets = max(2, ceil(ev.count() / MIGRATED))  # a bucket is work for one task, however many rows there are
+    tables = {t: sinks.BucketedTable(spark, f"{base}/{t}", SCHEMAS[t], key, buckets) for t, (key, _) in UPSERTS.items()}
     progress = sinks.Progress(sinks.BucketedTable(spark, f"{base}/progress", SCHEMAS["migration_progress"]))
     half = {kind: rows.filter(F.col(legacy_etl.CONVERTERS[kind][0]) <= mid) for kind, rows in sources.items()}
     for part in (half, sources):

@@ -113,3 +113,12 @@ def test_contact_names_deals_by_rows(spark, monkeypatch):
     got = etl.contact_names(notifications, contacts, objects)
     assert rows(got, "notification_id", "contact") == sorted({(i % 120, "aba"[i % 3]) for i in range(300) if i % 120 < 100}, key=str)
     assert got.rdd.getNumPartitions() == 30
+
+
+def test_migration_buckets_grow_with_the_events(spark, sf, monkeypatch):
+    from pulsegrid import queries
+
+    monkeypatch.setattr(queries, "MIGRATED", 300)
+    tables, _ = queries._migrated(spark, sf, "state")
+    assert tables["state_history"].buckets == 4 and tables["state_history"].read().select("id").distinct().count() == tables["state_history"].read().count() > 0
+    assert len({r[0] for r in spark.read.parquet(f"{tables['state_history'].path}/data").select("__bucket").distinct().collect()}) == 4
