@@ -49,6 +49,10 @@ TAILS = 2 * (len(LENGTHS) + 1)
 #: LANES at most; with few texts fewer, so that a pool of them makes UPDATES steps or more.
 HIDDEN, STEPS, LANES, UPDATES = 24, 16, 256, 300
 SCORE_STEPS, SCORE_LANES = 64, 512
+#: Tokens whose outputs are worked out at once in scoring, so that they stay in the cache.
+BLOCK = 8192
+#: Weights that a step of training goes through at once, for the same reason.
+ADAM = 1 << 14
 ROUNDS, RATE, WARM, SEED = 3, 0.005, 8, 20240501
 #: Distinct words that a counting task holds; tokens that a training or scoring task holds besides those of one text.
 COUNTED, POOL = 400_000, 1_500_000
@@ -95,15 +99,22 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class Numbers(dict):
+    """Numbers of words; -1 for others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Vocabulary:
     """Symbols: 0 the end, then the head's words, then the tail classes. index: a number from 1 for every frequent word, the head's first."""
 
-    index: dict[bytes, int]
+    index: Numbers
     symbol_of: np.ndarray  # of each number, 0 (the end) included
     counts: np.ndarray  # likewise
     head: int  # symbols that are not tail classes
-    class_of: np.ndarray  # of each symbol
+    class_of: np.ndarray  # of each symbol, in two bytes, which numpy sorts by digits
     begin: np.ndarray  # of each head class: its first symbol
     end: np.ndarray
 
@@ -122,12 +133,12 @@ class Vocabulary:
         begin = np.searchsorted(kind, np.arange(n))
         symbols = np.array([*range(head), *(head + shape(w) for w, _ in frequent[HEAD:])], np.int32)
         counts = np.array([ends] + [c for _, c in frequent], np.int64)
-        return Vocabulary({w: i + 1 for i, (w, _) in enumerate(frequent)}, symbols, counts, head, np.concatenate([kind, n + np.arange(TAILS)]), begin, np.append(begin[1:], head))
+        return Vocabulary(Numbers((w, i + 1) for i, (w, _) in enumerate(frequent)), symbols, counts, head, np.concatenate([kind, n + np.arange(TAILS)]).astype(np.uint16), begin, np.append(begin[1:], head))
 
     def read(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """A text's numbers (-1 for words that aren't frequent) and symbols, the end last, and those words."""
-        get = self.index.get
-        numbers = np.array([get(w, -1) for w in text] + [0], np.int32)
+        numbers = np.zeros(len(text) + 1, np.int32)
+        numbers[:-1] = np.fromiter(map(self.index.__getitem__, text), np.int32, len(text))
         symbols = self.symbol_of[numbers]
         at = np.flatnonzero(numbers < 0)
         others = [text[i] for i in at.tolist()]
@@ -139,7 +150,10 @@ PARTS = ("x", "u", "v", "wc", "bc", "wo", "bo")
 
 
 class Model:
-    """x: inputs of the gates by symbol; u, v: of update and reset, of the candidate, from the state; wc, bc: classes; wo, bo: head words."""
+    """x: inputs of the gates by symbol; u, v: of update and reset, of the candidate, from the state; wc, bc: classes; wo, bo: head words.
+
+    Inside, tokens stand side by side: arrays are (units, tokens), or (steps, units, lanes), so numpy's inner loops run over tokens and
+    each step has its memory together."""
 
     def __init__(self, vocabulary: Vocabulary, weights: dict[str, np.ndarray]) -> None:
         self.vocabulary, self.w = vocabulary, weights
@@ -151,7 +165,7 @@ class Model:
         n, k = len(mass), vocabulary.classes
         by_class = np.bincount(vocabulary.class_of, mass + 0.1, minlength=k)
         draw = lambda *size: rng.normal(0, 0.1, size).astype(_f)
-        w = {"x": draw(n, 3 * h), "u": draw(h, 2 * h), "v": draw(h, h), "wc": draw(h, k) * _f(0.1), "bc": np.log(by_class / by_class.sum()).astype(_f)}
+        w = {"x": np.ascontiguousarray(draw(n, 3 * h).T), "u": draw(h, 2 * h), "v": draw(h, h), "wc": draw(h, k) * _f(0.1), "bc": np.log(by_class / by_class.sum()).astype(_f)}
         head = vocabulary.head
         return Model(vocabulary, w | {"wo": draw(head, h) * _f(0.1), "bo": np.log((mass[:head] + 0.1) / by_class[vocabulary.class_of[:head]]).astype(_f)})
 
@@ -159,131 +173,163 @@ class Model:
         return np.concatenate([self.w[p].ravel() for p in PARTS])
 
     def filled(self, flat: np.ndarray) -> Model:
+        """The model with these weights; if they have the weights' type, it has views of them."""
         out, at = {}, 0
         for p in PARTS:
             size = self.w[p].size
-            out[p] = flat[at : at + size].reshape(self.w[p].shape).astype(_f)
+            out[p] = flat[at : at + size].reshape(self.w[p].shape).astype(_f, copy=False)
             at += size
         return Model(self.vocabulary, out)
 
     def walk(self, xs: np.ndarray, h: np.ndarray, learn: bool = False, fresh: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
         """States after each step of (steps, lanes) symbols, and what backpropagation needs. fresh: where a text begins, by a state of 0."""
         n, w = HIDDEN, self.w
-        states = np.empty((*xs.shape, n), _f)
-        kept = tuple(np.empty((*xs.shape, k), _f) for k in ((n, 2 * n, n, n) if learn else ()))
-        anew = fresh.any(1).tolist() if fresh is not None else [False] * len(xs)
-        for t in range(len(xs)):
-            if anew[t]:
-                h = np.where(fresh[t][:, None], _f(0), h)
-            g = w["x"][xs[t]]
-            zr = h @ w["u"]
-            zr += g[:, : 2 * n]
-            zr *= _f(0.5)
-            np.tanh(zr, out=zr)
-            zr *= _f(0.5)
-            zr += _f(0.5)
-            rh = zr[:, n:] * h
-            c = rh @ w["v"]
-            c += g[:, 2 * n :]
-            np.tanh(c, out=c)
-            if learn:
-                for held, x in zip(kept, (h, zr, rh, c), strict=True):
-                    held[t] = x
-            h = h + zr[:, :n] * (c - h)
-            states[t] = h
-        return states, kept
+        steps, lanes = xs.shape
+        states = np.empty((steps, n, lanes), _f)
+        kept = tuple(np.empty((steps, k, lanes), _f) for k in ((2 * n, n) if learn else ()))
+        anew, goes = _begins(xs, fresh)
+        u, v, h = w["u"].T, w["v"].T, h.T
+        with np.errstate(over="ignore"):  # the exponential of much is infinite, what is divided by it 0
+            for t in range(steps):
+                if anew[t]:
+                    h = h * goes[t]
+                inputs = np.take(w["x"], xs[t], axis=1, mode="clip")
+                zr = u @ h
+                zr += inputs[: 2 * n]
+                np.negative(zr, out=zr)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                c = v @ (zr[n:] * h)
+                c += inputs[2 * n :]
+                c *= -2  # the hyperbolic tangent by an exponential, which takes half the time
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                if learn:
+                    kept[0][t], kept[1][t] = zr, c
+                c -= h
+                c *= zr[:n]
+                h = np.add(h, c, out=states[t])
+        return states.transpose(0, 2, 1), kept
 
     def output(self, s: np.ndarray, ys: np.ndarray, learn: bool = False) -> tuple[np.ndarray, dict, np.ndarray | None]:
         """Natural logarithms of the probabilities of symbols ys (a tail class's words are left to the counts) after states s."""
-        v, w = self.vocabulary, self.w
+        n, v, w = HIDDEN, self.vocabulary, self.w
         kind = v.class_of[ys]
         order = np.argsort(kind, kind="stable")
-        s, ys, kind = s[order], ys[order], kind[order]  # tokens of a class stand side by side
-        rows = np.arange(len(ys))
-        p = s @ w["wc"]
-        p += w["bc"]
-        p -= p.max(1, keepdims=True)
-        logs = p[rows, kind].astype(np.float64)
+        ys, kind, rows = ys[order], kind[order], np.arange(len(ys))  # tokens of a class stand side by side
+        ones = np.ones((n + 1, len(ys)), _f)  # the states and 1, by which biases are columns like the others
+        np.take(s.T, order, axis=1, out=ones[:n], mode="clip")
+        kinds, heads = np.vstack([w["wc"], w["bc"]]), np.hstack([w["wo"], w["bo"][:, None]])
+        # exponentials of less than this neither overflow nor vanish, and need no maximum taken off
+        small = max(np.abs(kinds).sum(0).max(), np.abs(heads).sum(1).max()) * max(ones.max(), -ones.min()) < 80
+        p = kinds.T @ ones
+        if not small:
+            p -= p.max(0)
+        which = kind.astype(np.intp) * len(ys) + rows
+        logs = p.ravel()[which].astype(np.float64)
         np.exp(p, out=p)
-        total = p.sum(1)
+        total = p.sum(0)
         logs -= np.log(total)
         grads: dict = {}
         ds = None
         if learn:
-            p /= total[:, None]
-            p[rows, kind] -= 1
-            grads = {"wc": s.T @ p, "bc": p.sum(0), "wo": np.zeros_like(w["wo"]), "bo": np.zeros_like(w["bo"])}
-            ds = p @ w["wc"].T
-        cuts = np.searchsorted(kind, np.arange(len(v.begin) + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            p /= total
+            p.ravel()[which] -= 1
+            of_kinds, of_heads = ones @ p.T, np.zeros_like(heads)
+            grads = {"wc": of_kinds[:n], "bc": of_kinds[n], "wo": of_heads[:, :n], "bo": of_heads[:, n]}
+            ds = w["wc"] @ p
+        cuts = np.searchsorted(kind, np.arange(len(v.begin) + 1)).tolist()
+        inside = ys[: cuts[-1]] - v.begin[kind[: cuts[-1]]]
+        mine, total = np.zeros(len(ys), _f), np.ones(len(ys), _f)
+        for k, (a, b) in enumerate(zip(v.begin.tolist(), v.end.tolist(), strict=True)):
             some = slice(cuts[k], cuts[k + 1])
-            a, b = v.begin[k], v.end[k]
-            if b - a == 1:
+            if b - a == 1 or some.start == some.stop:
                 continue
-            own, out_of = s[some], w["wo"][a:b]
-            q = own @ out_of.T
-            q += w["bo"][a:b]
-            q -= q.max(1, keepdims=True)
-            at, which = rows[: len(own)], ys[some] - a
-            mine = q[at, which]
+            own, out_of = ones[:, some], heads[a:b]
+            q = out_of @ own
+            if not small:
+                q -= q.max(0)
+            flat, which = q.ravel(), inside[some] * own.shape[1] + rows[: own.shape[1]]
+            mine[some] = flat[which]
             np.exp(q, out=q)
-            total = q.sum(1)
-            logs[some] += mine - np.log(total)
+            np.add.reduce(q, axis=0, out=total[some])
             if learn:
-                q /= total[:, None]
-                q[at, which] -= 1
-                grads["wo"][a:b] = q.T @ own
-                grads["bo"][a:b] = q.sum(0)
-                ds[some] += q @ out_of
+                q /= total[some]
+                flat[which] -= 1
+                np.matmul(q, own.T, out=of_heads[a:b])
+                ds[:, some] += out_of[:, :n].T @ q
+        logs += mine - np.log(total)
         out = np.empty(len(ys))
         out[order] = logs
         if learn:
-            back = np.empty_like(ds)
-            back[order] = ds
-            ds = back
+            back = np.empty_like(order)
+            back[order] = rows
+            ds = np.take(ds, back, axis=1, mode="clip").T
         return out, grads, ds
 
     def gradients(self, xs: np.ndarray, ys: np.ndarray, mask: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, size: int | None = None) -> tuple[dict, np.ndarray, float]:
         """Gradients of the loss over a window (by `size`, a full one's, so that a few texts left at last move little), the state after
         it, and the summed loss. Masked steps count in nothing."""
         n, w = HIDDEN, self.w
-        states, (before, zr, rh, c) = self.walk(xs, h, True, fresh)
-        some = np.flatnonzero(mask.ravel())
-        logs, grads, back = self.output(states.reshape(-1, n)[some], ys.ravel()[some], learn=True)
-        ds = np.zeros((xs.size, n), _f)
-        ds[some] = back
-        ds = ds.reshape(*xs.shape, n)
-        gates = np.empty((*xs.shape, 3 * n), _f)
+        walked, (zr, c) = self.walk(xs, h, True, fresh)
+        states = walked.transpose(0, 2, 1)
+        flat = _flat(states)
+        if mask.all():
+            logs, grads, back = self.output(flat.T, ys.ravel(), learn=True)
+            ds = back.T
+        else:
+            some = np.flatnonzero(mask.ravel())
+            logs, grads, back = self.output(np.take(flat, some, axis=1).T, ys.ravel()[some], learn=True)
+            ds = np.zeros((n, xs.size), _f)
+            ds[:, some] = back.T
+        ds = ds.reshape(n, *xs.shape).transpose(1, 0, 2)
+        gates = np.empty((len(xs), 3 * n, xs.shape[1]), _f)
         # what does not come from later steps, for all steps at once
-        z = zr[..., :n]
-        of_c, of_z, of_gates = z * (1 - c * c), c - before, zr * (1 - zr)
-        u, v = np.ascontiguousarray(w["u"].T), np.ascontiguousarray(w["v"].T)
-        anew = fresh.any(1).tolist() if fresh is not None else [False] * len(xs)
-        d = np.zeros_like(h)
+        anew, goes = _begins(xs, fresh)
+        before = np.concatenate([h.T[None], states[:-1]])
+        if any(anew):
+            before *= goes[:, None]
+        z, r = zr[:, :n], zr[:, n:]
+        rest = 1 - zr
+        of_c, of_z, of_r = z * (1 - c * c), (c - before) * z * rest[:, :n], before * r * rest[:, n:]
+        d = np.zeros((n, xs.shape[1]), _f)
         for t in range(len(xs) - 1, -1, -1):
-            d += ds[t]
             own = gates[t]
-            dc = own[:, 2 * n :]
-            np.multiply(d, of_c[t], out=dc)
-            drh = dc @ v
-            dzr = own[:, : 2 * n]
-            np.multiply(d, of_z[t], out=dzr[:, :n])
-            np.multiply(drh, before[t], out=dzr[:, n:])
-            dzr *= of_gates[t]
-            drh *= zr[t, :, n:]
-            d *= 1 - z[t]
+            d += ds[t]
+            drh = w["v"] @ np.multiply(d, of_c[t], out=own[2 * n :])
+            np.multiply(d, of_z[t], out=own[:n])
+            np.multiply(drh, of_r[t], out=own[n : 2 * n])
+            drh *= r[t]
+            d *= rest[t, :n]
             d += drh
-            d += dzr @ u
+            d += w["u"] @ own[: 2 * n]
             if anew[t]:
-                d[fresh[t]] = 0
-        gates = gates.reshape(-1, 3 * n)
-        grads |= {"u": before.reshape(-1, n).T @ gates[:, : 2 * n], "v": rh.reshape(-1, n).T @ gates[:, 2 * n :]}
-        flat = xs.ravel()
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))
+                d *= goes[t]
+        gates = _flat(gates)
+        grads |= {"u": _flat(before) @ gates[: 2 * n].T, "v": _flat(r * before) @ gates[2 * n :].T}
+        order = np.argsort(xs.ravel().astype(np.uint16), kind="stable")
+        symbols = xs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], symbols[1:] != symbols[:-1]]))
         grads["x"] = np.zeros_like(w["x"])
-        grads["x"][flat[order][first]] = np.add.reduceat(gates[order], first, axis=0)
-        return {k: g / _f(size or xs.size) for k, g in grads.items()}, states[-1], -float(logs.sum())
+        grads["x"][:, symbols[first]] = np.add.reduceat(np.take(gates, order, axis=1, mode="clip"), first, axis=1)
+        for g in grads.values():
+            g /= size or xs.size
+        return grads, walked[-1], -float(logs.sum())
+
+
+def _flat(x: np.ndarray) -> np.ndarray:
+    """(units, tokens) of (steps, units, lanes)."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+
+
+def _begins(xs: np.ndarray, fresh: np.ndarray | None) -> tuple[list[bool], np.ndarray | None]:
+    """Of each step of xs, whether a text begins; and 0 where one does, else 1."""
+    if fresh is None:
+        return [False] * len(xs), None
+    return fresh.any(1).tolist(), (~fresh).astype(_f)
 
 
 def windows(texts: Iterator[np.ndarray], lanes: int, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -308,29 +354,32 @@ def windows(texts: Iterator[np.ndarray], lanes: int, steps: int) -> Iterator[tup
             n, k = queue[0]
             dealt[k].append(i)
             heapq.heapreplace(queue, (n + len(held[i]), k))
-        rows = [np.concatenate([held[i] for i in sorted(own)]) for own in dealt]
-        begins = [np.cumsum([0] + [len(held[i]) for i in sorted(own)[:-1]]) for own in dealt]
-        order = sorted(range(len(rows)), key=lambda k: -len(rows[k]))
-        rows, begins, ends = [rows[k] for k in order], [begins[k] for k in order], np.array([len(rows[k]) for k in order])
+        dealt = sorted((sorted(own) for own in dealt), key=lambda own: -sum(len(held[i]) for i in own))
+        ends = np.array([sum(len(held[i]) for i in own) for own in dealt])
+        start = np.cumsum(ends) - ends
+        rows = np.concatenate([held[i] for own in dealt for i in own])
+        first = np.zeros(len(rows), bool)
+        first[np.cumsum([0] + [len(held[i]) for own in dealt for i in own][:-1])] = True
+        del held
         for at in range(0, int(ends[0]), steps):
             n = int(np.searchsorted(-ends, -at, "left"))
-            xs, ys = np.zeros((steps, n), np.int32), np.zeros((steps, n), np.int32)
-            fresh = np.zeros((steps, n), bool)
-            for i in range(n):
-                part = rows[i][at : at + steps]
-                ys[: len(part), i] = part
-                xs[0, i] = rows[i][at - 1] if at else 0  # as every text ends with 0, the next one begins with it
-                if (some := begins[i][(begins[i] >= at) & (begins[i] < at + steps)]).size:
-                    fresh[some - at, i] = True
+            step = np.arange(at, at + steps)[:, None]
+            mask = step < ends[:n]
+            place = np.minimum(start[:n] + step, len(rows) - 1)
+            ys = np.where(mask, rows[place], 0).astype(np.intp)
+            xs = np.zeros_like(ys)
             xs[1:] = ys[:-1]
-            yield xs, ys, np.arange(at, at + steps)[:, None] < ends[:n], fresh, steps * len(rows)
+            if at:  # as every text ends with 0, the next one begins with it
+                xs[0] = rows[place[0] - 1]
+            yield xs, ys, mask, first[place] & mask, steps * len(ends)
 
 
 def train(model: Model, texts: Iterator[np.ndarray]) -> tuple[Model, int, float]:
     """The model after these texts of symbols, how many symbols there were, and their summed loss before each step."""
-    w = {k: v.copy() for k, v in model.w.items()}
-    out = Model(model.vocabulary, w)
-    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    flat = model.flat()
+    out = model.filled(flat)
+    mean, square = np.zeros_like(flat), np.zeros_like(flat)
+    blocks = [slice(at, at + ADAM) for at in range(0, len(flat), ADAM)]
     h, seen, loss, t = np.zeros((0, HIDDEN), _f), 0, 0.0, 0
     for xs, ys, mask, fresh, full in windows(texts, LANES, STEPS):
         lanes = xs.shape[1]
@@ -338,43 +387,48 @@ def train(model: Model, texts: Iterator[np.ndarray]) -> tuple[Model, int, float]
         grads, h, own = out.gradients(xs, ys, mask, h, fresh, full)
         seen, loss, t = seen + int(mask.sum()), loss + own, t + 1
         rate = RATE * min(1, t / WARM) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-        for k, g in grads.items():
-            mean[k] += (g - mean[k]) * _f(0.1)
+        every = np.concatenate([grads[p].ravel() for p in PARTS])
+        for some in blocks:
+            g, m, q = every[some], mean[some], square[some]
+            m += (g - m) * _f(0.1)
             g *= g
-            g -= square[k]
+            g -= q
             g *= _f(0.001)
-            square[k] += g
-            np.sqrt(square[k], out=g)
+            q += g
+            np.sqrt(q, out=g)
             g += _f(1e-8)
-            np.divide(mean[k], g, out=g)
+            np.divide(m, g, out=g)
             g *= _f(rate)
-            w[k] -= g
+            flat[some] -= g
     return out, seen, loss
 
 
 def score(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """log10 of what the model gives each text's symbols. Long texts come first; a lane that is free takes the next one."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     out = np.zeros(len(texts))
-    lanes = min(SCORE_LANES, len(texts))
-    queue = iter(order)
-    owner = np.array([next(queue) for _ in range(lanes)])
-    place = np.zeros(lanes, np.int64)
-    h = np.zeros((lanes, HIDDEN), _f)
+    if not texts:
+        return out
+    ends = np.array([len(x) for x in texts])
+    start, rows = np.cumsum(ends) - ends, np.concatenate(texts)
+    queue = iter(np.argsort(-ends, kind="stable").tolist())
+    owner = np.array([next(queue) for _ in range(min(SCORE_LANES, len(texts)))])
+    place = np.zeros(len(owner), np.int64)
+    h = np.zeros((len(owner), HIDDEN), _f)
     while len(owner):
-        xs, ys, mask = (np.zeros((SCORE_STEPS, len(owner)), t) for t in (np.int32, np.int32, bool))
-        for i, (o, p) in enumerate(zip(owner.tolist(), place.tolist(), strict=True)):
-            part = texts[o][p : p + SCORE_STEPS]
-            m = len(part)
-            ys[:m, i], mask[:m, i] = part, True
-            xs[1:m, i] = part[: m - 1]
-            xs[0, i] = texts[o][p - 1] if p else 0
+        step = place + np.arange(SCORE_STEPS)[:, None]
+        mask = step < ends[owner]
+        at = np.minimum(start[owner] + step, len(rows) - 1)
+        ys = np.where(mask, rows[at], 0).astype(np.intp)
+        xs = np.zeros_like(ys)
+        xs[1:] = ys[:-1]
+        xs[0] = np.where(place > 0, rows[at[0] - 1], 0)
         states, _ = model.walk(xs, h)
-        some = np.flatnonzero(mask.ravel())
-        logs, _, _ = model.output(states.reshape(-1, HIDDEN)[some], ys.ravel()[some])
-        out += np.bincount(owner[some % len(owner)], logs, len(texts))
-        h, place = states[-1], place + SCORE_STEPS
-        over = np.flatnonzero(place >= [len(texts[o]) for o in owner])
+        flat, ys = _flat(states.transpose(0, 2, 1)), ys.ravel()
+        for some in np.array_split(np.flatnonzero(mask.ravel()), -(-mask.size // BLOCK)):
+            logs, _, _ = model.output(np.take(flat, some, axis=1).T, ys[some])
+            out += np.bincount(owner[some % len(owner)], logs, len(texts))
+        h, place = states[-1].copy(), place + SCORE_STEPS
+        over = np.flatnonzero(place >= ends[owner])
         for i in over:
             nxt = next(queue, None)
             owner[i], place[i], h[i] = (-1 if nxt is None else nxt), 0, 0
@@ -461,7 +515,7 @@ def read(texts: DataFrame, counted: Counted) -> DataFrame:
 def _symbols(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[np.ndarray]:
     for batch in batches:
         for x in batch.column(column):
-            yield np.frombuffer(x.as_buffer(), "<u2").astype(np.int32)
+            yield np.frombuffer(x.as_buffer(), "<u2")
 
 
 def _averaged(texts: DataFrame, model: Model) -> Model:

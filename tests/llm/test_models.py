@@ -1,5 +1,6 @@
 """Language model, prefix trie and ranked search against plain Python."""
 
+import cProfile
 import hashlib
 import math
 import random
@@ -148,6 +149,35 @@ def test_lm_windows_hold_every_token():
     assert sorted(got) == sorted(x.tolist() for x in texts)
 
 
+def test_lm_calls_do_not_grow_with_lanes(monkeypatch):
+    """A window takes as many calls of Python and numpy with many lanes as with few, in training and in scoring."""
+    model, vocabulary = small_model()
+    monkeypatch.setattr(lm, "UPDATES", 1)
+    rng = np.random.default_rng(7)
+
+    def calls(do, lanes, windows, steps):
+        texts = [np.append(rng.integers(0, vocabulary.head, windows * steps - 1), 0).astype(np.int32) for _ in range(lanes)]
+        profile = cProfile.Profile()
+        profile.runcall(do, texts)
+        return sum(x.callcount for x in profile.getstats())
+
+    for do, steps in ((lambda x: lm.train(model, iter(x)), lm.STEPS), (lambda x: lm.score(model, x), lm.SCORE_STEPS)):
+        few, many = (calls(do, lanes, 12, steps) - calls(do, lanes, 4, steps) for lanes in (16, 128))
+        assert many < 1.1 * few
+
+
+def test_lm_with_large_weights():
+    """States and probabilities stay what they are where exponentials overflow or vanish."""
+    model, vocabulary = small_model()
+    rng = np.random.default_rng(8)
+    model.w = {k: (x * 3000).astype(np.float32) for k, x in model.w.items()}
+    n = vocabulary.head + lm.TAILS
+    states = model.walk(rng.integers(0, n, (5, 6)), np.zeros((6, lm.HIDDEN), np.float32))[0]
+    assert np.isfinite(states).all() and np.abs(states).max() <= 1
+    for s in states[-1]:
+        assert np.exp(model.output(np.repeat(s[None], n, 0), np.arange(n))[0]).sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_lm_trains_on_all_windows(spark, sf, monkeypatch):
     """The rounds' tasks see every token of every training text once."""
     seen, held = [], lm.written
