@@ -17,7 +17,7 @@ Texts are read once, for training and scoring: their symbols are written to the
 Tasks know the counts of the FREQUENT most frequent words; other words are sent, with the number of their text's row, to a join
 with the counts of all words, and what they add is summed up by row.
 
-Null and empty texts have the end alone; very long texts are walked by one lane, its symbols in memory (6 bytes a token); repeated
+Null and empty texts have the end alone; very long texts are walked by one lane, in memory (also all its words, while they are split); repeated
 rows get the same scores; a null id counts as held out; without training texts all words are unknown and N is 0. An empty table
 gives an empty table. Columns but the named are not read.
 """
@@ -25,12 +25,12 @@ gives an empty table. Columns but the named are not read.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +54,7 @@ BLOCK = 8192
 #: Weights that a step of training goes through at once, for the same reason.
 ADAM = 1 << 14
 ROUNDS, RATE, WARM, SEED = 3, 0.005, 8, 20240501
-#: Distinct words that a counting task holds; tokens that a training or scoring task holds besides those of one text.
+#: Words that a counting task holds, with their counts; tokens that a training or scoring task holds besides those of one text.
 COUNTED, POOL = 400_000, 1_500_000
 LOG10 = float(np.log(10))
 _f = np.float32
@@ -62,9 +62,19 @@ _OF_LENGTH = [2 * sum(n > most for most in LENGTHS) for n in range(LENGTHS[-1] +
 _OF_LAST = [int(i < 128 and not 0x61 <= i <= 0x7A) for i in range(256)]
 
 
-def words(raw: bytes) -> list[bytes]:
-    """The words of a text's UTF-8 bytes."""
-    return raw.lower().split()
+def words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words of texts, side by side, as places in the array of distinct ones (binary) that follows; and where each text's begin, and
+    the last one's end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    encoded = lists.flatten().dictionary_encode()
+    codes, distinct, begin = encoded.indices.to_numpy(), encoded.dictionary.cast(pa.binary()), lists.offsets.to_numpy()
+    empty = pc.index(distinct, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:  # what stands before the first space and after the last one
+        keep = codes != empty
+        begin = np.concatenate([[0], np.cumsum(keep)])[begin]
+        codes = codes[keep]
+        codes, distinct = codes - (codes > empty), pa.concat_arrays([distinct[:empty], distinct[empty + 1 :]])
+    return codes, distinct, begin
 
 
 def shape(word: bytes) -> int:
@@ -72,6 +82,13 @@ def shape(word: bytes) -> int:
     return _OF_LENGTH[min(len(word), LENGTHS[-1] + 1)] + _OF_LAST[word[-1]]
 
 
+def shapes(words: pa.Array) -> np.ndarray:
+    """The same of all words."""
+    bounds, raw = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1], words.buffers()[2]
+    last = np.frombuffer(raw, np.uint8)[bounds[1:] - 1] if len(words) else np.zeros(0, np.uint8)
+    return np.array(_OF_LENGTH)[np.minimum(np.diff(bounds), LENGTHS[-1] + 1)] + np.array(_OF_LAST)[last]
+
+
 def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % FOLDS == HELD_OUT, F.lit(True))
 
@@ -80,37 +97,32 @@ def count_words(texts: DataFrame) -> DataFrame:
     """word (binary; empty for the end) and c, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.RecordBatch] = []
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(counts.keys(), pa.binary()), "c": pa.array(counts.values(), pa.int64())})
+        def summed() -> list[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            return table.select(["word", "c_sum"]).rename_columns(["word", "c"]).combine_chunks().to_batches()
 
         for batch in batches:
-            column = batch.column(0).cast(pa.binary())
-            for i in range(batch.num_rows):
-                counts.update(words(column[i].as_py() or b""))
-                counts[b""] += 1
-                if len(counts) >= COUNTED:
-                    yield made()
-                    counts.clear()
-        if counts:
-            yield made()
+            codes, distinct, _ = words(batch.column(0))
+            held.append(pa.RecordBatch.from_pydict({"word": distinct, "c": pa.array(np.bincount(codes, minlength=len(distinct)), pa.int64())}))
+            held.append(pa.RecordBatch.from_pydict({"word": pa.array([b""], pa.binary()), "c": pa.array([batch.num_rows], pa.int64())}))
+            if sum(x.num_rows for x in held) >= COUNTED:
+                held = summed()
+                if sum(x.num_rows for x in held) >= COUNTED // 2:
+                    yield from held
+                    held = []
+        if held:
+            yield from summed()
 
     return texts.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Numbers(dict):
-    """Numbers of words; -1 for others."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 @dataclass
 class Vocabulary:
-    """Symbols: 0 the end, then the head's words, then the tail classes. index: a number from 1 for every frequent word, the head's first."""
+    """Symbols: 0 the end, then the head's words, then the tail classes. index: the frequent words, by number from 1, the head's first."""
 
-    index: Numbers
+    index: pa.Array
     symbol_of: np.ndarray  # of each number, 0 (the end) included
     counts: np.ndarray  # likewise
     head: int  # symbols that are not tail classes
@@ -133,17 +145,15 @@ class Vocabulary:
         begin = np.searchsorted(kind, np.arange(n))
         symbols = np.array([*range(head), *(head + shape(w) for w, _ in frequent[HEAD:])], np.int32)
         counts = np.array([ends] + [c for _, c in frequent], np.int64)
-        return Vocabulary(Numbers((w, i + 1) for i, (w, _) in enumerate(frequent)), symbols, counts, head, np.concatenate([kind, n + np.arange(TAILS)]).astype(np.uint16), begin, np.append(begin[1:], head))
+        return Vocabulary(pa.array([w for w, _ in frequent], pa.binary()), symbols, counts, head, np.concatenate([kind, n + np.arange(TAILS)]).astype(np.uint16), begin, np.append(begin[1:], head))
 
-    def read(self, text: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """A text's numbers (-1 for words that aren't frequent) and symbols, the end last, and those words."""
-        numbers = np.zeros(len(text) + 1, np.int32)
-        numbers[:-1] = np.fromiter(map(self.index.__getitem__, text), np.int32, len(text))
+    def read(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words (-1 for those that aren't frequent) and their symbols."""
+        numbers = pc.fill_null(pc.add(pc.index_in(words, self.index), 1), -1).to_numpy()
         symbols = self.symbol_of[numbers]
         at = np.flatnonzero(numbers < 0)
-        others = [text[i] for i in at.tolist()]
-        symbols[at] = [self.head + shape(w) for w in others]
-        return numbers, symbols, others
+        symbols[at] = self.head + shapes(words.take(pa.array(at)))
+        return numbers, symbols
 
 
 PARTS = ("x", "u", "v", "wc", "bc", "wo", "bo")
@@ -489,20 +499,23 @@ def read(texts: DataFrame, counted: Counted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 36
         for batch in batches:
-            column = batch.column(2).cast(pa.binary())
-            lists, columns = [], ([], [], [], [], [])
-            for i in range(batch.num_rows):
-                numbers, symbols, others = vocabulary.read(words(column[i].as_py() or b""))
-                seen = numbers[numbers >= 0]
-                tail = float(shares[symbols].sum() + gain[seen[seen >= head]].sum())
-                for x, value in zip(columns, (symbols.astype("<u2").tobytes(), len(symbols), int((counts[seen] > 0).sum()), float(gain[seen].sum()), tail), strict=True):
-                    x.append(value)
-                lists.append(Counter(others))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            others = [pa.ListArray.from_arrays(pa.array(ends), pa.array([x for c in lists for x in each(c)], t)) for each, t in ((Counter.keys, pa.binary()), (Counter.values, pa.int64()))]
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            numbers = pa.array(np.arange(at, at + batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), numbers, batch.column(1), *[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], *others], names)
+            rows = batch.num_rows
+            codes, distinct, begin = words(batch.column(2))
+            number, symbol = vocabulary.read(distinct)
+            frequent = number >= 0
+            gains = np.where(frequent, gain[number], 0)
+            row = np.repeat(np.arange(rows), np.diff(begin))
+            known, base, tail = (np.bincount(row, x[codes], rows).astype(float) for x in (frequent & (counts[number] > 0), gains, shares[symbol] + np.where(number >= head, gains, 0)))
+            symbols = np.zeros(len(codes) + rows, "<u2")  # each text's last one stays 0, the end
+            symbols[np.arange(len(codes)) + row] = symbol[codes]
+            bounds = begin + np.arange(rows + 1)
+            some = np.flatnonzero(~frequent[codes])
+            pairs, tfs = np.unique(row[some] * len(distinct) + codes[some], return_counts=True)
+            cuts = pa.array(np.searchsorted(pairs, np.arange(rows + 1) * len(distinct)), pa.int32())
+            others = [pa.ListArray.from_arrays(cuts, x) for x in (distinct.take(pa.array(pairs % max(1, len(distinct)))), pa.array(tfs, pa.int64()))]
+            written_out = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(symbols)])
+            columns = (np.diff(bounds).astype(np.int64), known.astype(np.int64) + int(counts[0] > 0), base + gain[0], tail)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(at, at + rows)), batch.column(1), written_out, *map(pa.array, columns), *others], names)
             at += batch.num_rows
 
     of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)).cast("int").alias("round")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,17 @@ def test_lm_with_large_weights():
         assert np.exp(model.output(np.repeat(s[None], n, 0), np.arange(n))[0]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_words_of_a_batch():
+    """Words and their shapes, taken for a batch at once, are those of plain Python."""
+    texts = [None, "", "  ", " a  B\x0bc\x0cd\x1ce\x85f É\xa0g \n", "x", "A x " + "ab1 " * 9, "é" * 30 + " z"]
+    codes, distinct, begin = lm.words(pa.array(texts, pa.string()))
+    want = [[w.encode() for w in tokens(t)[:-1]] for t in texts]
+    words = distinct.to_pylist()
+    assert [[words[k] for k in codes[a:b]] for a, b in zip(begin, begin[1:], strict=False)] == want
+    assert len(set(words)) == len(words) and lm.shapes(distinct).tolist() == [lm.shape(w) for w in words]
+    assert lm.shapes(distinct.slice(2, 4)).tolist() == [lm.shape(w) for w in words[2:6]]
+
+
 def test_lm_trains_on_all_windows(spark, sf, monkeypatch):
     """The rounds' tasks see every token of every training text once."""
     seen, held = [], lm.written
